@@ -9,9 +9,9 @@ meet on the key (start, first segment, half of the second), pass the chain test
 segments, and only then the full Hamming check.
 
 Groups: copies of a text share a fingerprint and are one node. The fingerprints of one key are
-linked as a spanning forest, not as all pairs: a search takes every unvisited neighbour at once,
-so a dense group of n costs about n steps and gives n - 1 links, with the same components as all
-pairs. A key with more than `max_run` fingerprints is dealt as pairs of blocks to several tasks.
+linked as a spanning forest where they are many, not as all pairs: a search takes every unvisited
+neighbour at once, so a dense group of n costs about n steps and gives n - 1 links, with the same
+components as all pairs. A key with more than `max_run` fingerprints is dealt as pairs of blocks to several tasks.
 
 Cases: a null or wordless text has fingerprint zero and links like any other; a text of fewer
 words than a shingle is one shingle; equal rows share a component; a null id never names a
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,42 +75,41 @@ def _segments(max_bits: int) -> list[tuple[int, int]]:
     return [(at[k], at[k + 1] - at[k]) for k in range(n)]
 
 
-def chain_keys(fp: np.ndarray, max_bits: int) -> np.ndarray:
-    """(keys, fingerprints): what a fingerprint's partners can meet on, for every start and half."""
+def chain_keys(fp: str, max_bits: int) -> list[Column]:
+    """What a fingerprint's partners can meet on: a key for every start and half, in the JVM."""
     seg = _segments(max_bits)
-    v = fp.view(np.uint64)
+    v = F.col(fp)
+    take = lambda lo, n: F.shiftrightunsigned(v, lo).bitwiseAND(F.lit((1 << n) - 1))
     out = []
     for s, (shift, width) in enumerate(seg):
-        first = (v >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         nxt, wide = seg[(s + 1) % len(seg)]
         for half, (lo, w) in enumerate(((nxt, wide // 2), (nxt + wide // 2, wide - wide // 2))):
-            part = (v >> np.uint64(lo)) & np.uint64((1 << w) - 1)
-            out.append((np.uint64(2 * s + half) << np.uint64(KEY_BITS)) | (first << np.uint64(w)) | part)
-    return np.stack(out)
+            first = F.shiftleft(take(shift, width), w).bitwiseOR(take(lo, w))
+            out.append(first.bitwiseOR(F.lit((2 * s + half) << KEY_BITS)))
+    return out
 
 
-def near(a: np.ndarray, b: np.ndarray, max_bits: int, start: int) -> np.ndarray:
-    """Whether each of a and each of b pass the chain from a start, then the Hamming check."""
+def _chain(x: np.ndarray, max_bits: int, start: int) -> np.ndarray:
+    """Whether differences pass the chain from a start, the last step being the Hamming check."""
     seg = _segments(max_bits)
-    x = a[:, None] ^ b[None, :]
     ok, total = np.ones(x.shape, dtype=bool), np.zeros(x.shape, dtype=np.uint8)
     for step in range(1, len(seg) + 1):
         shift, width = seg[(start + step - 1) % len(seg)]
         total += np.bitwise_count(x & np.uint64(((1 << width) - 1) << shift))
         ok &= total * len(seg) <= step * max_bits
         if not ok.any():
-            return ok
+            break
     return ok
 
 
 def forest(fps: np.ndarray, max_bits: int, start: int) -> list[tuple[int, int]]:
-    """Links (position, position) that join what near() joins, as a spanning forest."""
+    """Pairs (position, position) that pass the chain and span what all such pairs join."""
     left, links = np.arange(len(fps)), []
     while len(left) > 1:
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
             part, frontier = frontier[:64], frontier[64:]
-            hit = near(fps[part], fps[left], max_bits, start)
+            hit = _chain(fps[part][:, None] ^ fps[left][None, :], max_bits, start)
             found = hit.any(axis=0)
             if found.any():
                 by = part[hit[:, found].argmax(axis=0)]
@@ -119,63 +118,86 @@ def forest(fps: np.ndarray, max_bits: int, start: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, fp_col: str = "fp") -> DataFrame:
-    """(u, v): links between distinct fingerprints whose components are those of all pairs at most
-    max_bits apart. nodes: a column of distinct fingerprints."""
+def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: int, short: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links inside runs of equal numbers. All pairs of short runs are tested at
+    once; a run with more hits than members, or a long one, gives a forest instead."""
+    n = len(run)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [n]])
+    size = np.diff(edges)
+    of = np.repeat(np.arange(len(size)), size)
+    small = size[of] <= short
+    a, b = [], []
+    live = np.flatnonzero(small & (size[of] > 1))
+    for off in range(1, short):
+        live = live[live + off < edges[of[live] + 1]]
+        if not len(live):
+            break
+        x = fps[live] ^ fps[live + off]
+        for s in range(max_bits + 1):
+            mine = np.flatnonzero(starts[live] == s)
+            hit = mine[_chain(x[mine], max_bits, s)] if len(mine) else mine
+            a.append(live[hit])
+            b.append(live[hit] + off)
+    a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (a, b))
+    hits = np.bincount(of[a], minlength=len(size)) if len(a) else np.zeros(len(size), dtype=np.int64)
+    dense = (hits > size) | (size > short)
+    keep = ~dense[of[a]] if len(a) else np.zeros(0, dtype=bool)
+    a, b = [a[keep]], [b[keep]]
+    for r in np.flatnonzero(dense):
+        lo, hi = edges[r], edges[r + 1]
+        got = np.array(forest(fps[lo:hi], max_bits, int(starts[lo])), dtype=np.int64).reshape(-1, 2)
+        a.append(got[:, 0] + lo)
+        b.append(got[:, 1] + lo)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
+    """(u, v), u > v: links between nodes (node, fp) whose components are those of all pairs with
+    fingerprints at most max_bits apart.
+
+    Keys with more than about max_run nodes are found on one node in `sampled` and dealt as pairs of
+    blocks; that choice is about where the work is done, not about what is compared."""
     spark = nodes.sparkSession
     ship(spark)
-
-    def keyed(batches):
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = chain_keys(fp, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(fp, len(keys)))], names=["key", "fp"])
-
-    rows = nodes.select(fp_col).mapInArrow(keyed, "key long, fp long")
-    large = cut(rows.groupBy("key").count().where(F.col("count") > max_run).select(F.col("key").alias("hot"), F.ceil(F.col("count") / max_run).cast("int").alias("blocks")), "large")
+    keyed = lambda df: df.select(F.explode(F.array(*chain_keys("fp", max_bits))).alias("key"), "fp", "node")
+    part = keyed(nodes.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(sampled)) == 0)).groupBy("key").count()
+    large = cut(part.where(F.col("count") * sampled > max_run / 2).select(F.col("key").alias("hot"), F.ceil(F.col("count") * sampled / max_run).cast("int").alias("blocks")), "large")
+    rows = keyed(nodes)
     if large.isEmpty():
         cells = rows.withColumn("cell", F.lit(0))
     else:  # each row meets every block of its key: cell (a, b) holds the blocks a and b
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        cells = rows.join(large, rows["key"] == large["hot"], "left").withColumn("a", F.coalesce(block, F.lit(0))).withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        cells = cells.select("key", "fp", (F.least("a", "b") * F.coalesce("blocks", F.lit(1)) + F.greatest("a", "b")).cast("int").alias("cell"))
+        joined = rows.join(large, rows["key"] == large["hot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        joined = joined.withColumn("a", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = joined.select("key", (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("int").alias("cell"), "fp", "node")
+
     def linked(batches):
-        held = None
+        held = np.zeros((4, 0), dtype=np.int64)
         for b in batches:
-            t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-            if held is not None:
-                t = np.concatenate([held, t], axis=1)
+            t = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])], axis=1)
             if not t.shape[1]:
                 continue
             last = (t[0] == t[0, -1]) & (t[1] == t[1, -1])
             held = t[:, last]
-            yield from _runs(t[:, ~last])
-        if held is not None:
-            yield from _runs(held)
+            yield from found(t[:, ~last])
+        yield from found(held)
 
-    def _runs(t):
+    def found(t):
         if t.shape[1] < 2:
             return
-        new = np.flatnonzero((t[0, 1:] != t[0, :-1]) | (t[1, 1:] != t[1, :-1])) + 1
-        edges = np.concatenate([[0], new, [t.shape[1]]])
-        u, v = [], []
-        for i in np.flatnonzero(np.diff(edges) > 1):
-            fps = t[2, edges[i] : edges[i + 1]]
-            start = int(np.uint64(t[0, edges[i]].view(np.uint64)) >> np.uint64(KEY_BITS)) // 2
-            for x, y in forest(fps.view(np.uint64), max_bits, start):
-                u.append(int(fps[x]))
-                v.append(int(fps[y]))
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        run = np.concatenate([[0], np.cumsum((np.diff(t[0]) != 0) | (np.diff(t[1]) != 0))])
+        a, b = run_links(run, t[2].view(np.uint64), (t[0] >> KEY_BITS) // 2, max_bits)
+        if len(a):
+            u, v = t[3][a], t[3][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return cells.select("key", "cell", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(linked, "u long, v long").distinct()
+    return cells.select("key", "cell", "fp", "node").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(linked, "u long, v long").where("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3) -> DataFrame:
     """(id, fp, component_id): the fingerprint of each row and the least id that links reach."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(near_links(nodes, max_bits)).select(F.col("node").alias("fp"), "root")
+    roots = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits)).select(F.col("node").alias("fp"), "root")
     named = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(named.join(least, "root").select("fp", "component_id"), "named")
