@@ -151,8 +151,8 @@ SQL = {
     "insertion_openings": _with(SEQS, CUTS, ENZ, VD) + ", c AS (SELECT id, enzyme, top, v_s, CASE WHEN enzyme IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END AS sup FROM cuts JOIN vd USING (id) WHERE n_cuts = 1) SELECT id, ue, ut, de, dt FROM (SELECT u.id, u.enzyme AS ue, u.top AS ut, d.enzyme AS de, d.top AS dt, row_number() OVER (PARTITION BY u.id ORDER BY d.top - u.top, -(u.sup + d.sup), u.enzyme, d.enzyme) AS r FROM c u JOIN c d ON u.id = d.id WHERE u.top <= u.v_s AND d.top >= d.v_s AND d.top - u.top <= 200) WHERE r = 1",
     "ng_fmol": f"WITH p AS (SELECT p_partkey, p_size, p_size * 100 + 37 AS bp FROM part) SELECT p_partkey, round(100.0 * 1e6 / (bp * 650), 6) AS fmol, round(100.0 * 1e6 / (bp * 650) * 3 * bp * 650 / 1e6, 6) AS ng, round(15.0 * bp * 660 / 1e6, 6) AS ligation_ng, CAST(CASE WHEN bp < 500 THEN 1.5 WHEN bp < 1000 THEN 1.2 ELSE 1.0 END AS DOUBLE) AS gel, CAST(greatest(15, {_HE.format(x='(bp / 1000 * CASE WHEN p_size % 2 = 0 THEN 45 ELSE 30 END)')}) AS INTEGER) AS extension_s, greatest(bp, 600) >= 5 * least(bp, 600) AS caveat FROM p",
     "dilution_plans": f"WITH x AS (SELECT s_suppkey, {STOCK.format(c='s_acctbal')} AS c0 FROM supplier), y AS (SELECT s_suppkey, {_dilution('c0')} FROM x) SELECT s_suppkey, status, CAST(pre_steps AS INTEGER) AS pre_steps, round(CAST(final_ul AS DOUBLE), 4) AS final_ul, round(final_ul / (c / power(100.0, pre_steps)), 4) AS take_ul, round(final_ul - final_ul / (c / power(100.0, pre_steps)), 4) AS water_ul FROM y",
-    "gibson_mixes": f"WITH x AS (SELECT c_custkey AS reaction, 5000 + c_custkey % 1000 AS b, {STOCK.format(c='c_acctbal')} AS c, 100 + c_custkey % 77 AS i FROM customer), y AS (SELECT *, 1e8 / (b * 650) AS fm FROM x), r AS (SELECT reaction, 0 AS nth, '{BENCH['gibson']['master_mix']}' AS component, CAST(NULL AS DOUBLE) AS ng, CAST(NULL AS DOUBLE) AS fmol, 5.0::DOUBLE AS ul FROM y UNION ALL SELECT reaction, 1, 'backbone', 100.0, fm, 100 / c FROM y UNION ALL SELECT reaction, 2, 'insert', fm * 3 * i * 650 / 1e6, fm * 3, fm * 3 * i * 650 / 1e6 / 10 FROM y), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, NULL, CASE WHEN count(ul) = 3 THEN 10 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(ng, 4) AS ng, round(fmol, 4) AS fmol, round(ul, 4) AS ul FROM w",
-    "ligation_mixes": f"WITH x AS (SELECT c_custkey AS reaction, 7000 + c_custkey % 1000 AS b, {STOCK.format(c='c_acctbal')} AS c FROM customer), r AS (SELECT reaction, 0 AS nth, 'backbone' AS component, 15.0 * b * 660 / 1e6 AS ng, 15.0 * b * 660 / 1e6 / c AS ul FROM x UNION ALL SELECT reaction, 1, 'insert', 75.0 * 300 * 660 / 1e6, 75.0 * 300 * 660 / 1e6 / 3.3 FROM x UNION ALL SELECT reaction, 2, '10x T4 DNA ligase buffer', NULL, 2 FROM x UNION ALL SELECT reaction, 3, 'T4 DNA ligase', NULL, 1 FROM x), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, CASE WHEN count(ul) = 4 THEN 20 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(CAST(ng AS DOUBLE), 4) AS ng, round(CAST(ul AS DOUBLE), 4) AS ul FROM w",
+    "gibson_mixes": f"WITH x AS (SELECT c_custkey AS reaction, 5000 + c_custkey % 1000 AS b, {STOCK.format(c='c_acctbal')} AS c, 100 + c_custkey % 77 AS i FROM customer), y AS (SELECT *, 1e8 / (b * 650) AS fm FROM x), r AS (SELECT reaction, 0 AS nth, '{BENCH['gibson']['master_mix']}' AS component, CAST(NULL AS DOUBLE) AS ng, CAST(NULL AS DOUBLE) AS fmol, 5.0::DOUBLE AS ul FROM y UNION ALL SELECT reaction, 1, 'backbone', 100.0, fm, 100 / c FROM y UNION ALL SELECT reaction, 2, 'insert', fm * 3 * i * 650 / 1e6, fm * 3, fm * 3 * i * 650 / 1e6 / 10 FROM y), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, NULL, CASE WHEN count(ul) = 3 THEN 10 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(ng, 6) AS ng, round(fmol, 6) AS fmol, round(ul, 6) AS ul FROM w",
+    "ligation_mixes": f"WITH x AS (SELECT c_custkey AS reaction, 7000 + c_custkey % 1000 AS b, {STOCK.format(c='c_acctbal')} AS c FROM customer), r AS (SELECT reaction, 0 AS nth, 'backbone' AS component, CAST(15 AS DOUBLE) * b * 660 / 1e6 AS ng, CAST(15 AS DOUBLE) * b * 660 / 1e6 / c AS ul FROM x UNION ALL SELECT reaction, 1, 'insert', CAST(75 AS DOUBLE) * 300 * 660 / 1e6, CAST(75 AS DOUBLE) * 300 * 660 / 1e6 / 3.3 FROM x UNION ALL SELECT reaction, 2, '10x T4 DNA ligase buffer', NULL, 2 FROM x UNION ALL SELECT reaction, 3, 'T4 DNA ligase', NULL, 1 FROM x), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, CASE WHEN count(ul) = 4 THEN 20 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(CAST(ng AS DOUBLE), 6) AS ng, round(CAST(ul AS DOUBLE), 6) AS ul FROM w",
     "conditions_lookup": _with(ENZ, COND) + ", sold AS (SELECT site, top_off, ovhg, min(c.name) AS sold_as FROM enz JOIN cond c USING (name) GROUP BY 1, 2, 3) SELECT e.name AS enzyme, c.name AS sold_as, c.temp_c, c.minutes, c.bp_from_end, c.inactivation, c.star_h FROM enz e LEFT JOIN cond o ON o.name = e.name LEFT JOIN sold s ON s.site = e.site AND s.top_off = e.top_off AND s.ovhg = e.ovhg LEFT JOIN cond c ON c.name = coalesce(o.name, s.sold_as)",
     "search_caps": "SELECT q, c_custkey, nth, total FROM (SELECT c_nationkey AS q, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS nth, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer) WHERE nth <= 12",
     "source_union_first_owner": "SELECT s_suppkey AS plasmid_id, s_name AS label, 0 AS source FROM supplier UNION ALL SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",

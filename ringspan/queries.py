@@ -311,13 +311,13 @@ def dilution_plans(spark, d):
 def gibson_mixes(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("reaction"), (F.lit(5000) + F.col("c_custkey") % 1000).alias("b_bp"), _stock("c_acctbal").alias("b_conc"), (F.lit(100) + F.col("c_custkey") % 77).alias("i_bp"), F.lit(10.0).alias("i_conc"))
     m = reagents.gibson_mix(c)
-    return m.select("reaction", "nth", "component", F.round("ng", 4).alias("ng"), F.round("fmol", 4).alias("fmol"), F.round("ul", 4).alias("ul"))
+    return m.select("reaction", "nth", "component", F.round("ng", 6).alias("ng"), F.round("fmol", 6).alias("fmol"), F.round("ul", 6).alias("ul"))
 
 
 def ligation_mixes(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("reaction"), (F.lit(7000) + F.col("c_custkey") % 1000).alias("b_bp"), _stock("c_acctbal").alias("b_conc"), F.lit(300).alias("i_bp"), F.lit(3.3).alias("i_conc"))
     m = reagents.ligation_mix(c)
-    return m.select("reaction", "nth", "component", F.round("ng", 4).alias("ng"), F.round("ul", 4).alias("ul"))
+    return m.select("reaction", "nth", "component", F.round("ng", 6).alias("ng"), F.round("ul", 6).alias("ul"))
 
 
 def _digests(spark, d):
