@@ -9,18 +9,19 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ringspan.session import settle
 
 #: Fixed value: the white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Fixed value: a run of other characters.
-WORD = r"[^\x20\x09-\x0D]+"
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable on executors, once per application (as --py-files would)."""
+    """Make the package importable on executors, once per application (as --py-files would), and put
+    the session's settings right."""
+    settle(spark)
     sc = spark.sparkContext
     if getattr(sc, "_ringspan_shipped", False):
         return
@@ -61,18 +62,3 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df unchanged; a place to hang the shipping of the package before Python stages."""
-    ship(df.sparkSession)
-    return df
-
-
-def words_sql(text: str) -> str:
-    """SQL for the array of words of a text column (null: none)."""
-    return f"filter(split(coalesce({text}, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
-
-
-def text_or_empty(col: str):
-    return F.coalesce(F.col(col), F.lit(""))

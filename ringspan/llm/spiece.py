@@ -34,7 +34,11 @@ from ringspan.llm._shared import ship
 
 MARK = "▁"
 #: Marked words whose ids a worker keeps at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+
+
+_LETTER = re.compile("[A-Za-zÀ-ÿ]")
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Model:
@@ -49,7 +53,17 @@ class Model:
         special = set(bytes_at.values()) | {0, 1, 2}
         self.merge = {p: (self.scores[i], i) for p, i in self.ids.items() if i not in special}
         self.longest = max(map(len, self.merge), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in self.merge:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: How long the pieces are that end in two letters, the shortest first.
+        self.ends = {k: tuple(sorted(v)) for k, v in ends.items()}
         self.agree: dict[tuple[str, str], bool] = {}
+        # a word of letters parts from a sign that no piece has after such a letter: nothing is lost
+        after = {b for p in self.merge for a, b in zip(p, p[1:]) if _LETTER.match(a)}
+        signs = "".join(re.escape(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_{|}~\n" if c not in after)
+        self.word = re.compile(f"{MARK}*{_LETTER.pattern}+(?=[{MARK}{signs}]|$)|{MARK}+[^{MARK}]*|[^{MARK}]+") if signs else _WORD
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -75,12 +89,12 @@ class Model:
         return symbols
 
     def neighbours(self, a: str, b: str) -> bool:
-        """Whether a and b, merged from their characters, stay those two pieces."""
+        """Whether a and b, merged from their characters, stay those two pieces; a may be empty."""
         got = self.agree.get((a, b))
         if got is None:
-            if len(self.agree) > 1_000_000:
+            if len(self.agree) > 400_000:
                 self.agree.clear()
-            got = self.agree[a, b] = self.merged(list(a + b)) == [a, b]
+            got = self.agree[a, b] = self.merged(list(a + b)) == ([a, b] if a else [b])
         return got
 
 
@@ -89,8 +103,8 @@ def _forward(model: Model, word: str, last: list[str], total: list[float], share
     merge, longest = model.merge, model.longest
     del last[shared + 1 :]
     del total[shared + 1 :]
-    for i in range(shared + 1, len(word) + 1):
-        if model.unigram:
+    if model.unigram:
+        for i in range(shared + 1, len(word) + 1):
             best, piece = -1e18, word[i - 1]
             for j in range(max(0, i - longest), i):
                 m = merge.get(word[j:i])
@@ -99,15 +113,21 @@ def _forward(model: Model, word: str, last: list[str], total: list[float], share
                     best, piece = s, word[j:i]
             last.append(piece)
             total.append(best)
-            continue
-        found = word[i - 1]
-        for j in range(max(0, i - longest), i):
-            piece = word[j:i]
-            if (j == i - 1 or piece in merge) and (model.neighbours(last[j], piece) if j else model.merged(list(piece)) == [piece]):
-                found = piece
+        return
+    agree, ends = model.agree, model.ends
+    for i in range(shared + 1, len(word) + 1):
+        piece = word[i - 1]  # the one that agrees is unique, and most often short
+        for n in (1, *ends.get(word[i - 2 : i], ())):
+            if n > i:
+                continue
+            piece = word[i - n : i]
+            if n > 1 and piece not in merge:
+                continue
+            before = last[i - n]
+            ok = agree.get((before, piece))
+            if ok or ok is None and model.neighbours(before, piece):
                 break
-        last.append(found)
-        total.append(0.0)
+        last.append(piece)
 
 
 def encode_words(model: Model, words: list[str]) -> dict[str, list[int]]:
@@ -133,11 +153,9 @@ def encode_words(model: Model, words: list[str]) -> dict[str, list[int]]:
     return out
 
 
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
-def marked_words(text: str) -> list[str]:
-    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+def marked_words(text: str, word: re.Pattern = _WORD) -> list[str]:
+    """The marked words of a text; a model's own pattern parts some further."""
+    return word.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def decode(model: Model, ids) -> str:
@@ -171,7 +189,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         kind = "<u2" if width == 2 else "<u4"
         for b in batches:
             for k in range(0, b.num_rows, 500):
-                words = [marked_words(t.as_py()) for t in b.column(1).slice(k, 500)]
+                words = [marked_words(t.as_py(), model.word) for t in b.column(1).slice(k, 500)]
                 seen = set().union(*words)
                 new = [w for w in seen if w not in cache]
                 if len(cache) + len(new) > CACHE_WORDS:
