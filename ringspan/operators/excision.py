@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ringspan.functions.sequences import circular_equal, circular_slice, delete_span, site_count
 from ringspan.operators.enzymes import SAME, enzymes, strategy, strategy_rank
 from ringspan.operators.intervals import overlaps
+from ringspan.session import settle
 
 
 def candidate_pairs(cuts: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", allow_single_enzyme: bool = True) -> DataFrame:
@@ -18,6 +19,7 @@ def candidate_pairs(cuts: DataFrame, targets: DataFrame, protected: DataFrame |
     with its fate. cuts: cut_sites(); targets: (id, t_s, t_e); protected: (id, label, p_s, p_e) or
     None. A pair is refused for its ends before it is refused for what lies between."""
     spark = cuts.sparkSession
+    settle(spark)
     dim = enzymes(spark, pool).select("name", "kind", "ovhg_seq", "canonical")
     at = cuts.join(targets, "id").join(dim, F.col("enzyme") == F.col("name")).drop("enzyme")
     once = at.where("n_cuts = 1")
@@ -51,6 +53,7 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 def reasons(pairs: DataFrame, cuts: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, reason, n): the histogram of refusals of each target."""
+    settle(pairs.sparkSession)
     tally = pairs.where("status is not null").groupBy("id", F.col("status").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     many = cuts.where("n_cuts > 2").join(targets, "id").groupBy("id").agg(F.count_distinct("enzyme").alias("n")).select("id", F.lit("enzyme cuts more than twice").alias("reason"), "n")
     once = cuts.where("n_cuts = 1").join(targets, "id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ringspan.functions.sequences import circular_slice, replace_span
 from ringspan.operators.enzymes import cut_sites, enzymes, strategy
 from ringspan.operators.intervals import overlaps
+from ringspan.session import settle
 
 
 def normalise_insert(text) -> Column:
@@ -35,6 +36,7 @@ def donor_options(flanks: DataFrame, donor_cuts: DataFrame, pool="CommOnly", mos
     leave a matching end beyond the fragment: the same enzyme first, then few cuts, then near ones.
     donor_cuts carry d_s and d_e."""
     spark = flanks.sparkSession
+    settle(spark)
     dim = enzymes(spark, pool).select("name", "kind", "ovhg_seq").withColumn("k", F.concat_ws(":", "kind", "ovhg_seq"))
     v = flanks.join(dim, F.col("enzyme") == F.col("name")).select("id", "side", F.col("enzyme").alias("v_enzyme"), F.col("top").alias("v_top"), "k")
     d = donor_cuts.join(dim, F.col("enzyme") == F.col("name")).select("id", "enzyme", "top", "n_cuts", "d_s", "d_e", "k")
@@ -47,6 +49,7 @@ def donor_options(flanks: DataFrame, donor_cuts: DataFrame, pool="CommOnly", mos
 def restriction_routes(vectors: DataFrame, donors: DataFrame, protected: DataFrame | None = None, pool="CommOnly") -> tuple[DataFrame, DataFrame]:
     """(routes, reasons): the best way to subclone each pair, and the refusals (id, reason, n)."""
     spark = vectors.sparkSession
+    settle(spark)
     v_cuts = cut_sites(vectors, pool, "pair_id", "v").join(vectors.select(F.col("pair_id").alias("id"), F.col("v_s").alias("t_s"), F.col("v_e").alias("t_e")), "id")
     d_cuts = cut_sites(donors, pool, "pair_id", "d").join(donors.select(F.col("pair_id").alias("id"), "d_s", "d_e"), "id")
     flanks = nearest_flanks(v_cuts)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringspan.functions.sequences import circular_slice, gc_percent, longest_homopolymer, melting_temperature, reverse_complement, self_complementarity, site_count, three_prime_dimer
+from ringspan.session import settle
 
 # The defaults of a primer design.
 DEFAULTS = {"target_tm": 60.0, "tm_tolerance": 3.0, "max_tm_difference": 3.0, "min_length": 18, "max_length": 32, "min_gc": 35.0, "max_gc": 65.0, "overlap": 20}
@@ -53,6 +54,7 @@ def best_pairs(cands: DataFrame) -> DataFrame:
 
 def outward(spans: DataFrame) -> DataFrame:
     """The two sites of primers that point away from a span (id, s, t_s, t_e)."""
+    settle(spans.sparkSession)
     f = spans.select("id", "s", F.lit("forward").alias("role"), F.col("t_e").alias("boundary"))
     return f.union(spans.select("id", "s", F.lit("reverse").alias("role"), F.col("t_s").alias("boundary")))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ringspan.session import settle
 
 # Daltons per base pair (general; ligation sheet), and the bench defaults.
 DALTONS, DALTONS_LIGATION = 650, 660
@@ -167,6 +168,7 @@ def pcr_mix(cfg: dict | None = None) -> list[tuple[str, float]]:
 
 def with_water(rows: DataFrame, total_ul: float) -> DataFrame:
     """rows with a last one for the water of each reaction."""
+    settle(rows.sparkSession)
     every = Window.partitionBy("reaction")
     known = F.count("ul").over(every) == F.count(F.lit(1)).over(every)
     water = rows.withColumn("w", F.when(known, F.lit(float(total_ul)) - F.sum("ul").over(every))).where("nth = 0")

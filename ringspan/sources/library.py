@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ringspan.sources.formats import SUFFIXES, format_of, parse, parse_udf
+from ringspan.session import settle
 
 _STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -87,6 +88,7 @@ def callable_source(spark: SparkSession, name: str, ids: list[str], load: Callab
 def first_owner(sources: list[DataFrame], key: str = "plasmid_id") -> DataFrame:
     """The union of sources; of rows with one key, those of the first source stay. `source` is the
     place of the source in the list."""
+    settle(sources[0].sparkSession)
     every = reduce(lambda a, b: a.unionByName(b), [s.withColumn("source", F.lit(i)) for i, s in enumerate(sources)])
     nth = F.row_number().over(Window.partitionBy(key).orderBy("source"))
     return every.withColumn("_n", nth).where("_n = 1").drop("_n")
