@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["w"])
 
     found = order.mapInArrow(run, "w binary").first()
-    return bytes(found["w"])
+    return bytes(found["w"]) if found else bytes(4 * ((1 << BITS) + 1))
 
 
 def score(docs: DataFrame, weights: bytes, text_col: str = "text", out: str = "score") -> DataFrame:
