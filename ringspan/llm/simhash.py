@@ -151,15 +151,17 @@ def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: in
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
-    """(u, v), u > v: links between nodes (node, fp) whose components are those of all pairs with
-    fingerprints at most max_bits apart.
+def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, beside: int = 3) -> DataFrame:
+    """(u, v), u > v: links between nodes (node, fp, size) whose components are those of all pairs
+    with fingerprints at most max_bits apart. Of nodes with one fingerprint each meets the next
+    `beside` by size; of two fingerprints the middle one of the smaller group meets as many of the other
+    with the nearest sizes.
 
     Keys with more than about max_run nodes are found on one node in `sampled` and dealt as pairs of
     blocks; that choice is about where the work is done, not about what is compared."""
     spark = nodes.sparkSession
     ship(spark)
-    keyed = lambda df: df.select(F.explode(F.array(*chain_keys("fp", max_bits))).alias("key"), "fp", "node")
+    keyed = lambda df: df.select(F.explode(F.array(*chain_keys("fp", max_bits))).alias("key"), "fp", F.col("size").cast("long").alias("size"), "node")
     part = keyed(nodes.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(sampled)) == 0)).groupBy("key").count()
     large = cut(part.where(F.col("count") * sampled > max_run / 2).select(F.col("key").alias("hot"), F.ceil(F.col("count") * sampled / max_run).cast("int").alias("blocks")), "large")
     rows = keyed(nodes)
@@ -167,11 +169,11 @@ def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampl
         cells = rows.withColumn("cell", F.lit(0))
     else:  # each row meets every block of its key: cell (a, b) holds the blocks a and b
         joined = rows.join(large, rows["key"] == large["hot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        joined = joined.withColumn("a", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = joined.select("key", (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("int").alias("cell"), "fp", "node")
+        joined = joined.withColumn("a", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = joined.select("key", (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("int").alias("cell"), "fp", "size", "node")
 
     def linked(batches):
-        held = np.zeros((4, 0), dtype=np.int64)
+        held = np.zeros((5, 0), dtype=np.int64)
         for b in batches:
             t = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])], axis=1)
             if not t.shape[1]:
@@ -184,20 +186,50 @@ def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampl
     def found(t):
         if t.shape[1] < 2:
             return
-        run = np.concatenate([[0], np.cumsum((np.diff(t[0]) != 0) | (np.diff(t[1]) != 0))])
-        a, b = run_links(run, t[2].view(np.uint64), (t[0] >> KEY_BITS) // 2, max_bits)
+        turn = (np.diff(t[0]) != 0) | (np.diff(t[1]) != 0)
+        first = np.concatenate([[0], np.flatnonzero(turn | (np.diff(t[2]) != 0)) + 1])  # of each fingerprint
+        group = np.zeros(t.shape[1], dtype=np.int64)
+        group[first[1:]] = 1
+        group = np.cumsum(group)
+        u, v = [], []
+        for off in range(1, beside + 1):
+            same = np.flatnonzero(group[off:] == group[:-off])
+            u.append(same)
+            v.append(same + off)
+        run = np.concatenate([[0], np.cumsum(turn)])[first]
+        a, b = run_links(run, t[2][first].view(np.uint64), (t[0][first] >> KEY_BITS) // 2, max_bits)
         if len(a):
-            u, v = t[3][a], t[3][b]
+            x, y = _nearest(t[3], first, np.append(first[1:], t.shape[1]), a, b, beside)
+            u.append(x)
+            v.append(y)
+        u, v = t[4][np.concatenate(u)], t[4][np.concatenate(v)]
+        if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return cells.select("key", "cell", "fp", "node").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(linked, "u long, v long").where("u <> v").distinct()
+    return cells.select("key", "cell", "fp", "size", "node").repartition("key", "cell").sortWithinPartitions("key", "cell", "fp", "size", "node").mapInArrow(linked, "u long, v long").where("u <> v").distinct()
+
+
+def _nearest(size: np.ndarray, first: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, beside: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of groups a and b, sorted by size: the middle of the smaller group with the members
+    of the other whose sizes are nearest."""
+    n = end - first
+    plain = (n[a] == 1) & (n[b] == 1)
+    x, y = [first[a[plain]]], [first[b[plain]]]
+    for i in np.flatnonzero(~plain):
+        p, q = (a[i], b[i]) if n[a[i]] <= n[b[i]] else (b[i], a[i])
+        mid = first[p] + n[p] // 2
+        at = first[q] + np.searchsorted(size[first[q] : end[q]], size[mid])
+        near = np.arange(max(first[q], min(at - beside // 2, end[q] - beside)), end[q])[:beside]
+        x.append(np.full(len(near), mid))
+        y.append(near)
+    return np.concatenate(x), np.concatenate(y)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3) -> DataFrame:
     """(id, fp, component_id): the fingerprint of each row and the least id that links reach."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits)).select(F.col("node").alias("fp"), "root")
+    roots = components(near_links(nodes.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("size")), max_bits)).select(F.col("node").alias("fp"), "root")
     named = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(named.join(least, "root").select("fp", "component_id"), "named")

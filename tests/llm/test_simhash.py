@@ -52,7 +52,7 @@ def test_fingerprint_brute(odd):
 
 
 def run(spark, fps, **kw):
-    df = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
+    df = spark.createDataFrame([(f, f, 0) for f in fps], "node long, fp long, size int")
     return {r["node"]: r["root"] for r in components(S.near_links(df, **kw)).collect()}
 
 
