@@ -27,7 +27,7 @@ from ringspan.llm._shared import SPACE, cut
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\f\r"
 #: The least standard deviation of each transformed statistic: word length, symbols, lines, repeats.
-FLOORS = (0.15, 0.6, 0.6, 0.7)
+FLOORS = (0.15, 0.6, 0.6, 0.8)
 _X = [f"_x{i}" for i in range(len(FLOORS))]
 #: The medians of the chi-squared distribution with four degrees of freedom.
 _CHI_MEDIAN = 3.3567
