@@ -97,3 +97,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_sharding, op4_hilbert_neighbours, op5_sentencepiece, op6_simhash, op7_secret_scan, op8_quality_classifier, op9_line_dedup, op10_quality_outliers, pipeline)}
+
+#: DuckDB SQL for what SQL can express on whole tables.
+SQL = {
+    "op2_warc": "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p), k AS (SELECT payload_digest, max(page_id) AS keep FROM d WHERE payload_bytes >= 1000 GROUP BY 1) SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM d LEFT JOIN k USING (payload_digest)",
+}
