@@ -154,6 +154,7 @@ SQL = {
     "gibson_mixes": f"WITH x AS (SELECT c_custkey AS reaction, 5000 + c_custkey % 1000 AS b, {STOCK.format(c='c_acctbal')} AS c, 100 + c_custkey % 77 AS i FROM customer), y AS (SELECT *, 1e8 / (b * 650) AS fm FROM x), r AS (SELECT reaction, 0 AS nth, '{BENCH['gibson']['master_mix']}' AS component, CAST(NULL AS DOUBLE) AS ng, CAST(NULL AS DOUBLE) AS fmol, 5.0::DOUBLE AS ul FROM y UNION ALL SELECT reaction, 1, 'backbone', 100.0, fm, 100 / c FROM y UNION ALL SELECT reaction, 2, 'insert', fm * 3 * i * 650 / 1e6, fm * 3, fm * 3 * i * 650 / 1e6 / 10 FROM y), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, NULL, CASE WHEN count(ul) = 3 THEN 10 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(ng, 6) AS ng, round(fmol, 6) AS fmol, round(ul, 6) AS ul FROM w",
     "ligation_mixes": f"WITH x AS (SELECT c_custkey AS reaction, 7000 + c_custkey % 1000 AS b, {STOCK.format(c='c_acctbal')} AS c FROM customer), r AS (SELECT reaction, 0 AS nth, 'backbone' AS component, CAST(15 AS DOUBLE) * b * 660 / 1e6 AS ng, CAST(15 AS DOUBLE) * b * 660 / 1e6 / c AS ul FROM x UNION ALL SELECT reaction, 1, 'insert', CAST(75 AS DOUBLE) * 300 * 660 / 1e6, CAST(75 AS DOUBLE) * 300 * 660 / 1e6 / 3.3 FROM x UNION ALL SELECT reaction, 2, '10x T4 DNA ligase buffer', NULL, 2 FROM x UNION ALL SELECT reaction, 3, 'T4 DNA ligase', NULL, 1 FROM x), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, CASE WHEN count(ul) = 4 THEN 20 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(CAST(ng AS DOUBLE), 6) AS ng, round(CAST(ul AS DOUBLE), 6) AS ul FROM w",
     "conditions_lookup": _with(ENZ, COND) + ", sold AS (SELECT site, top_off, ovhg, min(c.name) AS sold_as FROM enz JOIN cond c USING (name) GROUP BY 1, 2, 3) SELECT e.name AS enzyme, c.name AS sold_as, c.temp_c, c.minutes, c.bp_from_end, c.inactivation, c.star_h FROM enz e LEFT JOIN cond o ON o.name = e.name LEFT JOIN sold s ON s.site = e.site AND s.top_off = e.top_off AND s.ovhg = e.ovhg LEFT JOIN cond c ON c.name = coalesce(o.name, s.sold_as)",
+    "genbank_round_trip": _with(SEQS) + "SELECT id, 'd' || id AS name, CAST(length(s) AS INTEGER) AS length, true AS same, true AS circular FROM seqs",
     "search_caps": "SELECT q, c_custkey, nth, total FROM (SELECT c_nationkey AS q, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS nth, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer) WHERE nth <= 12",
     "source_union_first_owner": "SELECT s_suppkey AS plasmid_id, s_name AS label, 0 AS source FROM supplier UNION ALL SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "scan_dead_letter": f"WITH x AS (SELECT page_id, url, {_dna('html')} AS s FROM pages) SELECT page_id AS plasmid_id, CASE WHEN page_id % 3 = 0 AND s <> '' THEN CAST(length(s) AS INTEGER) END AS length, CASE WHEN page_id % 3 <> 0 THEN 'expected one record, found 0' WHEN s = '' THEN 'the record has no sequence' END AS error FROM x",
@@ -163,3 +164,12 @@ _LOOK = "look AS (" + SQL["conditions_lookup"].partition(", sold AS")[2].join(["
 SQL["digest_conditions"] = _with(ENZ, COND, _DIG, _LOOK) + "SELECT digest, CAST(max(try_cast(minutes AS INTEGER)) AS INTEGER) AS minutes, CASE WHEN count(DISTINCT temp_c) = 1 THEN min(temp_c) END AS temp_c, array_to_string(list_sort(coalesce(list(DISTINCT temp_c) FILTER (temp_c IS NOT NULL), [])), ';') AS temps, array_to_string(list_sort(coalesce(list(DISTINCT inactivation) FILTER (inactivation IS NOT NULL AND NOT lower(inactivation) LIKE 'no%'), [])), ';') AS inactivations, array_to_string(list_sort(coalesce(list(DISTINCT sold_as) FILTER (lower(inactivation) LIKE 'no%'), [])), ';') AS no_heat_kill, min(try_cast(star_h AS DOUBLE)) AS star_limit_h, array_to_string(list_sort(coalesce(list(DISTINCT enzyme) FILTER (sold_as IS NULL), [])), ';') AS unknown FROM dig JOIN look USING (enzyme) GROUP BY digest"
 _NAMES = "names AS (SELECT replace(c_name, '#', '') || '_' || lower(c_mktsegment) AS label FROM customer), asked AS (SELECT n_name AS asked FROM nation UNION SELECT c_name FROM customer WHERE c_nationkey = 3 UNION SELECT replace(c_name, '#', '') FROM customer WHERE c_nationkey = 4 UNION SELECT '0000' || r_regionkey FROM region)"
 SQL["resolve_name"] = _with(_NAMES) + ", hit AS (SELECT asked, label, CASE WHEN l = q THEN 1 WHEN split_part(l, '_', 1) = q THEN 2 WHEN starts_with(l, q) THEN 3 WHEN contains(l, q) THEN 4 END AS tier FROM (SELECT asked, lower(trim(asked)) AS q, label, lower(trim(label)) AS l FROM asked, names)), t AS (SELECT asked, min(tier) AS tier FROM hit GROUP BY asked) SELECT t.asked, t.tier, count(h.label) AS n, CASE WHEN count(h.label) = 1 THEN min(h.label) END AS label FROM t LEFT JOIN hit h ON h.asked = t.asked AND h.tier = t.tier GROUP BY t.asked, t.tier"
+_ROUTES = f"""fl AS (SELECT * FROM (SELECT c.id, 'up' AS side, enzyme, top, row_number() OVER (PARTITION BY c.id ORDER BY v_s - top, enzyme) AS nth FROM cuts c JOIN vd ON c.id = vd.id WHERE n_cuts = 1 AND top <= v_s UNION ALL SELECT c.id, 'down', enzyme, top, row_number() OVER (PARTITION BY c.id ORDER BY top - v_e, enzyme) FROM cuts c JOIN vd ON c.id = vd.id WHERE n_cuts = 1 AND top >= v_e) WHERE nth <= 30),
+dc AS (SELECT vd.id, enzyme, top, n_cuts, d_s, d_e FROM cuts c JOIN vd ON c.id = vd.id + 1),
+opt AS (SELECT * FROM (SELECT f.id, side, f.enzyme AS ve, f.top AS vt, d.enzyme, d.top, row_number() OVER (PARTITION BY f.id, side, f.enzyme, f.top ORDER BY d.enzyme <> f.enzyme, d.n_cuts, CASE WHEN side = 'up' THEN d_s - d.top ELSE d.top - d_e END, d.enzyme, d.top) AS opt FROM fl f JOIN enz a ON a.name = f.enzyme JOIN dc d ON d.id = f.id JOIN enz b ON b.name = d.enzyme AND a.kind = b.kind AND a.ovhg_seq = b.ovhg_seq WHERE (side = 'up' AND d.top <= d_s) OR (side = 'down' AND d.top >= d_e)) WHERE opt <= 6),
+pr AS (SELECT u.id, u.enzyme AS ue, u.top AS ut, d.enzyme AS de, d.top AS dt FROM fl u JOIN fl d ON u.id = d.id AND u.side = 'up' AND d.side = 'down' AND u.enzyme <> d.enzyme),
+met AS (SELECT pr.*, x.enzyme AS ude, x.top AS udt, x.opt AS uo, y.enzyme AS dde, y.top AS ddt, y.opt AS yo FROM pr JOIN opt x ON x.id = pr.id AND x.side = 'up' AND x.ve = ue AND x.vt = ut JOIN opt y ON y.id = pr.id AND y.side = 'down' AND y.ve = de AND y.vt = dt WHERE x.top < y.top),
+fit AS (SELECT *, row_number() OVER (PARTITION BY id, ue, ut, de, dt ORDER BY uo, yo) AS r FROM met m WHERE NOT EXISTS (SELECT 1 FROM dc c WHERE c.id = m.id AND c.enzyme IN (ude, dde) AND c.top > udt AND c.top < ddt))"""
+SQL["insertion_reasons"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES) + "SELECT id, CASE WHEN EXISTS (SELECT 1 FROM opt x WHERE x.id = pr.id AND x.side = 'up' AND x.ve = ue AND x.vt = ut) AND EXISTS (SELECT 1 FROM opt y WHERE y.id = pr.id AND y.side = 'down' AND y.ve = de AND y.vt = dt) THEN 'every candidate enzyme cuts inside the insert fragment' ELSE 'donor lacks a compatible flanking site' END AS reason, count(*) AS n FROM pr WHERE (id, ue, ut, de, dt) NOT IN (SELECT (id, ue, ut, de, dt) FROM fit) GROUP BY 1, 2"
+SQL["insertion_routes"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES) + f""", sc AS (SELECT f.id, ue, ut, de, dt, ude, udt, dde, ddt, {_STRAT.format(a='a', b='b')} IS NULL AS directional, ue = ude AND de = dde AS same_enzymes, dt - ut - (v_e - v_s) AS v_extra, ddt - udt - (d_e - d_s) AS d_extra, CASE WHEN ue IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END + CASE WHEN de IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END AS sup, a.canonical AS cu, b.canonical AS cd, length(v) - (dt - ut) + ddt - udt AS bp FROM fit f JOIN enz a ON a.name = ue JOIN enz b ON b.name = de JOIN vd ON vd.id = f.id WHERE r = 1)
+SELECT id, ue, ut, de, dt, ude, udt, dde, ddt, directional, same_enzymes, CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, true AS verified, CAST(bp AS INTEGER) AS product_bp FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY directional DESC, same_enzymes DESC, v_extra, d_extra, sup DESC, cu, cd, ue, de) AS q FROM sc) WHERE q = 1"""
