@@ -151,11 +151,11 @@ def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: in
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, beside: int = 3) -> DataFrame:
+def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, beside: int = 3, shrink: float = 1.0) -> DataFrame:
     """(u, v), u > v: links between nodes (node, fp, size) whose components are those of all pairs
     with fingerprints at most max_bits apart. Of nodes with one fingerprint each meets the next
     `beside` by size; of two fingerprints the middle one of the smaller group meets as many of the other
-    with the nearest sizes.
+    with the nearest sizes. Links whose sizes differ by more than `shrink` of the larger are left out.
 
     Keys with more than about max_run nodes are found on one node in `sampled` and dealt as pairs of
     blocks; that choice is about where the work is done, not about what is compared."""
@@ -166,28 +166,34 @@ def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampl
     large = cut(part.where(F.col("count") * sampled > max_run / 2).select(F.col("key").alias("hot"), F.ceil(F.col("count") * sampled / max_run).cast("int").alias("blocks")), "large")
     rows = keyed(nodes)
     if large.isEmpty():
-        cells = rows.withColumn("cell", F.lit(0))
+        cells = rows.select("key", F.col("fp"), "size", "node").repartition("key").sortWithinPartitions("key")
     else:  # each row meets every block of its key: cell (a, b) holds the blocks a and b
         joined = rows.join(large, rows["key"] == large["hot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         joined = joined.withColumn("a", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = joined.select("key", (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("int").alias("cell"), "fp", "size", "node")
+        cells = joined.select("key", "fp", "size", "node", (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("long").alias("cell")).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    width = len(cells.columns)
 
     def linked(batches):
-        held = np.zeros((5, 0), dtype=np.int64)
+        held, n = [np.zeros((width, 0), dtype=np.int64)], 0
         for b in batches:
-            t = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])], axis=1)
-            if not t.shape[1]:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
+            n += b.num_rows
+            if n < 50_000:
                 continue
-            last = (t[0] == t[0, -1]) & (t[1] == t[1, -1])
-            held = t[:, last]
+            t = np.concatenate(held, axis=1)
+            last = t[0] == t[0, -1] if width == 4 else (t[0] == t[0, -1]) & (t[4] == t[4, -1])
             yield from found(t[:, ~last])
-        yield from found(held)
+            held, n = [t[:, last]], 0
+        yield from found(np.concatenate(held, axis=1))
 
     def found(t):
         if t.shape[1] < 2:
             return
-        turn = (np.diff(t[0]) != 0) | (np.diff(t[1]) != 0)
-        first = np.concatenate([[0], np.flatnonzero(turn | (np.diff(t[2]) != 0)) + 1])  # of each fingerprint
+        t = t[:, np.lexsort((t[3], t[2], t[1], *t[4:], t[0]))]
+        turn = np.diff(t[0]) != 0
+        if width == 5:
+            turn |= np.diff(t[4]) != 0
+        first = np.concatenate([[0], np.flatnonzero(turn | (np.diff(t[1]) != 0)) + 1])  # of each fingerprint
         group = np.zeros(t.shape[1], dtype=np.int64)
         group[first[1:]] = 1
         group = np.cumsum(group)
@@ -197,16 +203,18 @@ def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampl
             u.append(same)
             v.append(same + off)
         run = np.concatenate([[0], np.cumsum(turn)])[first]
-        a, b = run_links(run, t[2][first].view(np.uint64), (t[0][first] >> KEY_BITS) // 2, max_bits)
+        a, b = run_links(run, t[1][first].view(np.uint64), (t[0][first] >> KEY_BITS) // 2, max_bits)
         if len(a):
-            x, y = _nearest(t[3], first, np.append(first[1:], t.shape[1]), a, b, beside)
+            x, y = _nearest(t[2], first, np.append(first[1:], t.shape[1]), a, b, beside)
             u.append(x)
             v.append(y)
-        u, v = t[4][np.concatenate(u)], t[4][np.concatenate(v)]
+        u, v = np.concatenate(u), np.concatenate(v)
+        near = np.abs(t[2][u] - t[2][v]) <= shrink * np.maximum(t[2][u], t[2][v])
+        u, v = t[3][u[near]], t[3][v[near]]
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return cells.select("key", "cell", "fp", "size", "node").repartition("key", "cell").sortWithinPartitions("key", "cell", "fp", "size", "node").mapInArrow(linked, "u long, v long").where("u <> v").distinct()
+    return cells.mapInArrow(linked, "u long, v long").where("u <> v").distinct()
 
 
 def _nearest(size: np.ndarray, first: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, beside: int) -> tuple[np.ndarray, np.ndarray]:
