@@ -108,10 +108,10 @@ def _row(text: str, forms: dict) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a text's n-grams, each place once, and of the bias."""
     grams = hashed(text, forms)
     if not grams:
-        return np.array([1 << BITS]), np.ones(1)
+        return np.array([1 << BITS], dtype=np.int32), np.ones(1, dtype=np.float32)
     at, inverse = np.unique(np.concatenate(grams), return_inverse=True)
     x = np.bincount(inverse, weights=np.concatenate([np.full(len(g), SCALE / len(g)) for g in grams]))
-    return np.append(at, 1 << BITS), np.append(x, 1.0)
+    return np.append(at, 1 << BITS).astype(np.int32), np.append(x, 1.0).astype(np.float32)
 
 
 def train(rows, epochs: int = 2, **kw) -> np.ndarray:
