@@ -173,3 +173,11 @@ fit AS (SELECT *, row_number() OVER (PARTITION BY id, ue, ut, de, dt ORDER BY uo
 SQL["insertion_reasons"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES) + "SELECT id, CASE WHEN EXISTS (SELECT 1 FROM opt x WHERE x.id = pr.id AND x.side = 'up' AND x.ve = ue AND x.vt = ut) AND EXISTS (SELECT 1 FROM opt y WHERE y.id = pr.id AND y.side = 'down' AND y.ve = de AND y.vt = dt) THEN 'every candidate enzyme cuts inside the insert fragment' ELSE 'donor lacks a compatible flanking site' END AS reason, count(*) AS n FROM pr WHERE (id, ue, ut, de, dt) NOT IN (SELECT (id, ue, ut, de, dt) FROM fit) GROUP BY 1, 2"
 SQL["insertion_routes"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES) + f""", sc AS (SELECT f.id, ue, ut, de, dt, ude, udt, dde, ddt, {_STRAT.format(a='a', b='b')} IS NULL AS directional, ue = ude AND de = dde AS same_enzymes, dt - ut - (v_e - v_s) AS v_extra, ddt - udt - (d_e - d_s) AS d_extra, CASE WHEN ue IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END + CASE WHEN de IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END AS sup, a.canonical AS cu, b.canonical AS cd, length(v) - (dt - ut) + ddt - udt AS bp FROM fit f JOIN enz a ON a.name = ue JOIN enz b ON b.name = de JOIN vd ON vd.id = f.id WHERE r = 1)
 SELECT id, ue, ut, de, dt, ude, udt, dde, ddt, directional, same_enzymes, CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, true AS verified, CAST(bp AS INTEGER) AS product_bp FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY directional DESC, same_enzymes DESC, v_extra, d_extra, sup DESC, cu, cd, ue, de) AS q FROM sc) WHERE q = 1"""
+_AROUND = "substr(s || s || s, length(s) + {t} - 19, 40)"
+_HAS = "(contains(product || substr(product, 1, length({e}.site) - 1), {e}.site) AND length({e}.site) <= length(product))"
+_WHY = SQL["excision_reasons"].partition(PAIRS)[2]
+SQL["excision_plans"] = _with(SEQS, CUTS, ENZ, TARGETS, GUARD, PAIRS) + f""", why AS ({_WHY}), said AS (SELECT id, '{{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}}' AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, reason) AS r FROM why) WHERE r <= 5 GROUP BY id),
+ranks AS (SELECT d.*, s, row_number() OVER (PARTITION BY d.id ORDER BY sr, collateral, cu, cd, up, down) AS rk FROM dedup d JOIN targets t USING (id) WHERE dup = 1),
+prod AS (SELECT *, substr(s, 1, u_top) || substr(s, d_top + 1) AS product FROM ranks WHERE rk <= 25),
+good AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rk) AS q FROM prod WHERE length(product) < 40 OR (NOT contains(product || product, {_AROUND.format(t='u_top')}) AND NOT contains(product || product, {_AROUND.format(t='d_top')})))
+SELECT t.id, g.up IS NOT NULL AS feasible, g.up, g.down, g.u_top, g.d_top, g.strategy, substr(g.s || g.s, length(g.s) + u_top - 5, 6) || substr(g.s || g.s, d_top + 1, 6) AS junction, CASE WHEN g.up IS NOT NULL THEN {_HAS.format(e='a')} OR {_HAS.format(e='b')} END AS site_regenerated, CAST(length(product) AS INTEGER) AS product_bp, reasons FROM targets t LEFT JOIN (SELECT * FROM good WHERE q = 1) g ON g.id = t.id LEFT JOIN enz a ON a.name = g.up LEFT JOIN enz b ON b.name = g.down LEFT JOIN said ON said.id = t.id"""
