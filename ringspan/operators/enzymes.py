@@ -160,8 +160,8 @@ def cut_sites(seqs: DataFrame, pool="CommOnly", id_col: str = "id", seq_col: str
     coded = words.select("name", "off", "ovhg", "size", word_code(F.col("word")).alias("code"))
     parts = places.join(coded, ["size", "code"]).select("id", F.col("name").alias("enzyme"), F.pmod(F.col("pos") + F.col("off"), F.col("len")).cast("int").alias("top"), "ovhg")
     cuts = parts.distinct().withColumn("bottom", F.col("top") - F.col("ovhg")).drop("ovhg")
-    counts = cuts.groupBy("id", "enzyme").agg(F.count(F.lit(1)).cast("int").alias("n_cuts"))
-    return cuts.join(counts, ["id", "enzyme"])
+    n = F.count(F.lit(1)).over(Window.partitionBy("id", "enzyme")).cast("int")
+    return cuts.withColumn("n_cuts", n).select("id", "enzyme", "top", "bottom", "n_cuts")
 
 
 def footprint(top, bottom) -> tuple[Column, Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ringspan.functions.sequences import circular_equal, circular_slice, delete_span, site_count
 from ringspan.operators.enzymes import SAME, enzymes, strategy, strategy_rank
 from ringspan.operators.intervals import overlaps
-from ringspan.session import settle
+from ringspan.session import cut, settle
 
 
 def candidate_pairs(cuts: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", allow_single_enzyme: bool = True) -> DataFrame:
@@ -100,7 +100,7 @@ def regenerated(plans: DataFrame, pool="CommOnly") -> DataFrame:
 def plan(seqs: DataFrame, cuts: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", max_alternatives: int = 10, tries: int = 15) -> tuple[DataFrame, DataFrame]:
     """(plans, reasons): the verified plans of each target, best first, max_alternatives + 1 at most,
     out of the max_alternatives + tries best candidates; and the refusals."""
-    pairs = ranked(candidate_pairs(cuts, targets, protected, pool))
+    pairs = cut(ranked(candidate_pairs(cuts, targets, protected, pool)), "excision_pairs")
     best = pairs.where(F.col("rank") <= max_alternatives + tries)
     done = simulate(best, seqs, signature(protected, seqs) if protected is not None else None).where("verified")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("rank"))

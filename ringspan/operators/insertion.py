@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ringspan.functions.sequences import circular_slice, replace_span
 from ringspan.operators.enzymes import cut_sites, enzymes, strategy
 from ringspan.operators.intervals import overlaps
-from ringspan.session import settle
+from ringspan.session import cut, settle
 
 
 def normalise_insert(text) -> Column:
@@ -50,8 +50,8 @@ def restriction_routes(vectors: DataFrame, donors: DataFrame, protected: DataFra
     """(routes, reasons): the best way to subclone each pair, and the refusals (id, reason, n)."""
     spark = vectors.sparkSession
     settle(spark)
-    v_cuts = cut_sites(vectors, pool, "pair_id", "v").join(vectors.select(F.col("pair_id").alias("id"), F.col("v_s").alias("t_s"), F.col("v_e").alias("t_e")), "id")
-    d_cuts = cut_sites(donors, pool, "pair_id", "d").join(donors.select(F.col("pair_id").alias("id"), "d_s", "d_e"), "id")
+    v_cuts = cut(cut_sites(vectors, pool, "pair_id", "v"), "vector_cuts").join(vectors.select(F.col("pair_id").alias("id"), F.col("v_s").alias("t_s"), F.col("v_e").alias("t_e")), "id")
+    d_cuts = cut(cut_sites(donors, pool, "pair_id", "d"), "donor_cuts").join(donors.select(F.col("pair_id").alias("id"), "d_s", "d_e"), "id")
     flanks = nearest_flanks(v_cuts)
     up, down = flanks.where("side = 'up'"), flanks.where("side = 'down'")
     pairs = up.select("id", F.col("enzyme").alias("ue"), F.col("top").alias("ut")).join(down.select("id", F.col("enzyme").alias("de"), F.col("top").alias("dt")), "id").where("ue <> de")
@@ -91,7 +91,7 @@ def restriction_products(routes: DataFrame, vectors: DataFrame, donors: DataFram
 
 def digest_openings(vectors: DataFrame, protected: DataFrame | None = None, pool="CommOnly", max_collateral: int = 200) -> DataFrame:
     """(id, ue, ut, de, dt): the pair of unique cuts that opens each vector with the least loss."""
-    cuts = cut_sites(vectors, pool, "pair_id", "v").join(vectors.select(F.col("pair_id").alias("id"), F.col("v_s").alias("t_s"), F.col("v_e").alias("t_e")), "id").where("n_cuts = 1")
+    cuts = cut(cut_sites(vectors, pool, "pair_id", "v").where("n_cuts = 1"), "openings").join(vectors.select(F.col("pair_id").alias("id"), F.col("v_s").alias("t_s"), F.col("v_e").alias("t_e")), "id")
     sup = enzymes(vectors.sparkSession, pool).select(F.col("name").alias("enzyme"), F.coalesce("supplier_count", F.lit(0)).alias("sup"))
     cuts = cuts.join(sup, "enzyme")
     up = cuts.where("top <= t_s").select("id", "t_s", "t_e", F.col("enzyme").alias("ue"), F.col("top").alias("ut"), F.col("sup").alias("us"))

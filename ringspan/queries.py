@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ringspan.functions import sequences as S
 from ringspan.operators import complexity, enzymes, excision, insertion, intervals, inventory, pcr, reagents, sourcing
+from ringspan.session import cut
 
 CIRCLE = 5000
 TARGET = 30
@@ -217,7 +218,7 @@ def enzyme_dimension(spark, d):
 
 def _cuts_and_targets(spark, d):
     s = seqs(spark, d)
-    return s, enzymes.cut_sites(s), targets(s), guarded(s)
+    return s, cut(enzymes.cut_sites(s), "cuts"), targets(s), guarded(s)
 
 
 def excision_best(spark, d):
