@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from ringspan.session import settle
+from ringspan.session import cut, new_path, settle, shared_dir
+
+__all__ = ["SPACE", "cut", "new_path", "settle", "shared_dir", "ship"]
 
 #: Fixed value: the white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,34 +32,3 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{_PACKAGE.name}/{f.relative_to(_PACKAGE)}")
     sc.addPyFile(path)
     sc._ringspan_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_ringspan_shared", None)
-    if not found:
-        found = sc._ringspan_shared = "file://" + tempfile.mkdtemp(prefix="ringspan-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/ringspan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts the lineage in a way that survives lost executors, lets several consumers share
-    one computation, and gives the planner the true size, so that Spark's own threshold decides
-    whether a join against it is broadcast.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
