@@ -321,6 +321,26 @@ def ligation_mixes(spark, d):
     return m.select("reaction", "nth", "component", F.round("ng", 6).alias("ng"), F.round("ul", 6).alias("ul"))
 
 
+def thermocycler_steps(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.lit(50) + F.col("p_size") / 4).alias("anneal_c"), (F.col("p_size") * 200 + 13).alias("amplicon_bp"), (F.col("p_size") % 2 == 0).alias("repetitive"))
+    return reagents.thermocycler(p)
+
+
+def water_balances(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("reaction"), F.when(F.col("l_discount") > 0, F.col("l_discount") * 10).alias("ul"))
+    totals = table(spark, d, "orders").select(F.col("o_orderkey").alias("reaction"), F.lit(2.0).alias("total_ul"))
+    return reagents.water_balance(rows, totals).select("reaction", F.round("water", 6).alias("water"))
+
+
+def site_counts(spark, d):
+    """How often each enzyme's site is on each circle, both strands, overlaps counted."""
+    e = enzymes.enzymes(spark).where("size >= 8").select("name", "site")
+    s = seqs(spark, d).where(F.length("s") >= 8)
+    every = s.select("id", "s", F.explode(F.lit([r["name"] for r in e.collect()])).alias("name")).join(e, "name")
+    plain = every.where(~F.col("site").rlike("[^ACGT]"))
+    return plain.select("id", "name", S.site_count("s", "site").alias("n")).where("n > 0")
+
+
 def _digests(spark, d):
     """(digest, enzyme): two enzymes for each order line's supplier and part."""
     e = enzymes.enzymes(spark).select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("i"))
@@ -391,6 +411,6 @@ QUERIES = {f.__name__: f for f in (
     overlap_pairs, nested_pairs, repeat_arrays, feature_pruning, feature_remap_insert, feature_remap_delete, feature_rotation, named_spans,
     graft_features, cut_sites, unique_cutters, ligation_pairs, enzyme_dimension, excision_best, excision_reasons, excision_plans,
     primer_candidates, primer_pairs, pcr_deletions, insertion_routes, insertion_reasons, insertion_openings, insertion_homology, ng_fmol,
-    dilution_plans, gibson_mixes, ligation_mixes, conditions_lookup, digest_conditions, resolve_name, search_caps,
+    dilution_plans, gibson_mixes, ligation_mixes, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
     source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest,
 )}

@@ -122,5 +122,6 @@ def find_library(explicit: str | None = None, variable: str = "RINGSPAN_LIBRARY"
 
 def load_record(path: str) -> dict:
     """One file as a record, on the driver."""
+    kind = format_of(path)
     with open(path, "rb") as f:
-        return parse(f.read(), format_of(path))
+        return parse(f.read(), kind)
