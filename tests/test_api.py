@@ -22,7 +22,7 @@ def test_circular_slice_and_edits(spark):
 
 
 def test_rotation_offset_and_equality(spark):
-    rows = [("ACGTT", "GTTAC"), ("ACGTT", "AACGT"), ("ACGTT", "ACGT"), ("ACGTT", "ACGTA")]
+    rows = [("ACGTT", "GTTAC"), ("ACGTT", "AACGT"), ("ACGTT", "ACGT"), ("ACGTT", "AAGTA")]
     got = vals(spark, rows, "a string, b string", S.rotation_offset("a", "b"), S.circular_equal("a", "b"))
     assert got == [(2, True), (None, True), (None, False), (None, False)]
 
