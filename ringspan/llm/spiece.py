@@ -34,7 +34,7 @@ from ringspan.llm._shared import ship
 
 MARK = "▁"
 #: Marked words whose ids a worker keeps at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 
 
 _LETTER = re.compile("[A-Za-zÀ-ÿ]")
