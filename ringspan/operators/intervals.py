@@ -149,3 +149,23 @@ def prune(feats: DataFrame, min_bp: int = 60, protect: list[str] | None = None,
     f = f.join(inner, ["k", id_col], "left").where(keep | F.col("nested").isNull()).drop("nested")
     nth = F.row_number().over(Window.partitionBy("k").orderBy(F.desc(keep), F.desc(F.col("e") - F.col("s")), "s", id_col))
     return f.withColumn("r", nth).where(F.col("r") <= limit).drop("r")
+
+
+def resolve_targets(feats: DataFrame, lengths: DataFrame, names: list[str]) -> DataFrame:
+    """(k, t_s, t_e, labels): the tight arc over the features that match a name, per circle; an end
+    past the length wraps the origin. feats: (k, s, e, label, type); lengths: (k, n). Circles without
+    a match have no row."""
+    hit = functional(feats).where(label_matches(F.col("label"), names)).join(lengths, "k")
+    labels = hit.groupBy("k").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    return tight_arc(hit, F.col("n")).join(labels, "k").select("k", F.col("arc_start").alias("t_s"), F.col("arc_end").alias("t_e"), "labels")
+
+
+def centred(circles: DataFrame) -> DataFrame:
+    """circles (s, t_s, t_e) whose target wraps the origin, turned so that it stands in the middle;
+    `turned` is the place that the origin moved to, 0 where nothing moved."""
+    n, w = F.length("s"), F.col("t_e") - F.col("t_s")
+    k = F.when(F.col("t_e") > n, F.pmod(F.col("t_s") - F.floor((n - w) / 2), n)).otherwise(0).cast("int")
+    c = circles.withColumn("turned", k)
+    at = F.pmod(F.col("t_s") - F.col("turned"), n).cast("int")
+    c = c.withColumns({"_at": at, "_w": w.cast("int"), "s": F.concat(F.substr("s", F.col("turned") + 1), F.substr("s", F.lit(1), F.col("turned")))})
+    return c.drop("t_s", "t_e").withColumns({"t_s": F.col("_at"), "t_e": F.col("_at") + F.col("_w")}).drop("_at", "_w")

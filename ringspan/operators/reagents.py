@@ -190,3 +190,24 @@ def spec_json(rows: DataFrame) -> DataFrame:
 def two_band_caveat(a_bp, b_bp) -> Column:
     """Whether the smaller of two bands is at least five times shorter and may be missed."""
     return F.greatest(a_bp, b_bp) >= 5 * F.least(a_bp, b_bp)
+
+
+def gel_recipe(bp: int, cfg: dict | None = None) -> list[tuple[str, str]]:
+    """(component, amount) of a gel that resolves a band."""
+    g = bench_config(cfg)["gel"]
+    percent = 1.5 if bp < 500 else 1.2 if bp < 1000 else 1.0
+    return [("agarose", f"{percent / 100 * g['volume_ml']:.2f} g ({percent:g} %)"), (g["buffer"], f"{g['volume_ml']} mL"), (g["stain"], f"{g['stain_ul']} µL"), ("run", f"{g['volts']} V, {g['minutes']} min")]
+
+
+def cleanup_note(cfg: dict | None = None) -> str:
+    c = bench_config(cfg)["cleanup"]
+    return f"Purify with {c['kit']}: {c['adb_per_mg']} µL of dissolving buffer per mg of gel."
+
+
+def digest_note(minutes, temp_c, star_limit_h, no_heat_kill, unknown) -> Column:
+    """A sentence on how to run a reconciled digest."""
+    run = F.when(minutes.isNotNull() & temp_c.isNotNull(), F.format_string("Incubate at %s °C for %d min.", temp_c, minutes)).otherwise("Enzymes differ in temperature or are not in the table: digest one after the other.")
+    limit = F.when(star_limit_h.isNotNull(), F.format_string(" Stop within %s h.", F.format_number(star_limit_h, 0))).otherwise("")
+    kill = F.when(F.size(no_heat_kill) > 0, F.concat(F.lit(" Heat does not stop "), F.array_join(no_heat_kill, ", "), F.lit("; purify."))).otherwise("")
+    ask = F.when(F.size(unknown) > 0, F.concat(F.lit(" Look up "), F.array_join(unknown, ", "), F.lit("."))).otherwise("")
+    return F.concat(run, limit, kill, ask)

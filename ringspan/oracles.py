@@ -164,6 +164,7 @@ _LOOK = "look AS (" + SQL["conditions_lookup"].partition(", sold AS")[2].join(["
 SQL["digest_conditions"] = _with(ENZ, COND, _DIG, _LOOK) + "SELECT digest, CAST(max(try_cast(minutes AS INTEGER)) AS INTEGER) AS minutes, CASE WHEN count(DISTINCT temp_c) = 1 THEN min(temp_c) END AS temp_c, array_to_string(list_sort(coalesce(list(DISTINCT temp_c) FILTER (temp_c IS NOT NULL), [])), ';') AS temps, array_to_string(list_sort(coalesce(list(DISTINCT inactivation) FILTER (inactivation IS NOT NULL AND NOT lower(inactivation) LIKE 'no%'), [])), ';') AS inactivations, array_to_string(list_sort(coalesce(list(DISTINCT sold_as) FILTER (lower(inactivation) LIKE 'no%'), [])), ';') AS no_heat_kill, min(try_cast(star_h AS DOUBLE)) AS star_limit_h, array_to_string(list_sort(coalesce(list(DISTINCT enzyme) FILTER (sold_as IS NULL), [])), ';') AS unknown FROM dig JOIN look USING (enzyme) GROUP BY digest"
 _NAMES = "names AS (SELECT replace(c_name, '#', '') || '_' || lower(c_mktsegment) AS label FROM customer), asked AS (SELECT n_name AS asked FROM nation UNION SELECT c_name FROM customer WHERE c_nationkey = 3 UNION SELECT replace(c_name, '#', '') FROM customer WHERE c_nationkey = 4 UNION SELECT '0000' || r_regionkey FROM region)"
 SQL["resolve_name"] = _with(_NAMES) + ", hit AS (SELECT asked, label, CASE WHEN l = q THEN 1 WHEN split_part(l, '_', 1) = q THEN 2 WHEN starts_with(l, q) THEN 3 WHEN contains(l, q) THEN 4 END AS tier FROM (SELECT asked, lower(trim(asked)) AS q, label, lower(trim(label)) AS l FROM asked, names)), t AS (SELECT asked, min(tier) AS tier FROM hit GROUP BY asked) SELECT t.asked, t.tier, count(h.label) AS n, CASE WHEN count(h.label) = 1 THEN min(h.label) END AS label FROM t LEFT JOIN hit h ON h.asked = t.asked AND h.tier = t.tier GROUP BY t.asked, t.tier"
+SQL["target_resolution"] = _with(FEATS) + ", m AS (SELECT * FROM feats WHERE type <> 'primer_bind' AND (label LIKE '%A%' OR label LIKE '%NF%') AND k IN (SELECT o_orderkey FROM orders)), g AS (SELECT k, s, e, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM m), w AS (SELECT k, s, b, row_number() OVER (PARTITION BY k ORDER BY s - b DESC, s) AS r FROM g WHERE b IS NOT NULL), x AS (SELECT k, min(s) AS lo, max(e) AS hi, array_to_string(list_sort(list(DISTINCT label)), ';') AS labels FROM m GROUP BY k) SELECT x.k, CASE WHEN s - b > lo + 5000 - hi THEN s ELSE lo END AS t_s, CASE WHEN s - b > lo + 5000 - hi THEN b + 5000 ELSE hi END AS t_e, labels FROM x LEFT JOIN w ON w.k = x.k AND w.r = 1"
 SQL["thermocycler_steps"] = f"WITH p AS (SELECT p_partkey AS id, 50 + p_size / 4 AS c, p_size * 200 + 13 AS bp, p_size % 2 = 0 AS rep FROM part) SELECT id, CAST(nth AS INTEGER) AS nth, step, CAST(celsius AS DOUBLE) AS celsius, CAST(seconds AS INTEGER) AS seconds, CAST(cycles AS INTEGER) AS cycles FROM (SELECT id, 0 AS nth, 'Initial denaturation' AS step, 95.0 AS celsius, 180 AS seconds, 1 AS cycles FROM p UNION ALL SELECT id, 1, 'Denaturation', 98, 20, 30 FROM p UNION ALL SELECT id, 2, 'Annealing', {_HE.format(x='c')}, 15, 30 FROM p UNION ALL SELECT id, 3, 'Extension', 72, greatest(15, {_HE.format(x='(bp / 1000 * CASE WHEN rep THEN 45 ELSE 30 END)')}), 30 FROM p UNION ALL SELECT id, 4, 'Final extension', 72, 120, 1 FROM p)"
 SQL["water_balances"] = "WITH u AS (SELECT l_orderkey, sum(CASE WHEN l_discount > 0 THEN l_discount * 10 END) AS used, count(CASE WHEN l_discount > 0 THEN 1 END) = count(*) AS whole FROM lineitem GROUP BY 1) SELECT o_orderkey AS reaction, round(CASE WHEN used IS NULL AND whole IS NULL THEN 2.0 WHEN whole THEN 2.0 - used END, 6) AS water FROM orders LEFT JOIN u ON l_orderkey = o_orderkey"
 SQL["site_counts"] = _with(SEQS, CUTS) + ", plain AS (SELECT name, word FROM words WHERE size >= 8 AND name IN (SELECT name FROM words GROUP BY name HAVING count(*) = 1)) SELECT id, name, CAST(count(*) AS INTEGER) AS n FROM win JOIN plain ON w = word GROUP BY 1, 2"

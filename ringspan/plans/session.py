@@ -135,10 +135,15 @@ class Session:
             raise KeyError(f"no feature {site!r}; there are: {', '.join(have)}")
         return arc["arc_start"], arc["arc_end"]
 
-    def _protected(self, row, span):
+    def _features(self, row, turned: int = 0):
+        """The features of a plasmid, its origin moved to a place."""
+        s, e = intervals.rotate_span(F.col("s"), F.col("e"), F.lit(turned), F.lit(row["length"]))
+        return self.features.where(F.col("plasmid_id") == row["plasmid_id"]).select(F.col("plasmid_id").alias("k"), s.cast("int").alias("s"), e.cast("int").alias("e"), "label", "type")
+
+    def _protected(self, row, span, turned: int = 0):
         if self.features is None:
             return None
-        f = self.features.where(F.col("plasmid_id") == row["plasmid_id"]).select(F.col("plasmid_id").alias("k"), "s", "e", "label", "type")
+        f = self._features(row, turned)
         t = self.spark.createDataFrame([(row["plasmid_id"], *span)], "k string, t_s int, t_e int")
         return intervals.classify(f, t).where("class = 'protected'").select(F.lit(row["label"]).alias("id"), "label", "p_s", "p_e")
 
@@ -146,14 +151,16 @@ class Session:
         """By digest if a route exists, else by inverse PCR; a refusal is an answer with reasons."""
         row = self._row(name)
         span = self._span(row, what)
-        one = self.spark.createDataFrame([(row["label"], row["sequence"])], "id string, s string")
+        whole = intervals.centred(self.spark.createDataFrame([(row["label"], row["sequence"], *span)], "id string, s string, t_s int, t_e int")).first()
+        span, turned = (whole["t_s"], whole["t_e"]), whole["turned"]
+        one = self.spark.createDataFrame([(row["label"], whole["s"])], "id string, s string")
         t = self.spark.createDataFrame([(row["label"], *span)], "id string, t_s int, t_e int")
         if method in ("auto", "restriction"):
             cuts = enzymes.cut_sites(one, self.pool)
-            plans, why = excision.plan(one, cuts, t, self._protected(row, span), self.pool)
+            plans, why = excision.plan(one, cuts, t, self._protected(row, span, turned), self.pool)
             best = excision.best_or_refusal(plans, why, t).first()
             if best["feasible"]:
-                plan = {**best.asDict(), "product_bp": len(best["product"]), "parent": row["label"], "route": "restriction"}
+                plan = {**best.asDict(), "product_bp": len(best["product"]), "parent": row["label"], "route": "restriction", "edit": (best["u_top"], best["d_top"], 0), "turned": turned}
                 h = self.register(plan)
                 return self.answer(handle=h, route="restriction", enzymes=[best["up"], best["down"]], product_bp=plan["product_bp"], site_regenerated=best["site_regenerated"], verification="digest simulated")
             if method == "restriction":
@@ -161,7 +168,7 @@ class Session:
         got = pcr.plan_deletions(t.join(one, "id")).first()
         if not got["feasible"]:
             return self.answer(feasible=False, reasons={got["reason"]: 1})
-        h = self.register({**got.asDict(), "parent": row["label"], "route": "pcr"})
+        h = self.register({**got.asDict(), "parent": row["label"], "route": "pcr", "edit": (*span, 0), "turned": turned})
         return self.answer(handle=h, route="pcr", amplicon_bp=got["amplicon_bp"], anneal_c=got["anneal_c"], warnings=got["warnings"], verification="length")
 
     def plan_insertion(self, name: str, at, sequence: str | None = None, donor: str | None = None, what=None, method: str = "auto") -> str:
@@ -216,13 +223,29 @@ class Session:
         row = self.library.where(F.col("label") == p["parent"]).first()
         conc = clean_numbers(concentrations or {})
         parent = {"name": p["parent"], "length": row["length"], "ng_per_ul": conc.get(p["parent"])}
-        feats = [] if self.features is None else [r.asDict() for r in self.features.where(F.col("plasmid_id") == row["plasmid_id"]).collect()]
-        figures = [(f"{p['parent']} before the change", maps.circular(p["parent"], row["length"], feats))]
+        figures = self._figures(p, row)
         bench = self.config.get("bench")
         if "insert" in p:
             return report.insertion_report(p, parent, {"name": p["insert"]}, bench, figures)
         return (report.excision_report if p["route"] == "restriction" else report.pcr_report)(p, parent, bench, figures)
 
+    def _figures(self, p: dict, row) -> list[tuple[str, str]]:
+        """Maps of parent and product, whole and around the change."""
+        turned = p.get("turned", 0)
+        feats = self._features(row, turned) if self.features is not None else None
+        before = [] if feats is None else [r.asDict() for r in intervals.functional(feats).collect()]
+        out = [(f"{p['parent']} before the change", maps.circular(p["parent"], row["length"], before))]
+        if "edit" not in p:
+            return out
+        start, end, put = p["edit"]
+        after = [] if feats is None else [r.asDict() for r in intervals.functional(intervals.remap(feats, F.lit(start), F.lit(end), F.lit(put))).collect()]
+        n = len(p["product"])
+        out.append(("after the change", maps.circular("product", n, after)))
+        pad = max(300, (end - start) // 4)
+        out.append(("the change, before", maps.linear(p["parent"], max(0, start - pad), min(row["length"], end + pad), before)))
+        out.append(("the change, after", maps.linear("product", max(0, start - pad), min(n, start + put + pad), after)))
+        return out
+
     def save_protocol(self, handle: str, path: str) -> str:
         out = inside(path)
         if not self.confirm(f"write {out}"):

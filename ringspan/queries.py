@@ -148,6 +148,13 @@ def tight_arc(spark, d):
     return intervals.tight_arc(feats(spark, d), CIRCLE)
 
 
+def target_resolution(spark, d):
+    f = feats(spark, d)
+    n = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(CIRCLE).alias("n"))
+    r = intervals.resolve_targets(f, n, ["a", "NF"])
+    return r.select("k", "t_s", "t_e", F.array_join("labels", ";").alias("labels"))
+
+
 def feature_classes(spark, d):
     f = wide_feats(spark, d)
     t = f.where("f = 1").select("k", F.col("s").alias("t_s"), F.col("e").alias("t_e"))
@@ -407,7 +414,7 @@ def streaming_ingest(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     seq_projections, rotation_fingerprint, fingerprint_long, rotation_offsets, dup_groups, kmer_relationships, lineage, library_report,
-    provenance_hits, complexity_metrics, complexity_report, insert_ladder, backbone_ladder, tight_arc, feature_classes, essential_hints,
+    provenance_hits, complexity_metrics, complexity_report, insert_ladder, backbone_ladder, tight_arc, target_resolution, feature_classes, essential_hints,
     overlap_pairs, nested_pairs, repeat_arrays, feature_pruning, feature_remap_insert, feature_remap_delete, feature_rotation, named_spans,
     graft_features, cut_sites, unique_cutters, ligation_pairs, enzyme_dimension, excision_best, excision_reasons, excision_plans,
     primer_candidates, primer_pairs, pcr_deletions, insertion_routes, insertion_reasons, insertion_openings, insertion_homology, ng_fmol,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ringspan.sources.formats import SUFFIXES, format_of, parse, parse_udf
+from ringspan.sources.formats import SUFFIXES, format_genbank_udf, format_of, parse, parse_udf
 from ringspan.session import settle
 
 _STEM = r"([^/]+?)(?:\.[^./]*)?$"
@@ -125,3 +125,8 @@ def load_record(path: str) -> dict:
     kind = format_of(path)
     with open(path, "rb") as f:
         return parse(f.read(), kind)
+
+
+def write_genbank(plasmids: DataFrame, path: str) -> None:
+    """Write (name, sequence) rows as GenBank records, many to a file, to any store Spark reaches."""
+    plasmids.select(format_genbank_udf("name", "sequence").alias("value")).write.option("lineSep", "\n").text(path)

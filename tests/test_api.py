@@ -101,3 +101,27 @@ def test_prune_and_arrays(spark):
     reps = [("k", 1, 0, 100, "array", "m"), *[("k", i, 10 * i, 10 * i + 5, "unit", "m") for i in range(2, 6)]]
     got = intervals.repeat_arrays(spark.createDataFrame(reps, "k string, f int, s int, e int, label string, type string")).first()
     assert (got["array"], got["label"], got["copies"]) == (1, "unit", 4)
+
+
+def test_targets_resolve_and_centre(spark):
+    s = "".join(random.Random(8).choices("ACGT", k=100))
+    f = spark.createDataFrame([("k", 95, 100, "boxA", "misc"), ("k", 0, 7, "BOXb", "misc"), ("k", 50, 60, "other", "misc"), ("k", 90, 99, "box", "primer_bind")], "k string, s int, e int, label string, type string")
+    n = spark.createDataFrame([("k", 100)], "k string, n int")
+    t = intervals.resolve_targets(f, n, ["box"]).first()
+    assert (t["t_s"], t["t_e"], t["labels"]) == (95, 107, ["BOXb", "boxA"])
+    c = intervals.centred(spark.createDataFrame([(s, 95, 107), (s, 10, 20)], "s string, t_s int, t_e int")).collect()
+    assert c[0]["s"][c[0]["t_s"] : c[0]["t_e"]] == (s + s)[95:107] and c[0]["t_s"] == 44 and (c[1]["turned"], c[1]["s"], c[1]["t_s"]) == (0, s, 10)
+
+
+def test_labels_notes_and_sink(spark, tmp_path):
+    from ringspan.operators import inventory
+
+    lib = spark.createDataFrame([("pA_long", 10), ("pA_x", 12), ("pB", 10)], "label string, length int")
+    got = {r["name"]: r["label"] for r in inventory.label_of(spark.createDataFrame([("pA", 10), ("pC", 10)], "name string, length int"), lib).collect()}
+    assert got == {"pA": "pA_long", "pC": None}
+    df = spark.createDataFrame([(5, "37", 1.0, ["SdaI"], ["NoI"]), (None, None, None, [], [])], "m int, t string, s double, k array<string>, u array<string>")
+    notes = [r[0] for r in df.select(reagents.digest_note(*[F.col(c) for c in "mtsku"])).collect()]
+    assert notes[0] == "Incubate at 37 °C for 5 min. Stop within 1 h. Heat does not stop SdaI; purify. Look up NoI." and "one after the other" in notes[1]
+    assert reagents.gel_recipe(700)[0] == ("agarose", "0.60 g (1.2 %)") and "3 µL" in reagents.cleanup_note()
+    library.write_genbank(spark.createDataFrame([("a", "ACGT")], "name string, sequence string"), str(tmp_path / "out"))
+    assert "ORIGIN" in "".join(f.read_text() for f in (tmp_path / "out").glob("part-*"))

@@ -41,6 +41,12 @@ def test_delete_by_name_and_export(session, tmp_path, monkeypatch):
     assert ask(session.report_inputs(r["handle"]))["needs_concentration"] == ["pAB_vector"]
 
 
+def test_wrapped_target(session):
+    r = ask(session.plan_deletion("pCD", "880:930", "pcr"))
+    p, seq = session.products[r["handle"]], session.library.where("plasmid_id = 'p2'").first()["sequence"]
+    assert len(p["product"]) == 850 and p["product"] in (seq[30:880] * 2)
+
+
 def test_pcr_when_no_digest(session):
     r = ask(session.plan_deletion("pCD", "300:360", "pcr"))
     assert r["route"] == "pcr" and r["verification"] == "length"
