@@ -89,8 +89,11 @@ def chain_keys(fp: str, max_bits: int) -> list[Column]:
     return out
 
 
-def _chain(x: np.ndarray, max_bits: int, start: int) -> np.ndarray:
-    """Whether differences pass the chain from a start, the last step being the Hamming check."""
+def _chain(x: np.ndarray, max_bits: int, start: int, within: int | None = None) -> np.ndarray:
+    """Whether differences pass the chain from a start, the last step being the Hamming check; with
+    `within`, whether they are of so many bits at most, wherever they lie."""
+    if within is not None:
+        return np.bitwise_count(x) <= within
     seg = _segments(max_bits)
     ok, total = np.ones(x.shape, dtype=bool), np.zeros(x.shape, dtype=np.uint8)
     for step in range(1, len(seg) + 1):
@@ -102,14 +105,14 @@ def _chain(x: np.ndarray, max_bits: int, start: int) -> np.ndarray:
     return ok
 
 
-def forest(fps: np.ndarray, max_bits: int, start: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, max_bits: int, start: int, within: int | None = None) -> list[tuple[int, int]]:
     """Pairs (position, position) that pass the chain and span what all such pairs join."""
     left, links = np.arange(len(fps)), []
     while len(left) > 1:
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
             part, frontier = frontier[:64], frontier[64:]
-            hit = _chain(fps[part][:, None] ^ fps[left][None, :], max_bits, start)
+            hit = _chain(fps[part][:, None] ^ fps[left][None, :], max_bits, start, within)
             found = hit.any(axis=0)
             if found.any():
                 by = part[hit[:, found].argmax(axis=0)]
@@ -118,7 +121,7 @@ def forest(fps: np.ndarray, max_bits: int, start: int) -> list[tuple[int, int]]:
     return links
 
 
-def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: int, short: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: int, within: int | None = None, short: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of links inside runs of equal numbers. All pairs of short runs are tested at
     once; a run with more hits than members, or a long one, gives a forest instead."""
     n = len(run)
@@ -135,7 +138,7 @@ def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: in
         x = fps[live] ^ fps[live + off]
         for s in range(max_bits + 1):
             mine = np.flatnonzero(starts[live] == s)
-            hit = mine[_chain(x[mine], max_bits, s)] if len(mine) else mine
+            hit = mine[_chain(x[mine], max_bits, s, within)] if len(mine) else mine
             a.append(live[hit])
             b.append(live[hit] + off)
     a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (a, b))
@@ -145,17 +148,19 @@ def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: in
     a, b = [a[keep]], [b[keep]]
     for r in np.flatnonzero(dense):
         lo, hi = edges[r], edges[r + 1]
-        got = np.array(forest(fps[lo:hi], max_bits, int(starts[lo])), dtype=np.int64).reshape(-1, 2)
+        got = np.array(forest(fps[lo:hi], max_bits, int(starts[lo]), within), dtype=np.int64).reshape(-1, 2)
         a.append(got[:, 0] + lo)
         b.append(got[:, 1] + lo)
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, beside: int = 3, shrink: float = 1.0) -> DataFrame:
+def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, beside: int = 3, shrink: float = 1.0, within: int | None = None) -> DataFrame:
     """(u, v), u > v: links between nodes (node, fp, size) whose components are those of all pairs
     with fingerprints at most max_bits apart. Of nodes with one fingerprint each meets the next
     `beside` by size; of two fingerprints the middle one of the smaller group meets as many of the other
     with the nearest sizes. Links whose sizes differ by more than `shrink` of the larger are left out.
+    With `within`, nodes that meet on a key are linked at up to so many bits: more than max_bits, but
+    only max_bits are sure to meet.
 
     Keys with more than about max_run nodes are found on one node in `sampled` and dealt as pairs of
     blocks; that choice is about where the work is done, not about what is compared."""
@@ -205,7 +210,7 @@ def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampl
             u.append(same)
             v.append(same + off)
         run = np.concatenate([[0], np.cumsum(turn)])[first]
-        a, b = run_links(run, t[1][first].view(np.uint64), (t[0][first] >> KEY_BITS) // 2, max_bits)
+        a, b = run_links(run, t[1][first].view(np.uint64), (t[0][first] >> KEY_BITS) // 2, max_bits, within)
         if len(a):
             x, y = _nearest(t[2], first, np.append(first[1:], t.shape[1]), a, b, beside)
             u.append(x)
