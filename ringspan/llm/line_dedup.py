@@ -7,8 +7,9 @@ and a link counts if their edit similarity is at least `similarity`. Of each con
 the others go. Lines of fewer than `min_words` words are never touched.
 
 Where many candidates share a block key they are linked as a forest of true SimHash neighbours,
-not as all pairs; lines of one SimHash meet the next three of about their length. A pair that no
-such link joins stays apart, though eight block keys give each pair of neighbours several chances.
+not as all pairs; lines of one SimHash meet the next three of about their length. A link may fail
+the edit check, so a second search gives every pair left untried between two groups: afterwards the
+groups are those of all candidate pairs.
 
 Scale: lines travel as digests. For the edit check the documents are read again in place and only
 candidate lines leave the scan, by a filter of fixed size (a full one lets more pass, never less).
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from ringspan.llm._shared import cut, ship
 from ringspan.llm.components import components
-from ringspan.llm.simhash import near_links
+from ringspan.llm.simhash import near_links, untried_links
 
 # Letters in lower case, digits as one, other signs as a blank; the line end and other bytes stay.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 10 else 48 if 48 <= b <= 57 else 32 for b in range(256))
@@ -188,6 +189,15 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return src.mapInArrow(run, "u long, v long, ok boolean")
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (u, v), also of nodes that had none."""
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    between = links.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    top = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = roots.select("node", "root").union(top.select(F.col("root").alias("node"), "root")).distinct()
+    return every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 #: The bits of the filter that finds candidate lines again: a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 25
 
@@ -248,10 +258,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     ship(spark)
     lines = cut(lines_of(docs, id_col, text_col, min_words), "lines")
     nodes = cut(lines.where("not again").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.min("size").alias("size")), "line_nodes")
-    links = cut(near_links(nodes.select("node", "fp", "size"), max_bits, shrink=1 - similarity, within=within), "line_links")
+    found = cut(near_links(nodes.select("node", "fp", "size"), max_bits, shrink=1 - similarity, within=within, marks=True), "line_links")
+    links, marked = found.where("u <> v"), found.where("u = v").select(F.col("u").alias("node"))
     ends = cut(links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct(), "line_ends")
     norms = cut(norms_of(docs, ends, text_col, min_words), "line_norms")
     roots = components(verified(links, norms, similarity).where("ok").select("u", "v"))
+    open_nodes = nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "fp", "size", F.coalesce("root", "node").alias("root"))
+    rest = untried_links(cut(open_nodes, "line_open"), max_bits, shrink=1 - similarity, within=within).join(links, ["u", "v"], "left_anti")
+    rest = cut(verified(cut(rest, "line_rest"), norms, similarity).where("ok").select("u", "v"), "line_more")
+    if not rest.isEmpty():
+        roots = joined_roots(roots, rest)
     named = nodes.join(roots, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
     # a group of one node that one document holds has nothing to drop but its own repeats
     group = named.where("fuzzy").groupBy("root").agg(F.min("first").alias("keep"))

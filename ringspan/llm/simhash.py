@@ -121,9 +121,10 @@ def forest(fps: np.ndarray, max_bits: int, start: int, within: int | None = None
     return links
 
 
-def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: int, within: int | None = None, short: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of links inside runs of equal numbers. All pairs of short runs are tested at
-    once; a run with more hits than members, or a long one, gives a forest instead."""
+def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: int, within: int | None = None, short: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (a, b) of links inside runs of equal numbers, and whether each is of a forest. All
+    pairs of short runs are tested at once; a run with more hits than members, or a long one, gives
+    a forest instead."""
     n = len(run)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [n]])
     size = np.diff(edges)
@@ -146,15 +147,49 @@ def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: in
     dense = (hits > size) | (size > short)
     keep = ~dense[of[a]] if len(a) else np.zeros(0, dtype=bool)
     a, b = [a[keep]], [b[keep]]
+    pairs = len(a[0])
     for r in np.flatnonzero(dense):
         lo, hi = edges[r], edges[r + 1]
         got = np.array(forest(fps[lo:hi], max_bits, int(starts[lo]), within), dtype=np.int64).reshape(-1, 2)
         a.append(got[:, 0] + lo)
         b.append(got[:, 1] + lo)
-    return np.concatenate(a), np.concatenate(b)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a, b, np.arange(len(a)) >= pairs
 
 
-def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, beside: int = 3, shrink: float = 1.0, within: int | None = None) -> DataFrame:
+def _cells(nodes: DataFrame, max_bits: int, max_run: int, sampled: int, *more: str) -> DataFrame:
+    """(key, fp, size, node, *more) of nodes by key, and the cell if there are keys to be dealt as
+    pairs of blocks: those with more than about max_run nodes, found on one node in `sampled`."""
+    keyed = lambda df: df.select(F.explode(F.array(*chain_keys("fp", max_bits))).alias("key"), "fp", F.col("size").cast("long").alias("size"), "node", *more)
+    part = keyed(nodes.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(sampled)) == 0)).groupBy("key").count()
+    large = cut(part.where(F.col("count") * sampled > max_run / 2).select(F.col("key").alias("hot"), F.ceil(F.col("count") * sampled / max_run).cast("int").alias("blocks")), "large")
+    rows = keyed(nodes)
+    if large.isEmpty():
+        return rows.repartition("key").sortWithinPartitions("key")
+    # each row meets every block of its key: cell (a, b) holds the blocks a and b
+    joined = rows.join(large, rows["key"] == large["hot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    joined = joined.withColumn("a", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return joined.select("key", "fp", "size", "node", *more, (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("long").alias("cell")).repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def _by_key(batches, width: int, found):
+    """What found gives for the rows of batches, some 50,000 at a time and never part of a key (and
+    cell, where there are more than `width` columns)."""
+    held, n = [], 0
+    for b in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
+        n += b.num_rows
+        if n < 50_000:
+            continue
+        t = np.concatenate(held, axis=1)
+        last = t[0] == t[0, -1] if len(t) == width else (t[0] == t[0, -1]) & (t[width] == t[width, -1])
+        yield from found(t[:, ~last])
+        held, n = [t[:, last]], 0
+    if held:
+        yield from found(np.concatenate(held, axis=1))
+
+
+def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, beside: int = 3, shrink: float = 1.0, within: int | None = None, marks: bool = False) -> DataFrame:
     """(u, v), u > v: links between nodes (node, fp, size) whose components are those of all pairs
     with fingerprints at most max_bits apart. Of nodes with one fingerprint each meets the next
     `beside` by size; of two fingerprints the middle one of the smaller group meets as many of the other
@@ -162,35 +197,15 @@ def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampl
     With `within`, nodes that meet on a key are linked at up to so many bits: more than max_bits, but
     only max_bits are sure to meet.
 
+    With `marks`, a node that may have untried pairs within reach is linked to itself: both ends of
+    every untried pair are marked, and `untried_links` finds the pairs.
+
     Keys with more than about max_run nodes are found on one node in `sampled` and dealt as pairs of
     blocks; that choice is about where the work is done, not about what is compared."""
-    spark = nodes.sparkSession
-    ship(spark)
-    keyed = lambda df: df.select(F.explode(F.array(*chain_keys("fp", max_bits))).alias("key"), "fp", F.col("size").cast("long").alias("size"), "node")
-    part = keyed(nodes.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(sampled)) == 0)).groupBy("key").count()
-    large = cut(part.where(F.col("count") * sampled > max_run / 2).select(F.col("key").alias("hot"), F.ceil(F.col("count") * sampled / max_run).cast("int").alias("blocks")), "large")
-    rows = keyed(nodes)
-    if large.isEmpty():
-        cells = rows.select("key", F.col("fp"), "size", "node").repartition("key").sortWithinPartitions("key")
-    else:  # each row meets every block of its key: cell (a, b) holds the blocks a and b
-        joined = rows.join(large, rows["key"] == large["hot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        joined = joined.withColumn("a", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = joined.select("key", "fp", "size", "node", (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("long").alias("cell")).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    ship(nodes.sparkSession)
+    cells = _cells(nodes, max_bits, max_run, sampled)
     width = len(cells.columns)
 
-    def linked(batches):
-        held, n = [np.zeros((width, 0), dtype=np.int64)], 0
-        for b in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
-            n += b.num_rows
-            if n < 50_000:
-                continue
-            t = np.concatenate(held, axis=1)
-            last = t[0] == t[0, -1] if width == 4 else (t[0] == t[0, -1]) & (t[4] == t[4, -1])
-            yield from found(t[:, ~last])
-            held, n = [t[:, last]], 0
-        yield from found(np.concatenate(held, axis=1))
-
     def found(t):
         same = np.diff(t[0]) == 0  # a key that one row has links nothing
         t = t[:, np.append(same, False) | np.insert(same, 0, False)] if t.shape[1] else t
@@ -210,18 +225,63 @@ def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampl
             u.append(same)
             v.append(same + off)
         run = np.concatenate([[0], np.cumsum(turn)])[first]
-        a, b = run_links(run, t[1][first].view(np.uint64), (t[0][first] >> KEY_BITS) // 2, max_bits, within)
+        a, b, spanning = run_links(run, t[1][first].view(np.uint64), (t[0][first] >> KEY_BITS) // 2, max_bits, within)
+        n = np.diff(np.append(first, t.shape[1]))
+        left = n > beside + 1
         if len(a):
             x, y = _nearest(t[2], first, np.append(first[1:], t.shape[1]), a, b, beside)
             u.append(x)
             v.append(y)
+            some = spanning | (np.minimum(n[a], n[b]) > 1) | (np.maximum(n[a], n[b]) > beside)
+            left[a[some]] = left[b[some]] = True
+        if marks:
+            mine = np.flatnonzero(left[group])
+            u.append(mine)
+            v.append(mine)
         u, v = np.concatenate(u), np.concatenate(v)
         near = np.abs(t[2][u] - t[2][v]) <= shrink * np.maximum(t[2][u], t[2][v])
         u, v = t[3][u[near]], t[3][v[near]]
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return cells.mapInArrow(linked, "u long, v long").where("u <> v").distinct()
+    links = cells.mapInArrow(lambda batches: _by_key(batches, 4, found), "u long, v long")
+    return (links if marks else links.where("u <> v")).distinct()
+
+
+def untried_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, shrink: float = 1.0, within: int | None = None) -> DataFrame:
+    """(u, v), u > v: every pair of nodes (node, fp, size, root) of unequal roots that meets on a key
+    at up to `within` bits (else max_bits) and whose sizes differ by at most `shrink` of the larger.
+    Pairs leave as they are found, each on the first key that it meets on."""
+    ship(nodes.sparkSession)
+    cells = _cells(nodes, max_bits, max_run, sampled, "root")
+    most, seg = max_bits if within is None else within, _segments(max_bits)
+    masks = []  # the bits of each key
+    for s, (shift, width) in enumerate(seg):
+        nxt, wide = seg[(s + 1) % len(seg)]
+        for lo, w in ((nxt, wide // 2), (nxt + wide // 2, wide - wide // 2)):
+            masks.append(np.uint64(((1 << width) - 1) << shift | ((1 << w) - 1) << lo))
+
+    def found(t):
+        t = t[:, np.lexsort((t[2], *t[5:], t[0]))]
+        turn = np.diff(t[0]) != 0
+        if len(t) == 6:
+            turn |= np.diff(t[5]) != 0
+        end = np.append(np.flatnonzero(turn) + 1, t.shape[1])
+        end = end[np.searchsorted(end, np.arange(t.shape[1]), side="right")] if t.shape[1] else end
+        fps, nth, live, off = t[1].view(np.uint64), t[0] >> KEY_BITS, np.arange(t.shape[1]), 0
+        while len(live):  # by size, so that what is too long for a node is so at every later place
+            off += 1
+            live = live[live + off < end[live]]
+            live = live[t[2][live + off] - t[2][live] <= shrink * t[2][live + off]]
+            x = fps[live] ^ fps[live + off]
+            ok = (np.bitwise_count(x) <= most) & (t[4][live] != t[4][live + off])
+            for k, m in enumerate(masks[:-1]):
+                ok &= (nth[live] <= k) | ((x & m) != 0)
+            u, v = t[3][live[ok]], t[3][live[ok] + off]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return cells.mapInArrow(lambda batches: _by_key(batches, 5, found), "u long, v long").distinct()
 
 
 def _nearest(size: np.ndarray, first: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, beside: int) -> tuple[np.ndarray, np.ndarray]:

@@ -73,3 +73,14 @@ def test_odd_rows(spark, odd, parts):
 
 def test_empty_table(spark, none):
     assert L.dedup(none).count() == 0
+
+
+def test_failed_links_do_not_part_lines(spark, monkeypatch):
+    """Lines of one SimHash whose nearest in size are unlike: the alike ones must meet all the same."""
+    monkeypatch.setattr(L, "prints", lambda lines: __import__("numpy").zeros(len(lines), dtype="uint64"))
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    bases = [[word() for _ in range(14)] for _ in range(12)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(bases)] + [(100 + i, " ".join([*b[:-1], word()])) for i, b in enumerate(bases)]
+    got = result(spark, rows)
+    assert {i: d for i, (_, d) in got.items()} == {i: [0] if i >= 100 else [] for i, _ in rows}
