@@ -5,14 +5,18 @@ each whole text. `judge` applies two fixed rules, then fits a minimum-covariance
 estimate of transformed statistics per language and source and rejects texts by Mahalanobis
 distance. From two starts (median and quartiles; mean and variance) concentration steps keep the
 three quarters of a group nearest to its centre and estimate again; the start that ends with the
-lesser determinant wins. Distances come from a Cholesky factor written out as column expressions.
+lesser determinant wins. Most texts have no symbol and no repeat, so the nearest three quarters
+may not vary at all in those shares: a deviation is at least what the 90th percentile of all
+groups' distances from their medians implies, and none is under `LEAST`, which only keeps factors
+regular. Squared distances are divided by their median over that of a chi-squared distribution
+with as many degrees of freedom as statistics vary by themselves in the group. Distances come from a Cholesky factor written out as column expressions.
 
 Scale: one narrow pass over the texts; every later step reads a few numbers per row. Quantiles,
 means and covariances are pre-aggregated where the rows lie, so a hot source costs no more than
 others. Groups under `min_group` rows share one estimate.
 
 Cases: a null text has no words and fails the base rule; null languages and sources are groups of
-their own; equal rows count each; groups without spread are carried by the floors; an empty table
+their own; equal rows count each; groups without spread are carried by the least deviations; an empty table
 gives no rows; other columns stay unless named like an output.
 """
 
@@ -26,11 +30,12 @@ from ringspan.llm._shared import SPACE, cut
 #: The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\f\r"
-#: The least standard deviation of each transformed statistic: word length, symbols, lines, repeats.
-FLOORS = (0.15, 0.6, 0.6, 0.8)
-_X = [f"_x{i}" for i in range(len(FLOORS))]
-#: The medians of the chi-squared distribution with four degrees of freedom.
-_CHI_MEDIAN = 3.3567
+#: The transformed statistics (word length, symbols, lines, repeats), and a deviation that none is under.
+_X = [f"_x{i}" for i in range(4)]
+LEAST = 0.02
+#: The medians of the chi-squared distributions with one to four degrees of freedom, and the normal 95th percentile.
+_CHI_MEDIANS = (0.4549, 1.3863, 2.3660, 3.3567)
+_NORMAL_95 = 1.6449
 
 
 def _let(value: Column, body) -> Column:
@@ -74,13 +79,15 @@ def _transformed() -> list[Column]:
     ]
 
 
-def _factored(est: DataFrame) -> DataFrame:
-    """est (means _m, covariances _c) with the Cholesky factor _l of the floored covariance and the
-    logarithm of its determinant."""
+def _factored(est: DataFrame, least: list[float]) -> DataFrame:
+    """est (means _m, covariances _c) with the Cholesky factor _l of the covariance whose variances are
+    those of `least` deviations at least, the logarithm of its determinant, and how many variances
+    are their own."""
     p = len(_X)
+    est = est.withColumn("_df", sum((F.col(f"_c{i}{i}") >= least[i] ** 2).cast("int") for i in range(p)))
     for i in range(p):
         for j in range(i + 1):
-            rest = F.col(f"_c{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+            rest = F.greatest(F.col(f"_c{i}{i}"), F.lit(least[i] ** 2)) if i == j else F.col(f"_c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
             est = est.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"_l{j}{j}"))
@@ -100,8 +107,8 @@ def _distance(rows: DataFrame, est: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def judge(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", core: float = 0.75, steps: int = 3, cutoff: float = 30.0, min_group: int = 60) -> DataFrame:
-    """stats with base_failed and kept. cutoff: the largest squared distance that is kept (four
-    statistics of clean texts pass 30 about five times in a million)."""
+    """stats with base_failed and kept. cutoff: the largest squared distance that is kept (a
+    chi-squared value with four degrees of freedom passes 30 about five times in a million)."""
     p = range(len(_X))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = cut(stats.withColumn("base_failed", base).select("*", F.coalesce(F.col(lang_col).cast("string"), F.lit("\u0001")).alias("_lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("\u0001")).alias("_source"), *_transformed()), "stats")
@@ -110,18 +117,25 @@ def judge(stats: DataFrame, lang_col: str = "lang", source_col: str = "source",
     grouped = rows.join(groups, ["_lang", "_source"], "left").withColumn("_g", F.coalesce("_own", F.lit(""))).drop("_lang", "_source", "_own")
     slim = grouped.where(~F.col("base_failed")).select("_g", *_X)
     first = slim.groupBy("_g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_q{i}") for i, x in enumerate(_X)], *[F.avg(x).alias(f"_a{i}") for i, x in enumerate(_X)], *[F.var_pop(x).alias(f"_v{i}") for i, x in enumerate(_X)])
+    first = cut(first, "first")
+    apart = slim.join(first.select("_g", *[F.col(f"_q{i}")[1].alias(f"_m{i}") for i in p]), "_g")
+    reach = apart.agg(*[F.percentile_approx(F.abs(F.col(_X[i]) - F.col(f"_m{i}")), 0.9, 1000) for i in p]).first()
+    least = [max(LEAST, (x or 0.0) / _NORMAL_95) for x in reach]
     zero = [F.lit(0.0).alias(f"_c{i}{j}") for i in p for j in range(i)]
     robust = first.select("_g", F.lit(0).alias("_start"), *[F.col(f"_q{i}")[1].alias(f"_m{i}") for i in p], *[F.pow((F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349, 2).alias(f"_c{i}{i}") for i in p], *zero)
     plain = first.select("_g", F.lit(1).alias("_start"), *[F.col(f"_a{i}").alias(f"_m{i}") for i in p], *[F.col(f"_v{i}").alias(f"_c{i}{i}") for i in p], *zero)
-    est = cut(_factored(robust.unionByName(plain)), "estimate")
+    est = cut(_factored(robust.unionByName(plain), least), "estimate")
     for _ in range(steps):
-        near = _distance(slim, est.drop("_det"))
+        near = _distance(slim, est.drop("_det", "_df"))
         limit = near.groupBy("_g", "_start").agg(F.percentile_approx("_d", core, 1000).alias("_limit"))
         inner = near.join(cut(limit, "limits"), ["_g", "_start"]).where("_d <= _limit")
         moments = inner.groupBy("_g", "_start").agg(*[F.avg(_X[i]).alias(f"_m{i}") for i in p], *[F.covar_pop(_X[i], _X[j]).alias(f"_c{i}{j}") for i in p for j in range(i + 1)])
-        est = cut(_factored(moments), "estimate")
+        est = cut(_factored(moments, least), "estimate")
     best = est.groupBy("_g").agg(F.min(F.struct("_det", "_start", *[c for c in est.columns if c not in ("_g", "_start", "_det")])).alias("_e")).select("_g", "_e.*").drop("_det", "_start")
     best = cut(best, "best")
-    spread = cut(_distance(slim, best).groupBy("_g").agg(F.percentile_approx("_d", 0.5, 1000).alias("_median")), "spread")
-    judged = _distance(grouped, best.join(spread, "_g"), "left").withColumn("_d", F.col("_d") / F.greatest(F.col("_median") / _CHI_MEDIAN, F.lit(1.0)))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_d") <= cutoff, F.lit(True))).withColumnRenamed("_d", "distance2").drop("_g", "_median", *_X)
+    spread = _distance(slim, best.drop("_df")).groupBy("_g").agg(F.percentile_approx("_d", 0.5, 1000).alias("_median"))
+    expected = F.element_at(F.array(*[F.lit(x) for x in _CHI_MEDIANS]), F.greatest("_df", F.lit(1)))
+    scale = F.when(F.col("_df") > 0, F.greatest(F.col("_median"), F.lit(1e-9)) / expected).otherwise(1.0)
+    scales = cut(best.select("_g", "_df").join(spread, "_g").select("_g", scale.alias("_scale")), "spread")
+    judged = _distance(grouped, best.drop("_df").join(scales, "_g"), "left").withColumn("_d", F.col("_d") / F.col("_scale"))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_d") <= cutoff, F.lit(True))).withColumnRenamed("_d", "distance2").drop("_g", "_scale", *_X)

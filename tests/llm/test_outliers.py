@@ -69,3 +69,15 @@ def test_empty_table(spark, none):
 def test_no_python_in_the_plan(spark):
     plan = O.statistics(corpus(spark, 5, 0))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_few_symbols_are_outliers_where_others_have_none(spark):
+    """A '#' after every third word is some seven in a hundred characters."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(300):
+        w = rng.choices(words, k=rng.randint(100, 400))
+        rows.append((i, " ".join(x + "#" * (i < 15 and k % 3 == 0) for k, x in enumerate(w)), "en", "s"))
+    got = O.judge(O.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(15))
