@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringspan.llm import line_dedup, packing, quality, secret_scan, simhash
-from ringspan.llm._shared import new_path
+from ringspan.llm import line_dedup, overlap, packing, quality, secret_scan
+from ringspan.llm._shared import cut, new_path
 from ringspan.llm.queries import table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,13 +30,12 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that which the group is named by. Rows that repeat its
-    doc_id and fingerprint stay once."""
-    found = simhash.near_duplicates(docs, shingle=5)
-    first = found.where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.first("component_id").alias("c")).select(F.col("id").alias("doc_id"))
-    unnamed = docs.where("doc_id is null").select(*COLUMNS)
-    named = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
-    return named.union(unnamed)
+    """One row of each group whose five-word shingles are alike at 0.8 or more stays: that of the
+    least doc_id, nulls last, and of its rows the first."""
+    rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = overlap.groups(rows, "_row").join(rows.select(F.col("_row").alias("row"), "doc_id"), "row")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_classifier", quality_classifier), ("line_dedup", deduplicate_lines), ("simhash_near_dedup", near_duplicates), ("secret_scan", redact_secrets), ("best_fit_packing", pack_sequences)]
 
-#: A trained classifier, SimHash and tokenizers are beyond SQL; the stages have tests of their own.
+#: A trained classifier, near-duplicates and tokenizers are beyond SQL; the stages have tests of their own.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,130 @@
+"""Near-duplicates by exact shingle similarity.
+
+Two texts are near if their sets of word shingles have a Jaccard similarity of at least `similarity`.
+Shingles are ordered by digest. Of two near sets, those parts that hold all but the share that must be
+common (the prefixes) have a shingle in common, so every near pair meets on a shingle of its prefixes.
+
+Texts that meet are linked to the next by size first and those links checked; a second search
+then gives every pair left untried between two groups, so groups are those of all near pairs.
+
+Scale: equal sets are one node; about a fifth of the shingles travel, as digests; sets move to the
+candidate links only.
+
+Cases: a null or wordless text has the empty shingle; a text of fewer words than a shingle is one
+shingle; rows are told apart by their own key, so repeated rows and null ids do no harm; an empty
+table gives no rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ringspan.llm._shared import cut, ship
+from ringspan.llm.components import components
+from ringspan.llm.line_dedup import joined_roots
+from ringspan.llm.simhash import _by_key
+
+
+def shingles(text: str, shingle: int = 5) -> np.ndarray:
+    """The sorted digests of the distinct shingles: ASCII lower case, words between ASCII white space."""
+    from xxhash import xxh64_intdigest as xxh
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    return np.array(sorted({xxh(b" ".join(words[i : i + shingle])) for i in range(n)}), dtype=np.uint64)
+
+
+def prefix(size: int, similarity: float) -> int:
+    """How many shingles of a set are in its prefix."""
+    return size - int(np.ceil(similarity * size - 1e-9)) + 1
+
+
+def sets(rows: DataFrame, row_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(row, node, size, held): the digest of each row's shingles, how many, and the shingles."""
+    ship(rows.sparkSession)
+    src = rows.select(F.col(row_col).cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches):
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches:
+            held = [shingles(t.as_py(), shingle) for t in b.column(1)]
+            packed = [h.tobytes() for h in held]
+            node = np.array([xxh3_64_intdigest(x) for x in packed], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(h) for h in held], pa.int64()), pa.array(packed, pa.binary())], names=["row", "node", "size", "held"])
+
+    return src.mapInArrow(run, "row long, node long, size long, held binary")
+
+
+def prefixes(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, size, node): the shingles of each node's prefix."""
+    def run(batches):
+        for b in batches:
+            size = b.column(1).to_numpy()
+            n = np.array([prefix(int(s), similarity) for s in size], dtype=np.int64)
+            keys = [np.frombuffer(h.as_py(), dtype=np.int64)[:k] for h, k in zip(b.column(2), n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)), pa.array(np.repeat(size, n)), pa.array(np.repeat(b.column(0).to_numpy(), n))], names=["key", "size", "node"])
+
+    return nodes.select("node", "size", "held").mapInArrow(run, "key long, size long, node long")
+
+
+def _pairs(keyed: DataFrame, similarity: float, beside: int | None) -> DataFrame:
+    """(u, v), u > v: nodes that meet on a key (key, size, node, root) and whose sizes allow the
+    similarity: each with the next `beside` by size, or all that have unequal roots."""
+    width = len(keyed.columns)
+
+    def found(t):
+        t = t[:, np.lexsort((t[2], t[1], t[0]))]
+        n = t.shape[1]
+        end = np.append(np.flatnonzero(np.diff(t[0])) + 1, n)
+        end = end[np.searchsorted(end, np.arange(n), side="right")] if n else end
+        live, off = np.arange(n), 0
+        while len(live) and off != beside:
+            off += 1
+            live = live[live + off < end[live]]
+            live = live[t[1][live] + 1e-9 >= similarity * t[1][live + off]]
+            ok = t[2][live] != t[2][live + off]
+            if width == 4:
+                ok &= t[3][live] != t[3][live + off]
+            u, v = t[2][live[ok]], t[2][live[ok] + off]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _by_key(batches, width, found), "u long, v long").distinct()
+
+
+def near(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The links (u, v) whose sets are near."""
+    side = lambda end: nodes.select(F.col("node").alias(end), F.col("held").alias(f"{end}_held"))
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(h.as_py(), dtype=np.uint64) for h in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common + 1e-9 >= similarity * (len(x) + len(y) - common))
+            yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+
+    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_held", "v_held").mapInArrow(run, "u long, v long")
+
+
+def groups(rows: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, beside: int = 1) -> DataFrame:
+    """(row, root): the group of each row; near rows share a root."""
+    held = cut(sets(rows, row_col, text_col, shingle), "sets")
+    least = cut(held.groupBy("node").agg(F.min("row").alias("row")).select("row"), "set_rows")
+    nodes = held.join(least, "row", "left_semi").select("node", "size", "held")
+    keyed = prefixes(nodes, similarity)
+    links = cut(_pairs(keyed, similarity, beside), "set_links")
+    roots = components(near(links, nodes, similarity))
+    known = roots.select(F.col("node").alias("_n"), "root")
+    rooted = keyed.join(known, F.col("node") == F.col("_n"), "left").select("key", "size", "node", F.coalesce("root", "node").alias("root"))
+    rest = cut(_pairs(rooted, similarity, None).join(links, ["u", "v"], "left_anti"), "set_rest")
+    more = cut(near(rest, nodes, similarity), "set_more")
+    if not more.isEmpty():
+        roots = joined_roots(roots, more)
+    return held.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))

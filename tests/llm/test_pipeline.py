@@ -50,3 +50,25 @@ def test_run_is_the_stages_in_a_row(spark, tmp_path):
     corpus(spark, tmp_path)
     rows = C.run(spark, str(tmp_path)).collect()
     assert all(r["offset"] + r["length"] <= 2048 for r in rows) and rows
+
+
+def test_near_copies_from_similarity_08_go(spark):
+    """Planted copies at a Jaccard similarity of 0.8 to 0.9, one below, and repeated rows."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, gone = [], set()
+    for i in range(20):
+        w = [word() for _ in range(200)]
+        rows.append((i, " ".join(w)))
+        for k in range(2 if i < 15 else 8):
+            w[20 * k + 10] = word()
+        rows.append((100 + i, " ".join(w)))
+        a, b = grams(rows[-2][1]), grams(rows[-1][1])
+        near = len(a & b) / len(a | b)
+        assert 0.8 <= near < 0.91 if i < 15 else near < 0.8
+        gone |= {100 + i} if i < 15 else set()
+    rows += [(0, rows[0][1]), (None, "no id but five words here"), (None, "no id but five words here"), (0, "other text of the same id as one above")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in C.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted({(i, t) for i, t in rows if i not in gone}, key=str)
