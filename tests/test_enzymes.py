@@ -75,3 +75,27 @@ def test_conditions(spark):
 def test_describe(spark):
     e = E.enzymes(spark, ["SmaI", "EcoRI"]).select(E.describe(F.col("name"), F.col("site"), F.col("kind"), F.col("ovhg_seq")).alias("d")).orderBy("d")
     assert [r["d"] for r in e.collect()] == ["EcoRI GAATTC (5' AATT)", "SmaI CCCGGG (blunt)"]
+
+
+def test_all_site_counts_against_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    from ringspan import queries as Q
+    from ringspan.functions import kernels
+    from ringspan.operators import enzymes
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcd", k=n))) for i, n in enumerate((3, 5, 300, 4000))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for r in Q.seqs(spark, str(tmp_path)).collect():
+        for e in enzymes.catalogue():
+            assert kernels.reverse_complement(e["site"]) == e["site"]
+            if len(r["s"]) >= e["size"]:
+                site = re.compile("".join(f"[{enzymes.LETTERS[c]}]" for c in e["site"]))
+                n = sum(bool(site.match(r["s"] + r["s"][: e["size"] - 1], i)) for i in range(len(r["s"])))
+                if n:
+                    want[r["id"], e["name"]] = n
+    assert {(r["id"], r["name"]): r["n"] for r in Q.QUERIES["all_site_counts"](spark, str(tmp_path)).collect()} == want
+    assert any(n == "EcoRI" or n == "AluI" for _, n in want)
