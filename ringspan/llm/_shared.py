@@ -7,11 +7,11 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ringspan.session import cut, new_path, settle, shared_dir
 
-__all__ = ["SPACE", "cut", "new_path", "settle", "shared_dir", "ship"]
+__all__ = ["SPACE", "cut", "fresh", "new_path", "settle", "shared_dir", "ship"]
 
 #: Fixed value: the white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,3 +32,15 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{_PACKAGE.name}/{f.relative_to(_PACKAGE)}")
     sc.addPyFile(path)
     sc._ringspan_shipped = True
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,25 +1,26 @@
 """Fuzzy line deduplication across documents.
 
 Lines are normalised (ASCII lower case, digits alike, other ASCII signs and runs of blanks as one
-blank). Equal normalised lines are one node. Nodes whose word SimHashes are at most `max_bits`
-apart are sure to meet on pigeonhole blocks; those that meet are candidates at up to `within` bits,
-and a link counts if their edit similarity is at least `similarity`. Of each connected group the first occurrence stays (least document id, then line);
-the others go. Lines of fewer than `min_words` words are never touched.
+blank). Equal normalised lines are one node, told apart by a 128-bit digest. Nodes whose word SimHashes
+agree on a pigeonhole block and stay near on the ring behind it (see `blocks`) are candidates, and a link
+counts if their edit similarity is at least `similarity`. Of each connected group the first occurrence
+stays (least document id, then line); the others go. Lines of fewer than `min_words` words are never
+touched.
 
-Where many candidates share a block key they are linked as a forest of true SimHash neighbours,
-not as all pairs; lines of one SimHash meet the next three of about their length. A link may fail
-the edit check, so a second search gives every pair left untried between two groups: afterwards the
-groups are those of all candidate pairs.
+Every candidate pair is verified before it joins anything, or lies in one group already by pairs that
+were. Which near lines become candidates is a matter of chance: `recall` is the share wanted among lines
+whose prints differ in a tenth of their bits (one word of twenty replaced).
 
 Scale: lines travel as digests. For the edit check the documents are read again in place and only
-candidate lines leave the scan, by a filter of fixed size (a full one lets more pass, never less).
-Each text moves once, to the list of its lines that go, unless Spark may broadcast that.
+candidate lines leave the scan, by a filter that is sent along while it is small; beyond that size all
+lines take part in the join instead. Each text moves once, to the list of its lines that go, unless Spark
+may broadcast that.
 
 Cases: a null text stays null; empty lines stay; rows equal in id and text are one document and
 keep the same lines; rows of equal id and other text, and rows of null id, count as one document
 where they hold the first occurrence; ties go to the earlier line; very long lines are compared in
 time proportional to their length times their difference in 64-bit words; an empty table gives
-no rows; all columns stay.
+no rows; all columns stay, whatever their names, but one named dropped_lines.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringspan.llm._shared import cut, ship
-from ringspan.llm.components import components
-from ringspan.llm.simhash import near_links, untried_links
+from ringspan.llm._shared import cut, fresh, ship
+from ringspan.llm.blocks import bits_of, blocks_for, groups, wide_print
 
 # Letters in lower case, digits as one, other signs as a blank; the line end and other bytes stay.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 10 else 48 if 48 <= b <= 57 else 32 for b in range(256))
@@ -42,41 +42,29 @@ def normalised(line: str) -> str:
     return " ".join(line.encode("utf-8", "replace").translate(_PLAIN).decode("utf-8").split())
 
 
-def prints(lines: list[list[bytes]]) -> np.ndarray:
-    """The 64-bit SimHash of the words of each line, each word as often as it comes."""
+def prints(lines: list[list[bytes]], width: int) -> np.ndarray:
+    """The SimHash of the words of each line, in `width` 64-bit words; each word as often as it comes."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros(len(lines), dtype=np.uint64)
-    short = [i for i, words in enumerate(lines) if 0 < len(words) < 256]
-    at, n = 0, len(short)
-    while at < n:  # about 16,000 words at a time stay in the processor's cache
+    out = np.zeros((len(lines), width), dtype=np.uint64)
+    at, n = 0, len(lines)
+    while at < n:  # about 4,000 words at a time stay in the processor's cache
         words, ends, first = [], [], at
-        while at < n and len(words) < 16_000:
-            words += lines[short[at]]
+        while at < n and len(words) < 4_000 and len(lines[at]) < 256:
+            words += lines[at]
             ends.append(len(words))
             at += 1
-        h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.array([0, *ends[:-1]]), axis=0, dtype=np.uint8).astype(np.int64)
-        out[short[first:at]] = _majority(ones, np.diff([0, *ends])[:, None])
-    for i, words in enumerate(lines):
-        if len(words) >= 256:
-            out[i] = _majority(_ones(np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)))[None, :], len(words))[0]
+        if words:
+            bits = bits_of(np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)), width)
+            ones = np.add.reduceat(bits, np.array([0, *ends[:-1]]), axis=0, dtype=np.uint8)
+            most = (np.diff([0, *ends]) // 2).astype(np.uint8)[:, None]
+            out[first:at] = np.packbits(ones > most, axis=1, bitorder="little").view("<u8")
+        if at < n and len(lines[at]) >= 256:
+            out[at] = wide_print(np.fromiter(map(xxh64_intdigest, lines[at]), dtype=np.uint64, count=len(lines[at])), width)
+            at += 1
     return out
 
 
-def _majority(ones: np.ndarray, n) -> np.ndarray:
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
-
-
-def _ones(h: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit."""
-    total = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(h), 16_000):
-        total += np.unpackbits(h[k : k + 16_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return total
-
-
 def _alike(a, b) -> int:
     """The length of the common beginning."""
     low, high = 0, min(len(a), len(b))
@@ -146,37 +134,54 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, thash, line, again, node, fp, size): each line of enough words, by document and place;
-    again is true if the document has an equal line before it; size is the normalised length."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, width: int) -> DataFrame:
+    """(id, thash, line, again, d1, d2, prints, size): each line of enough words, by document and place;
+    d1 and d2 are its digest, again is true if the document has an equal line before it; size is the
+    normalised length."""
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("thash"), F.col(text_col).cast("binary").alias("text"))
-    out = T.StructType([src.schema["id"], src.schema["thash"], T.StructField("line", T.IntegerType()), T.StructField("again", T.BooleanType()), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType())])
+    out = T.StructType([src.schema["id"], src.schema["thash"], T.StructField("line", T.IntegerType()), T.StructField("again", T.BooleanType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("prints", T.BinaryType()), T.StructField("size", T.LongType())])
 
     def run(batches):
-        from xxhash import xxh3_64_intdigest
-
         for b in batches:
             row, line, again, node, size, lines = [], [], [], [], [], []
             for i, t in enumerate(b.column(2)):
                 seen = set()
-                for k, x in enumerate(t.as_py().translate(_PLAIN).split(b"\n")):
-                    words = x.split()
-                    if len(words) >= min_words:
-                        norm = b" ".join(words)
-                        n = xxh3_64_intdigest(norm)
-                        size.append(len(norm) if norm.isascii() else len(norm.decode("utf-8", "replace")))
-                        row.append(i)
-                        line.append(k)
-                        again.append(n in seen)
-                        seen.add(n)
-                        node.append(n)
-                        lines.append(words)
+                for k, norm, words in _lines(t.as_py(), min_words):
+                    n = _digest(norm)
+                    size.append(len(norm) if norm.isascii() else len(norm.decode("utf-8", "replace")))
+                    row.append(i)
+                    line.append(k)
+                    again.append(n in seen)
+                    seen.add(n)
+                    node.append(n)
+                    lines.append(words)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(again, pa.bool_()), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(prints(lines).view(np.int64)), pa.array(size, pa.int32())], names=out.names)
+            d = _halves(node)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), len(lines), [None, pa.py_buffer(prints(lines, width).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(again, pa.bool_()), pa.array(d[0]), pa.array(d[1]), packed, pa.array(size, pa.int64())], names=out.names)
 
     return src.mapInArrow(run, out)
 
 
+def _lines(text: bytes, min_words: int):
+    """(place, normalised line, its words) of each line of enough words."""
+    for k, x in enumerate(text.translate(_PLAIN).split(b"\n")):
+        words = x.split()
+        if len(words) >= min_words:
+            yield k, b" ".join(words), words
+
+
+def _digest(norm: bytes) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(norm)
+
+
+def _halves(digests: list[bytes]) -> np.ndarray:
+    """The two 64-bit halves of each digest."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2).T)
+
+
 def verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """links with `ok`: whether the edit similarity of the two lines suffices."""
     src = links.join(texts.select(F.col("node").alias("u"), F.col("norm").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("norm").alias("b")), "v").select("u", "v", "a", "b")
@@ -189,97 +194,90 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return src.mapInArrow(run, "u long, v long, ok boolean")
 
 
-def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots (node, root) after further links (u, v), also of nodes that had none."""
-    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-    between = links.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
-    top = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    every = roots.select("node", "root").union(top.select(F.col("root").alias("node"), "root")).distinct()
-    return every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-
-
-#: The bits of the filter that finds candidate lines again: a fixed size, whatever the corpus.
-FILTER_BITS = 1 << 25
+#: Lines that the filter of candidate lines may hold: 16 bits each, 32 MB at most. Beyond, there is no filter.
+FILTER_LINES = 1 << 24
 
 
-def _places(node):
-    """Two places in the filter of a 64-bit digest (an array of them)."""
-    return node & np.uint64(FILTER_BITS - 1), node >> np.uint64(25) & np.uint64(FILTER_BITS - 1)
-
-
-def bloom(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the nodes, of FILTER_BITS bits, put together on the executors."""
-    at = F.array(F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned("node", 25).bitwiseAND(F.lit(FILTER_BITS - 1)))
-    bits = nodes.select(F.explode(at).alias("b")).select(F.shiftrightunsigned("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m"))
+def bloom(digests: DataFrame, n: int) -> np.ndarray | None:
+    """A Bloom filter of n 64-bit digests d1, put together on the executors; None for too many."""
+    if n > FILTER_LINES:
+        return None
+    words = 1 << max(10, (n - 1).bit_length() - 2) if n else 1024
+    at = F.array(F.col("d1").bitwiseAND(F.lit(64 * words - 1)), F.shiftrightunsigned("d1", 32).bitwiseAND(F.lit(64 * words - 1)))
+    bits = digests.select(F.explode(at).alias("b")).select(F.shiftrightunsigned("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m"))
     found = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out = np.zeros(words, dtype=np.uint64)
     out[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
     return out
 
 
-def norms_of(docs: DataFrame, nodes: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """(node, norm): the normalised text of each of the nodes. Documents are read again in place;
-    lines that a Bloom filter of fixed size lets through leave the scan, once per task, and a join
-    drops those that passed by chance."""
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(nodes))
+def _passes(have: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """Which digests the filter lets through."""
+    d, mask, hit = d1.view(np.uint64), np.uint64(64 * len(have) - 1), np.ones(len(d1), dtype=bool)
+    for p in (d & mask, d >> np.uint64(32) & mask):
+        hit &= (have[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
+
+
+def norms_of(docs: DataFrame, ends: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """(node, norm): the normalised text of each of the ends (node, d1, d2). Documents are read again in
+    place; lines that the filter lets through leave the scan, once per task for the most part, and a
+    join drops those that passed by chance."""
+    have = bloom(ends, ends.count())
+    sent = docs.sparkSession.sparkContext.broadcast(have)
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
-        from xxhash import xxh3_64_intdigest
-
         have, seen = sent.value, set()
         for b in batches:
-            norms = []
             for t in b.column(0):
-                for x in t.as_py().translate(_PLAIN).split(b"\n"):
-                    words = x.split()
-                    if len(words) >= min_words:
-                        norms.append(b" ".join(words))
-            node = np.fromiter(map(xxh3_64_intdigest, norms), dtype=np.uint64, count=len(norms))
-            hit = np.ones(len(node), dtype=bool)
-            for p in _places(node):
-                hit &= (have[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-            keep = []
-            for i in np.flatnonzero(hit).tolist():
-                n = int(node[i])
-                if n not in seen:
-                    seen.add(n)
-                    keep.append(i)
-            if len(seen) > 500_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep].view(np.int64)), pa.array([norms[i].decode("utf-8", "replace") for i in keep], pa.string())], names=["node", "norm"])
-
-    return src.mapInArrow(run, "node long, norm string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8, max_bits: int = 3, within: int = 4) -> DataFrame:
+                norms = [norm for _, norm, _ in _lines(t.as_py(), min_words)]
+                if not norms:
+                    continue
+                digests = [_digest(n) for n in norms]
+                d = _halves(digests)
+                keep = []
+                for i in range(len(norms)) if have is None else np.flatnonzero(_passes(have, d[0])).tolist():
+                    if digests[i] not in seen:
+                        seen.add(digests[i])
+                        keep.append(i)
+                if len(seen) > 200_000:
+                    seen.clear()
+                if keep:
+                    yield pa.RecordBatch.from_arrays([pa.array(d[0][keep]), pa.array(d[1][keep]), pa.array([norms[i].decode("utf-8", "replace") for i in keep], pa.string())], names=["d1", "d2", "norm"])
+
+    return src.mapInArrow(run, "d1 long, d2 long, norm string").join(ends, ["d1", "d2"]).select("node", "norm").dropDuplicates(["node"])
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8, recall: float = 0.91) -> DataFrame:
     """docs with the lines that go taken out, and `dropped_lines`: their numbers, from 0."""
     spark = docs.sparkSession
     ship(spark)
-    lines = cut(lines_of(docs, id_col, text_col, min_words), "lines")
-    nodes = cut(lines.where("not again").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.min("size").alias("size")), "line_nodes")
-    found = cut(near_links(nodes.select("node", "fp", "size"), max_bits, shrink=1 - similarity, within=within, marks=True), "line_links")
-    links, marked = found.where("u <> v"), found.where("u = v").select(F.col("u").alias("node"))
-    ends = cut(links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct(), "line_ends")
-    norms = cut(norms_of(docs, ends, text_col, min_words), "line_norms")
-    roots = components(verified(links, norms, similarity).where("ok").select("u", "v"))
-    open_nodes = nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "fp", "size", F.coalesce("root", "node").alias("root"))
-    rest = untried_links(cut(open_nodes, "line_open"), max_bits, shrink=1 - similarity, within=within).join(links, ["u", "v"], "left_anti")
-    rest = cut(verified(cut(rest, "line_rest"), norms, similarity).where("ok").select("u", "v"), "line_more")
-    if not rest.isEmpty():
-        roots = joined_roots(roots, rest)
-    named = nodes.join(roots, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
+    b = blocks_for(8 * docs.count(), 0.1, recall, 0.2)
+    lines = cut(lines_of(docs, id_col, text_col, min_words, b.words), "lines")
+    same = lines.where("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("prints").alias("prints"), F.min("size").alias("size"))
+    nodes = cut(same.withColumn("node", F.monotonically_increasing_id()), "line_nodes")
+
+    def verify(links):
+        ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        named = cut(nodes.select("node", "d1", "d2").join(ends, "node", "left_semi"), "line_ends")
+        norms = cut(norms_of(docs, named, text_col, min_words), "line_norms")
+        return cut(verified(links, norms, similarity).where("ok").select("u", "v"), "line_links")
+
+    roots = groups(nodes.select("node", "size", "prints"), b, verify, similarity)
+    named = nodes.join(roots, "node", "left").select("d1", "d2", "node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
     # a group of one node that one document holds has nothing to drop but its own repeats
     group = named.where("fuzzy").groupBy("root").agg(F.min("first").alias("keep"))
-    shared = named.where("fuzzy").join(group, "root").select("node", "root", "keep").union(named.where("not fuzzy and n > 1").select("node", "root", F.col("first").alias("keep")))
-    groups = cut(shared, "line_groups")
-    here = cut(lines.join(groups, "node").select("id", "thash", "line", "again", "root", F.col("id").eqNullSafe(F.col("keep")).alias("home")), "line_places")
+    shared = named.where("fuzzy").join(group, "root").select("d1", "d2", "root", "keep").union(named.where("not fuzzy and n > 1").select("d1", "d2", "root", F.col("first").alias("keep")))
+    held = cut(shared, "line_groups")
+    here = cut(lines.join(held, ["d1", "d2"]).select("id", "thash", "line", "again", "root", F.col("id").eqNullSafe(F.col("keep")).alias("home")), "line_places")
     first = here.where("home").groupBy("root").agg(F.min("line").alias("first_line"))
     gone = here.where("not home").select("id", "thash", "line").union(here.where("home").join(first, "root").where("line <> first_line").select("id", "thash", "line")).union(lines.where("again").select("id", "thash", "line"))
-    gone = cut(gone.groupBy("id", "thash").agg(F.sort_array(F.collect_set("line")).alias("dropped_lines")).withColumnsRenamed({"id": "_id", "thash": "_th"}), "lines_gone")
-    kept = [f for f in docs.schema.fields if f.name != "dropped_lines"]
+    own, own_hash = fresh(docs, "id", "thash")
+    gone = cut(gone.groupBy("id", "thash").agg(F.sort_array(F.collect_set("line")).alias("dropped_lines")).withColumnsRenamed({"id": own, "thash": own_hash}), "lines_gone")
+    kept = [f for f in docs.schema.fields if f.name.lower() != "dropped_lines"]
     src = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    joined = src.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_th")), "left").drop("_id", "_th")
+    joined = src.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(own_hash)), "left").drop(own, own_hash)
     drop = F.coalesce("dropped_lines", F.array().cast("array<int>"))
 
     def left(lines):

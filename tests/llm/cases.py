@@ -2,13 +2,13 @@
 
 LONG = "lorem ipsum dolor sit amet consectetur " * 3000
 PASSAGE = " ".join(f"word{i}" for i in range(60))
-_X = (1, "x", "y", 3, "z", 4, 5)
+_X = (1, "x", "y", 3, "z", 4, 5, *range(12))
 
 ODD = [
     (1, "the quick brown fox jumps over the lazy dog\n" + PASSAGE, "en", "a", 10, *_X),
     (2, "A second text\n" + PASSAGE.replace("word7 ", "word8 "), "en", "a", 10, *_X),
     (2, "A second text\n" + PASSAGE.replace("word7 ", "word8 "), "en", "a", 10, *_X),
-    (3, None, None, None, None, None, None, None, None, None, None, None),
+    (3, *[None] * 23),
     (None, "no id here but some words to count", "de", None, 5, *_X),
     (4, "", "de", "b", 0, *_X),
     (5, " \t\n ", "de", "b", 4, *_X),
