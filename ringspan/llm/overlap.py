@@ -25,8 +25,7 @@ from pyspark.sql import types as T
 
 from ringspan.llm._shared import cut, ship
 from ringspan.llm.components import components
-from ringspan.llm.line_dedup import joined_roots
-from ringspan.llm.simhash import _by_key
+from ringspan.llm.blocks import by_key, joined_roots
 
 
 def shingles(text: str, shingle: int = 5) -> np.ndarray:
@@ -94,7 +93,7 @@ def _pairs(keyed: DataFrame, similarity: float, beside: int | None) -> DataFrame
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _by_key(batches, width, found), "u long, v long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, width, found), "u long, v long").distinct()
 
 
 def near(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:

@@ -13,9 +13,15 @@ linked as a spanning forest where they are many, not as all pairs: a search take
 neighbour at once, so a dense group of n costs about n steps and gives n - 1 links, with the same
 components as all pairs. A key with more than `max_run` fingerprints is dealt as pairs of blocks to several tasks.
 
-Cases: a null or wordless text has fingerprint zero and links like any other; a text of fewer
-words than a shingle is one shingle; equal rows share a component; a null id never names a
-component; an empty table gives no rows; other columns are ignored.
+`near_texts` groups texts by the similarity of their shingle sets. Texts at a similarity of 0.8 differ
+in about 10 of 64 bits, too many for segments that must agree, so prints are wider there (12 words and
+more) and pairs meet on any of many blocks, by the same chains (see `blocks`). `recall` is the chance
+wanted for a pair at just the similarity asked for; nearer pairs have a better one. What meets is held
+against the whole prints, and pairs that these do not settle against the sets of shingles themselves.
+
+Cases: a null or wordless text has fingerprint zero (in `near_texts` the empty shingle) and links like
+any other; a text of fewer words than a shingle is one shingle; equal rows share a component; a null id
+never names a component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringspan.llm._shared import cut, ship
+from ringspan.llm.blocks import blocks_for, by_key, groups, wide_print
 from ringspan.llm.components import components
 
 
@@ -89,11 +96,8 @@ def chain_keys(fp: str, max_bits: int) -> list[Column]:
     return out
 
 
-def _chain(x: np.ndarray, max_bits: int, start: int, within: int | None = None) -> np.ndarray:
-    """Whether differences pass the chain from a start, the last step being the Hamming check; with
-    `within`, whether they are of so many bits at most, wherever they lie."""
-    if within is not None:
-        return np.bitwise_count(x) <= within
+def _chain(x: np.ndarray, max_bits: int, start: int) -> np.ndarray:
+    """Whether differences pass the chain from a start, the last step being the Hamming check."""
     seg = _segments(max_bits)
     ok, total = np.ones(x.shape, dtype=bool), np.zeros(x.shape, dtype=np.uint8)
     for step in range(1, len(seg) + 1):
@@ -105,14 +109,14 @@ def _chain(x: np.ndarray, max_bits: int, start: int, within: int | None = None)
     return ok
 
 
-def forest(fps: np.ndarray, max_bits: int, start: int, within: int | None = None) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, max_bits: int, start: int) -> list[tuple[int, int]]:
     """Pairs (position, position) that pass the chain and span what all such pairs join."""
     left, links = np.arange(len(fps)), []
     while len(left) > 1:
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
             part, frontier = frontier[:64], frontier[64:]
-            hit = _chain(fps[part][:, None] ^ fps[left][None, :], max_bits, start, within)
+            hit = _chain(fps[part][:, None] ^ fps[left][None, :], max_bits, start)
             found = hit.any(axis=0)
             if found.any():
                 by = part[hit[:, found].argmax(axis=0)]
@@ -121,10 +125,9 @@ def forest(fps: np.ndarray, max_bits: int, start: int, within: int | None = None
     return links
 
 
-def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: int, within: int | None = None, short: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (a, b) of links inside runs of equal numbers, and whether each is of a forest. All
-    pairs of short runs are tested at once; a run with more hits than members, or a long one, gives
-    a forest instead."""
+def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: int, short: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links inside runs of equal numbers. All pairs of short runs are tested at
+    once; a run with more hits than members, or a long one, gives a forest instead, which joins the same."""
     n = len(run)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [n]])
     size = np.diff(edges)
@@ -139,7 +142,7 @@ def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: in
         x = fps[live] ^ fps[live + off]
         for s in range(max_bits + 1):
             mine = np.flatnonzero(starts[live] == s)
-            hit = mine[_chain(x[mine], max_bits, s, within)] if len(mine) else mine
+            hit = mine[_chain(x[mine], max_bits, s)] if len(mine) else mine
             a.append(live[hit])
             b.append(live[hit] + off)
     a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (a, b))
@@ -147,21 +150,19 @@ def run_links(run: np.ndarray, fps: np.ndarray, starts: np.ndarray, max_bits: in
     dense = (hits > size) | (size > short)
     keep = ~dense[of[a]] if len(a) else np.zeros(0, dtype=bool)
     a, b = [a[keep]], [b[keep]]
-    pairs = len(a[0])
     for r in np.flatnonzero(dense):
         lo, hi = edges[r], edges[r + 1]
-        got = np.array(forest(fps[lo:hi], max_bits, int(starts[lo]), within), dtype=np.int64).reshape(-1, 2)
+        got = np.array(forest(fps[lo:hi], max_bits, int(starts[lo])), dtype=np.int64).reshape(-1, 2)
         a.append(got[:, 0] + lo)
         b.append(got[:, 1] + lo)
-    a, b = np.concatenate(a), np.concatenate(b)
-    return a, b, np.arange(len(a)) >= pairs
+    return np.concatenate(a), np.concatenate(b)
 
 
-def _cells(nodes: DataFrame, max_bits: int, max_run: int, sampled: int, *more: str) -> DataFrame:
-    """(key, fp, size, node, *more) of nodes by key, and the cell if there are keys to be dealt as
-    pairs of blocks: those with more than about max_run nodes, found on one node in `sampled`."""
-    keyed = lambda df: df.select(F.explode(F.array(*chain_keys("fp", max_bits))).alias("key"), "fp", F.col("size").cast("long").alias("size"), "node", *more)
-    part = keyed(nodes.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(sampled)) == 0)).groupBy("key").count()
+def _cells(nodes: DataFrame, max_bits: int, max_run: int, sampled: int) -> DataFrame:
+    """(key, fp) of fingerprints by key, and the cell if there are keys to be dealt as pairs of blocks:
+    those with more than about max_run, found on one fingerprint in `sampled`."""
+    keyed = lambda df: df.select(F.explode(F.array(*chain_keys("fp", max_bits))).alias("key"), "fp")
+    part = keyed(nodes.where(F.pmod(F.xxhash64("fp", F.lit(13)), F.lit(sampled)) == 0)).groupBy("key").count()
     large = cut(part.where(F.col("count") * sampled > max_run / 2).select(F.col("key").alias("hot"), F.ceil(F.col("count") * sampled / max_run).cast("int").alias("blocks")), "large")
     rows = keyed(nodes)
     if large.isEmpty():
@@ -169,143 +170,133 @@ def _cells(nodes: DataFrame, max_bits: int, max_run: int, sampled: int, *more: s
     # each row meets every block of its key: cell (a, b) holds the blocks a and b
     joined = rows.join(large, rows["key"] == large["hot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     joined = joined.withColumn("a", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return joined.select("key", "fp", "size", "node", *more, (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("long").alias("cell")).repartition("key", "cell").sortWithinPartitions("key", "cell")
-
-
-def _by_key(batches, width: int, found):
-    """What found gives for the rows of batches, some 50,000 at a time and never part of a key (and
-    cell, where there are more than `width` columns)."""
-    held, n = [], 0
-    for b in batches:
-        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
-        n += b.num_rows
-        if n < 50_000:
-            continue
-        t = np.concatenate(held, axis=1)
-        last = t[0] == t[0, -1] if len(t) == width else (t[0] == t[0, -1]) & (t[width] == t[width, -1])
-        yield from found(t[:, ~last])
-        held, n = [t[:, last]], 0
-    if held:
-        yield from found(np.concatenate(held, axis=1))
-
-
-def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, beside: int = 3, shrink: float = 1.0, within: int | None = None, marks: bool = False) -> DataFrame:
-    """(u, v), u > v: links between nodes (node, fp, size) whose components are those of all pairs
-    with fingerprints at most max_bits apart. Of nodes with one fingerprint each meets the next
-    `beside` by size; of two fingerprints the middle one of the smaller group meets as many of the other
-    with the nearest sizes. Links whose sizes differ by more than `shrink` of the larger are left out.
-    With `within`, nodes that meet on a key are linked at up to so many bits: more than max_bits, but
-    only max_bits are sure to meet.
-
-    With `marks`, a node that may have untried pairs within reach is linked to itself: both ends of
-    every untried pair are marked, and `untried_links` finds the pairs.
-
-    Keys with more than about max_run nodes are found on one node in `sampled` and dealt as pairs of
+    return joined.select("key", "fp", (F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).cast("long").alias("cell")).repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def near_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
+    """(u, v), u > v: links between the distinct fingerprints of nodes (fp) whose components are those of
+    all pairs at most max_bits apart.
+
+    Keys with more than about max_run fingerprints are found on one in `sampled` and dealt as pairs of
     blocks; that choice is about where the work is done, not about what is compared."""
     ship(nodes.sparkSession)
-    cells = _cells(nodes, max_bits, max_run, sampled)
-    width = len(cells.columns)
 
     def found(t):
         same = np.diff(t[0]) == 0  # a key that one row has links nothing
         t = t[:, np.append(same, False) | np.insert(same, 0, False)] if t.shape[1] else t
         if t.shape[1] < 2:
             return
-        t = t[:, np.lexsort((t[3], t[2], t[1], *t[4:], t[0]))]
+        t = t[:, np.lexsort((t[1], *t[2:], t[0]))]
         turn = np.diff(t[0]) != 0
-        if width == 5:
-            turn |= np.diff(t[4]) != 0
-        first = np.concatenate([[0], np.flatnonzero(turn | (np.diff(t[1]) != 0)) + 1])  # of each fingerprint
-        group = np.zeros(t.shape[1], dtype=np.int64)
-        group[first[1:]] = 1
-        group = np.cumsum(group)
-        u, v = [], []
-        for off in range(1, beside + 1):
-            same = np.flatnonzero(group[off:] == group[:-off])
-            u.append(same)
-            v.append(same + off)
-        run = np.concatenate([[0], np.cumsum(turn)])[first]
-        a, b, spanning = run_links(run, t[1][first].view(np.uint64), (t[0][first] >> KEY_BITS) // 2, max_bits, within)
-        n = np.diff(np.append(first, t.shape[1]))
-        left = n > beside + 1
+        if len(t) == 3:
+            turn |= np.diff(t[2]) != 0
+        a, b = run_links(np.concatenate([[0], np.cumsum(turn)]), t[1].view(np.uint64), (t[0] >> KEY_BITS) // 2, max_bits)
         if len(a):
-            x, y = _nearest(t[2], first, np.append(first[1:], t.shape[1]), a, b, beside)
-            u.append(x)
-            v.append(y)
-            some = spanning | (np.minimum(n[a], n[b]) > 1) | (np.maximum(n[a], n[b]) > beside)
-            left[a[some]] = left[b[some]] = True
-        if marks:
-            mine = np.flatnonzero(left[group])
-            u.append(mine)
-            v.append(mine)
-        u, v = np.concatenate(u), np.concatenate(v)
-        near = np.abs(t[2][u] - t[2][v]) <= shrink * np.maximum(t[2][u], t[2][v])
-        u, v = t[3][u[near]], t[3][v[near]]
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-    links = cells.mapInArrow(lambda batches: _by_key(batches, 4, found), "u long, v long")
-    return (links if marks else links.where("u <> v")).distinct()
-
-
-def untried_links(nodes: DataFrame, max_bits: int = 3, max_run: int = 20_000, sampled: int = 64, shrink: float = 1.0, within: int | None = None) -> DataFrame:
-    """(u, v), u > v: every pair of nodes (node, fp, size, root) of unequal roots that meets on a key
-    at up to `within` bits (else max_bits) and whose sizes differ by at most `shrink` of the larger.
-    Pairs leave as they are found, each on the first key that it meets on."""
-    ship(nodes.sparkSession)
-    cells = _cells(nodes, max_bits, max_run, sampled, "root")
-    most, seg = max_bits if within is None else within, _segments(max_bits)
-    masks = []  # the bits of each key
-    for s, (shift, width) in enumerate(seg):
-        nxt, wide = seg[(s + 1) % len(seg)]
-        for lo, w in ((nxt, wide // 2), (nxt + wide // 2, wide - wide // 2)):
-            masks.append(np.uint64(((1 << width) - 1) << shift | ((1 << w) - 1) << lo))
+            a, b = t[1][a], t[1][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
 
-    def found(t):
-        t = t[:, np.lexsort((t[2], *t[5:], t[0]))]
-        turn = np.diff(t[0]) != 0
-        if len(t) == 6:
-            turn |= np.diff(t[5]) != 0
-        end = np.append(np.flatnonzero(turn) + 1, t.shape[1])
-        end = end[np.searchsorted(end, np.arange(t.shape[1]), side="right")] if t.shape[1] else end
-        fps, nth, live, off = t[1].view(np.uint64), t[0] >> KEY_BITS, np.arange(t.shape[1]), 0
-        while len(live):  # by size, so that what is too long for a node is so at every later place
-            off += 1
-            live = live[live + off < end[live]]
-            live = live[t[2][live + off] - t[2][live] <= shrink * t[2][live + off]]
-            x = fps[live] ^ fps[live + off]
-            ok = (np.bitwise_count(x) <= most) & (t[4][live] != t[4][live + off])
-            for k, m in enumerate(masks[:-1]):
-                ok &= (nth[live] <= k) | ((x & m) != 0)
-            u, v = t[3][live[ok]], t[3][live[ok] + off]
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-    return cells.mapInArrow(lambda batches: _by_key(batches, 5, found), "u long, v long").distinct()
-
-
-def _nearest(size: np.ndarray, first: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, beside: int) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of groups a and b, sorted by size: the middle of the smaller group with the members
-    of the other whose sizes are nearest."""
-    n = end - first
-    plain = (n[a] == 1) & (n[b] == 1)
-    x, y = [first[a[plain]]], [first[b[plain]]]
-    for i in np.flatnonzero(~plain):
-        p, q = (a[i], b[i]) if n[a[i]] <= n[b[i]] else (b[i], a[i])
-        mid = first[p] + n[p] // 2
-        at = first[q] + np.searchsorted(size[first[q] : end[q]], size[mid])
-        near = np.arange(max(first[q], min(at - beside // 2, end[q] - beside)), end[q])[:beside]
-        x.append(np.full(len(near), mid))
-        y.append(near)
-    return np.concatenate(x), np.concatenate(y)
+    cells = _cells(nodes.select("fp"), max_bits, max_run, sampled)
+    return cells.mapInArrow(lambda batches: by_key(batches, 2, found), "u long, v long").where("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3) -> DataFrame:
     """(id, fp, component_id): the fingerprint of each row and the least id that links reach."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(near_links(nodes.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("size")), max_bits)).select(F.col("node").alias("fp"), "root")
+    roots = components(near_links(nodes, max_bits)).select(F.col("node").alias("fp"), "root")
     named = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(named.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(by_fp, "fp").select("id", "fp", "component_id")
+
+
+def shingles(text: str, shingle: int = 5) -> np.ndarray:
+    """The sorted digests of a text's distinct shingles: ASCII lower case, words between ASCII white space."""
+    from xxhash import xxh64_intdigest as xxh
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    return np.array(sorted({xxh(b" ".join(words[i : i + shingle])) for i in range(n)}), dtype=np.uint64)
+
+
+def expected_difference(similarity: float) -> float:
+    """The share of bits in which the prints of two sets of this Jaccard similarity differ: the angle
+    between them over pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _set_prints(rows: DataFrame, row_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """(row, size, prints): the number of distinct shingles and their wide print."""
+    src = rows.select(F.col(row_col).cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            size, prints = [], []
+            for t in b.column(1):
+                h = shingles(t.as_py(), shingle)
+                size.append(len(h))
+                prints.append(wide_print(h, words).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary())], names=["row", "size", "prints"])
+
+    return src.mapInArrow(run, "row long, size long, prints binary")
+
+
+#: Sets of fewer shingles are held against each other themselves, whatever their prints say.
+FEW = 64
+
+
+def _near_sets(links: DataFrame, nodes: DataFrame, rows: DataFrame, row_col: str, text_col: str, shingle: int, similarity: float, words: int) -> DataFrame:
+    """The links (u, v) whose sets have the similarity. The standard deviation of the share of differing
+    bits is s = sqrt(d (1 - d) / bits): a share of 4 s and more off the expected one settles a pair of
+    large sets; the sets of the others are made again from the texts and compared."""
+    d, n = expected_difference(similarity), 64 * words
+    off = 4 * float(np.sqrt(d * (1 - d) / n))
+    low, high = (d - off) * n, (d + off) * n
+    side = lambda end: nodes.select(F.col("node").alias(end), F.col("prints").alias(f"{end}_prints"), F.col("size").alias(f"{end}_size"))
+
+    def settle(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="<u8").reshape(b.num_rows, words) for k in (2, 4))
+            sizes = np.stack([b.column(3).to_numpy(), b.column(5).to_numpy()])
+            apart, few = np.bitwise_count(x ^ y).sum(axis=1), sizes.min(axis=0) < FEW
+            keep = np.flatnonzero((few | (apart <= high)) & (sizes.min(axis=0) + 1e-9 >= similarity * sizes.max(axis=0)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(~few[keep] & (apart[keep] < low))], names=["u", "v", "sure"])
+
+    told = cut(links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_prints", "u_size", "v_prints", "v_size").mapInArrow(settle, "u long, v long, sure boolean"), "settled")
+    open_links = told.where("not sure").select("u", "v")
+    ends = cut(open_links.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "set_ends")
+    texts = rows.select(F.col(row_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ends, "node", "left_semi")
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["node", "held"])
+
+    sets = cut(texts.select("node", "text").mapInArrow(held, "node long, held binary"), "sets")
+    whole = lambda end: sets.select(F.col("node").alias(end), F.col("held").alias(f"{end}_held"))
+
+    def near(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(h.as_py(), dtype=np.uint64) for h in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common + 1e-9 >= similarity * (len(x) + len(y) - common))
+            yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+
+    checked = open_links.join(whole("u"), "u").join(whole("v"), "v").select("u", "v", "u_held", "v_held").mapInArrow(near, "u long, v long")
+    return cut(told.where("sure").select("u", "v").union(checked), "near_links")
+
+
+def near_texts(rows: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """(row, root): the group of each row, named by its least row; texts whose sets of shingles have a Jaccard
+    similarity of at least `similarity` share a group. rows: a written table, with a row key of its own
+    (long, never null)."""
+    ship(rows.sparkSession)
+    b = blocks_for(rows.count(), expected_difference(similarity), recall)
+    prints = cut(_set_prints(rows, row_col, text_col, shingle, b.words), "set_prints")
+    nodes = cut(prints.groupBy("prints", "size").agg(F.min("row").alias("node")), "set_nodes")
+    roots = groups(nodes.select("node", "size", "prints"), b, lambda links: _near_sets(links, nodes, rows, row_col, text_col, shingle, similarity, b.words), similarity)
+    named = nodes.join(roots, "node", "left").select("prints", "size", F.coalesce("root", "node").alias("root"))
+    return prints.join(named, ["prints", "size"]).select("row", "root")

@@ -52,7 +52,7 @@ def test_fingerprint_brute(odd):
 
 
 def run(spark, fps, **kw):
-    df = spark.createDataFrame([(f, f, 0) for f in fps], "node long, fp long, size int")
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
     return {r["node"]: r["root"] for r in components(S.near_links(df, **kw)).collect()}
 
 
@@ -95,3 +95,64 @@ def test_components_of_a_path(spark):
     e = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r["root"] for r in components(e).collect()} == {0}
     assert components(e.limit(0)).count() == 0
+
+
+def slow_near(texts, similarity=0.8):
+    """Least member of the group of each text, over all pairs of shingle sets."""
+    sets = [set(S.shingles(t or "").tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) + 1e-9 >= similarity * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def near(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r["row"]: r["root"] for r in S.near_texts(rows, "row").collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"w{rng.getrandbits(30)}"
+    return " ".join(out)
+
+
+def test_near_texts_are_those_of_all_pairs(spark):
+    rng = random.Random(21)
+    texts = [None, "", " \n", "a b", "A  B", "one two three four five six", "repeat " * 50, "repeat " * 50 + "tail of it"]
+    for i in range(60):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(rng.randint(60, 400))]
+        texts += [edited(rng, base, k) for k in (0, 0, 1 + len(base) // 150, len(base) // 12)]
+    assert near(spark, texts) == slow_near(texts)
+
+
+def test_a_dense_group_whose_members_are_near_only_to_its_base(spark):
+    """Copies are at about 0.73 to each other and at 0.85 to the base: no link between copies holds."""
+    rng = random.Random(3)
+    base = [f"w{rng.getrandbits(30)}" for _ in range(500)]
+    texts = [edited(rng, base, 9) for _ in range(60)] + [" ".join(base)]
+    got, want = near(spark, texts), slow_near(texts)
+    assert len(set(want)) == 1
+    assert sum(g == got[-1] for g in got) >= 58
+
+
+def test_expected_difference():
+    rng = np.random.default_rng(1)
+    common, own = rng.integers(0, 2**63, 1600, dtype=np.uint64), rng.integers(0, 2**63, (2, 200), dtype=np.uint64)
+    x, y = (S.wide_print(np.concatenate([common, o]), 64) for o in own)
+    assert abs(np.bitwise_count(x ^ y).sum() / 4096 - S.expected_difference(0.8)) < 0.02
+
+
+def test_near_texts_of_an_empty_table(spark):
+    assert S.near_texts(spark.createDataFrame([], "row long, text string"), "row").count() == 0
