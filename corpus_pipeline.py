@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringspan.llm import line_dedup, overlap, packing, quality, secret_scan
+from ringspan.llm import line_dedup, packing, quality, secret_scan, simhash
 from ringspan.llm._shared import cut, new_path
 from ringspan.llm.queries import table, vocabulary
 
@@ -31,9 +31,11 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group whose five-word shingles are alike at 0.8 or more stays: that of the
-    least doc_id, nulls last, and of its rows the first."""
+    least doc_id, nulls last, and of its rows the first. Rows are told apart by a key of their own, so
+    repeated rows are copies of each other, and rows of one doc_id, or of none, with unlike texts all stay.
+    Null and wordless texts are alike. An empty table gives no rows."""
     rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = overlap.groups(rows, "_row").join(rows.select(F.col("_row").alias("row"), "doc_id"), "row")
+    found = simhash.near_texts(rows, "_row").join(rows.select(F.col("_row").alias("row"), "doc_id"), "row")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
     return rows.join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
