@@ -45,12 +45,13 @@ class Blocks(NamedTuple):
     budget: float
 
 
-def blocks_for(n: int, differ: float, recall: float, budget: float = 0.25) -> Blocks:
-    """Blocks of about log2(n) - 4 bits, 16 at least, so that a row meets a few dozen others by chance
-    on each, and as many blocks as `recall` takes where `differ` of the bits are unlike."""
-    bits = min(KEY_BITS, max(16, int(math.log2(max(n, 1))) - 4))
+def blocks_for(n: int, differ: float, recall: float, budget: float = 0.25, least_words: int = 1) -> Blocks:
+    """Blocks of about log2(n) - 9 bits, 12 at least, so that a row meets a few hundred others by chance
+    on each, and as many blocks as `recall` takes where `differ` of the bits are unlike. A corpus a
+    thousand times larger takes blocks ten bits wider and, at a tenth of the bits, three times as many."""
+    bits = min(KEY_BITS, max(12, int(math.log2(max(n, 1))) - 9))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
-    return Blocks(-(-count * bits // 64), bits, count, budget * bits)
+    return Blocks(max(least_words, -(-count * bits // 64)), bits, count, budget * bits)
 
 
 def spread(h: np.ndarray, words: int) -> np.ndarray:

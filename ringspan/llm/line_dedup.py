@@ -1,7 +1,7 @@
 """Fuzzy line deduplication across documents.
 
 Lines are normalised (ASCII lower case, digits alike, other ASCII signs and runs of blanks as one
-blank). Equal normalised lines are one node, told apart by a 128-bit digest. Nodes whose word SimHashes
+blank). Equal normalised lines are one node, told apart by a 128-bit digest. Nodes whose SimHashes of distinct words
 agree on a pigeonhole block and stay near on the ring behind it (see `blocks`) are candidates, and a link
 counts if their edit similarity is at least `similarity`. Of each connected group the first occurrence
 stays (least document id, then line); the others go. Lines of fewer than `min_words` words are never
@@ -42,8 +42,9 @@ def normalised(line: str) -> str:
     return " ".join(line.encode("utf-8", "replace").translate(_PLAIN).decode("utf-8").split())
 
 
-def prints(lines: list[list[bytes]], width: int) -> np.ndarray:
-    """The SimHash of the words of each line, in `width` 64-bit words; each word as often as it comes."""
+def prints(lines: list[set[bytes]], width: int) -> np.ndarray:
+    """The SimHash of the distinct words of each line, in `width` 64-bit words: a word that every text
+    has often would make lines alike that have little else in common."""
     from xxhash import xxh64_intdigest
 
     out = np.zeros((len(lines), width), dtype=np.uint64)
@@ -154,7 +155,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, width:
                     again.append(n in seen)
                     seen.add(n)
                     node.append(n)
-                    lines.append(words)
+                    lines.append(set(words))
             at = pa.array(row, pa.int64())
             d = _halves(node)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), len(lines), [None, pa.py_buffer(prints(lines, width).tobytes())]).cast(pa.binary())
@@ -249,7 +250,7 @@ def norms_of(docs: DataFrame, ends: DataFrame, text_col: str, min_words: int) ->
     return src.mapInArrow(run, "d1 long, d2 long, norm string").join(ends, ["d1", "d2"]).select("node", "norm").dropDuplicates(["node"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8, recall: float = 0.91) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """docs with the lines that go taken out, and `dropped_lines`: their numbers, from 0."""
     spark = docs.sparkSession
     ship(spark)

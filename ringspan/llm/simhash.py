@@ -14,7 +14,7 @@ neighbour at once, so a dense group of n costs about n steps and gives n - 1 lin
 components as all pairs. A key with more than `max_run` fingerprints is dealt as pairs of blocks to several tasks.
 
 `near_texts` groups texts by the similarity of their shingle sets. Texts at a similarity of 0.8 differ
-in about 10 of 64 bits, too many for segments that must agree, so prints are wider there (12 words and
+in about 10 of 64 bits, too many for segments that must agree, so prints are wider there (8 words and
 more) and pairs meet on any of many blocks, by the same chains (see `blocks`). `recall` is the chance
 wanted for a pair at just the similarity asked for; nearer pairs have a better one. What meets is held
 against the whole prints, and pairs that these do not settle against the sets of shingles themselves.
@@ -294,7 +294,7 @@ def near_texts(rows: DataFrame, row_col: str, text_col: str = "text", shingle: i
     similarity of at least `similarity` share a group. rows: a written table, with a row key of its own
     (long, never null)."""
     ship(rows.sparkSession)
-    b = blocks_for(rows.count(), expected_difference(similarity), recall)
+    b = blocks_for(rows.count(), expected_difference(similarity), recall, least_words=8)
     prints = cut(_set_prints(rows, row_col, text_col, shingle, b.words), "set_prints")
     nodes = cut(prints.groupBy("prints", "size").agg(F.min("row").alias("node")), "set_nodes")
     roots = groups(nodes.select("node", "size", "prints"), b, lambda links: _near_sets(links, nodes, rows, row_col, text_col, shingle, similarity, b.words), similarity)
