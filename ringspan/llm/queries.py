@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.tokenize_pieces(docs, vocabulary("word_bpe_49k.json"))
-    slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.place(slim, packing.packers_for(docs.count()))
+    slim = pieces.select("doc_id", "seat", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(slim, packing.packers_for(docs.count())).drop("seat")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
