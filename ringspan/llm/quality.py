@@ -6,9 +6,10 @@ and counted by its share of the text. Training runs the FTRL-proximal update ove
 of labelled rows in a fixed order, inside one executor task; scoring is a narrow map that takes
 the sparse dot product of each text's n-grams with the weights.
 
-Scale: the sample is at most `max_rows` rows, chosen by a hash of the id so that it does not depend
-on the partitioning, and of at most `max_chars` characters together; the weights are of a fixed
-size. Scoring reads each text once, whole, with no shuffle.
+Scale: the sample is at most `max_rows` labelled rows that have a document, chosen by a hash of the id so
+that it does not depend on the partitioning, and of at most `max_chars` characters together: a text that
+does not fit into what is left of them is passed over. The model says how many rows it learnt from. The
+weights are of a fixed size. Scoring reads each text once, whole, with no shuffle.
 
 Cases: a null text is empty and scores by the bias alone; null labels and null ids are not learnt
 from; rows with equal ids learn from each label; no labelled rows give a score of 0.5; an empty
@@ -17,6 +18,8 @@ table gives no rows; other columns stay.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,7 +73,7 @@ def hashed(text: str, forms: dict[bytes, int]) -> list[np.ndarray]:
 
 def dot(weights: np.ndarray, text: str, forms: dict[bytes, int]) -> float:
     """The sparse dot product of a text's n-grams, each counting SCALE by its share, and the bias."""
-    return SCALE * sum(float(weights[x].mean()) for x in hashed(text, forms)) + float(weights[-1])
+    return SCALE * sum(float(weights[x].mean(dtype=np.float64)) for x in hashed(text, forms)) + float(weights[-1])
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -124,42 +127,52 @@ def train(rows, epochs: int = 2, **kw) -> np.ndarray:
     return model.weights(np.arange((1 << BITS) + 1)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8_000, max_chars: int = 60_000_000) -> bytes:
-    """Little-endian float32 weights learnt from at most max_rows rows that have a label.
+class Model(NamedTuple):
+    """Weights as little-endian float32, and how many rows they were learnt from."""
+
+    weights: bytes
+    rows: int
 
-    max_rows bounds the sample: rows with the least hashes of their id. max_chars bounds what one
-    task holds; rows after it are not learnt from. labels: (id, label), already held-out."""
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8_000, max_chars: int = 60_000_000) -> Model:
+    """A model learnt from at most max_rows rows that have a label and a document: those with the least
+    hashes of their id. max_chars bounds what one task holds: a text that does not fit any more is passed
+    over, shorter ones after it are not. labels: (id, label), already held-out."""
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
-    least = known.orderBy(F.xxhash64("_id", F.lit(5)), "_id", "_y").limit(max_rows)
-    rows = least.join(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_id")
-    order = rows.select("_text", "_y", F.xxhash64("_id", F.lit(5)).alias("_h"), "_id").repartition(1).sortWithinPartitions("_h", "_id", "_y", F.xxhash64("_text"))
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    least = known.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id", F.lit(5)), "id", "y").limit(max_rows)
+    rows = least.join(texts, "id")
+    order = rows.select("t", "y", F.xxhash64("id", F.lit(5)).alias("h"), "id").repartition(1).sortWithinPartitions("h", "id", "y", F.xxhash64("t"))
 
     def run(batches):
+        learnt = 0
+
         def each():
+            nonlocal learnt
             chars = 0
             for b in batches:
                 for t, y in zip(b.column(0), b.column(1), strict=True):
                     text = t.as_py()
-                    chars += len(text)
-                    if chars > max_chars:
-                        return
-                    yield text, y.as_py()
+                    if chars + len(text) <= max_chars:
+                        chars += len(text)
+                        learnt += 1
+                        yield text, y.as_py()
 
         w = train(each())
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["w"])
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([learnt], pa.int64())], names=["w", "n"])
 
-    found = order.mapInArrow(run, "w binary").first()
-    return bytes(found["w"]) if found else bytes(4 * ((1 << BITS) + 1))
+    found = order.mapInArrow(run, "w binary, n long").first()
+    return Model(bytes(found["w"]), found["n"]) if found else Model(bytes(4 * ((1 << BITS) + 1)), 0)
 
 
-def score(docs: DataFrame, weights: bytes, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score of each text, 0 to 1."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with the score of each text, 0 to 1, in `out` (in place of a column of that name)."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(weights)
-    kept = [f for f in docs.schema.fields if f.name != out]
+    sent = spark.sparkContext.broadcast(model.weights)
+    kept = [f for f in docs.schema.fields if f.name.lower() != out.lower()]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
     src = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     at = src.columns.index(text_col)

@@ -67,8 +67,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")))
 
 
-def fit_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> bytes:
-    """The classifier's weights, learnt from the labels of rows that are not held out."""
+def fit_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """The classifier, learnt from the labels of rows that are not held out."""
     return quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out("doc_id")))
 
 
