@@ -87,6 +87,7 @@ def slow_places(text):
 
 
 def slow_dot(w, text):
+    w = w.astype(np.float64)
     return sum(Q.SCALE * w[p] / len(places) for places in slow_places(text) for p in places) + w[-1]
 
 
