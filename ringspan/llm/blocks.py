@@ -6,11 +6,11 @@ follows from their width and the recall that is wanted (`blocks_for`). Where the
 the start of a pigeonring chain: the differences in the segments that follow it on the ring, summed
 from the block on, must stay within `budget` bits a segment for every length of the chain.
 
-`groups` verifies pairs before anything joins them. Pairs of a key leave as they are, unless a key has
-more than `LIMIT` pairs a row: then a least spanning forest by difference leaves first, and its rows are
-marked. When the verified pairs have been joined, a second search gives every pair of marked rows that
-still lie in two groups. So the groups are those of all pairs that meet, and a dense group does not
-emit the square of its rows.
+`groups` verifies pairs before anything joins them. Of the pairs of a key a least spanning forest leaves
+first, by the difference in the prints' last words, which every key sees alike; rows that have more pairs
+than that are marked. When the verified pairs have been joined, a second search gives every pair of marked
+rows that still lie in two groups. So the groups are those of all pairs that meet, and a dense group does
+not emit the square of its rows.
 
 Scale: rows of a key that holds more than about `max_run` are dealt as pairs of parts to many tasks;
 rows inside a key are ordered by size and compared only as far as sizes allow.
@@ -32,7 +32,7 @@ from ringspan.llm.components import components
 
 #: Bits of a key below those that number its block.
 KEY_BITS = 40
-#: Pairs that a key may emit, for each of its rows, before a forest stands for them.
+#: Pairs of a key that are held at once, for each of its rows; beyond, its forest grows row by row.
 LIMIT = 8
 
 
@@ -64,7 +64,7 @@ def spread(h: np.ndarray, words: int) -> np.ndarray:
 
 def bits_of(h: np.ndarray, words: int) -> np.ndarray:
     """(n, 64 * words) bits of the hashes that `spread` gives."""
-    return np.unpackbits(spread(h, words).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+    return np.unpackbits(spread(h, words).view(np.uint8).reshape(len(h), 8 * words), axis=1, bitorder="little")
 
 
 def wide_print(h: np.ndarray, words: int) -> np.ndarray:
@@ -97,7 +97,8 @@ def _chain(x: np.ndarray, b: Blocks) -> np.ndarray:
 
 
 def _entries(nodes: DataFrame, b: Blocks, rooted: bool) -> DataFrame:
-    """(key, check, size, node[, root]): a row for each block of each node."""
+    """(key, check, last, size, node[, root]): a row for each block of each node; check are the 64 bits
+    behind the block, last is the last word of the print."""
     more = ["root"] if rooted else []
 
     def run(batches):
@@ -105,12 +106,13 @@ def _entries(nodes: DataFrame, b: Blocks, rooted: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u8").reshape(batch.num_rows, b.words)
+            last = pa.array(np.ascontiguousarray(prints[:, -1]).view(np.int64))
             for k in range(b.count):
                 key = _at(prints, k * b.bits) & np.uint64((1 << b.bits) - 1)
-                cols = [pa.array(key.view(np.int64) | k << KEY_BITS), pa.array(_at(prints, (k + 1) * b.bits).view(np.int64)), batch.column(1), batch.column(0), *batch.columns[3:]]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "check", "size", "node", *more])
+                check = pa.array(_at(prints, (k + 1) * b.bits).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64) | k << KEY_BITS), check, last, batch.column(1), batch.column(0), *batch.columns[3:]], names=["key", "check", "last", "size", "node", *more])
 
-    return nodes.select("node", "size", "prints", *more).mapInArrow(run, "key long, check long, size long, node long" + ", root long" * rooted)
+    return nodes.select("node", "size", "prints", *more).mapInArrow(run, "key long, check long, last long, size long, node long" + ", root long" * rooted)
 
 
 def _cells(nodes: DataFrame, b: Blocks, max_run: int, sampled: int, rooted: bool = False) -> DataFrame:
@@ -145,16 +147,16 @@ def by_key(batches, width: int, found):
 
 
 def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
-    """t in the order of (key, cell, size, node); positions (u, v) of pairs that pass, and which rows
-    stand in keys of too many pairs, whose pairs here are a least spanning forest."""
-    t = t[:, np.lexsort((t[3], t[2], *t[width:], t[0]))]
+    """t in the order of (key, cell, size, node); positions (u, v) of all pairs that pass, if rooted; else
+    of a least spanning forest of them, and which rows have pairs beyond it."""
+    t = t[:, np.lexsort((t[4], t[3], *t[width:], t[0]))]
     n = t.shape[1]
     turn = np.diff(t[0]) != 0
     if len(t) > width:
         turn |= np.diff(t[width]) != 0
     edges = np.concatenate([[0], np.flatnonzero(turn) + 1, [n]])
     of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    check, size, node = t[1].view(np.uint64), t[2], t[3]
+    check, size, node = t[1].view(np.uint64), t[3], t[4]
     most, hits = LIMIT * np.diff(edges), np.zeros(len(edges) - 1, dtype=np.int64)
     u, v, live, off = [], [], np.arange(n), 0
     while len(live):  # by size: what is too long for a row is so at every later place
@@ -163,28 +165,56 @@ def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
         live = live[least * size[live + off] <= size[live]]
         ok = _chain(check[live] ^ check[live + off], b) & (node[live] != node[live + off])
         if rooted:
-            ok &= t[4][live] != t[4][live + off]
+            ok &= t[5][live] != t[5][live + off]
         u.append(live[ok])
         v.append(live[ok] + off)
         if not rooted and ok.any():
             np.add.at(hits, of[u[-1]], 1)
             live = live[hits[of[live]] <= most[of[live]]]
     u, v = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (u, v))
+    if rooted:
+        return t, u, v, np.zeros(n, dtype=bool)
     dense = hits > most
-    if dense.any():
-        keep = ~dense[of[u]]
-        u, v = [u[keep]], [v[keep]]
-        for r in np.flatnonzero(dense):
-            x, y = spanning(check[edges[r] : edges[r + 1]], size[edges[r] : edges[r + 1]], b, least)
-            u.append(x + edges[r])
-            v.append(y + edges[r])
-        u, v = np.concatenate(u), np.concatenate(v)
-    return t, u, v, dense[of]
-
-
-def spanning(check: np.ndarray, size: np.ndarray, b: Blocks, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a least spanning forest by difference over the pairs that pass; Prim's steps, each over
-    all rows that are left."""
+    keep = ~dense[of[u]] if len(u) else np.zeros(0, dtype=bool)
+    u, v, more = forest(u[keep], v[keep], t[2].view(np.uint64), node)
+    parts = [(u, v)]
+    for r in np.flatnonzero(dense):
+        x, y = spanning(check[edges[r] : edges[r + 1]], t[2][edges[r] : edges[r + 1]].view(np.uint64), size[edges[r] : edges[r + 1]], b, least)
+        parts.append((x + edges[r], y + edges[r]))
+        more[parts[-1][0]] = more[parts[-1][1]] = True
+    return t, *(np.concatenate(c) for c in zip(*parts, strict=True)), more
+
+
+def forest(u: np.ndarray, v: np.ndarray, last: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (u, v) of a least spanning forest by the difference of `last`, then by node, and which
+    positions lie in a tree that left pairs out."""
+    a, c = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
+    order = np.lexsort((c, a, np.bitwise_count(last[u] ^ last[v])))
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    keep = []
+    for k, x, y in zip(order.tolist(), u[order].tolist(), v[order].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[y] = x
+            keep.append(k)
+    more = np.zeros(len(last), dtype=bool)
+    if len(keep) < len(u):
+        left = np.ones(len(u), dtype=bool)
+        left[keep] = False
+        loops = {find(x) for x in u[left].tolist()}
+        more[[i for i in root if find(i) in loops]] = True
+    return u[keep], v[keep], more
+
+
+def spanning(check: np.ndarray, last: np.ndarray, size: np.ndarray, b: Blocks, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a least spanning forest by the difference of `last` over the pairs that pass; Prim's steps,
+    each over all rows that are left."""
     left, far = np.arange(len(check)), np.full(len(check), 255, dtype=np.uint8)
     by = np.full(len(check), -1)
     u, v = [], []
@@ -195,33 +225,32 @@ def spanning(check: np.ndarray, size: np.ndarray, b: Blocks, least: float) -> tu
             u.append(at)
             v.append(by[k])
         left, far, by = np.delete(left, k), np.delete(far, k), np.delete(by, k)
-        x = check[left] ^ check[at]
-        d = np.bitwise_count(x)
+        d = np.bitwise_count(last[left] ^ last[at])
         near = np.flatnonzero((d < far) & (least * np.maximum(size[left], size[at]) <= np.minimum(size[left], size[at])))
-        near = near[_chain(x[near], b)]
+        near = near[_chain(check[left[near]] ^ check[at], b)]
         far[near] = d[near]
         by[near] = at
     return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
 
 
 def _named(t: np.ndarray, u: np.ndarray, v: np.ndarray):
-    a, c = t[3][u], t[3][v]
+    a, c = t[4][u], t[4][v]
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names=["u", "v"])
 
 
 def meeting(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
     """(u, v), u >= v: pairs of nodes (node, size, prints) that meet on a block and pass the chain and whose
-    smaller size is at least `least` of the larger. A row of a key whose pairs are a forest is marked: (u, u)."""
+    smaller size is at least `least` of the larger, as a forest of each key. Rows with pairs beyond it are marked: (u, u)."""
     ship(nodes.sparkSession)
 
     def found(t):
         if t.shape[1] > 1:
-            t, u, v, dense = _pairs(t, 4, b, least, False)
-            mark = np.flatnonzero(dense)
+            t, u, v, more = _pairs(t, 5, b, least, False)
+            mark = np.flatnonzero(more)
             if len(u):
                 yield _named(t, np.concatenate([u, mark]), np.concatenate([v, mark]))
 
-    return _cells(nodes, b, max_run, sampled).mapInArrow(lambda batches: by_key(batches, 4, found), "u long, v long").distinct()
+    return _cells(nodes, b, max_run, sampled).mapInArrow(lambda batches: by_key(batches, 5, found), "u long, v long").distinct()
 
 
 def untried(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
@@ -230,11 +259,11 @@ def untried(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sa
 
     def found(t):
         if t.shape[1] > 1:
-            t, u, v, _ = _pairs(t, 5, b, least, True)
+            t, u, v, _ = _pairs(t, 6, b, least, True)
             for k in range(0, len(u), 100_000):
                 yield _named(t, u[k : k + 100_000], v[k : k + 100_000])
 
-    return _cells(nodes, b, max_run, sampled, True).mapInArrow(lambda batches: by_key(batches, 5, found), "u long, v long").distinct()
+    return _cells(nodes, b, max_run, sampled, True).mapInArrow(lambda batches: by_key(batches, 6, found), "u long, v long").distinct()
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:

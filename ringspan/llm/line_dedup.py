@@ -42,27 +42,25 @@ def normalised(line: str) -> str:
     return " ".join(line.encode("utf-8", "replace").translate(_PLAIN).decode("utf-8").split())
 
 
-def prints(lines: list[set[bytes]], width: int) -> np.ndarray:
-    """The SimHash of the distinct words of each line, in `width` 64-bit words: a word that every text
-    has often would make lines alike that have little else in common."""
-    from xxhash import xxh64_intdigest
-
-    out = np.zeros((len(lines), width), dtype=np.uint64)
-    at, n = 0, len(lines)
-    while at < n:  # about 4,000 words at a time stay in the processor's cache
-        words, ends, first = [], [], at
-        while at < n and len(words) < 4_000 and len(lines[at]) < 256:
-            words += lines[at]
-            ends.append(len(words))
-            at += 1
-        if words:
-            bits = bits_of(np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)), width)
-            ones = np.add.reduceat(bits, np.array([0, *ends[:-1]]), axis=0, dtype=np.uint8)
-            most = (np.diff([0, *ends]) // 2).astype(np.uint8)[:, None]
-            out[first:at] = np.packbits(ones > most, axis=1, bitorder="little").view("<u8")
-        if at < n and len(lines[at]) >= 256:
-            out[at] = wide_print(np.fromiter(map(xxh64_intdigest, lines[at]), dtype=np.uint64, count=len(lines[at])), width)
-            at += 1
+def prints(hashes: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """SimHashes of `width` 64-bit words, one for each n of the hashes: of the distinct words of a line,
+    since a word that every text has often would make lines alike that have little else in common."""
+    h = (hashes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.zeros((len(n), width), dtype=np.uint64)
+    start = np.cumsum(n) - n
+    order = np.argsort(n, kind="stable")
+    size, at = n[order], 0
+    while at < len(n):  # lines of as many words come together, 4,000 words at a time
+        k = int(size[at])
+        rows = order[at : min(int(np.searchsorted(size, k, side="right")), at + max(1, 4000 // max(k, 1)))]
+        if k < 256:
+            part = h[(start[rows][:, None] + np.arange(k)).ravel()]
+            ones = bits_of(part, width).reshape(len(rows), k, 64 * width).sum(axis=1, dtype=np.uint8)
+            out[rows] = np.packbits(ones > k // 2, axis=1, bitorder="little").view("<u8")
+        else:
+            for r in rows:
+                out[r] = wide_print(h[start[r] : start[r] + k], width)
+        at += len(rows)
     return out
 
 
@@ -143,41 +141,38 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, width:
     out = T.StructType([src.schema["id"], src.schema["thash"], T.StructField("line", T.IntegerType()), T.StructField("again", T.BooleanType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("prints", T.BinaryType()), T.StructField("size", T.LongType())])
 
     def run(batches):
+        from zlib import crc32
+
+        from xxhash import xxh3_128_digest
+
         for b in batches:
-            row, line, again, node, size, lines = [], [], [], [], [], []
+            row, line, again, node, size, hashes, n = [], [], [], [], [], [], []
             for i, t in enumerate(b.column(2)):
                 seen = set()
-                for k, norm, words in _lines(t.as_py(), min_words):
-                    n = _digest(norm)
+                for k, x in enumerate(t.as_py().translate(_PLAIN).split(b"\n")):
+                    words = x.split()
+                    if len(words) < min_words:
+                        continue
+                    norm = b" ".join(words)
+                    d = xxh3_128_digest(norm)
                     size.append(len(norm) if norm.isascii() else len(norm.decode("utf-8", "replace")))
                     row.append(i)
                     line.append(k)
-                    again.append(n in seen)
-                    seen.add(n)
-                    node.append(n)
-                    lines.append(set(words))
+                    again.append(d in seen)
+                    seen.add(d)
+                    node.append(d)
+                    distinct = set(map(crc32, words))
+                    hashes += distinct
+                    n.append(len(distinct))
             at = pa.array(row, pa.int64())
             d = _halves(node)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), len(lines), [None, pa.py_buffer(prints(lines, width).tobytes())]).cast(pa.binary())
+            made = prints(np.array(hashes, dtype=np.uint64), np.array(n, dtype=np.int64), width)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), len(n), [None, pa.py_buffer(made.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(again, pa.bool_()), pa.array(d[0]), pa.array(d[1]), packed, pa.array(size, pa.int64())], names=out.names)
 
     return src.mapInArrow(run, out)
 
 
-def _lines(text: bytes, min_words: int):
-    """(place, normalised line, its words) of each line of enough words."""
-    for k, x in enumerate(text.translate(_PLAIN).split(b"\n")):
-        words = x.split()
-        if len(words) >= min_words:
-            yield k, b" ".join(words), words
-
-
-def _digest(norm: bytes) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(norm)
-
-
 def _halves(digests: list[bytes]) -> np.ndarray:
     """The two 64-bit halves of each digest."""
     return np.ascontiguousarray(np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2).T)
@@ -229,23 +224,34 @@ def norms_of(docs: DataFrame, ends: DataFrame, text_col: str, min_words: int) ->
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
+        from xxhash import xxh3_128_digest
+
         have, seen = sent.value, set()
+
+        def passed(norms):
+            digests = list(map(xxh3_128_digest, norms))
+            d, keep = _halves(digests), []
+            for i in range(len(norms)) if have is None else np.flatnonzero(_passes(have, d[0])).tolist():
+                if digests[i] not in seen:
+                    seen.add(digests[i])
+                    keep.append(i)
+            if len(seen) > 200_000:
+                seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(d[0][keep]), pa.array(d[1][keep]), pa.array([norms[i].decode("utf-8", "replace") for i in keep], pa.string())], names=["d1", "d2", "norm"])
+
         for b in batches:
+            norms, held = [], 0
             for t in b.column(0):
-                norms = [norm for _, norm, _ in _lines(t.as_py(), min_words)]
-                if not norms:
-                    continue
-                digests = [_digest(n) for n in norms]
-                d = _halves(digests)
-                keep = []
-                for i in range(len(norms)) if have is None else np.flatnonzero(_passes(have, d[0])).tolist():
-                    if digests[i] not in seen:
-                        seen.add(digests[i])
-                        keep.append(i)
-                if len(seen) > 200_000:
-                    seen.clear()
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array(d[0][keep]), pa.array(d[1][keep]), pa.array([norms[i].decode("utf-8", "replace") for i in keep], pa.string())], names=["d1", "d2", "norm"])
+                for x in t.as_py().translate(_PLAIN).split(b"\n"):
+                    words = x.split()
+                    if len(words) >= min_words:
+                        norms.append(b" ".join(words))
+                        held += len(x)
+                if held > 4_000_000:
+                    yield passed(norms)
+                    norms, held = [], 0
+            if norms:
+                yield passed(norms)
 
     return src.mapInArrow(run, "d1 long, d2 long, norm string").join(ends, ["d1", "d2"]).select("node", "norm").dropDuplicates(["node"])
 

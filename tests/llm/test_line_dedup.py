@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ringspan.llm import blocks
 from ringspan.llm import line_dedup as L
 from tests.llm.cases import PASSAGE
 
@@ -76,7 +78,7 @@ def test_empty_table(spark, none):
 
 def test_failed_links_do_not_part_lines(spark, monkeypatch):
     """Lines of one SimHash, most of them unlike: the alike ones must meet all the same."""
-    monkeypatch.setattr(L, "prints", lambda lines, width: __import__("numpy").zeros((len(lines), width), dtype="uint64"))
+    monkeypatch.setattr(L, "prints", lambda hashes, n, width: __import__("numpy").zeros((len(n), width), dtype="uint64"))
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     bases = [[word() for _ in range(14)] for _ in range(12)]
@@ -152,3 +154,22 @@ def test_no_filter_beyond_its_size(spark, monkeypatch):
     want = result(spark, rows)
     monkeypatch.setattr(L, "FILTER_LINES", 0)
     assert result(spark, rows) == want and want[2][1] == [0]
+
+
+def test_prints_are_majorities():
+    rng = np.random.default_rng(4)
+    n = np.array([1, 2, 5, 5, 300, 0, 7])
+    h = rng.integers(0, 2**32, n.sum(), dtype=np.uint64)
+    got, at = L.prints(h, n, 3), 0
+    for k, p in zip(n, got, strict=True):
+        bits = L.bits_of((h[at : at + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 3).sum(axis=0, dtype=int)
+        assert (np.unpackbits(p.view(np.uint8), bitorder="little") == (2 * bits > k)).all()
+        at += k
+
+
+def test_forests_are_least_and_leave_marks():
+    last = np.array([0, 1, 3, 7, 0xFF, 0xFE], dtype=np.uint64)
+    u, v = np.array([0, 0, 0, 1, 1, 2, 4]), np.array([1, 2, 3, 2, 3, 3, 5])
+    a, b, more = blocks.forest(u, v, last, np.arange(6))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (1, 2), (2, 3), (4, 5)]
+    assert more.tolist() == [True] * 4 + [False] * 2
