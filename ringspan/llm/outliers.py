@@ -4,20 +4,28 @@
 each whole text. `judge` applies two fixed rules, then fits a minimum-covariance-determinant
 estimate of transformed statistics per language and source and rejects texts by Mahalanobis
 distance. From two starts (median and quartiles; mean and variance) concentration steps keep the
-three quarters of a group nearest to its centre and estimate again; the start that ends with the
-lesser determinant wins. Most texts have no symbol and no repeat, so the nearest three quarters
-may not vary at all in those shares: a deviation is at least what the 90th percentile of all
-groups' distances from their medians implies, and none is under `LEAST`, which only keeps factors
-regular. Squared distances are divided by their median over that of a chi-squared distribution
-with as many degrees of freedom as statistics vary by themselves in the group. Distances come from a Cholesky factor written out as column expressions.
+three quarters of a group nearest to its centre and estimate again, until no determinant falls any
+more; the start that ends with the lesser one wins. Squared distances are divided by their median over
+that of a chi-squared distribution with as many degrees of freedom as statistics vary by themselves in
+the group; `cutoff` is a quantile of the chi-squared distribution with four.
 
-Scale: one narrow pass over the texts; every later step reads a few numbers per row. Quantiles,
-means and covariances are pre-aggregated where the rows lie, so a hot source costs no more than
-others. Groups under `min_group` rows share one estimate.
+Most texts have no symbol and no repeat, so the nearest three quarters may not vary at all in those
+shares. A deviation is therefore never under the noise of the count itself: what one event (a symbol, a
+repeated line, a window found twice) makes in a text of the median size of the whole table, and for
+the word length the square root of its characters. Distances
+come from a Cholesky factor written out as column expressions.
+
+Transformed statistics are whole multiples of 1/4096 and distances are ranked in steps of about one in a
+hundred, so sums and quantiles are exact and no verdict depends on the order in which rows are merged.
+
+Scale: one narrow pass over the texts; every later step reads a few numbers per row. Quantiles (over
+bounded numbers of steps), means and covariances are pre-aggregated where the rows lie, so a hot source
+costs no more than others. Groups under `min_group` rows are too small for an estimate of their own and
+share one.
 
 Cases: a null text has no words and fails the base rule; null languages and sources are groups of
-their own; equal rows count each; groups without spread are carried by the least deviations; an empty table
-gives no rows; other columns stay unless named like an output.
+their own; equal rows count each; groups without spread are carried by the noise of counts; an empty table
+gives no rows; other columns stay, whatever their names, but those named like an output.
 """
 
 from __future__ import annotations
@@ -25,17 +33,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringspan.llm._shared import SPACE, cut
+from ringspan.llm._shared import SPACE, cut, fresh
 
 #: The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\f\r"
-#: The transformed statistics (word length, symbols, lines, repeats), and a deviation that none is under.
-_X = [f"_x{i}" for i in range(4)]
-LEAST = 0.02
-#: The medians of the chi-squared distributions with one to four degrees of freedom, and the normal 95th percentile.
+#: Steps of a transformed statistic in one unit, and of a distance in one doubling.
+STEPS, RANKS = 4096, 64
+#: Words that the smallest repeat covers: a window of three, twice.
+_WINDOW_TWICE = 6
+#: The medians of the chi-squared distributions with one to four degrees of freedom.
 _CHI_MEDIANS = (0.4549, 1.3863, 2.3660, 3.3567)
-_NORMAL_95 = 1.6449
+_P = range(4)
 
 
 def _let(value: Column, body) -> Column:
@@ -65,77 +74,112 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0)
     per_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_words(w).cast("long").alias("r")))
-    held = docs.withColumns({"_w": per_words, "word_chars": F.length(F.translate(text, _BLANKS, "")).cast("long"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"), "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))})
-    return held.withColumns({"n_words": F.col("_w.n"), "n_repeat_words": F.col("_w.r")}).drop("_w")
+    (own,) = fresh(docs, "counts")
+    held = docs.withColumns({own: per_words, "word_chars": F.length(F.translate(text, _BLANKS, "")).cast("long"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"), "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))})
+    return held.withColumns({"n_words": F.col(f"{own}.n"), "n_repeat_words": F.col(f"{own}.r")}).drop(own)
+
+
+def _steps(x: Column) -> Column:
+    """x as a whole number of steps."""
+    return F.round(x * STEPS).cast("long")
+
+
+def _share(a: Column, b: Column) -> Column:
+    return F.log1p(100.0 * a / F.greatest(b, F.lit(1)))
 
 
 def _transformed() -> list[Column]:
-    share = lambda a, b: F.log1p(100.0 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    return [
-        F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))).alias(_X[0]),
-        share("n_symbols", "word_chars").alias(_X[1]),
-        share("n_dup_lines", "n_words").alias(_X[2]),
-        share("n_repeat_words", "n_words").alias(_X[3]),
-    ]
+    chars, words = F.col("word_chars"), F.col("n_words")
+    return [F.log(F.greatest(chars, F.lit(1)) / F.greatest(words, F.lit(1))), _share(F.col("n_symbols"), chars), _share(F.col("n_dup_lines"), words), _share(F.col("n_repeat_words"), words)]
+
+
+def _least(fit: DataFrame) -> list[float]:
+    """The deviations that none is under, by statistic, from the median sizes of the rows (steps of the
+    logarithms s0 of words and s1 of characters)."""
+    import math
+
+    words, chars = (math.exp((x or 0.0) / STEPS) for x in fit.agg(F.percentile("s0", 0.5), F.percentile("s1", 0.5)).first())
+    return [chars**-0.5, math.log1p(100 / chars), math.log1p(100 / words), math.log1p(100 * _WINDOW_TWICE / words)]
+
+
+def _moments(rows: DataFrame, *by: str, diagonal: bool = False) -> DataFrame:
+    """Means m and covariances c of the statistics of each group, from exact sums of whole steps."""
+    pairs = [(i, j) for i in _P for j in range(i + 1) if i == j or not diagonal]
+    total = lambda x: F.sum(x.cast("decimal(20,0)")).cast("double")
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[total(F.col(f"q{i}")).alias(f"t{i}") for i in _P], *[total(F.col(f"q{i}") * F.col(f"q{j}")).alias(f"t{i}{j}") for i, j in pairs])
+    mean = lambda i: F.col(f"t{i}") / F.col("n")
+    cov = [((F.col(f"t{i}{j}") / F.col("n") - mean(i) * mean(j)) / STEPS**2).alias(f"c{i}{j}") for i, j in pairs]
+    zero = [F.lit(0.0).alias(f"c{i}{j}") for i in _P for j in range(i)] if diagonal else []
+    return sums.select(*by, *[(mean(i) / STEPS).alias(f"m{i}") for i in _P], *cov, *zero)
 
 
 def _factored(est: DataFrame, least: list[float]) -> DataFrame:
-    """est (means _m, covariances _c) with the Cholesky factor _l of the covariance whose variances are
+    """est (means m, covariances c) with the Cholesky factor l of the covariance whose variances are
     those of `least` deviations at least, the logarithm of its determinant, and how many variances
     are their own."""
-    p = len(_X)
-    est = est.withColumn("_df", sum((F.col(f"_c{i}{i}") >= least[i] ** 2).cast("int") for i in range(p)))
-    for i in range(p):
+    est = est.withColumn("df", sum((F.col(f"c{i}{i}") >= least[i] ** 2).cast("int") for i in _P))
+    for i in _P:
         for j in range(i + 1):
-            rest = F.greatest(F.col(f"_c{i}{i}"), F.lit(least[i] ** 2)) if i == j else F.col(f"_c{i}{j}")
+            rest = F.greatest(F.col(f"c{i}{i}"), F.lit(least[i] ** 2)) if i == j else F.col(f"c{i}{j}")
             for k in range(j):
-                rest = rest - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            est = est.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"_l{j}{j}"))
-    return est.withColumn("_det", sum((F.log(F.col(f"_l{i}{i}")) for i in range(p)), F.lit(0.0))).drop(*[f"_c{i}{j}" for i in range(p) for j in range(i + 1)])
+                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    return est.withColumn("det", sum((F.log(F.col(f"l{i}{i}")) for i in _P), F.lit(0.0))).drop(*[f"c{i}{j}" for i in _P for j in range(i + 1)])
 
 
 def _distance(rows: DataFrame, est: DataFrame, how: str = "inner") -> DataFrame:
-    """rows with the squared Mahalanobis distance _d to their group's estimate."""
-    df = rows.join(est, "_g", how)
-    for i in range(len(_X)):
-        rest = F.col(_X[i]) - F.col(f"_m{i}")
+    """rows with the squared Mahalanobis distance d to their group's estimate."""
+    df = rows.join(est, "g", how)
+    for i in _P:
+        rest = F.col(f"q{i}") / STEPS - F.col(f"m{i}")
         for k in range(i):
-            rest = rest - F.col(f"_l{i}{k}") * F.col(f"_y{k}")
-        df = df.withColumn(f"_y{i}", rest / F.col(f"_l{i}{i}"))
-    df = df.withColumn("_d", sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(len(_X))), F.lit(0.0)))
-    return df.drop(*[f"_y{i}" for i in range(len(_X))], *[f"_m{i}" for i in range(len(_X))], *[f"_l{i}{j}" for i in range(len(_X)) for j in range(i + 1)])
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
+        df = df.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
+    df = df.withColumn("d", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in _P), F.lit(0.0)))
+    return df.drop(*[f"y{i}" for i in _P], *[f"m{i}" for i in _P], *[f"l{i}{j}" for i in _P for j in range(i + 1)])
+
 
+def _rank() -> Column:
+    """A distance as a whole number of ranks."""
+    return F.round(F.log2(F.col("d") + F.lit(2.0**-20)) * RANKS).cast("long")
 
-def judge(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", core: float = 0.75, steps: int = 3, cutoff: float = 30.0, min_group: int = 60) -> DataFrame:
-    """stats with base_failed and kept. cutoff: the largest squared distance that is kept (a
-    chi-squared value with four degrees of freedom passes 30 about five times in a million)."""
-    p = range(len(_X))
+
+def estimates(slim: DataFrame, least: list[float], core: float, most_steps: int) -> DataFrame:
+    """(g, df, means m, factor l, scale) of each group of slim (g, q0..q3)."""
+    quartiles = slim.groupBy("g").agg(*[F.percentile(f"q{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in _P])
+    zero = [F.lit(0.0).alias(f"c{i}{j}") for i in _P for j in range(i)]
+    robust = quartiles.select("g", F.lit(0).alias("start"), *[(F.col(f"p{i}")[1] / STEPS).alias(f"m{i}") for i in _P], *[F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / (1.349 * STEPS), 2).alias(f"c{i}{i}") for i in _P], *zero)
+    plain = _moments(slim, "g", diagonal=True).withColumn("start", F.lit(1))
+    est = cut(_factored(robust.unionByName(plain), least), "estimate")
+    for step in range(most_steps):
+        near = _distance(slim, est.drop("det", "df")).withColumn("rank", _rank())
+        limit = cut(near.groupBy("g", "start").agg(F.percentile("rank", core).alias("limit")), "limits")
+        new = cut(_factored(_moments(near.join(limit, ["g", "start"]).where("rank <= limit"), "g", "start"), least), "estimate")
+        fell = new.join(est.select("g", "start", F.col("det").alias("was")), ["g", "start"]).where("det < was - 1e-6")
+        est = new
+        if step and fell.isEmpty():
+            break
+    rest = [c for c in est.columns if c not in ("g", "start", "det")]
+    best = cut(est.groupBy("g").agg(F.min(F.struct("det", "start", *rest)).alias("e")).select("g", *[F.col(f"e.{c}") for c in rest]), "best")
+    spread = _distance(slim, best.drop("df")).groupBy("g").agg(F.percentile(_rank(), 0.5).alias("median"))
+    expected = F.element_at(F.array(*[F.lit(x) for x in _CHI_MEDIANS]), F.greatest("df", F.lit(1)))
+    scale = F.when(F.col("df") > 0, F.pow(F.lit(2.0), F.col("median") / RANKS) / expected).otherwise(1.0)
+    return cut(best.join(spread, "g").withColumn("scale", scale).drop("median"), "estimates")
+
+
+def judge(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", core: float = 0.75, most_steps: int = 12, cutoff: float = 28.47, min_group: int = 60) -> DataFrame:
+    """stats with base_failed, distance2 and kept. cutoff: the largest squared distance that is kept (a
+    chi-squared value with four degrees of freedom passes 28.47 once in a hundred thousand)."""
+    outputs = ("base_failed", "distance2", "kept")
+    kept = [F.col(f"`{c}`") for c in stats.columns if c.lower() not in outputs]
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = cut(stats.withColumn("base_failed", base).select("*", F.coalesce(F.col(lang_col).cast("string"), F.lit("\u0001")).alias("_lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("\u0001")).alias("_source"), *_transformed()), "stats")
+    named = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0001"))
+    sizes = [_steps(F.log(F.greatest(F.col(c), F.lit(1)))).alias(f"s{i}") for i, c in enumerate(("n_words", "word_chars"))]
+    rows = cut(stats.select(F.struct(*kept).alias("row"), base.alias("base_failed"), F.concat_ws("\u0002", named(lang_col), named(source_col)).alias("own"), *[_steps(x).alias(f"q{i}") for i, x in enumerate(_transformed())], *sizes), "stats")
     fit = rows.where(~F.col("base_failed"))
-    groups = cut(fit.groupBy("_lang", "_source").count().where(F.col("count") >= min_group).select("_lang", "_source", F.concat_ws("\u0002", "_lang", "_source").alias("_own")), "groups")
-    grouped = rows.join(groups, ["_lang", "_source"], "left").withColumn("_g", F.coalesce("_own", F.lit(""))).drop("_lang", "_source", "_own")
-    slim = grouped.where(~F.col("base_failed")).select("_g", *_X)
-    first = slim.groupBy("_g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_q{i}") for i, x in enumerate(_X)], *[F.avg(x).alias(f"_a{i}") for i, x in enumerate(_X)], *[F.var_pop(x).alias(f"_v{i}") for i, x in enumerate(_X)])
-    first = cut(first, "first")
-    apart = slim.join(first.select("_g", *[F.col(f"_q{i}")[1].alias(f"_m{i}") for i in p]), "_g")
-    reach = apart.agg(*[F.percentile_approx(F.abs(F.col(_X[i]) - F.col(f"_m{i}")), 0.9, 1000) for i in p]).first()
-    least = [max(LEAST, (x or 0.0) / _NORMAL_95) for x in reach]
-    zero = [F.lit(0.0).alias(f"_c{i}{j}") for i in p for j in range(i)]
-    robust = first.select("_g", F.lit(0).alias("_start"), *[F.col(f"_q{i}")[1].alias(f"_m{i}") for i in p], *[F.pow((F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349, 2).alias(f"_c{i}{i}") for i in p], *zero)
-    plain = first.select("_g", F.lit(1).alias("_start"), *[F.col(f"_a{i}").alias(f"_m{i}") for i in p], *[F.col(f"_v{i}").alias(f"_c{i}{i}") for i in p], *zero)
-    est = cut(_factored(robust.unionByName(plain), least), "estimate")
-    for _ in range(steps):
-        near = _distance(slim, est.drop("_det", "_df"))
-        limit = near.groupBy("_g", "_start").agg(F.percentile_approx("_d", core, 1000).alias("_limit"))
-        inner = near.join(cut(limit, "limits"), ["_g", "_start"]).where("_d <= _limit")
-        moments = inner.groupBy("_g", "_start").agg(*[F.avg(_X[i]).alias(f"_m{i}") for i in p], *[F.covar_pop(_X[i], _X[j]).alias(f"_c{i}{j}") for i in p for j in range(i + 1)])
-        est = cut(_factored(moments, least), "estimate")
-    best = est.groupBy("_g").agg(F.min(F.struct("_det", "_start", *[c for c in est.columns if c not in ("_g", "_start", "_det")])).alias("_e")).select("_g", "_e.*").drop("_det", "_start")
-    best = cut(best, "best")
-    spread = _distance(slim, best.drop("_df")).groupBy("_g").agg(F.percentile_approx("_d", 0.5, 1000).alias("_median"))
-    expected = F.element_at(F.array(*[F.lit(x) for x in _CHI_MEDIANS]), F.greatest("_df", F.lit(1)))
-    scale = F.when(F.col("_df") > 0, F.greatest(F.col("_median"), F.lit(1e-9)) / expected).otherwise(1.0)
-    scales = cut(best.select("_g", "_df").join(spread, "_g").select("_g", scale.alias("_scale")), "spread")
-    judged = _distance(grouped, best.drop("_df").join(scales, "_g"), "left").withColumn("_d", F.col("_d") / F.col("_scale"))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_d") <= cutoff, F.lit(True))).withColumnRenamed("_d", "distance2").drop("_g", "_scale", *_X)
+    groups = cut(fit.groupBy("own").count().where(F.col("count") >= min_group).select("own", F.col("own").alias("g")), "groups")
+    grouped = rows.join(groups, "own", "left").withColumn("g", F.coalesce("g", F.lit(""))).drop("own")
+    slim = grouped.where(~F.col("base_failed")).select("g", *[f"q{i}" for i in _P])
+    judged = _distance(grouped, estimates(slim, _least(fit), core, most_steps).drop("df"), "left").withColumn("distance2", F.col("d") / F.col("scale"))
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
+    return judged.select("row.*", "base_failed", "distance2", verdict.alias("kept"))
