@@ -1,6 +1,7 @@
 """Neighbours against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ringspan.llm import ann as A
@@ -18,23 +19,39 @@ def rows(spark, ids, v):
     return spark.createDataFrame([(int(i), [float(x) for x in r], 1) for i, r in zip(ids, v, strict=True)], "vec_id long, embedding array<float>, id int")
 
 
-def test_one_window_is_exact(spark):
-    rng = np.random.default_rng(1)
-    v = rng.standard_normal((300, 8)).astype(np.float32).astype(float)
+def recall(spark, ids, v, **kw):
     got = {}
-    for r in A.search(rows(spark, range(300), v), F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert got == brute(range(300), v, range(0, 300, 50), 5)
+    for r in A.search(rows(spark, ids, v), F.col("id") % 50 == 0, **kw).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    want = brute(ids, v, range(0, len(ids), 50), 5)
+    for q, found in got.items():
+        assert len(found) == 5 and all(s == float(A.exact(v[q : q + 1], v[j : j + 1])[0]) for j, s in found.items())
+    return np.mean([len(set(got[q]) & set(w)) / 5 for q, w in want.items()])
+
+
+def test_a_table_of_one_window_is_searched_whole(spark):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((30, 8)).astype(np.float32).astype(float)
+    assert recall(spark, range(30), v) == 1
 
 
-def test_recall_over_windows(spark):
+@pytest.mark.parametrize("n", [600, 4000])
+def test_recall_without_structure(spark, n):
+    v = np.random.default_rng(n).standard_normal((n, 64)).astype(np.float32).astype(float)
+    assert recall(spark, range(n), v) >= 0.9
+
+
+def test_recall_of_a_fixed_reach_on_clusters(spark):
     rng = np.random.default_rng(2)
-    v = (rng.standard_normal((40, 16))[rng.integers(0, 40, 3000)] + 0.5 * rng.standard_normal((3000, 16))).astype(np.float32).astype(float)
-    got = {}
-    for r in A.search(rows(spark, range(3000), v), F.col("id") % 50 == 0, window_rows=64).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    want = brute(range(3000), v, range(0, 3000, 50), 5)
-    assert np.mean([len(got[q] & set(w)) / 5 for q, w in want.items()]) >= 0.9
+    v = (rng.standard_normal((600, 32))[rng.integers(0, 600, 6000)] + 0.1 * rng.standard_normal((6000, 32))).astype(np.float32).astype(float)
+    assert recall(spark, range(6000), v, reach=1) >= 0.9
+
+
+def test_double_vectors_keep_their_precision(spark):
+    v = np.random.default_rng(3).standard_normal((25, 6))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = A.search(df, F.col("id") == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, float(A.exact(v[:1], v[i : i + 1])[0])) for i in brute(range(25), v, [0], 5)[0]]
 
 
 def test_copies_ties_and_bad_rows(spark):
