@@ -100,5 +100,20 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_sharding,
 
 #: DuckDB SQL for what SQL can express on whole tables.
 SQL = {
+    "op3_sharding": """
+WITH RECURSIVE
+bit AS (SELECT n, 0 AS k, n AS c FROM (SELECT unnest(range(256)) AS n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM bit WHERE k = 8),
+d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS text_crc32 FROM d, crc_table),
+x0 AS (SELECT *, CAST(CASE WHEN coalesce(doc_id, -1) < 0 THEN CAST(coalesce(doc_id, -1) AS HUGEINT) + 18446744073709551616 ELSE coalesce(doc_id, -1) END AS UHUGEINT) AS x FROM c),
+x1 AS (SELECT * REPLACE ((xor(x, x // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS x) FROM x0),
+x2 AS (SELECT * REPLACE ((xor(x, x // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS x) FROM x1),
+x3 AS (SELECT DISTINCT doc_id, xor(x, x // 2147483648::UHUGEINT) AS x FROM x2),
+jump AS (SELECT doc_id, n, x AS k, 0::BIGINT AS b, 0::BIGINT AS j FROM x3, (VALUES (8), (9)) AS v(n)
+ UNION ALL SELECT doc_id, n, k2, j, CAST(trunc((j + 1) * (2147483648.0::DOUBLE / (CAST(k2 // 8589934592::UHUGEINT AS DOUBLE) + 1))) AS BIGINT) FROM (SELECT doc_id, n, j, (k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS k2 FROM jump WHERE j < n)),
+placed AS (SELECT doc_id, CAST(max(b) FILTER (n = 8) AS INTEGER) AS shard, CAST(max(b) FILTER (n = 9) AS INTEGER) AS grown_shard FROM jump GROUP BY doc_id)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY c.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM c JOIN placed ON c.doc_id IS NOT DISTINCT FROM placed.doc_id
+""",
     "op2_warc": "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p), k AS (SELECT payload_digest, max(page_id) AS keep FROM d WHERE payload_bytes >= 1000 GROUP BY 1) SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM d LEFT JOIN k USING (payload_digest)",
 }

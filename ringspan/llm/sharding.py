@@ -1,15 +1,17 @@
 """Shards by jump consistent hashing.
 
 `assign` gives each row a shard from its key and the number of shards alone, with no table of a
-ring; adding a shard moves rows only into it. `number` gives each row its place in its shard,
-gapless from 0, without bringing a shard into one task: rows are dealt to cells of a shard by a
-second hash, counted, and numbered inside cells from the sum of the counts before.
+ring; adding a shard moves rows only into it. `number` gives each row its place in its shard, gapless
+from 0 in the order of key and other columns, without bringing a shard into one task: rows are
+range-partitioned by shard, key, other columns and a number of their own, and each stretch of a shard
+starts at the sum of the counts of those before it.
 
-Scale: `assign` is a narrow map. `number` shuffles the columns it is given once (keep them few)
-and joins them to one count per cell.
+Scale: `assign` is a narrow map. `number` shuffles the columns it is given once (keep them few) and joins
+them to one row per stretch. Rows of one key, or of none, are split like any others.
 
 Cases: a null key counts as one value of its own; rows with equal keys share a shard and get
-slots of their own; an empty table gives no rows; other columns stay.
+slots of their own; rows equal in all columns get neighbouring slots; an empty table gives no rows; other
+columns stay, whatever their names, but one named like an output.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringspan.llm._shared import cut, ship
+from ringspan.llm._shared import cut, fresh, ship
 
 # The multiplier of jump consistent hashing and those of the splitmix64 finaliser.
 _JUMP = np.uint64(2862933555777941757)
@@ -68,13 +70,16 @@ def assign(df: DataFrame, key: str, n: int, out: str = "shard") -> DataFrame:
 
 
 def number(df: DataFrame, shard: str, key: str, rows_per_cell: int = 50_000, out: str = "slot") -> DataFrame:
-    """df with the place of each row in its shard: gapless from 0, in the order of cell and key."""
-    rest = [c for c in df.columns if c not in (shard, key)]
-    held = cut(df, "shards")
-    cells = max(1, -(-held.count() // rows_per_cell))
-    dealt = held.withColumn("_cell", F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(cells)).cast("int"))
-    counts = dealt.groupBy(shard, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(counts.select(shard, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "starts")
-    inside = Window.partitionBy(shard, "_cell").orderBy(key, *rest)
-    return dealt.withColumn("_at", F.row_number().over(inside)).join(starts, [shard, "_cell"]).withColumn(out, (F.col("_start") + F.col("_at") - 1).cast("long")).drop("_cell", "_start", "_at")
+    """df with the place of each row in its shard: gapless from 0, in the order of key and other columns."""
+    df = df.drop(out)
+    seat, at, part, first, start = fresh(df.drop(out), "seat", "at", "part", "first", "start")
+    rest = [f"`{f.name}`" for f in df.schema.fields if f.name not in (shard, key) and f.dataType.typeName() not in ("map", "variant")]
+    held = cut(df.withColumn(seat, F.monotonically_increasing_id()), "shards")
+    order = [f"`{shard}`", f"`{key}`", *rest, seat]
+    ranged = held.repartitionByRange(max(1, -(-held.count() // rows_per_cell)), *order).sortWithinPartitions(*order)
+    # the number of a row: that of its task, and in the low 33 bits its place there
+    placed = cut(ranged.drop(seat).withColumn(at, F.monotonically_increasing_id()), "placed").withColumn(part, F.shiftright(at, 33))
+    counts = placed.groupBy(shard, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(start))
+    before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.select(shard, part, first, F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start)), "starts")
+    return placed.join(starts, [shard, part]).withColumn(out, F.col(start) + F.col(at) - F.col(first)).select(*[f"`{c}`" for c in df.columns], out)

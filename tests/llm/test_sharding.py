@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ringspan.llm import sharding as S
 
@@ -47,3 +48,47 @@ def test_equal_keys_share_a_shard_and_strings_work(spark):
 
 def test_empty_table(spark, none):
     assert S.number(S.assign(none.select("doc_id", "text"), "doc_id", 3), "shard", "doc_id").count() == 0
+
+
+def test_slots_follow_the_key_in_stretches(spark):
+    rows = [(i * 7919 % 1000, i % 3) for i in range(1000)]
+    got = S.number(spark.createDataFrame(rows, "k long, shard int"), "shard", "k", rows_per_cell=70).collect()
+    for s in range(3):
+        assert [r["k"] for r in sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])] == sorted(k for k, x in rows if x == s)
+
+
+def test_rows_of_one_key_are_split(spark):
+    """A null key holds a third of the rows, all alike: no task may take them all."""
+    df = spark.createDataFrame([(None, 1)] * 1000 + [(i, 1) for i in range(2000)], "k long, size int")
+    got = S.number(S.assign(df, "k", 4), "shard", "k", rows_per_cell=100)
+    rows = got.collect()
+    for s in range(4):
+        mine = [r["slot"] for r in rows if r["shard"] == s]
+        assert sorted(mine) == list(range(len(mine)))
+    ranged = S.assign(df, "k", 4).withColumn("seat", F.monotonically_increasing_id()).repartitionByRange(30, "shard", "k", "size", "seat")
+    assert max(r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) < 400
+
+
+def test_names_of_its_own_columns(spark):
+    names = ["seat", "at", "part", "first", "start", "_cell", "_n", "_start", "_at"]
+    df = spark.createDataFrame([(i, *range(len(names))) for i in range(20)], "k long, " + ", ".join(f"{n} int" for n in names))
+    got = S.number(S.assign(df, "k", 2), "shard", "k", rows_per_cell=3)
+    assert got.columns == ["k", *names, "shard", "slot"]
+    assert all([r[n] for n in names] == list(range(len(names))) for r in got.collect())
+
+
+def test_op3_over_whole_documents(spark, tmp_path):
+    from zlib import crc32
+
+    from ringspan.llm.queries import op3_sharding
+
+    texts = [(1, "some text"), (2, None), (2, None), (3, ""), (None, "é"), (-7, "東京" * 900)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op3_sharding(spark, str(tmp_path)).collect()
+    key = lambda i: int(S.mix64(np.array([-1 if i is None else i], dtype=np.int64).view(np.uint64))[0])
+    want = sorted((str(i), len((t or "").encode()) + 1, crc32((t or "").encode()), "key", slow_jump(key(i), 8), slow_jump(key(i), 9)) for i, t in texts)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in rows) == want
+    at = defaultdict(list)
+    for r in rows:
+        at[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in at.values())
