@@ -8,19 +8,24 @@ either record, and a metadata record may name a request instead of the response.
 
 Scale: payloads move only in the join that marks revisits, and not even then while the table of
 repeated payloads is small enough for Spark to broadcast (its size is known, it is a written
-table). An archive has at most `captures_per_file` captures. Assembly shuffles record heads only,
-unless payloads are kept. Links are pre-aggregated per capture, captures stay rows of their own:
-a hot identifier is no hot group.
-
-Cases: a null html is an empty payload; a null url becomes urn:none; a null page id has no
+table). An archive has at most `captures_per_file` captures, and no more than come to `archive_bytes` at
+the mean size of a payload. Gzipped archives are read as a stream, a record at a time, and records leave
+in batches of about 4 MB: a task holds one record and one batch, however large the archive. A file is
+gzipped as a whole, not record by record, since Spark's writer does so; both are read. Assembly shuffles
+record heads only, unless payloads are kept. Links are pre-aggregated per capture, captures stay rows of
+their own: a hot identifier is no hot group.
+
+Cases: a null html is an empty payload; a null url becomes urn:none; blanks and control characters in a
+url are written as %20, since they would end the header; a null page id has no
 page-id field and reads back as null; rows with equal page id and payload are each a capture, all
 of one type; an empty table gives no archives and no rows; other columns are ignored; a record
-whose transaction has no response gives no row.
+whose transaction has no response gives no row; a file that breaks off gives the records before the break.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +48,7 @@ def _record(heads: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(lines, F.lit(_END), block)
 
 
-def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 1000, date: str = "2025-01-01T00:00:00Z", captures_per_file: int = 10_000) -> str:
+def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 1000, date: str = "2025-01-01T00:00:00Z", captures_per_file: int = 10_000, archive_bytes: int = 1 << 30) -> str:
     """Write the captures; the path of the archives. Of equal payloads of at least
     min_revisit_bytes, that with the largest id is a response, others revisit it."""
     spark = pages.sparkSession
@@ -52,6 +57,8 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     src = src.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
     again = src.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     again = cut(again.where("n > 1 and keep is not null").select(F.col("digest").alias("same"), "keep"), "repeated")
+    mean = int(src.agg(F.avg("bytes")).first()[0] or 0) + 1
+    captures_per_file = max(1, min(captures_per_file, archive_bytes // mean))
     src = src.join(again, src["digest"] == again["same"], "left").withColumn("revisit", F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep")))
     own, sent, meta = (_uuid(kind, F.col("id"), F.col("digest")) for kind in ("capture", "request", "metadata"))
     when, url = F.lit(date), F.col("url")
@@ -72,52 +79,122 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
 RECORD = "record_id string, type string, date string, target_uri string, concurrent_to array<string>, refers_to string, digest_head string, http_head string, fields map<string,string>, payload binary"
 
 
-def parse(data: bytes) -> list[dict]:
-    """The records of an archive, gzipped (in one or many members) or not."""
-    if data[:2] == b"\x1f\x8b":
-        parts, rest = [], data
-        while rest:
-            z = zlib.decompressobj(31)
-            parts.append(z.decompress(rest))
-            rest = z.unused_data
-        data = b"".join(parts)
-    out, at = [], 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
+#: Bytes of payloads that a batch of records holds, or one record if that is larger.
+BATCH_BYTES = 4_000_000
+
+
+def parse(blocks: Iterable[bytes]) -> Iterator[dict]:
+    """The records of an archive that comes in blocks of any length, one at a time."""
+    blocks, held, at = iter(blocks), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        if at > 1 << 20:
+            del held[:at]
+            at = 0
+        block = next(blocks, None)
+        held.extend(block or b"")
+        return block is not None
+
+    def upto(n: int) -> bool:
+        """Whether so many bytes are at hand from here on."""
+        while len(held) - at < n:
+            if not more():
+                return False
+        return True
+
+    while True:
+        while upto(2) and held[at : at + 2] == b"\r\n":
+            at += 2
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", at + looked)) < 0:
+            looked = max(0, len(held) - at - 3)
+            if not more():
+                return
         heads: dict[str, list[str]] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in held[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             heads.setdefault(k.strip().lower(), []).append(v.strip())
-        one = lambda k: heads.get(k, [None])[0]  # noqa: E731, B023
-        n = int(one("content-length") or 0)
-        block, at = data[end + 4 : end + 4 + n], end + 4 + n
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        kind, mime = one("warc-type"), one("content-type") or ""
-        http, payload, fields = None, block, None
-        if mime.startswith("application/http"):
-            head, _, payload = block.partition(b"\r\n\r\n")
-            http = head.decode("utf-8", "replace")
-        elif mime == "application/warc-fields":
-            fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode("utf-8", "replace").split("\r\n") if ":" in line]
-            fields = list(dict(fields).items())
-        out.append({"record_id": one("warc-record-id"), "type": kind, "date": one("warc-date"), "target_uri": one("warc-target-uri"), "concurrent_to": heads.get("warc-concurrent-to", []), "refers_to": one("warc-refers-to"), "digest_head": one("warc-payload-digest"), "http_head": http, "fields": fields, "payload": payload})
-    return out
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives under a path."""
+        at = end + 4
+        n = heads.get("content-length", [""])[0]
+        if not n.isdecimal() or not upto(int(n)):
+            return
+        n = int(n)
+        yield _record_of(heads, bytes(held[at : at + n]))
+        at += n
+
+
+def _record_of(heads: dict[str, list[str]], block: bytes) -> dict:
+    one = lambda k: heads.get(k, [None])[0]
+    mime = one("content-type") or ""
+    http, payload, fields = None, block, None
+    if mime.startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        http = head.decode("utf-8", "replace")
+    elif mime == "application/warc-fields":
+        fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode("utf-8", "replace").split("\r\n") if ":" in line]
+        fields = list(dict(fields).items())
+    return {"record_id": one("warc-record-id"), "type": one("warc-type"), "date": one("warc-date"), "target_uri": one("warc-target-uri"), "concurrent_to": heads.get("warc-concurrent-to", []), "refers_to": one("warc-refers-to"), "digest_head": one("warc-payload-digest"), "http_head": http, "fields": fields, "payload": payload}
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a file in blocks: of gzip members, one or many, else as it is."""
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        block = z.decompress(data, 1 << 20)
+        while block:
+            yield block
+            block = z.decompress(z.unconsumed_tail, 1 << 20)
+        data = z.unused_data
+    yield data
+
+
+def _batched(records: Iterable[dict], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for r in records:
+        rows.append(r)
+        held += len(r["payload"]) + 500
+        if held > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+
+def read_records(spark: SparkSession, path: str, names: str = "part-*") -> DataFrame:
+    """A row per record of the archives under a path whose names fit the pattern. Those ending in .gz are
+    read as a stream of stretches between blank lines; others, which Spark would split, are read whole."""
     ship(spark)
     kinds = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("date", pa.string()), ("target_uri", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("digest_head", pa.string()), ("http_head", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
-    def run(batches):
-        for b in batches:
-            for data in b.column(0):
-                rows = parse(data.as_py())
-                for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 2000], schema=kinds)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.where("length > 0").select("content").mapInArrow(run, RECORD)
+    def streamed(batches):
+        rows = ((name, part) for b in batches for name, part in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        ahead = next(rows, None)
+
+        def blocks():
+            nonlocal ahead
+            name = ahead[0]
+            while ahead and ahead[0] == name:
+                yield ahead[1].as_py() + _END.encode()
+                ahead = next(rows, None)
+
+        def records():
+            while ahead:
+                of_file = blocks()
+                yield from parse(of_file)
+                for _ in of_file:  # what a broken file has left
+                    pass
+
+        yield from _batched(records(), kinds)
+
+    def whole(batches):
+        yield from _batched((r for b in batches for data in b.column(0) for r in parse(inflated(data.as_py()))), kinds)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    parts = spark.read.option("lineSep", _END).option("pathGlobFilter", names if names.endswith(".gz") else f"{names}.gz").schema("value string").text(path)
+    stretches = parts.select(F.col("_metadata.file_path").alias("name"), F.col("value").cast("binary").alias("part"))
+    others = files.where(~F.col("path").endswith(".gz") & (F.col("length") > 0)).select("content")
+    return stretches.mapInArrow(streamed, RECORD).union(others.mapInArrow(whole, RECORD))
 
 
 def assemble(records: DataFrame) -> DataFrame:

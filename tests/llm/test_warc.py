@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 
+import pytest
+
 from ringspan.llm import warc as W
 from ringspan.llm.queries import op2_warc
 
@@ -34,9 +36,50 @@ def record(kind, rid, block=b"", **heads):
 def test_parse_members_and_plain():
     a, b = record("response", "<a>", b"HTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n", Content_Type="application/http"), record("metadata", "<b>", b"k: v\r\n", Content_Type="application/warc-fields")
     for data in (a + b, gzip.compress(a) + gzip.compress(b), gzip.compress(a + b)):
-        got = W.parse(data)
+        got = list(W.parse(W.inflated(data)))
         assert [r["record_id"] for r in got] == ["<a>", "<b>"] and got[0]["payload"] == b"body\r\n\r\n" and got[1]["fields"] == [("k", "v")]
-    assert W.parse(b"") == []
+    assert list(W.parse(W.inflated(b""))) == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 1000])
+def test_blocks_of_any_length(n):
+    data = b"".join(record("response", f"<{k}>", b"\r\n" * k + b"x\r\n\r\nWARC/1.1\r\n" + b"\r\n" * (k % 3)) for k in range(9))
+    got = list(W.parse(data[i : i + n] for i in range(0, len(data), n)))
+    assert [(r["record_id"], r["payload"]) for r in got] == [(f"<{k}>", b"\r\n" * k + b"x\r\n\r\nWARC/1.1\r\n" + b"\r\n" * (k % 3)) for k in range(9)]
+
+
+def test_a_record_at_a_time():
+    """Nothing past a record is asked for before it is out."""
+    asked = []
+
+    def blocks():
+        for k in range(100):
+            asked.append(k)
+            yield record("response", f"<{k}>", b"x" * 100_000)
+
+    got = W.parse(blocks())
+    next(got)
+    next(got)
+    assert len(asked) <= 3
+
+
+def test_gzipped_and_plain_archives_side_by_side(spark, tmp_path):
+    a, b, c = (record("response", f"<{x}>", f"{x}\r\n\r\né".encode() + b"\xff\x00\r\n\r\n\r\n\r\n") for x in "abc")
+    (tmp_path / "part-0.warc").write_bytes(a)
+    (tmp_path / "part-1.warc.gz").write_bytes(gzip.compress(b) + gzip.compress(c))
+    (tmp_path / "part-2.warc.gz").write_bytes(gzip.compress(b[:40]))
+    (tmp_path / "part-3.warc.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "part-4.warc").write_bytes(b"")
+    (tmp_path / "part-5.warc.gz").write_bytes(gzip.compress(a + c[:60]))
+    got = sorted((r["record_id"], bytes(r["payload"])) for r in W.read_records(spark, str(tmp_path)).collect())
+    assert got == [(f"<{x}>", f"{x}\r\n\r\né".encode() + b"\xff\x00\r\n\r\n\r\n\r\n") for x in "aabc"]
+
+
+def test_archives_roll_by_bytes(spark, tmp_path):
+    pages = spark.range(40).selectExpr("id as page_id", "concat('http://a/', id) as url", "concat(id, repeat('x', 1000)) as html").coalesce(1)
+    path = W.write(pages, str(tmp_path / "out"), archive_bytes=10_000)
+    assert len(list((tmp_path / "out").glob("part-*.gz"))) >= 4
+    assert W.assemble(W.read_records(spark, path)).count() == 40
 
 
 def test_links_both_ways_and_by_a_hop(spark, tmp_path):
