@@ -75,6 +75,11 @@ def wide_print(h: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
 
 
+def print_columns(words: int) -> list[str]:
+    """The names of a print's words, each a signed 64-bit integer."""
+    return [f"p{k}" for k in range(words)]
+
+
 def _at(prints: np.ndarray, pos: int) -> np.ndarray:
     """64 bits of each ring from a position on."""
     words = prints.shape[1]
@@ -88,11 +93,12 @@ def _at(prints: np.ndarray, pos: int) -> np.ndarray:
 def _chain(x: np.ndarray, b: Blocks) -> np.ndarray:
     """Whether differences behind a block that agrees stay within the budget at every length."""
     ok = np.bitwise_count(x) <= (1 + 64 / b.bits) * b.budget
+    at = np.flatnonzero(ok)
     for k in range(1, 64 // b.bits + 1):
-        if not ok.any():
-            break
-        part = x & np.uint64((1 << min(64, k * b.bits)) - 1)
-        ok &= np.bitwise_count(part) <= (k + 1) * b.budget
+        part = x[at] & np.uint64((1 << min(64, k * b.bits)) - 1)
+        at = at[np.bitwise_count(part) <= (k + 1) * b.budget]
+    ok[:] = False
+    ok[at] = True
     return ok
 
 
@@ -101,18 +107,20 @@ def _entries(nodes: DataFrame, b: Blocks, rooted: bool) -> DataFrame:
     behind the block, last is the last word of the print."""
     more = ["root"] if rooted else []
 
+    names = print_columns(b.words)
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u8").reshape(batch.num_rows, b.words)
-            last = pa.array(np.ascontiguousarray(prints[:, -1]).view(np.int64))
+            prints = np.stack([batch.column(name).to_numpy() for name in names], axis=1).view(np.uint64)
+            last = batch.column(names[-1])
             for k in range(b.count):
                 key = _at(prints, k * b.bits) & np.uint64((1 << b.bits) - 1)
                 check = pa.array(_at(prints, (k + 1) * b.bits).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64) | k << KEY_BITS), check, last, batch.column(1), batch.column(0), *batch.columns[3:]], names=["key", "check", "last", "size", "node", *more])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64) | k << KEY_BITS), check, last, *(batch.column(c) for c in ("size", "node", *more))], names=["key", "check", "last", "size", "node", *more])
 
-    return nodes.select("node", "size", "prints", *more).mapInArrow(run, "key long, check long, last long, size long, node long" + ", root long" * rooted)
+    return nodes.select("node", "size", *names, *more).mapInArrow(run, "key long, check long, last long, size long, node long" + ", root long" * rooted)
 
 
 def _cells(nodes: DataFrame, b: Blocks, max_run: int, sampled: int, rooted: bool = False) -> DataFrame:
@@ -130,13 +138,13 @@ def _cells(nodes: DataFrame, b: Blocks, max_run: int, sampled: int, rooted: bool
 
 
 def by_key(batches, width: int, found):
-    """What found gives for the rows of batches, some 50,000 at a time and never part of a key (and
+    """What found gives for the rows of batches, some 200,000 at a time and never part of a key (and
     cell, where there are more than `width` columns)."""
     held, n = [], 0
     for b in batches:
         held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
         n += b.num_rows
-        if n < 50_000:
+        if n < 200_000:
             continue
         t = np.concatenate(held, axis=1)
         last = t[0] == t[0, -1] if len(t) == width else (t[0] == t[0, -1]) & (t[width] == t[width, -1])
@@ -147,30 +155,42 @@ def by_key(batches, width: int, found):
 
 
 def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
-    """t in the order of (key, cell, size, node); positions (u, v) of all pairs that pass, if rooted; else
+    """t in the order of (key, cell, size); positions (u, v) of all pairs that pass, if rooted; else
     of a least spanning forest of them, and which rows have pairs beyond it."""
-    t = t[:, np.lexsort((t[4], t[3], *t[width:], t[0]))]
+    t = t[:, np.lexsort((*t[width:], t[0]))]
     n = t.shape[1]
     turn = np.diff(t[0]) != 0
     if len(t) > width:
         turn |= np.diff(t[width]) != 0
-    edges = np.concatenate([[0], np.flatnonzero(turn) + 1, [n]])
-    of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    of = np.concatenate([[0], np.cumsum(turn)])  # the run of each row
+    wide = float(t[3].max()) / max(least, 1e-9) + 2 if least else float(t[3].max()) + 2
+    t = t[:, np.argsort(of * wide + t[3], kind="stable")]
     check, size, node = t[1].view(np.uint64), t[3], t[4]
-    most, hits = LIMIT * np.diff(edges), np.zeros(len(edges) - 1, dtype=np.int64)
-    u, v, live, off = [], [], np.arange(n), 0
-    while len(live):  # by size: what is too long for a row is so at every later place
-        off += 1
-        live = live[live + off < edges[of[live] + 1]]
-        live = live[least * size[live + off] <= size[live]]
-        ok = _chain(check[live] ^ check[live + off], b) & (node[live] != node[live + off])
+    # each row meets those behind it in its run whose sizes are in reach
+    end = np.searchsorted(of, of, side="right")
+    reach = end if not least else np.minimum(end, np.searchsorted(of * wide + size, of * wide + size / least + 1e-6, side="right"))
+    meets = np.maximum(reach - np.arange(n) - 1, 0)
+    runs = int(of[-1]) + 1
+    most, hits = LIMIT * np.bincount(of, minlength=runs), np.zeros(runs, dtype=np.int64)
+    u, v, at = [], [], 0
+    total = np.cumsum(meets)
+    while at < n:  # about a million pairs at a time, or all of one row
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, side="right")))
+        rows = np.arange(at, to)
+        rows = rows[(meets[rows] > 0) & (hits[of[rows]] <= most[of[rows]])]
+        k = meets[rows]
+        i = np.repeat(rows, k)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        ok = np.flatnonzero(_chain(check[i] ^ check[j], b))
+        i, j = i[ok], j[ok]
+        keep = node[i] != node[j]
         if rooted:
-            ok &= t[5][live] != t[5][live + off]
-        u.append(live[ok])
-        v.append(live[ok] + off)
-        if not rooted and ok.any():
-            np.add.at(hits, of[u[-1]], 1)
-            live = live[hits[of[live]] <= most[of[live]]]
+            keep &= t[5][i] != t[5][j]
+        u.append(i[keep])
+        v.append(j[keep])
+        if not rooted:
+            hits += np.bincount(of[u[-1]], minlength=runs)
+        at = to
     u, v = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (u, v))
     if rooted:
         return t, u, v, np.zeros(n, dtype=bool)
@@ -179,8 +199,9 @@ def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
     u, v, more = forest(u[keep], v[keep], t[2].view(np.uint64), node)
     parts = [(u, v)]
     for r in np.flatnonzero(dense):
-        x, y = spanning(check[edges[r] : edges[r + 1]], t[2][edges[r] : edges[r + 1]].view(np.uint64), size[edges[r] : edges[r + 1]], b, least)
-        parts.append((x + edges[r], y + edges[r]))
+        lo, hi = np.searchsorted(of, [r, r + 1])
+        x, y = spanning(check[lo:hi], t[2][lo:hi].view(np.uint64), size[lo:hi], b, least)
+        parts.append((x + lo, y + lo))
         more[parts[-1][0]] = more[parts[-1][1]] = True
     return t, *(np.concatenate(c) for c in zip(*parts, strict=True)), more
 
@@ -239,7 +260,7 @@ def _named(t: np.ndarray, u: np.ndarray, v: np.ndarray):
 
 
 def meeting(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
-    """(u, v), u >= v: pairs of nodes (node, size, prints) that meet on a block and pass the chain and whose
+    """(u, v), u >= v: pairs of nodes (node, size, p0, p1...) that meet on a block and pass the chain and whose
     smaller size is at least `least` of the larger, as a forest of each key. Rows with pairs beyond it are marked: (u, u)."""
     ship(nodes.sparkSession)
 
@@ -254,7 +275,7 @@ def meeting(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sa
 
 
 def untried(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
-    """(u, v), u > v: every pair of nodes (node, size, prints, root) of unequal roots that meets as in `meeting`."""
+    """(u, v), u > v: every pair of nodes (node, size, p0, p1..., root) of unequal roots that meets as in `meeting`."""
     ship(nodes.sparkSession)
 
     def found(t):
@@ -277,14 +298,14 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def groups(nodes: DataFrame, b: Blocks, verify: Callable[[DataFrame], DataFrame], least: float = 0.0) -> DataFrame:
     """(node, root): each node that a verified pair joins to another, with the least node of its group.
-    nodes: (node, size, prints), a written table; verify gives those of the pairs (u, v) that hold."""
+    nodes: (node, size, p0, p1...), a written table; verify gives those of the pairs (u, v) that hold."""
     found = cut(meeting(nodes, b, least), "links")
     links = found.where("u <> v")
     roots = components(verify(links))
     marked = found.where("u = v").select(F.col("u").alias("node"))
     if marked.isEmpty():
         return roots
-    named = nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "size", "prints", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "size", *print_columns(b.words), F.coalesce("root", "node").alias("root"))
     rest = untried(cut(named, "open"), b, least).join(links, ["u", "v"], "left_anti")
     more = cut(verify(cut(rest, "untried")), "more")
     return roots if more.isEmpty() else joined_roots(roots, more)

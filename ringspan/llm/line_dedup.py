@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringspan.llm._shared import cut, fresh, ship
-from ringspan.llm.blocks import bits_of, blocks_for, groups, wide_print
+from ringspan.llm.blocks import bits_of, blocks_for, groups, print_columns, wide_print
 
 # Letters in lower case, digits as one, other signs as a blank; the line end and other bytes stay.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 10 else 48 if 48 <= b <= 57 else 32 for b in range(256))
@@ -134,11 +134,11 @@ def similar(a: str, b: str, similarity: float) -> bool:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, width: int) -> DataFrame:
-    """(id, thash, line, again, d1, d2, prints, size): each line of enough words, by document and place;
-    d1 and d2 are its digest, again is true if the document has an equal line before it; size is the
+    """(id, thash, line, again, d1, d2, size, p0, p1...): each line of enough words, by document and place;
+    d1 and d2 are its digest, p0 and so on its print, again is true if the document has an equal line before it; size is the
     normalised length."""
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("thash"), F.col(text_col).cast("binary").alias("text"))
-    out = T.StructType([src.schema["id"], src.schema["thash"], T.StructField("line", T.IntegerType()), T.StructField("again", T.BooleanType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("prints", T.BinaryType()), T.StructField("size", T.LongType())])
+    out = T.StructType([src.schema["id"], src.schema["thash"], T.StructField("line", T.IntegerType()), T.StructField("again", T.BooleanType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("size", T.LongType()), *(T.StructField(c, T.LongType()) for c in print_columns(width))])
 
     def run(batches):
         from zlib import crc32
@@ -167,8 +167,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, width:
             at = pa.array(row, pa.int64())
             d = _halves(node)
             made = prints(np.array(hashes, dtype=np.uint64), np.array(n, dtype=np.int64), width)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), len(n), [None, pa.py_buffer(made.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(again, pa.bool_()), pa.array(d[0]), pa.array(d[1]), packed, pa.array(size, pa.int64())], names=out.names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(again, pa.bool_()), pa.array(d[0]), pa.array(d[1]), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(width))], names=out.names)
 
     return src.mapInArrow(run, out)
 
@@ -194,44 +193,44 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 FILTER_LINES = 1 << 24
 
 
-def bloom(digests: DataFrame, n: int) -> np.ndarray | None:
-    """A Bloom filter of n 64-bit digests d1, put together on the executors; None for too many."""
+def bloom(keys: DataFrame, n: int) -> np.ndarray | None:
+    """A Bloom filter of n 64-bit keys, put together on the executors; None for too many."""
     if n > FILTER_LINES:
         return None
     words = 1 << max(10, (n - 1).bit_length() - 2) if n else 1024
-    at = F.array(F.col("d1").bitwiseAND(F.lit(64 * words - 1)), F.shiftrightunsigned("d1", 32).bitwiseAND(F.lit(64 * words - 1)))
-    bits = digests.select(F.explode(at).alias("b")).select(F.shiftrightunsigned("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m"))
+    at = F.array(F.col("key").bitwiseAND(F.lit(64 * words - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(64 * words - 1)))
+    bits = keys.select(F.explode(at).alias("b")).select(F.shiftrightunsigned("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m"))
     found = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(words, dtype=np.uint64)
     out[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
     return out
 
 
-def _passes(have: np.ndarray, d1: np.ndarray) -> np.ndarray:
-    """Which digests the filter lets through."""
-    d, mask, hit = d1.view(np.uint64), np.uint64(64 * len(have) - 1), np.ones(len(d1), dtype=bool)
+def _passes(have: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets through."""
+    d, mask, hit = keys.view(np.uint64), np.uint64(64 * len(have) - 1), np.ones(len(keys), dtype=bool)
     for p in (d & mask, d >> np.uint64(32) & mask):
         hit &= (have[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
     return hit
 
 
-def norms_of(docs: DataFrame, ends: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """(node, norm): the normalised text of each of the ends (node, d1, d2). Documents are read again in
-    place; lines that the filter lets through leave the scan, once per task for the most part, and a
-    join drops those that passed by chance."""
-    have = bloom(ends, ends.count())
+def norms_of(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(node, norm): the normalised text of each of the ends (node, d1, d2, first), more than once perhaps.
+    Documents are read again in place; a line leaves the scan where the filter lets its digest and the id
+    of its first document through, and a join drops those that passed by chance."""
+    have = bloom(ends.select(F.col("d1").bitwiseXOR(F.xxhash64("first")).alias("key")), ends.count())
     sent = docs.sparkSession.sparkContext.broadcast(have)
-    src = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("binary").alias("text"))
+    src = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
         have, seen = sent.value, set()
 
-        def passed(norms):
+        def passed(norms, ids):
             digests = list(map(xxh3_128_digest, norms))
             d, keep = _halves(digests), []
-            for i in range(len(norms)) if have is None else np.flatnonzero(_passes(have, d[0])).tolist():
+            for i in range(len(norms)) if have is None else np.flatnonzero(_passes(have, d[0] ^ np.array(ids, dtype=np.int64))).tolist():
                 if digests[i] not in seen:
                     seen.add(digests[i])
                     keep.append(i)
@@ -240,20 +239,22 @@ def norms_of(docs: DataFrame, ends: DataFrame, text_col: str, min_words: int) ->
             return pa.RecordBatch.from_arrays([pa.array(d[0][keep]), pa.array(d[1][keep]), pa.array([norms[i].decode("utf-8", "replace") for i in keep], pa.string())], names=["d1", "d2", "norm"])
 
         for b in batches:
-            norms, held = [], 0
-            for t in b.column(0):
+            norms, ids, held = [], [], 0
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for x in t.as_py().translate(_PLAIN).split(b"\n"):
                     words = x.split()
                     if len(words) >= min_words:
                         norms.append(b" ".join(words))
+                        ids.append(i)
                         held += len(x)
                 if held > 4_000_000:
-                    yield passed(norms)
-                    norms, held = [], 0
+                    yield passed(norms, ids)
+                    norms, ids, held = [], [], 0
             if norms:
-                yield passed(norms)
+                yield passed(norms, ids)
 
-    return src.mapInArrow(run, "d1 long, d2 long, norm string").join(ends, ["d1", "d2"]).select("node", "norm").dropDuplicates(["node"])
+    found = src.mapInArrow(run, "d1 long, d2 long, norm string").join(ends.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "norm")
+    return found if have is not None else found.dropDuplicates(["node"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
@@ -262,16 +263,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     ship(spark)
     b = blocks_for(8 * docs.count(), 0.1, recall, 0.2)
     lines = cut(lines_of(docs, id_col, text_col, min_words, b.words), "lines")
-    same = lines.where("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("prints").alias("prints"), F.min("size").alias("size"))
+    same = lines.where("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in print_columns(b.words)])
     nodes = cut(same.withColumn("node", F.monotonically_increasing_id()), "line_nodes")
 
     def verify(links):
         ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        named = cut(nodes.select("node", "d1", "d2").join(ends, "node", "left_semi"), "line_ends")
-        norms = cut(norms_of(docs, named, text_col, min_words), "line_norms")
+        named = cut(nodes.select("node", "d1", "d2", "first").join(ends, "node", "left_semi"), "line_ends")
+        norms = cut(norms_of(docs, named, id_col, text_col, min_words), "line_norms")
         return cut(verified(links, norms, similarity).where("ok").select("u", "v"), "line_links")
 
-    roots = groups(nodes.select("node", "size", "prints"), b, verify, similarity)
+    roots = groups(nodes.select("node", "size", *print_columns(b.words)), b, verify, similarity)
     named = nodes.join(roots, "node", "left").select("d1", "d2", "node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
     # a group of one node that one document holds has nothing to drop but its own repeats
     group = named.where("fuzzy").groupBy("root").agg(F.min("first").alias("keep"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringspan.llm._shared import cut, ship
-from ringspan.llm.blocks import blocks_for, by_key, groups, wide_print
+from ringspan.llm.blocks import blocks_for, by_key, groups, print_columns, wide_print
 from ringspan.llm.components import components
 
 
@@ -226,19 +226,17 @@ def expected_difference(similarity: float) -> float:
 
 
 def _set_prints(rows: DataFrame, row_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
-    """(row, size, prints): the number of distinct shingles and their wide print."""
+    """(row, size, p0, p1...): the number of distinct shingles and their wide print."""
     src = rows.select(F.col(row_col).cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = print_columns(words)
 
     def run(batches):
         for b in batches:
-            size, prints = [], []
-            for t in b.column(1):
-                h = shingles(t.as_py(), shingle)
-                size.append(len(h))
-                prints.append(wide_print(h, words).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary())], names=["row", "size", "prints"])
+            sets = [shingles(t.as_py(), shingle) for t in b.column(1)]
+            made = np.array([wide_print(h, words) for h in sets], dtype=np.uint64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(words))], names=["row", "size", *names])
 
-    return src.mapInArrow(run, "row long, size long, prints binary")
+    return src.mapInArrow(run, ", ".join(f"{c} long" for c in ("row", "size", *names)))
 
 
 #: Sets of fewer shingles are held against each other themselves, whatever their prints say.
@@ -252,19 +250,20 @@ def _near_sets(links: DataFrame, nodes: DataFrame, rows: DataFrame, row_col: str
     d, n = expected_difference(similarity), 64 * words
     off = 4 * float(np.sqrt(d * (1 - d) / n))
     low, high = (d - off) * n, (d + off) * n
-    side = lambda end: nodes.select(F.col("node").alias(end), F.col("prints").alias(f"{end}_prints"), F.col("size").alias(f"{end}_size"))
+    names = print_columns(words)
+    side = lambda end: nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("size", *names)])
 
     def settle(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="<u8").reshape(b.num_rows, words) for k in (2, 4))
-            sizes = np.stack([b.column(3).to_numpy(), b.column(5).to_numpy()])
-            apart, few = np.bitwise_count(x ^ y).sum(axis=1), sizes.min(axis=0) < FEW
+            sizes = np.stack([b.column(f"{end}_size").to_numpy() for end in "uv"])
+            apart = sum(np.bitwise_count((b.column(f"u_{c}").to_numpy() ^ b.column(f"v_{c}").to_numpy()).view(np.uint64)).astype(np.int64) for c in names)
+            few = sizes.min(axis=0) < FEW
             keep = np.flatnonzero((few | (apart <= high)) & (sizes.min(axis=0) + 1e-9 >= similarity * sizes.max(axis=0)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(~few[keep] & (apart[keep] < low))], names=["u", "v", "sure"])
+            yield pa.RecordBatch.from_arrays([b.column("u").take(pa.array(keep)), b.column("v").take(pa.array(keep)), pa.array(~few[keep] & (apart[keep] < low))], names=["u", "v", "sure"])
 
-    told = cut(links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_prints", "u_size", "v_prints", "v_size").mapInArrow(settle, "u long, v long, sure boolean"), "settled")
+    told = cut(links.join(side("u"), "u").join(side("v"), "v").mapInArrow(settle, "u long, v long, sure boolean"), "settled")
     open_links = told.where("not sure").select("u", "v")
     ends = cut(open_links.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "set_ends")
     texts = rows.select(F.col(row_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ends, "node", "left_semi")
@@ -296,7 +295,8 @@ def near_texts(rows: DataFrame, row_col: str, text_col: str = "text", shingle: i
     ship(rows.sparkSession)
     b = blocks_for(rows.count(), expected_difference(similarity), recall, least_words=8)
     prints = cut(_set_prints(rows, row_col, text_col, shingle, b.words), "set_prints")
-    nodes = cut(prints.groupBy("prints", "size").agg(F.min("row").alias("node")), "set_nodes")
-    roots = groups(nodes.select("node", "size", "prints"), b, lambda links: _near_sets(links, nodes, rows, row_col, text_col, shingle, similarity, b.words), similarity)
-    named = nodes.join(roots, "node", "left").select("prints", "size", F.coalesce("root", "node").alias("root"))
-    return prints.join(named, ["prints", "size"]).select("row", "root")
+    same = ["size", *print_columns(b.words)]
+    nodes = cut(prints.groupBy(*same).agg(F.min("row").alias("node")), "set_nodes")
+    roots = groups(nodes, b, lambda links: _near_sets(links, nodes, rows, row_col, text_col, shingle, similarity, b.words), similarity)
+    named = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
+    return prints.join(named, same).select("row", "root")
