@@ -1,13 +1,17 @@
 """The enzyme dimension, cut sites on circles, ligation of ends and supplier conditions.
 
-The dimension is a few dozen rows of public knowledge; joins against it are left to Spark, which
-knows its size. Degenerate sites are expanded to their words (some seventy, whatever the library).
-Windows are coded as integers, one vectorised pass per site length; only those that equal a word
-leave the scan.
+The dimension is some two hundred rows of public knowledge; joins against it are left to Spark, which
+knows its size. Sites are expanded to their words, but for N, which a mask leaves out. Windows are coded
+as integers, one vectorised pass per site length; a circle is searched for all enzymes in one place, so
+cuts are counted there and nothing but cuts leaves the scan, without a shuffle.
+
+Ends whose bases depend on what lies beside the site (type IIS enzymes and sites with ambiguous letters
+in the overhang) are not taken to ligate with anything, their own kind included.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 import numpy as np
@@ -16,152 +20,351 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringspan.functions import kernels
-from ringspan.functions.sequences import circular_slice, word_code
+from ringspan.functions.sequences import circular_slice
 
 # Recognition sites; ^ marks the cut of the top strand, _ that of the bottom strand,
-# one mark alone a blunt cut.
+# one mark alone a blunt cut; (a/b) the places of both cuts behind the site; ? an unknown cut.
 SITES = """
-EcoRI G^AATT_C
-MfeI C^AATT_G
-MunI C^AATT_G
+AarI CACCTGC(4/8)
+AatII G_ACGT^C
+Acc65I G^GTAC_C
+AccI GT^MK_AC
+AciI C^CG_C
+AclI AA^CG_TT
+AcuI CTGAAG(16/14)
+AfeI AGC^GCT
+AgeI A^CCGG_T
+AhdI GACNN_N^NNGTC
+AluI AG^CT
+AlwI GGATC(4/5)
+AlwNI CAG_NNN^CTG
+ApaI G_GGCC^C
+ApaLI G^TGCA_C
+ApeKI G^CWG_C
+ApoI R^AATT_Y
+AscI GG^CGCG_CC
+AseI AT^TA_AT
+AsiSI GCG_AT^CGC
+AvaI C^YCGR_G
+AvaII G^GWC_C
+AvrII C^CTAG_G
 BamHI G^GATC_C
-BglII A^GATC_T
+BanI G^GYRC_C
+BanII G_RGCY^C
+BbsI GAAGAC(2/6)
+BbvI GCAGC(8/12)
 BclI T^GATC_A
-HindIII A^AGCT_T
-XhoI C^TCGA_G
-PaeR7I C^TCGA_G
-SalI G^TCGA_C
-PspXI VC^TCGA_GB
-XbaI T^CTAG_A
-SpeI A^CTAG_T
-NheI G^CTAG_C
-AvrII C^CTAG_G
+BcoDI GTCTC(1/5)
 BfaI C^TA_G
-NcoI C^CATG_G
+BfuAI ACCTGC(4/8)
+BglI GCCN_NNN^NGGC
+BglII A^GATC_T
+BlpI GC^TNA_GC
+BmtI G_CTAG^C
+BpiI GAAGAC(2/6)
+BpmI CTGGAG(16/14)
+BsaAI YAC^GTR
+BsaBI GATNN^NNATC
+BsaHI GR^CG_YC
+BsaI GGTCTC(1/5)
+BsaWI W^CCGG_W
+BseRI GAGGAG(10/8)
+BsgI GTGCAG(16/14)
+BsiEI CG_RY^CG
+BsiHKAI G_WGCW^C
+BsiWI C^GTAC_G
+BsmAI GTCTC(1/5)
+BsmBI CGTCTC(1/5)
+BsmI GAATGC(1/-1)
+BsoBI C^YCGR_G
+BspEI T^CCGG_A
 BspHI T^CATG_A
-ClaI AT^CG_AT
+BspMI ACCTGC(4/8)
+BspQI GCTCTTC(1/4)
+BsrBI CCG^CTC
+BsrDI GCAATG(2/0)
+BsrFI R^CCGG_Y
+BsrGI T^GTAC_A
+BsrI ACTGG(1/-1)
+BssHII G^CGCG_C
+BssSI C^ACGA_G
+BstAPI GCAN_NNN^NTGC
+BstBI TT^CG_AA
+BstEII G^GTNAC_C
+BstNI CC^W_GG
+BstUI CG^CG
+BstXI CCAN_NNNN^NTGG
+BstYI R^GATC_Y
+BstZ17I GTA^TAC
 Bsu15I AT^CG_AT
-NotI GC^GGCC_GC
-AscI GG^CGCG_CC
+Bsu36I CC^TNA_GG
+BtrI CAC^GTC
+BtsI GCAGTG(2/0)
+ClaI AT^CG_AT
+Csp6I G^TA_C
+CviAII C^AT_G
+DdeI C^TNA_G
+DpnII ^GATC_
+DraI TTT^AAA
+DraIII CAC_NNN^GTG
+DrdI GACNN_NN^NNGTC
+EaeI Y^GGCC_R
+EagI C^GGCC_G
+EarI CTCTTC(1/4)
+Ecl136II GAG^CTC
+Eco31I GGTCTC(1/5)
+Eco32I GAT^ATC
+Eco47III AGC^GCT
+Eco53kI GAG^CTC
+EcoNI CCTNN^N_NNAGG
+EcoRI G^AATT_C
+EcoRII ^CCWGG_
+EcoRV GAT^ATC
+Esp3I CGTCTC(1/5)
+FatI ^CATG_
+Fnu4HI GC^N_GC
+FokI GGATG(9/13)
+FseI GG_CCGG^CC
+FspI TGC^GCA
+HaeII R_GCGC^Y
+HaeIII GG^CC
+HhaI G_CG^C
+HinP1I G^CG_C
+HincII GTY^RAC
+HindIII A^AGCT_T
+HinfI G^ANT_C
+HpaI GTT^AAC
+HpaII C^CG_G
+HphI GGTGA(8/7)
+HpyCH4IV A^CG_T
+HpyCH4V TG^CA
+KasI G^GCGC_C
+KpnI G_GTAC^C
+Kpn2I T^CCGG_A
+MboI ^GATC_
+MboII GAAGA(8/7)
+MfeI C^AATT_G
 MluI A^CGCG_T
-AgeI A^CCGG_T
-XmaI C^CCGG_G
-BsrGI T^GTAC_A
-Acc65I G^GTAC_C
+MlyI GAGTC(5/5)
+MreI CG^CCGG_CG
+MscI TGG^CCA
+MseI T^TA_A
+MslI CAYNN^NNRTG
+MspA1I CMG^CKG
+MspI C^CG_G
+MunI C^AATT_G
+MvaI CC^W_GG
+NaeI GCC^GGC
+NarI GG^CG_CC
+NciI CC^S_GG
+NcoI C^CATG_G
 NdeI CA^TA_TG
-AseI AT^TA_AT
-VspI AT^TA_AT
-KpnI G_GTAC^C
-SacI G_AGCT^C
-PstI C_TGCA^G
-SphI G_CATG^C
+NgoMIV G^CCGG_C
+NheI G^CTAG_C
+NlaIII _CATG^
+NotI GC^GGCC_GC
+NruI TCG^CGA
 NsiI A_TGCA^T
-ApaI G_GGCC^C
+NspI R_CATG^Y
 PacI TTA_AT^TAA
+PaeR7I C^TCGA_G
+PaqCI CACCTGC(4/8)
+PciI A^CATG_T
+PflMI CCAN_NNN^NTGG
+PleI GAGTC(4/5)
+PmeI GTTT^AAAC
+PmlI CAC^GTG
+PpuMI RG^GWC_CY
+PshAI GACNN^NNGTC
+PsiI TTA^TAA
+PspOMI G^GGCC_C
+PspXI VC^TCGA_GB
+PstI C_TGCA^G
 PvuI CG_AT^CG
-AatII G_ACGT^C
-FseI GG_CCGG^CC
-SbfI CC_TGCA^GG
-SmaI CCC^GGG
-EcoRV GAT^ATC
 PvuII CAG^CTG
+RsaI GT^AC
+RsrII CG^GWC_CG
+SacI G_AGCT^C
+SalI G^TCGA_C
+SapI GCTCTTC(1/4)
+Sau3AI ^GATC_
+Sau96I G^GNC_C
+SbfI CC_TGCA^GG
 ScaI AGT^ACT
+ScrFI CC^N_GG
+SexAI A^CCWGG_T
+SfaNI GCATC(5/9)
+SfcI C^TRYA_G
+SfiI GGCCN_NNN^NGGCC
+SfoI GGC^GCC
+SgrAI CR^CCGG_YG
+SmaI CCC^GGG
+SnaBI TAC^GTA
+SpeI A^CTAG_T
+SphI G_CATG^C
+SrfI GCCC^GGGC
+SspI AAT^ATT
 StuI AGG^CCT
-HpaI GTT^AAC
+StyI C^CWWG_G
 SwaI ATTT^AAAT
-PmeI GTTT^AAAC
-SspI AAT^ATT
-Ecl136II GAG^CTC
-SnaBI TAC^GTA
-AluI AG^CT
-DraI TTT^AAA
+TaqI T^CG_A
+TfiI G^AWT_C
+TseI G^CWG_C
+Tsp509I ^AATT_
+Tth111I GACN^N_NGTC
+Van91I CCAN_NNN^NTGG
+VspI AT^TA_AT
+XbaI T^CTAG_A
+XhoI C^TCGA_G
+XmaI C^CCGG_G
+XmaJI C^CTAG_G
+XmnI GAANN^NNTTC
+ZraI GAC^GTC
+"""
+# Enzymes that are described but not sold, the last two with no known cut.
+NOT_SOLD = """
+AhaIII TTT^AAA
+AsuII TT^CG_AA
+HgiAI G_WGCW^C
+MstI TGC^GCA
+HgiEII ACCNNNNNNGGT?
+SnaI GTATAC?
 """
 # The bases that an ambiguous letter stands for; vendors' preferred names first.
 LETTERS = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
-PREFERRED = ("MfeI", "XhoI", "ClaI", "AseI", "SacI")
+PREFERRED = ("MfeI", "XhoI", "ClaI", "AseI", "SacI", "EcoRV", "SapI", "BsmAI", "MspI")
 SUPPLIERS = {"XhoI": 9, "PaeR7I": 1}
 SAME, STICKY, BLUNT = "same_enzyme", "compatible_overhang", "blunt"
 RANK = {SAME: 0, STICKY: 1, BLUNT: 2}
 
 
-def parse_site(text: str) -> dict:
-    """(site, top_off, bottom_off, ovhg, kind, ovhg_seq) of a marked site. ovhg is the top cut less the
-    bottom one: negative for a 5' overhang."""
-    site = text.replace("^", "").replace("_", "")
-    top = text.replace("_", "").index("^")
-    bottom = text.replace("^", "").index("_") if "_" in text else top
+def parse_site(text: str) -> dict | None:
+    """(site, size, top_off, ovhg, kind, ovhg_seq) of a marked site; None if its cut is unknown. ovhg is the
+    top cut less the bottom one: negative for a 5' overhang. Bases beside the site are N."""
+    if text.endswith("?"):
+        return None
+    if m := re.fullmatch(r"([A-Z]+)\((-?\d+)/(-?\d+)\)", text):
+        site = m[1]
+        top, bottom = (len(site) + int(x) for x in m.groups()[1:])
+    else:
+        site = text.replace("^", "").replace("_", "")
+        top = text.replace("_", "").index("^")
+        bottom = text.replace("^", "").index("_") if "_" in text else top
     lo, hi = sorted((top, bottom))
-    return {"site": site, "size": len(site), "top_off": top, "ovhg": top - bottom, "kind": "blunt" if top == bottom else "5" if top < bottom else "3", "ovhg_seq": site[lo:hi]}
+    return {"site": site, "size": len(site), "top_off": top, "ovhg": top - bottom, "kind": "blunt" if top == bottom else "5" if top < bottom else "3", "ovhg_seq": (site + "N" * 40)[lo:hi]}
 
 
-def catalogue() -> list[dict]:
-    """The enzymes with the canonical name of those that cut alike."""
-    rows = [{"name": n, **parse_site(s)} for n, s in (line.split() for line in SITES.strip().splitlines())]
-    groups: dict[tuple, list[str]] = {}
+def catalogue(pool="CommOnly") -> list[dict]:
+    """The enzymes of a pool ("CommOnly": those sold, "All", or a list of names) with the canonical name of
+    those that cut alike. Enzymes whose cut is unknown are in no pool; an unknown name is an error."""
+    lines = [(*line.split(), sold) for text, sold in ((SITES, True), (NOT_SOLD, False)) for line in text.strip().splitlines()]
+    rows = sorted(({"name": n, "sold": sold, **made} for n, site, sold in lines if (made := parse_site(site))), key=lambda r: r["name"])
+    alike: dict[tuple, list[dict]] = {}
     for r in rows:
-        groups.setdefault((r["site"], r["top_off"], r["ovhg"]), []).append(r["name"])
-    rank = lambda n: (PREFERRED.index(n) if n in PREFERRED else len(PREFERRED), -SUPPLIERS.get(n, 0), n)
+        alike.setdefault((r["site"], r["top_off"], r["ovhg"]), []).append(r)
+    rank = lambda r: (PREFERRED.index(r["name"]) if r["name"] in PREFERRED else len(PREFERRED), not r["sold"], -SUPPLIERS.get(r["name"], 0), r["name"])
     for r in rows:
-        r["canonical"] = min(groups[r["site"], r["top_off"], r["ovhg"]], key=rank)
+        r["canonical"] = min(alike[r["site"], r["top_off"], r["ovhg"]], key=rank)["name"]
         r["supplier_count"] = SUPPLIERS.get(r["canonical"])
-    return rows
+        r["end"] = None if re.search("[^ACGT]", r["ovhg_seq"]) else f"{r['kind']}:{r['ovhg_seq']}"
+    if pool == "All":
+        return rows
+    if pool == "CommOnly":
+        return [r for r in rows if r["sold"]]
+    if isinstance(pool, str):
+        raise ValueError(f"unknown enzyme pool {pool!r}: use 'All', 'CommOnly' or a list of names")
+    wanted, named = set(pool), {n for n, *_ in lines}
+    if wanted - named:
+        raise ValueError(f"unknown enzymes: {', '.join(sorted(wanted - named))}")
+    return [r for r in rows if r["name"] in wanted]
 
 
-_SCHEMA = "name string, site string, size int, top_off int, ovhg int, kind string, ovhg_seq string, canonical string, supplier_count int"
+_SCHEMA = "name string, site string, size int, top_off int, ovhg int, kind string, ovhg_seq string, canonical string, supplier_count int, end string, sold boolean"
 
 
 def enzymes(spark: SparkSession, pool="CommOnly") -> DataFrame:
-    """The dimension, for all ("All", "CommOnly") or named enzymes; an unknown name is an error."""
-    rows = catalogue()
-    if pool not in ("All", "CommOnly"):
-        if isinstance(pool, str):
-            raise ValueError(f"unknown enzyme pool {pool!r}: use 'All', 'CommOnly' or a list of names")
-        unknown = set(pool) - {r["name"] for r in rows}
-        if unknown:
-            raise ValueError(f"unknown enzymes: {', '.join(sorted(unknown))}")
-        rows = [r for r in rows if r["name"] in set(pool)]
+    """The dimension; `end` is what compatible ends have in common, null where it is not known."""
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], _SCHEMA)
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in catalogue(pool)], _SCHEMA)
 
 
-def site_words(spark: SparkSession, pool="CommOnly") -> DataFrame:
-    """(name, size, off, ovhg, word): each concrete word of each site, on either strand; off is the
+def site_words(pool="CommOnly") -> list[tuple[str, int, int, str]]:
+    """(name, off, ovhg, word): each word of each site, on either strand, with N left in; off is the
     top cut counted from the word's start on the forward strand."""
-    out = []
-    for r in enzymes(spark, pool).collect():
-        for letters in product(*[LETTERS[c] for c in r["site"]]):
-            word = "".join(letters)
-            out.append((r["name"], r["size"], r["top_off"], r["ovhg"], word))
-            back = kernels.reverse_complement(r["site"])
-            if back != r["site"]:  # the site on the other strand: its bottom cut is on ours
-                out.append((r["name"], r["size"], r["size"] - (r["top_off"] - r["ovhg"]), r["ovhg"], kernels.reverse_complement(word)))
-    return spark.createDataFrame(sorted(set(out)), "name string, size int, off int, ovhg int, word string")
+    out = set()
+    for r in catalogue(pool):
+        back = kernels.reverse_complement(r["site"])
+        # the site on the other strand: its bottom cut is on ours
+        places = [(r["site"], r["top_off"])] + ([(back, r["size"] - (r["top_off"] - r["ovhg"]))] if back != r["site"] else [])
+        for site, off in places:
+            out |= {(r["name"], off, r["ovhg"], "".join(w)) for w in product(*["N" if c == "N" else LETTERS[c] for c in site])}
+    return sorted(out)
+
+
+class _Finder:
+    """All cuts of a pool on a circle."""
+
+    def __init__(self, pool):
+        words = site_words(pool)
+        self.names = sorted({w[0] for w in words})
+        nth = {n: i for i, n in enumerate(self.names)}
+        self.ovhg = np.zeros(len(self.names), dtype=np.int64)
+        found: dict[tuple[int, int], list] = {}
+        for name, off, ovhg, word in words:
+            self.ovhg[nth[name]] = ovhg
+            mask = kernels.word_code("".join("A" if c == "N" else "T" for c in word))
+            found.setdefault((len(word), mask), []).append((kernels.word_code(word.replace("N", "A")), nth[name], off))
+        self.tables = []
+        for (size, mask), rows in sorted(found.items()):
+            rows = np.array(sorted(rows), dtype=np.int64)
+            codes, first, n = np.unique(rows[:, 0], return_index=True, return_counts=True)
+            self.tables.append((size, mask, codes, first, n, rows[:, 1], rows[:, 2]))
+
+    def cuts(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(enzyme, top, how often the enzyme cuts), by enzyme and place."""
+        keys, length, coded = [], max(len(text), 1), {}
+        for size, mask, codes, first, n, enzyme, off in self.tables:
+            if size not in coded:
+                coded[size] = kernels.window_codes(text, size)
+            at = coded[size]
+            k = np.minimum(np.searchsorted(codes, at & mask), len(codes) - 1)
+            hit = np.flatnonzero((codes[k] == (at & mask)) & (at >= 0))
+            k = k[hit]
+            many = n[k]
+            row = np.repeat(first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            keys.append(enzyme[row] * length + (np.repeat(hit, many) + off[row]) % length)
+        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
+        enzyme = key // length
+        return enzyme, key % length, np.bincount(enzyme, minlength=1)[enzyme] if len(key) else key
 
 
 def cut_sites(seqs: DataFrame, pool="CommOnly", id_col: str = "id", seq_col: str = "s") -> DataFrame:
-    """(id, enzyme, top, bottom, n_cuts): every cut on every circle. Enzymes without cuts have no rows."""
-    spark = seqs.sparkSession
-    words = site_words(spark, pool)
-    found = [(r["word"], r["size"]) for r in words.select("word", "size").distinct().collect()]
-    codes = {k: np.array(sorted(kernels.word_code(w) for w, n in found if n == k)) for k in sorted({n for _, n in found})}
+    """(id, enzyme, top, bottom, n_cuts): every cut on the circle of every row. Enzymes without cuts have no rows."""
     src = seqs.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s"))
+    pool = pool if isinstance(pool, str) else sorted(pool)
+    catalogue(pool)
 
     def run(batches):
+        find = _Finder(pool)
+        names = pa.array(find.names, pa.string())
+
+        def batch(ids, rows):
+            n = [len(e) for e, _, _ in rows]
+            enzyme, top, many = (np.concatenate(x) for x in zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(n)), n))), names.take(pa.array(enzyme)), pa.array(top.astype(np.int32)), pa.array((top - find.ovhg[enzyme]).astype(np.int32)), pa.array(many.astype(np.int32))], names=["id", "enzyme", "top", "bottom", "n_cuts"])
+
         for b in batches:
-            for i, s in enumerate(b.column(1)):
-                text = s.as_py() or ""
-                for k, wanted in codes.items():
-                    at = kernels.window_codes(text, k)
-                    hit = np.flatnonzero(np.isin(at, wanted))
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(hit), i))), pa.array(np.full(len(hit), len(text), dtype=np.int32)), pa.array(hit.astype(np.int32)), pa.array(np.full(len(hit), k, dtype=np.int32)), pa.array(at[hit])], names=["id", "len", "pos", "size", "code"])
-
-    places = src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, len int, pos int, size int, code long")
-    coded = words.select("name", "off", "ovhg", "size", word_code(F.col("word")).alias("code"))
-    parts = places.join(coded, ["size", "code"]).select("id", F.col("name").alias("enzyme"), F.pmod(F.col("pos") + F.col("off"), F.col("len")).cast("int").alias("top"), "ovhg")
-    cuts = parts.distinct().withColumn("bottom", F.col("top") - F.col("ovhg")).drop("ovhg")
-    n = F.count(F.lit(1)).over(Window.partitionBy("id", "enzyme")).cast("int")
-    return cuts.withColumn("n_cuts", n).select("id", "enzyme", "top", "bottom", "n_cuts")
+            rows, start, held = [], 0, 0
+            for s in b.column(1):
+                rows.append(find.cuts(s.as_py() or ""))
+                held += len(rows[-1][0])
+                if held > 200_000:
+                    yield batch(b.column(0).slice(start, len(rows)), rows)
+                    rows, start, held = [], start + len(rows), 0
+            if rows:
+                yield batch(b.column(0).slice(start, len(rows)), rows)
+
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, enzyme string, top int, bottom int, n_cuts int")
 
 
 def footprint(top, bottom) -> tuple[Column, Column]:
@@ -170,13 +373,10 @@ def footprint(top, bottom) -> tuple[Column, Column]:
 
 
 def strategy(a: str, b: str) -> Column:
-    """How the ends of two joined dimension rows (aliases a and b) ligate; null if they don't."""
+    """How the ends of two joined dimension rows (aliases a and b) ligate; null if they don't, or if an
+    end is not known."""
     c = lambda t, n: F.col(f"{t}.{n}")
-    return (
-        F.when(c(a, "name") == c(b, "name"), SAME)
-        .when((c(a, "kind") == "blunt") & (c(b, "kind") == "blunt"), BLUNT)
-        .when((c(a, "kind") != "blunt") & (c(a, "kind") == c(b, "kind")) & (c(a, "ovhg_seq") == c(b, "ovhg_seq")), STICKY)
-    )
+    return F.when(c(a, "end") == c(b, "end"), F.when(c(a, "name") == c(b, "name"), SAME).when(c(a, "kind") == "blunt", BLUNT).otherwise(STICKY))
 
 
 def strategy_rank(s) -> Column:
@@ -186,9 +386,8 @@ def strategy_rank(s) -> Column:
 def ligation_pairs(spark: SparkSession, pool="CommOnly") -> DataFrame:
     """(a, b, strategy): the ordered pairs of enzymes whose ends ligate."""
     e = enzymes(spark, pool)
-    key = F.concat_ws(":", "kind", "ovhg_seq")
-    pairs = e.withColumn("k", key).alias("a").join(e.withColumn("k", key).alias("b"), F.col("a.k") == F.col("b.k"))
-    return pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), strategy("a", "b").alias("strategy")).where("strategy is not null")
+    pairs = e.alias("a").join(e.alias("b"), F.col("a.end") == F.col("b.end"))
+    return pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), strategy("a", "b").alias("strategy"))
 
 
 def unique_cutters(cuts: DataFrame, most: int = 40) -> DataFrame:

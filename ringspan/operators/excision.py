@@ -8,27 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringspan.functions.sequences import circular_equal, circular_slice, delete_span, site_count
-from ringspan.operators.enzymes import SAME, enzymes, strategy, strategy_rank
+from ringspan.functions.sequences import circular_equal, circular_slice, delete_span
+from ringspan.operators.enzymes import SAME, cut_sites, enzymes, strategy, strategy_rank
 from ringspan.operators.intervals import overlaps
 from ringspan.session import cut, settle
 
 
 def candidate_pairs(cuts: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", allow_single_enzyme: bool = True) -> DataFrame:
-    """(id, up, down, u_top, d_top, strategy, status, ...): every pair of cuts that flanks a target,
-    with its fate. cuts: cut_sites(); targets: (id, t_s, t_e); protected: (id, label, p_s, p_e) or
-    None. A pair is refused for its ends before it is refused for what lies between."""
+    """(id, up, down, u_top, d_top, strategy, status, ...): every pair of cuts with matching ends that
+    flanks a target, with its fate. cuts: cut_sites(); targets: (id, t_s, t_e); protected: (id, label,
+    p_s, p_e) or None. Pairs whose ends do not match are never made; `reasons` counts them."""
     spark = cuts.sparkSession
     settle(spark)
-    dim = enzymes(spark, pool).select("name", "kind", "ovhg_seq", "canonical")
+    dim = enzymes(spark, pool).select("name", "kind", "end", "canonical")
     at = cuts.join(targets, "id").join(dim, F.col("enzyme") == F.col("name")).drop("enzyme")
     once = at.where("n_cuts = 1")
-    up = once.where("top <= t_s").select("id", "t_s", "t_e", F.col("top").alias("u_top"), "name", "kind", "ovhg_seq", "canonical").alias("u")
-    down = once.where("top >= t_e").select("id", F.col("top").alias("d_top"), "name", "kind", "ovhg_seq", "canonical").alias("d")
-    pairs = up.join(down, F.col("u.id") == F.col("d.id")).select("u.id", "u.t_s", "u.t_e", F.col("u.name").alias("up"), F.col("d.name").alias("down"), "u_top", "d_top", F.col("u.canonical").alias("cu"), F.col("d.canonical").alias("cd"), strategy("u", "d").alias("strategy"))
-    pairs = pairs.withColumn("status", F.when(F.col("strategy").isNull(), "incompatible ends"))
+    up = once.where("top <= t_s").select("id", "t_s", "t_e", F.col("top").alias("u_top"), "name", "kind", "end", "canonical").alias("u")
+    down = once.where("top >= t_e").select("id", F.col("top").alias("d_top"), "name", "kind", "end", "canonical").alias("d")
+    pairs = up.join(down, (F.col("u.id") == F.col("d.id")) & (F.col("u.end") == F.col("d.end"))).select("u.id", "u.t_s", "u.t_e", F.col("u.name").alias("up"), F.col("d.name").alias("down"), "u_top", "d_top", F.col("u.canonical").alias("cu"), F.col("d.canonical").alias("cd"), strategy("u", "d").alias("strategy"))
+    pairs = pairs.withColumn("status", F.lit(None).cast("string"))
     if allow_single_enzyme:
-        two = at.where("n_cuts = 2").groupBy("id", "name", "canonical", "t_s", "t_e").agg(F.min("top").alias("u_top"), F.max("top").alias("d_top"))
+        two = at.where("n_cuts = 2 and end is not null").groupBy("id", "name", "canonical", "t_s", "t_e").agg(F.min("top").alias("u_top"), F.max("top").alias("d_top"))
         flank = (F.col("u_top") <= F.col("t_s")) & (F.col("d_top") >= F.col("t_e"))
         one = two.select("id", "t_s", "t_e", F.col("name").alias("up"), F.col("name").alias("down"), "u_top", "d_top", F.col("canonical").alias("cu"), F.col("canonical").alias("cd"), F.lit(SAME).alias("strategy"), F.when(~flank, "enzyme cuts twice but not flanking the target").alias("status"))
         pairs = pairs.unionByName(one)
@@ -52,14 +52,19 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 
 def reasons(pairs: DataFrame, cuts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, reason, n): the histogram of refusals of each target."""
+    """(id, reason, n): the histogram of refusals of each target. Pairs of unlike ends are counted from the
+    numbers of cuts on either side."""
     settle(pairs.sparkSession)
     tally = pairs.where("status is not null").groupBy("id", F.col("status").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     many = cuts.where("n_cuts > 2").join(targets, "id").groupBy("id").agg(F.count_distinct("enzyme").alias("n")).select("id", F.lit("enzyme cuts more than twice").alias("reason"), "n")
     once = cuts.where("n_cuts = 1").join(targets, "id")
-    sides = targets.select("id").join(once.groupBy("id").agg(F.max(F.col("top") <= F.col("t_s")).alias("u"), F.max(F.col("top") >= F.col("t_e")).alias("d")), "id", "left")
-    none = lambda c, what: sides.where(~F.coalesce(F.col(c), F.lit(False))).select("id", F.lit(f"no unique site {what} of the target").alias("reason"), F.lit(1).cast("long").alias("n"))
-    return tally.union(many).union(none("u", "upstream")).union(none("d", "downstream"))
+    count = lambda c: F.sum(c.cast("long"))
+    known = once.groupBy("id").agg(count(F.col("top") <= F.col("t_s")).alias("u"), count(F.col("top") >= F.col("t_e")).alias("d"))
+    matched = pairs.where("up <> down").groupBy("id").agg(F.count(F.lit(1)).alias("m"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sides = targets.select("id").join(known, "id", "left").join(matched, "id", "left").select("id", zero("u").alias("u"), zero("d").alias("d"), (zero("u") * zero("d") - zero("m")).alias("unlike"))
+    sides = sides.select("id", F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), n.alias("n")) for r, n in (("incompatible ends", F.col("unlike")), ("no unique site upstream of the target", (F.col("u") == 0).cast("long")), ("no unique site downstream of the target", (F.col("d") == 0).cast("long")))])).alias("r"))
+    return tally.union(many).union(sides.select("id", "r.reason", "r.n").where("n > 0"))
 
 
 def simulate(plans: DataFrame, seqs: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
@@ -92,9 +97,11 @@ def signature(protected: DataFrame, seqs: DataFrame, width: int = 60) -> DataFra
 
 def regenerated(plans: DataFrame, pool="CommOnly") -> DataFrame:
     """plans with `site_regenerated`: whether an enzyme of the plan still cuts the product."""
-    sites = enzymes(plans.sparkSession, pool).select("name", "site")
-    p = plans.join(sites.withColumnsRenamed({"name": "up", "site": "up_site"}), "up").join(sites.withColumnsRenamed({"name": "down", "site": "down_site"}), "down")
-    return p.withColumn("site_regenerated", (site_count("product", "up_site") > 0) | (site_count("product", "down_site") > 0)).drop("up_site", "down_site")
+    own = cut(plans.withColumn("again", F.monotonically_increasing_id()), "verified_plans")
+    found = cut_sites(own, pool, "again", "product").groupBy(F.col("id").alias("again")).agg(F.collect_set("enzyme").alias("cutters"))
+    known = own.join(found, "again", "left")
+    hit = F.coalesce(F.array_contains("cutters", F.col("up")) | F.array_contains("cutters", F.col("down")), F.lit(False))
+    return known.withColumn("site_regenerated", hit).drop("again", "cutters")
 
 
 def plan(seqs: DataFrame, cuts: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", max_alternatives: int = 10, tries: int = 15) -> tuple[DataFrame, DataFrame]:

@@ -37,7 +37,7 @@ def donor_options(flanks: DataFrame, donor_cuts: DataFrame, pool="CommOnly", mos
     donor_cuts carry d_s and d_e."""
     spark = flanks.sparkSession
     settle(spark)
-    dim = enzymes(spark, pool).select("name", "kind", "ovhg_seq").withColumn("k", F.concat_ws(":", "kind", "ovhg_seq"))
+    dim = enzymes(spark, pool).select("name", F.col("end").alias("k"))
     v = flanks.join(dim, F.col("enzyme") == F.col("name")).select("id", "side", F.col("enzyme").alias("v_enzyme"), F.col("top").alias("v_top"), "k")
     d = donor_cuts.join(dim, F.col("enzyme") == F.col("name")).select("id", "enzyme", "top", "n_cuts", "d_s", "d_e", "k")
     both = v.join(d, ["id", "k"]).where(((F.col("side") == "up") & (F.col("top") <= F.col("d_s"))) | ((F.col("side") == "down") & (F.col("top") >= F.col("d_e"))))
@@ -71,7 +71,7 @@ def restriction_routes(vectors: DataFrame, donors: DataFrame, protected: DataFra
     judged = open_.join(has.where("side = 'up'").select("id", F.col("e").alias("ue"), F.col("t").alias("ut"), F.col("has").alias("hu")), ["id", "ue", "ut"], "left").join(has.where("side = 'down'").select("id", F.col("e").alias("de"), F.col("t").alias("dt"), F.col("has").alias("hd")), ["id", "de", "dt"], "left")
     judged = judged.join(whole.select(*key).distinct().withColumn("ok", F.lit(True)), key, "left").withColumn("status", F.when(F.col("ok").isNotNull(), None).when(F.col("hu").isNull() | F.col("hd").isNull(), "donor lacks a compatible flanking site").otherwise("every candidate enzyme cuts inside the insert fragment"))
     why = judged.where("status is not null").select("id", "status").union(pairs.where("status is not null").select("id", "status")).groupBy("id", F.col("status").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    dim = enzymes(spark, pool).select("name", "kind", "ovhg_seq", "canonical", "supplier_count")
+    dim = enzymes(spark, pool).select("name", "kind", "end", "canonical", "supplier_count")
     scored = whole.join(dim.alias("a"), F.col("ue") == F.col("a.name")).join(dim.alias("b"), F.col("de") == F.col("b.name"))
     scored = scored.join(vectors.select(F.col("pair_id").alias("id"), "v_s", "v_e"), "id").join(donors.select(F.col("pair_id").alias("id"), "d_s", "d_e"), "id")
     scored = scored.select("id", "ue", "ut", "de", "dt", "ude", "udt", "dde", "ddt", strategy("a", "b").isNull().alias("directional"), ((F.col("ue") == F.col("ude")) & (F.col("de") == F.col("dde"))).alias("same_enzymes"), (F.col("dt") - F.col("ut") - (F.col("v_e") - F.col("v_s"))).alias("v_extra"), (F.col("ddt") - F.col("udt") - (F.col("d_e") - F.col("d_s"))).alias("d_extra"), (F.coalesce(F.col("a.supplier_count"), F.lit(0)) + F.coalesce(F.col("b.supplier_count"), F.lit(0))).alias("suppliers"), F.col("a.canonical").alias("cu"), F.col("b.canonical").alias("cd"))

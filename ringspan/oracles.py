@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ringspan.functions.sequences import END_AT, END_GC, NEIGHBOURS
-from ringspan.operators.enzymes import catalogue
+from ringspan.operators.enzymes import LETTERS, catalogue
 from ringspan.operators.reagents import BENCH
 from ringspan.sources.conditions import rows as condition_rows
 
@@ -42,30 +42,39 @@ KMERS = f"k AS (SELECT DISTINCT id, least(w, {_rc('w')}) AS km FROM (SELECT id,
 REL = "n AS (SELECT id, count(*) AS n FROM k GROUP BY id), sh AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM k a JOIN k b ON a.km = b.km AND a.id < b.id GROUP BY 1, 2), rel AS (SELECT a, b, shared, shared / (x.n + y.n - shared) AS jaccard, shared / least(x.n, y.n) AS containment FROM sh JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE shared / least(x.n, y.n) >= 0.5), kinds AS (SELECT *, CASE WHEN jaccard >= 0.99 THEN 'identical' WHEN containment >= 0.98 THEN 'subset' WHEN jaccard >= 0.8 THEN 'variant' ELSE 'related' END AS kind FROM rel)"
 
 
-def _words() -> str:
-    from itertools import product
+def _masked(x: str, word: str) -> str:
+    """x with N where the word has N."""
+    parts, i = [], 0
+    while i < len(word):
+        k = i
+        while k < len(word) and (word[k] == "N") == (word[i] == "N"):
+            k += 1
+        parts.append(f"'{'N' * (k - i)}'" if word[i] == "N" else f"substr({x}, {i + 1}, {k - i})")
+        i = k
+    return " || ".join(parts)
+
 
-    from ringspan.operators.enzymes import LETTERS
+def _words() -> tuple[str, list[str]]:
+    """The words of all sites on both strands, and a word for each pattern of N."""
+    from itertools import product
 
     out, pair = set(), str.maketrans("ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN")
     for n, site, size, top, ovhg, *_ in _ENZ:
         back = site.translate(pair)[::-1]
-        for w in map("".join, product(*[LETTERS[c] for c in site])):
-            out.add((n, size, top, ovhg, w))
-        if back != site:
-            for w in map("".join, product(*[LETTERS[c] for c in back])):
-                out.add((n, size, size - (top - ovhg), ovhg, w))
-    return f"words AS (SELECT * FROM {_values(sorted(out), ['name', 'size', 'off', 'ovhg', 'word'])})"
+        for x, off in {(site, top), (back, top if back == site else size - (top - ovhg))}:
+            for w in map("".join, product(*["N" if c == "N" else LETTERS[c] for c in x])):
+                out.add((n, off, ovhg, w, "".join("N" if c == "N" else "x" for c in w)))
+    return f"words AS (SELECT * FROM {_values(sorted(out), ['name', 'off', 'ovhg', 'word', 'pattern'])})", sorted({w[4] for w in out})
 
 
-_SIZES = sorted({e[2] for e in _ENZ})
-CUTS = f"{_words()}, win AS ({' UNION ALL '.join(f'SELECT id, len, i, {k} AS size, substr(ext, i, {k}) AS w FROM (SELECT id, length(s) AS len, s || substr(s, 1, {k - 1}) AS ext, unnest(range(1, length(s) + 1)) AS i FROM seqs WHERE length(s) >= {k})' for k in _SIZES)}), hit AS (SELECT DISTINCT id, name AS enzyme, CAST((i - 1 + off) % len AS INTEGER) AS top, CAST((i - 1 + off) % len - ovhg AS INTEGER) AS bottom FROM win JOIN words ON win.size = words.size AND w = word), cuts AS (SELECT *, CAST(count(*) OVER (PARTITION BY id, enzyme) AS INTEGER) AS n_cuts FROM hit)"
-_STRAT = "CASE WHEN {a}.name = {b}.name THEN 'same_enzyme' WHEN {a}.kind = 'blunt' AND {b}.kind = 'blunt' THEN 'blunt' WHEN {a}.kind <> 'blunt' AND {a}.kind = {b}.kind AND {a}.ovhg_seq = {b}.ovhg_seq THEN 'compatible_overhang' END"
+_WORDS, _PATTERNS = _words()
+CUTS = f"{_WORDS}, win AS ({' UNION ALL '.join(f"SELECT id, len, i, '{k}' AS pattern, {_masked(f'substr(ext, i, {len(k)})', k)} AS w FROM (SELECT id, length(s) AS len, s || substr(s, 1, {len(k) - 1}) AS ext, unnest(range(1, length(s) + 1)) AS i FROM seqs WHERE length(s) >= {len(k)})" for k in _PATTERNS)}), hit AS (SELECT DISTINCT id, name AS enzyme, CAST((i - 1 + off + len) % len AS INTEGER) AS top, CAST((i - 1 + off + len) % len - ovhg AS INTEGER) AS bottom FROM win JOIN words ON win.pattern = words.pattern AND w = word), cuts AS (SELECT *, CAST(count(*) OVER (PARTITION BY id, enzyme) AS INTEGER) AS n_cuts FROM hit)"
+_STRAT = "CASE WHEN regexp_matches({a}.ovhg_seq || {b}.ovhg_seq, '[^ACGT]') THEN NULL WHEN {a}.name = {b}.name THEN 'same_enzyme' WHEN {a}.kind = 'blunt' AND {b}.kind = 'blunt' THEN 'blunt' WHEN {a}.kind <> 'blunt' AND {a}.kind = {b}.kind AND {a}.ovhg_seq = {b}.ovhg_seq THEN 'compatible_overhang' END"
 GUARD = "guarded AS (SELECT id, 'left arm' AS label, t_s - 50 AS p_s, t_s - 40 AS p_e FROM targets UNION ALL SELECT id, 'right arm', t_e + 40, t_e + 50 FROM targets)"
 PAIRS = f"""cut_at AS (SELECT c.id, c.top, c.n_cuts, t.t_s, t.t_e, e.* FROM cuts c JOIN targets t ON c.id = t.id JOIN enz e ON e.name = c.enzyme),
 raw AS (SELECT u.id, u.t_s, u.t_e, u.name AS up, d.name AS down, u.top AS u_top, d.top AS d_top, u.canonical AS cu, d.canonical AS cd, {_STRAT.format(a='u', b='d')} AS strategy, CASE WHEN {_STRAT.format(a='u', b='d')} IS NULL THEN 'incompatible ends' END AS st
  FROM cut_at u JOIN cut_at d ON u.id = d.id WHERE u.n_cuts = 1 AND d.n_cuts = 1 AND u.top <= u.t_s AND d.top >= d.t_e
- UNION ALL SELECT id, t_s, t_e, name, name, min(top), max(top), canonical, canonical, 'same_enzyme', CASE WHEN NOT (min(top) <= t_s AND max(top) >= t_e) THEN 'enzyme cuts twice but not flanking the target' END FROM cut_at WHERE n_cuts = 2 GROUP BY id, t_s, t_e, name, canonical),
+ UNION ALL SELECT id, t_s, t_e, name, name, min(top), max(top), canonical, canonical, 'same_enzyme', CASE WHEN NOT (min(top) <= t_s AND max(top) >= t_e) THEN 'enzyme cuts twice but not flanking the target' END FROM cut_at WHERE n_cuts = 2 AND NOT regexp_matches(ovhg_seq, '[^ACGT]') GROUP BY id, t_s, t_e, name, canonical),
 hurt AS (SELECT r.id, up, down, u_top, d_top, arg_min(label, p_s) AS hurt FROM raw r JOIN guarded g ON g.id = r.id AND u_top < p_e AND p_s < d_top WHERE st IS NULL GROUP BY ALL),
 pairs AS (SELECT r.*, coalesce(st, 'would damage ' || hurt) AS status, d_top - u_top - (t_e - t_s) AS collateral, CASE strategy WHEN 'same_enzyme' THEN 0 WHEN 'compatible_overhang' THEN 1 ELSE 2 END AS sr FROM raw r LEFT JOIN hurt h USING (id, up, down, u_top, d_top)),
 dedup AS (SELECT *, row_number() OVER (PARTITION BY id, least(cu, cd), greatest(cu, cd), u_top, d_top ORDER BY sr, collateral, cu, cd, up, down) AS dup FROM pairs WHERE status IS NULL)"""
@@ -167,10 +176,10 @@ SQL["resolve_name"] = _with(_NAMES) + ", hit AS (SELECT asked, label, CASE WHEN
 SQL["target_resolution"] = _with(FEATS) + ", m AS (SELECT * FROM feats WHERE type <> 'primer_bind' AND (label LIKE '%A%' OR label LIKE '%NF%') AND k IN (SELECT o_orderkey FROM orders)), g AS (SELECT k, s, e, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM m), w AS (SELECT k, s, b, row_number() OVER (PARTITION BY k ORDER BY s - b DESC, s) AS r FROM g WHERE b IS NOT NULL), x AS (SELECT k, min(s) AS lo, max(e) AS hi, array_to_string(list_sort(list(DISTINCT label)), ';') AS labels FROM m GROUP BY k) SELECT x.k, CASE WHEN s - b > lo + 5000 - hi THEN s ELSE lo END AS t_s, CASE WHEN s - b > lo + 5000 - hi THEN b + 5000 ELSE hi END AS t_e, labels FROM x LEFT JOIN w ON w.k = x.k AND w.r = 1"
 SQL["thermocycler_steps"] = f"WITH p AS (SELECT p_partkey AS id, 50 + p_size / 4 AS c, p_size * 200 + 13 AS bp, p_size % 2 = 0 AS rep FROM part) SELECT id, CAST(nth AS INTEGER) AS nth, step, CAST(celsius AS DOUBLE) AS celsius, CAST(seconds AS INTEGER) AS seconds, CAST(cycles AS INTEGER) AS cycles FROM (SELECT id, 0 AS nth, 'Initial denaturation' AS step, 95.0 AS celsius, 180 AS seconds, 1 AS cycles FROM p UNION ALL SELECT id, 1, 'Denaturation', 98, 20, 30 FROM p UNION ALL SELECT id, 2, 'Annealing', {_HE.format(x='c')}, 15, 30 FROM p UNION ALL SELECT id, 3, 'Extension', 72, greatest(15, {_HE.format(x='(bp / 1000 * CASE WHEN rep THEN 45 ELSE 30 END)')}), 30 FROM p UNION ALL SELECT id, 4, 'Final extension', 72, 120, 1 FROM p)"
 SQL["water_balances"] = "WITH u AS (SELECT l_orderkey, sum(CASE WHEN l_discount > 0 THEN l_discount * 10 END) AS used, count(CASE WHEN l_discount > 0 THEN 1 END) = count(*) AS whole FROM lineitem GROUP BY 1) SELECT o_orderkey AS reaction, round(CASE WHEN used IS NULL AND whole IS NULL THEN 2.0 WHEN whole THEN 2.0 - used END, 6) AS water FROM orders LEFT JOIN u ON l_orderkey = o_orderkey"
-SQL["site_counts"] = _with(SEQS, CUTS) + ", plain AS (SELECT name, word FROM words WHERE size >= 8 AND name IN (SELECT name FROM words GROUP BY name HAVING count(*) = 1)) SELECT id, name, CAST(count(*) AS INTEGER) AS n FROM win JOIN plain ON w = word GROUP BY 1, 2"
+SQL["site_counts"] = _with(SEQS, CUTS) + "SELECT DISTINCT id, enzyme AS name, n_cuts AS n FROM cuts"
 _ROUTES = f"""fl AS (SELECT * FROM (SELECT c.id, 'up' AS side, enzyme, top, row_number() OVER (PARTITION BY c.id ORDER BY v_s - top, enzyme) AS nth FROM cuts c JOIN vd ON c.id = vd.id WHERE n_cuts = 1 AND top <= v_s UNION ALL SELECT c.id, 'down', enzyme, top, row_number() OVER (PARTITION BY c.id ORDER BY top - v_e, enzyme) FROM cuts c JOIN vd ON c.id = vd.id WHERE n_cuts = 1 AND top >= v_e) WHERE nth <= 30),
 dc AS (SELECT vd.id, enzyme, top, n_cuts, d_s, d_e FROM cuts c JOIN vd ON c.id = vd.id + 1),
-opt AS (SELECT * FROM (SELECT f.id, side, f.enzyme AS ve, f.top AS vt, d.enzyme, d.top, row_number() OVER (PARTITION BY f.id, side, f.enzyme, f.top ORDER BY d.enzyme <> f.enzyme, d.n_cuts, CASE WHEN side = 'up' THEN d_s - d.top ELSE d.top - d_e END, d.enzyme, d.top) AS opt FROM fl f JOIN enz a ON a.name = f.enzyme JOIN dc d ON d.id = f.id JOIN enz b ON b.name = d.enzyme AND a.kind = b.kind AND a.ovhg_seq = b.ovhg_seq WHERE (side = 'up' AND d.top <= d_s) OR (side = 'down' AND d.top >= d_e)) WHERE opt <= 6),
+opt AS (SELECT * FROM (SELECT f.id, side, f.enzyme AS ve, f.top AS vt, d.enzyme, d.top, row_number() OVER (PARTITION BY f.id, side, f.enzyme, f.top ORDER BY d.enzyme <> f.enzyme, d.n_cuts, CASE WHEN side = 'up' THEN d_s - d.top ELSE d.top - d_e END, d.enzyme, d.top) AS opt FROM fl f JOIN enz a ON a.name = f.enzyme JOIN dc d ON d.id = f.id JOIN enz b ON b.name = d.enzyme AND a.kind = b.kind AND a.ovhg_seq = b.ovhg_seq AND NOT regexp_matches(a.ovhg_seq, '[^ACGT]') WHERE (side = 'up' AND d.top <= d_s) OR (side = 'down' AND d.top >= d_e)) WHERE opt <= 6),
 pr AS (SELECT u.id, u.enzyme AS ue, u.top AS ut, d.enzyme AS de, d.top AS dt FROM fl u JOIN fl d ON u.id = d.id AND u.side = 'up' AND d.side = 'down' AND u.enzyme <> d.enzyme),
 met AS (SELECT pr.*, x.enzyme AS ude, x.top AS udt, x.opt AS uo, y.enzyme AS dde, y.top AS ddt, y.opt AS yo FROM pr JOIN opt x ON x.id = pr.id AND x.side = 'up' AND x.ve = ue AND x.vt = ut JOIN opt y ON y.id = pr.id AND y.side = 'down' AND y.ve = de AND y.vt = dt WHERE x.top < y.top),
 fit AS (SELECT *, row_number() OVER (PARTITION BY id, ue, ut, de, dt ORDER BY uo, yo) AS r FROM met m WHERE NOT EXISTS (SELECT 1 FROM dc c WHERE c.id = m.id AND c.enzyme IN (ude, dde) AND c.top > udt AND c.top < ddt))"""
@@ -178,10 +187,11 @@ SQL["insertion_reasons"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES) + "SELECT id, CAS
 SQL["insertion_routes"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES) + f""", sc AS (SELECT f.id, ue, ut, de, dt, ude, udt, dde, ddt, {_STRAT.format(a='a', b='b')} IS NULL AS directional, ue = ude AND de = dde AS same_enzymes, dt - ut - (v_e - v_s) AS v_extra, ddt - udt - (d_e - d_s) AS d_extra, CASE WHEN ue IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END + CASE WHEN de IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END AS sup, a.canonical AS cu, b.canonical AS cd, length(v) - (dt - ut) + ddt - udt AS bp FROM fit f JOIN enz a ON a.name = ue JOIN enz b ON b.name = de JOIN vd ON vd.id = f.id WHERE r = 1)
 SELECT id, ue, ut, de, dt, ude, udt, dde, ddt, directional, same_enzymes, CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, true AS verified, CAST(bp AS INTEGER) AS product_bp FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY directional DESC, same_enzymes DESC, v_extra, d_extra, sup DESC, cu, cd, ue, de) AS q FROM sc) WHERE q = 1"""
 _AROUND = "substr(s || s || s, length(s) + {t} - 19, 40)"
-_HAS = "(contains(product || substr(product, 1, length({e}.site) - 1), {e}.site) AND length({e}.site) <= length(product))"
+_PATTERN = lambda x: "".join(f"[{LETTERS[c]}]" for c in x)
+_RES = f"res AS (SELECT * FROM {_values([(n, size, _PATTERN(site) + '|' + _PATTERN(site.translate(str.maketrans('ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN'))[::-1])) for n, site, size, *_ in _ENZ], ['name', 'size', 'pattern'])})"
 _WHY = SQL["excision_reasons"].partition(PAIRS)[2]
-SQL["excision_plans"] = _with(SEQS, CUTS, ENZ, TARGETS, GUARD, PAIRS) + f""", why AS ({_WHY}), said AS (SELECT id, '{{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}}' AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, reason) AS r FROM why) WHERE r <= 5 GROUP BY id),
+SQL["excision_plans"] = _with(SEQS, CUTS, ENZ, TARGETS, GUARD, PAIRS, _RES) + f""", why AS ({_WHY}), said AS (SELECT id, '{{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}}' AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, reason) AS r FROM why) WHERE r <= 5 GROUP BY id),
 ranks AS (SELECT d.*, s, row_number() OVER (PARTITION BY d.id ORDER BY sr, collateral, cu, cd, up, down) AS rk FROM dedup d JOIN targets t USING (id) WHERE dup = 1),
 prod AS (SELECT *, substr(s, 1, u_top) || substr(s, d_top + 1) AS product FROM ranks WHERE rk <= 25),
 good AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rk) AS q FROM prod WHERE length(product) < 40 OR (NOT contains(product || product, {_AROUND.format(t='u_top')}) AND NOT contains(product || product, {_AROUND.format(t='d_top')})))
-SELECT t.id, g.up IS NOT NULL AS feasible, g.up, g.down, g.u_top, g.d_top, g.strategy, substr(g.s || g.s, length(g.s) + u_top - 5, 6) || substr(g.s || g.s, d_top + 1, 6) AS junction, CASE WHEN g.up IS NOT NULL THEN {_HAS.format(e='a')} OR {_HAS.format(e='b')} END AS site_regenerated, CAST(length(product) AS INTEGER) AS product_bp, reasons FROM targets t LEFT JOIN (SELECT * FROM good WHERE q = 1) g ON g.id = t.id LEFT JOIN enz a ON a.name = g.up LEFT JOIN enz b ON b.name = g.down LEFT JOIN said ON said.id = t.id"""
+SELECT t.id, g.up IS NOT NULL AS feasible, g.up, g.down, g.u_top, g.d_top, g.strategy, substr(g.s || g.s, length(g.s) + u_top - 5, 6) || substr(g.s || g.s, d_top + 1, 6) AS junction, CASE WHEN g.up IS NOT NULL THEN EXISTS (SELECT 1 FROM res r WHERE r.name IN (g.up, g.down) AND regexp_matches(product || substr(product, 1, r.size - 1), r.pattern) AND length(product) >= r.size) END AS site_regenerated, CAST(length(product) AS INTEGER) AS product_bp, reasons FROM targets t LEFT JOIN (SELECT * FROM good WHERE q = 1) g ON g.id = t.id LEFT JOIN said ON said.id = t.id"""

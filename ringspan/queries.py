@@ -340,18 +340,7 @@ def water_balances(spark, d):
 
 
 def site_counts(spark, d):
-    """How often the plain sites of eight bases and more are on each circle, both strands, overlaps
-    counted: what its SQL asks for. `all_site_counts` has every enzyme."""
-    e = enzymes.enzymes(spark).where("size >= 8").select("name", "site")
-    s = seqs(spark, d).where(F.length("s") >= 8)
-    every = s.select("id", "s", F.explode(F.lit([r["name"] for r in e.collect()])).alias("name")).join(e, "name")
-    plain = every.where(~F.col("site").rlike("[^ACGT]"))
-    return plain.select("id", "name", S.site_count("s", "site").alias("n")).where("n > 0")
-
-
-def all_site_counts(spark, d):
-    """How often each enzyme's site is on each circle, overlaps counted. All sites, degenerate ones too,
-    read alike on both strands, so each place is one cut."""
+    """How often each enzyme cuts each circle, both strands."""
     return enzymes.cut_sites(seqs(spark, d)).select("id", F.col("enzyme").alias("name"), F.col("n_cuts").alias("n")).distinct()
 
 
@@ -425,6 +414,6 @@ QUERIES = {f.__name__: f for f in (
     overlap_pairs, nested_pairs, repeat_arrays, feature_pruning, feature_remap_insert, feature_remap_delete, feature_rotation, named_spans,
     graft_features, cut_sites, unique_cutters, ligation_pairs, enzyme_dimension, excision_best, excision_reasons, excision_plans,
     primer_candidates, primer_pairs, pcr_deletions, insertion_routes, insertion_reasons, insertion_openings, insertion_homology, ng_fmol,
-    dilution_plans, gibson_mixes, ligation_mixes, thermocycler_steps, water_balances, site_counts, all_site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
+    dilution_plans, gibson_mixes, ligation_mixes, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
     source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest,
 )}

@@ -12,10 +12,28 @@ def by_name():
 
 
 def test_dimension_is_sound():
-    for r in E.catalogue():
-        assert kernels.reverse_complement(r["site"]) == r["site"], r["name"]
+    rows = E.catalogue("All")
+    assert len({r["name"] for r in rows}) == len(rows) > 190
+    for r in rows:
         assert len(r["ovhg_seq"]) == abs(r["ovhg"])
-        assert (r["kind"] == "blunt") == (r["ovhg"] == 0)
+        assert (r["kind"] == "blunt") == (r["ovhg"] == 0) == (r["end"] == "blunt:")
+        if kernels.reverse_complement(r["site"]) == r["site"]:  # such enzymes cut both strands alike
+            assert r["top_off"] + (r["top_off"] - r["ovhg"]) == r["size"], r["name"]
+
+
+def test_pools():
+    sold, every = ({r["name"] for r in E.catalogue(p)} for p in ("CommOnly", "All"))
+    assert sold < every and "MstI" in every - sold and "EcoRI" in sold
+    assert "SnaI" not in every and E.catalogue(["SnaI"]) == []  # its cut is not known
+    assert [r["canonical"] for r in E.catalogue(["MstI", "AhaIII"])] == ["DraI", "FspI"]
+
+
+def test_cuts_beside_the_site(spark):
+    s = "A" * 20 + "GGTCTC" + "ACGTACGT" + "A" * 20 + "GAGACC" + "A" * 10
+    got = sorted((r["top"], r["bottom"]) for r in E.cut_sites(spark.createDataFrame([(1, s)], "id long, s string"), ["BsaI"]).collect())
+    # one base behind the site on its strand, five on the other; 54 is where GAGACC starts
+    assert got == [(27, 31), (54 - 5, 54 - 1)]
+    assert E.catalogue(["BsaI"])[0]["end"] is None
 
 
 def test_facts_about_ends():
@@ -45,22 +63,34 @@ def test_cut_sites_wrap_the_origin(spark):
     assert [(r["id"], r["enzyme"], r["top"], r["bottom"], r["n_cuts"]) for r in got] == [(1, "EcoRI", 45, 49, 1)]
 
 
+def slow_cuts(s, pool="CommOnly"):
+    """{(enzyme, top, bottom)} of a circle, place by place and letter by letter."""
+    out = set()
+    for e in E.catalogue(pool):
+        if len(s) < e["size"]:
+            continue
+        ext, bottom = s + s[: e["size"] - 1], e["top_off"] - e["ovhg"]
+        for site, top in ((e["site"], e["top_off"]), (kernels.reverse_complement(e["site"]), e["size"] - bottom)):
+            for p in range(len(s)):
+                if all(c in E.LETTERS[x] for c, x in zip(ext[p : p + e["size"]], site, strict=True)):
+                    at = (p + top) % len(s)
+                    out.add((e["name"], at, at - e["ovhg"]))
+    return out
+
+
 def test_cut_sites_brute(spark):
     import random
 
     rng = random.Random(5)
-    rows = [(i, "".join(rng.choices("ACGT", k=rng.randint(1, 400)))) for i in range(30)]
-    got = {(r["id"], r["enzyme"], r["top"]) for r in E.cut_sites(spark.createDataFrame(rows, "id long, s string")).collect()}
-    want = set()
+    rows = [(i, "".join(rng.choices("ACGTN" if i % 5 == 0 else "ACGT", weights=[9, 9, 9, 9, 1][: 5 if i % 5 == 0 else 4], k=rng.randint(1, 500)))) for i in range(24)]
+    got = {}
+    for r in E.cut_sites(spark.createDataFrame(rows, "id long, s string"), "All").collect():
+        got.setdefault(r["id"], []).append((r["enzyme"], r["top"], r["bottom"], r["n_cuts"]))
     for i, s in rows:
-        for e in E.catalogue():
-            if len(s) < e["size"]:
-                continue
-            ext = s + s[: e["size"] - 1]
-            for p in range(len(s)):
-                if all(c in E.LETTERS[x] for c, x in zip(ext[p : p + e["size"]], e["site"], strict=True)):
-                    want.add((i, e["name"], (p + e["top_off"]) % len(s)))
-    assert got == want
+        want = slow_cuts(s, "All")
+        mine = got.get(i, [])
+        assert {x[:3] for x in mine} == want and len(mine) == len(want)
+        assert all(n == sum(w[0] == e for w in want) for e, _, _, n in mine)
 
 
 def test_conditions(spark):
@@ -77,25 +107,16 @@ def test_describe(spark):
     assert [r["d"] for r in e.collect()] == ["EcoRI GAATTC (5' AATT)", "SmaI CCCGGG (blunt)"]
 
 
-def test_all_site_counts_against_brute_force(spark, tmp_path):
+def test_site_counts_against_brute_force(spark, tmp_path):
     import random
-    import re
 
     from ringspan import queries as Q
-    from ringspan.functions import kernels
-    from ringspan.operators import enzymes
 
     rng = random.Random(3)
-    rows = [(i, "".join(rng.choices("abcd", k=n))) for i, n in enumerate((3, 5, 300, 4000))]
+    rows = [(i, "".join(rng.choices("abcd", k=n))) for i, n in enumerate((3, 5, 300, 2000))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {}
     for r in Q.seqs(spark, str(tmp_path)).collect():
-        for e in enzymes.catalogue():
-            assert kernels.reverse_complement(e["site"]) == e["site"]
-            if len(r["s"]) >= e["size"]:
-                site = re.compile("".join(f"[{enzymes.LETTERS[c]}]" for c in e["site"]))
-                n = sum(bool(site.match(r["s"] + r["s"][: e["size"] - 1], i)) for i in range(len(r["s"])))
-                if n:
-                    want[r["id"], e["name"]] = n
-    assert {(r["id"], r["name"]): r["n"] for r in Q.QUERIES["all_site_counts"](spark, str(tmp_path)).collect()} == want
-    assert any(n == "EcoRI" or n == "AluI" for _, n in want)
+        for name, _, _ in slow_cuts(r["s"]):
+            want[r["id"], name] = want.get((r["id"], name), 0) + 1
+    assert {(r["id"], r["name"]): r["n"] for r in Q.QUERIES["site_counts"](spark, str(tmp_path)).collect()} == want and len(want) > 100
