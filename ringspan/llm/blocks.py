@@ -4,7 +4,8 @@ A print of several 64-bit words is a ring of bits. Blocks of it are keys: two pr
 texts at the wanted similarity agree on some block with a known chance, so the number of blocks
 follows from their width and the recall that is wanted (`blocks_for`). Where they meet, the block is
 the start of a pigeonring chain: the differences in the segments that follow it on the ring, summed
-from the block on, must stay within `budget` bits a segment for every length of the chain.
+from the block on, must stay within `budget` bits a segment for every length of the chain, and those in
+the last word of the ring, wherever the block is, within 1.4 times its share.
 
 `groups` verifies pairs before anything joins them. Of the pairs of a key a least spanning forest leaves
 first, by the difference in the prints' last words, which every key sees alike; rows that have more pairs
@@ -32,6 +33,8 @@ from ringspan.llm.components import components
 
 #: Bits of a key below those that number its block.
 KEY_BITS = 40
+#: What the last word of a print may differ in, as a multiple of its share of the budget.
+LAST = 1.4
 #: Pairs of a key that are held at once, for each of its rows; beyond, its forest grows row by row.
 LIMIT = 8
 
@@ -165,7 +168,8 @@ def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
     of = np.concatenate([[0], np.cumsum(turn)])  # the run of each row
     wide = float(t[3].max()) / max(least, 1e-9) + 2 if least else float(t[3].max()) + 2
     t = t[:, np.argsort(of * wide + t[3], kind="stable")]
-    check, size, node = t[1].view(np.uint64), t[3], t[4]
+    check, last, size, node = t[1].view(np.uint64), t[2].view(np.uint64), t[3], t[4]
+    most_last = LAST * 64 / b.bits * b.budget
     # each row meets those behind it in its run whose sizes are in reach
     end = np.searchsorted(of, of, side="right")
     reach = end if not least else np.minimum(end, np.searchsorted(of * wide + size, of * wide + size / least + 1e-6, side="right"))
@@ -183,7 +187,7 @@ def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
         ok = np.flatnonzero(_chain(check[i] ^ check[j], b))
         i, j = i[ok], j[ok]
-        keep = node[i] != node[j]
+        keep = (node[i] != node[j]) & (np.bitwise_count(last[i] ^ last[j]) <= most_last)
         if rooted:
             keep &= t[5][i] != t[5][j]
         u.append(i[keep])
@@ -196,11 +200,11 @@ def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
         return t, u, v, np.zeros(n, dtype=bool)
     dense = hits > most
     keep = ~dense[of[u]] if len(u) else np.zeros(0, dtype=bool)
-    u, v, more = forest(u[keep], v[keep], t[2].view(np.uint64), node)
+    u, v, more = forest(u[keep], v[keep], last, node)
     parts = [(u, v)]
     for r in np.flatnonzero(dense):
         lo, hi = np.searchsorted(of, [r, r + 1])
-        x, y = spanning(check[lo:hi], t[2][lo:hi].view(np.uint64), size[lo:hi], b, least)
+        x, y = spanning(check[lo:hi], last[lo:hi], size[lo:hi], b, least)
         parts.append((x + lo, y + lo))
         more[parts[-1][0]] = more[parts[-1][1]] = True
     return t, *(np.concatenate(c) for c in zip(*parts, strict=True)), more
@@ -248,7 +252,7 @@ def spanning(check: np.ndarray, last: np.ndarray, size: np.ndarray, b: Blocks, l
         left, far, by = np.delete(left, k), np.delete(far, k), np.delete(by, k)
         d = np.bitwise_count(last[left] ^ last[at])
         near = np.flatnonzero((d < far) & (least * np.maximum(size[left], size[at]) <= np.minimum(size[left], size[at])))
-        near = near[_chain(check[left[near]] ^ check[at], b)]
+        near = near[(d[near] <= LAST * 64 / b.bits * b.budget) & _chain(check[left[near]] ^ check[at], b)]
         far[near] = d[near]
         by[near] = at
     return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
