@@ -149,11 +149,10 @@ def three_prime_dimer(s) -> Column:
     return F.contains(F.substr(s, F.lit(1), F.length(s) - 5), reverse_complement(F.right(s, F.lit(5))))
 
 
-def word_code(word) -> Column:
-    """The integer of a word of bases, two bits each, as kernels.window_codes() has it."""
-    digits = F.translate(col(word), "ACGT", "0123")
-    one = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda i: F.substr(digits, i, F.lit(1)).cast("long"))
-    return F.aggregate(one, F.lit(0).cast("long"), lambda a, x: a * 4 + x)
+def seed_code(word) -> Column:
+    """The integer of a word of at most 15 letters, as kernels.letter_codes() has it."""
+    known = F.regexp_replace(col(word), f"[^{kernels.LETTER_ORDER}]", "0")
+    return F.conv(F.translate(known, kernels.LETTER_ORDER, "123456789ABCDEF"), 16, 10).cast("long")
 
 
 def feature_label(qualifiers, kind) -> Column:

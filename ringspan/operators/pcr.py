@@ -1,12 +1,18 @@
 """Primers that end at a fixed boundary, chosen by length, temperature and composition, and the
-deletion of a span by inverse PCR."""
+deletion of a span by inverse PCR.
+
+Only the bases that a primer may take leave the circle; all lengths are scored at once, in numpy, and the
+best pair of a span is chosen where its two words are, so no join and no window is needed."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringspan.functions.sequences import circular_slice, gc_percent, longest_homopolymer, melting_temperature, reverse_complement, self_complementarity, site_count, three_prime_dimer
+from ringspan.functions import kernels
+from ringspan.functions.sequences import END_AT, END_GC, GAS, NEIGHBOURS, SALT, STRANDS, circular_slice, longest_homopolymer, reverse_complement, self_complementarity, site_count, three_prime_dimer
 from ringspan.session import settle
 
 # The defaults of a primer design.
@@ -30,26 +36,64 @@ def penalty(seq, tm, gc, target_tm: float = 60.0, min_gc: float = 35.0, max_gc:
     )
 
 
-def candidates(sites: DataFrame, min_length: int = 18, max_length: int = 32, target_tm: float = 60.0) -> DataFrame:
+def _scored(words: list[str], lengths: range, target_tm: float, min_gc: float, max_gc: float) -> dict[str, np.ndarray]:
+    """The table of the beginnings of words with their `penalty`, as `penalty` has it; infinite beyond a word."""
+    t = kernels.primer_table(words, lengths, NEIGHBOURS, END_AT, END_GC, SALT, STRANDS, GAS)
+    gc = t["gc"]
+    off = np.where(gc < min_gc, 5 + 0.2 * (min_gc - gc), np.where(gc > max_gc, 5 + 0.2 * (gc - max_gc), 0.0))
+    p = np.abs(t["tm"] - target_tm) + off + np.where(t["clamp"], 0.0, 2.0) + np.where(t["strong"] > 3, 2.0, 0.0) + np.where(t["run"], 2.0, 0.0) + np.maximum(t["fold"] - 5, 0) + np.where(t["dimer"], 3.0, 0.0)
+    t["penalty"] = np.where(t["fits"], p, np.inf)
+    return t
+
+
+def _word(role, boundary, most: int) -> Column:
+    """The bases that a primer may take, from its 5' end; a whole turn of the circle at most."""
+    n = F.least(F.lit(most), F.length("s"))
+    return F.upper(F.when(role == "forward", circular_slice("s", boundary, boundary + n)).otherwise(reverse_complement(circular_slice("s", boundary - n, boundary))))
+
+
+def candidates(sites: DataFrame, min_length: int = 18, max_length: int = 32, target_tm: float = 60.0, min_gc: float = 35.0, max_gc: float = 65.0) -> DataFrame:
     """(id, role, len, seq, tm, gc, penalty): primers of every length at each site. sites: (id, s,
     role, boundary): a forward primer starts at the boundary, a reverse one is the other strand of
     what ends there."""
-    grown = sites.withColumn("len", F.explode(F.sequence(F.lit(min_length), F.lit(max_length)))).where(F.col("len") <= F.length("s"))
-    fwd = circular_slice("s", F.col("boundary"), F.col("boundary") + F.col("len"))
-    rev = reverse_complement(circular_slice("s", F.col("boundary") - F.col("len"), F.col("boundary")))
-    seq = grown.select("id", "role", "len", F.upper(F.when(F.col("role") == "forward", fwd).otherwise(rev)).alias("seq"))
-    timed = seq.withColumns({"tm": melting_temperature("seq"), "gc": gc_percent("seq")})
-    return timed.withColumn("penalty", penalty(F.col("seq"), F.col("tm"), F.col("gc"), target_tm))
-
-
-def best_pairs(cands: DataFrame) -> DataFrame:
-    """(id, f_len, r_len, f_seq, r_seq, f_tm, r_tm, score): of all pairs of an id, that with the least
-    sum of penalties and twice the temperature difference; ties to the shorter forward, then reverse."""
-    f = cands.where("role = 'forward'").select("id", *[F.col(c).alias(f"f_{c}") for c in ("len", "seq", "tm", "penalty")])
-    r = cands.where("role = 'reverse'").select("id", *[F.col(c).alias(f"r_{c}") for c in ("len", "seq", "tm", "penalty")])
-    pairs = f.join(r, "id").withColumn("score", F.col("f_penalty") + F.col("r_penalty") + 2 * F.abs(F.col("f_tm") - F.col("r_tm")))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.round("score", 9), "f_len", "r_len"))
-    return pairs.withColumn("n", nth).where("n = 1").drop("n", "f_penalty", "r_penalty")
+    src = sites.select("id", "role", _word(F.col("role"), F.col("boundary"), max_length).alias("word"))
+    lengths = range(min_length, max_length + 1)
+
+    def run(batches):
+        for b in batches:
+            words = b.column(2).to_pylist()
+            if not words:
+                continue
+            t = _scored(words, lengths, target_tm, min_gc, max_gc)
+            row, k = np.nonzero(t["fits"])
+            at = pa.array(row)
+            seq = [words[i][:n] for i, n in zip(row.tolist(), (k + min_length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array((k + min_length).astype(np.int32)), pa.array(seq, pa.string()), *(pa.array(t[c][row, k]) for c in ("tm", "gc", "penalty"))], names=["id", "role", "len", "seq", "tm", "gc", "penalty"])
+
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, role string, len int, seq string, tm double, gc double, penalty double")
+
+
+def best_pairs(spans: DataFrame, inside: bool = False, min_length: int = 18, max_length: int = 32, target_tm: float = 60.0, min_gc: float = 35.0, max_gc: float = 65.0) -> DataFrame:
+    """(id, f_len, r_len, f_seq, r_seq, f_tm, r_tm, score): of all pairs of primers that point away from a
+    span (id, s, t_s, t_e), or into it, that with the least sum of penalties and twice the temperature
+    difference; ties to the shorter forward, then reverse. A circle shorter than a primer has none."""
+    f, r = ("t_s", "t_e") if inside else ("t_e", "t_s")
+    src = spans.select("id", _word(F.lit("forward"), F.col(f), max_length).alias("f"), _word(F.lit("reverse"), F.col(r), max_length).alias("r")).where(F.length("f") >= min_length)
+    lengths = range(min_length, max_length + 1)
+
+    def run(batches):
+        for b in batches:
+            f, r = b.column(1).to_pylist(), b.column(2).to_pylist()
+            if not f:
+                continue
+            x, y = (_scored(words, lengths, target_tm, min_gc, max_gc) for words in (f, r))
+            score = x["penalty"][:, :, None] + y["penalty"][:, None, :] + 2 * np.abs(x["tm"][:, :, None] - y["tm"][:, None, :])
+            best = np.round(score, 9).reshape(len(f), -1).argmin(axis=1)
+            row, i, j = np.arange(len(f)), best // len(lengths), best % len(lengths)
+            cut_to = lambda words, k: pa.array([w[:n] for w, n in zip(words, (k + min_length).tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((i + min_length).astype(np.int32)), pa.array((j + min_length).astype(np.int32)), cut_to(f, i), cut_to(r, j), pa.array(x["tm"][row, i]), pa.array(y["tm"][row, j]), pa.array(score[row, i, j])], names=["id", "f_len", "r_len", "f_seq", "r_seq", "f_tm", "r_tm", "score"])
+
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, f_len int, r_len int, f_seq string, r_seq string, f_tm double, r_tm double, score double")
 
 
 def outward(spans: DataFrame) -> DataFrame:
@@ -79,11 +123,13 @@ def notes(seq, template) -> Column:
 
 def plan_deletions(spans: DataFrame, method: str = "KLD", overlap: int = 20, overlap_placement: str = "split", **kw) -> DataFrame:
     """A row per span (id, s, t_s, t_e): the primers that amplify all but the span, the product, the
-    amplicon size, warnings; feasible is false, with a reason, where too little is left."""
+    amplicon size, warnings; feasible is false, with a reason, where too little is left. kw: any of DEFAULTS."""
+    if unknown := set(kw) - set(DEFAULTS):
+        raise TypeError(f"no such parameter of a design: {', '.join(sorted(unknown))}")
     d = {**DEFAULTS, **kw}
     n, cut = F.length("s"), F.col("t_e") - F.col("t_s")
     judged = spans.withColumn("reason", F.when(cut <= 0, "nothing to delete").when(cut >= n - 2 * d["max_length"], "too little of the circle would be left for two primers"))
-    pairs = best_pairs(candidates(outward(judged.where("reason is null")), d["min_length"], d["max_length"], d["target_tm"]))
+    pairs = best_pairs(judged.where("reason is null"), False, d["min_length"], d["max_length"], d["target_tm"], d["min_gc"], d["max_gc"])
     half = (overlap + 1) // 2
     if method == "gibson" and overlap_placement == "split":
         f_tail, r_tail = circular_slice("s", F.col("t_s") - half, F.col("t_s")), reverse_complement(circular_slice("s", F.col("t_e"), F.col("t_e") + (overlap - half)))
@@ -96,7 +142,7 @@ def plan_deletions(spans: DataFrame, method: str = "KLD", overlap: int = 20, ove
     product = circular_slice("s", F.pmod(F.col("t_e"), n), F.pmod(F.col("t_e"), n) + n - cut)
     linear = F.concat(F.substr("s", F.lit(1), F.col("t_s")), F.substr("s", F.col("t_e") + 1))
     warn = F.array(
-        F.when(n - cut > 6000, "amplicon over 6 kb"),
+        F.when(n - cut + F.length("f_tail") + F.length("r_tail") > 6000, "amplicon over 6 kb"),
         F.when(F.abs(F.col("f_tm") - d["target_tm"]) > d["tm_tolerance"], "forward temperature off target"),
         F.when(F.abs(F.col("r_tm") - d["target_tm"]) > d["tm_tolerance"], "reverse temperature off target"),
         F.when(F.abs(F.col("f_tm") - F.col("r_tm")) > d["max_tm_difference"], "temperatures differ"),

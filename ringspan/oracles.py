@@ -155,7 +155,7 @@ SQL = {
     "primer_candidates": _with(SEQS, TARGETS, PRIMERS) + "SELECT id, role, len, seq, round(tm, 4) AS tm, round(gc, 4) AS gc, round(penalty, 4) AS penalty FROM scored",
     "primer_pairs": _with(SEQS, TARGETS, PRIMERS) + "SELECT id, f_len, r_len, f_seq, r_seq, round(score, 4) AS score FROM best WHERE rn = 1",
     "pcr_deletions": _with(SEQS, TARGETS, PRIMERS) + f"""SELECT t.id, length(s) - 64 > 30 AS feasible, f_seq, r_seq, substr(s || s || s, length(s) + t_s - 9, 10) AS f_tail, {_rc("substr(s || s || s, length(s) + t_e + 1, 10)")} AS r_tail, CAST(length(s) - 30 + 20 AS INTEGER) AS amplicon_bp, CAST(greatest(15, {_HE.format(x='((length(s) - 10) / 1000 * 30)')}) AS INTEGER) AS extension_s, md5(substr(s, 1, t_s) || substr(s, t_e + 1)) AS product_md5,
- array_to_string(list_filter([CASE WHEN length(s) - 30 > 6000 THEN 'amplicon over 6 kb' END, CASE WHEN abs(f_tm - 60) > 3 THEN 'forward temperature off target' END, CASE WHEN abs(r_tm - 60) > 3 THEN 'reverse temperature off target' END, CASE WHEN abs(f_tm - r_tm) > 3 THEN 'temperatures differ' END], lambda x: x IS NOT NULL), ';') AS warnings FROM targets t LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON b.id = t.id""",
+ array_to_string(list_filter([CASE WHEN length(s) - 30 + 20 > 6000 THEN 'amplicon over 6 kb' END, CASE WHEN abs(f_tm - 60) > 3 THEN 'forward temperature off target' END, CASE WHEN abs(r_tm - 60) > 3 THEN 'reverse temperature off target' END, CASE WHEN abs(f_tm - r_tm) > 3 THEN 'temperatures differ' END], lambda x: x IS NOT NULL), ';') AS warnings FROM targets t LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON b.id = t.id""",
     "insertion_homology": _with(SEQS, VD) + f", a AS (SELECT id, v, d, substr(v || v || v, length(v) + v_s - 24, 25) AS up_arm, substr(v || v || v, length(v) + v_e + 1, 25) AS down_arm, substr(d, d_s + 1, 30) AS ins, v_s FROM vd) SELECT id, up_arm, down_arm, up_arm || ins || down_arm AS \"order\", md5(substr(v, 1, v_s) || ins || substr(v, v_s + 1)) AS product_md5, array_to_string(list_filter(['order under 125 bases', 'insert under 200 bases assembles poorly', CASE WHEN len(list_filter(range(1, length(v) + 1), lambda i: substr(v || substr(v, 1, 24), i, 25) = up_arm)) > 1 THEN 'upstream arm occurs twice in the vector' END, CASE WHEN len(list_filter(range(1, length(v) + 1), lambda i: substr(v || substr(v, 1, 24), i, 25) = down_arm)) > 1 THEN 'downstream arm occurs twice in the vector' END], lambda x: x IS NOT NULL), ';') AS warnings, true AS verified FROM a",
     "insertion_openings": _with(SEQS, CUTS, ENZ, VD) + ", c AS (SELECT id, enzyme, top, v_s, CASE WHEN enzyme IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END AS sup FROM cuts JOIN vd USING (id) WHERE n_cuts = 1) SELECT id, ue, ut, de, dt FROM (SELECT u.id, u.enzyme AS ue, u.top AS ut, d.enzyme AS de, d.top AS dt, row_number() OVER (PARTITION BY u.id ORDER BY d.top - u.top, -(u.sup + d.sup), u.enzyme, d.enzyme) AS r FROM c u JOIN c d ON u.id = d.id WHERE u.top <= u.v_s AND d.top >= d.v_s AND d.top - u.top <= 200) WHERE r = 1",
     "ng_fmol": f"WITH p AS (SELECT p_partkey, p_size, p_size * 100 + 37 AS bp FROM part) SELECT p_partkey, round(100.0 * 1e6 / (bp * 650), 6) AS fmol, round(100.0 * 1e6 / (bp * 650) * 3 * bp * 650 / 1e6, 6) AS ng, round(15.0 * bp * 660 / 1e6, 6) AS ligation_ng, CAST(CASE WHEN bp < 500 THEN 1.5 WHEN bp < 1000 THEN 1.2 ELSE 1.0 END AS DOUBLE) AS gel, CAST(greatest(15, {_HE.format(x='(bp / 1000 * CASE WHEN p_size % 2 = 0 THEN 45 ELSE 30 END)')}) AS INTEGER) AS extension_s, greatest(bp, 600) >= 5 * least(bp, 600) AS caveat FROM p",

@@ -257,7 +257,8 @@ def primer_candidates(spark, d):
 
 
 def primer_pairs(spark, d):
-    b = pcr.best_pairs(pcr.candidates(_sites(spark, d)))
+    s = seqs(spark, d)
+    b = pcr.best_pairs(targets(s).join(s, "id"))
     return b.select("id", "f_len", "r_len", "f_seq", "r_seq", F.round("score", 4).alias("score"))
 
 

@@ -23,10 +23,13 @@ def settle(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master only, one
+    of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_ringspan_shared", None)
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = sc._ringspan_shared = "file://" + tempfile.mkdtemp(prefix="ringspan-")
         sc.setCheckpointDir(found)
     return found

@@ -28,9 +28,12 @@ def scan(contents: DataFrame, kind: str | None = None) -> tuple[DataFrame, DataF
         suffix = F.lower(F.regexp_extract("plasmid_id", r"(\.[^./]*)$", 1))
         parts = [contents.where(suffix.isin([s for s, k in SUFFIXES.items() if k == k0])).withColumn("r", parse_udf(k0)("content")) for k0 in sorted(set(SUFFIXES.values()))]
         r = reduce(DataFrame.unionByName, parts)
+        known = F.coalesce(suffix.isin(list(SUFFIXES)), F.lit(False))
+        rest = contents.where(~known).select("plasmid_id", F.concat(F.lit("no format is known for the name "), F.coalesce(F.col("plasmid_id").cast("string"), F.lit("(none)"))).alias("error"))
     r = r.select("plasmid_id", "r.*")
     good = r.where("error is null").select("plasmid_id", F.regexp_extract(F.col("plasmid_id").cast("string"), _STEM, 1).alias("label"), "name", F.length("sequence").alias("length"), "circular", "sequence", "features")
-    return good, r.where("error is not null").select("plasmid_id", "error")
+    bad = r.where("error is not null").select("plasmid_id", "error")
+    return good, bad if kind else bad.union(rest)
 
 
 def directory(spark: SparkSession, path: str, pattern: str = "*.dna", recursive: bool = False) -> DataFrame:

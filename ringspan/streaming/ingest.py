@@ -5,7 +5,6 @@ The batch operators run unchanged on streams; this one computes identities, whic
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ringspan.functions.sequences import dna_like, fingerprint
+from ringspan.session import shared_dir
 
 
 def identities(stream: DataFrame) -> DataFrame:
@@ -33,8 +33,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str):
 def ingest_available(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
     """All that a file or directory of a folder holds now, through the streaming route; the table
     that comes of it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="ringspan-")
-    out = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex[:12]}"
+    out = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex[:12]}"
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     reader = spark.readStream.schema(schema)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():

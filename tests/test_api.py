@@ -70,7 +70,7 @@ def test_spans_parts_and_footprint(spark):
 def test_inward_primers_and_notes(spark):
     s = "".join(random.Random(6).choices("ACGT", k=300))
     spans = spark.createDataFrame([(1, s, 100, 200)], "id long, s string, t_s int, t_e int")
-    best = pcr.best_pairs(pcr.candidates(pcr.inward(spans))).first()
+    best = pcr.best_pairs(spans, inside=True).first()
     assert s[100:].startswith(best["f_seq"]) and K.reverse_complement(s[:200]).startswith(best["r_seq"])
     rows = [(s[:20], s), ("ACGTACGTACGTACGTACGAAAA", "ACGTACGTACGTACGTACGAAAA" * 2)]
     got = [r[0] for r in spark.createDataFrame(rows, "p string, t string").select(pcr.notes(F.col("p"), F.col("t"))).collect()]

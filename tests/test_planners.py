@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from ringspan.operators import enzymes, excision, insertion, intervals, pcr
 
 
@@ -117,3 +119,14 @@ def test_remap_is_asymmetric_at_an_insertion(spark):
 
     got = {r["f"]: (r["s"], r["e"], r["truncated"]) for r in intervals.remap(f, F.lit(50), F.lit(50), F.lit(10)).collect()}
     assert got == {1: (0, 50, False), 2: (60, 90, False), 3: (40, 70, True)}
+
+
+def test_gc_limits_decide_and_unknown_parameters_are_refused(spark):
+    from ringspan.operators import pcr
+
+    s = "".join(random.Random(8).choices("ACGT", k=400))
+    spans = spark.createDataFrame([(1, s, 150, 250)], "id long, s string, t_s int, t_e int")
+    a, b = (pcr.plan_deletions(spans, **kw).first() for kw in ({}, {"min_gc": 70.0, "max_gc": 71.0}))
+    assert a["score"] < b["score"]
+    with pytest.raises(TypeError):
+        pcr.plan_deletions(spans, min_cg=40)

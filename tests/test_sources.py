@@ -114,3 +114,10 @@ def test_ingest(spark, tmp_path):
     spark.createDataFrame([(1, "acgt acgt"), (2, "tacg"), (3, "12")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = ingest_available(spark, str(tmp_path), "documents.parquet", spark.read.parquet(str(tmp_path / "documents.parquet")).schema).collect()
     assert sorted(r["id"] for r in rows) == [1, 2]
+
+
+def test_names_without_a_format_are_failures(spark):
+    rows = [("a.fasta", b">a\nACGT\n"), ("b.xyz", b"?"), ("c", b"?"), (None, b"?"), ("d.fa", b"no record")]
+    good, bad = library.scan(spark.createDataFrame(rows, "plasmid_id string, content binary"))
+    assert [r["plasmid_id"] for r in good.collect()] == ["a.fasta"]
+    assert sorted(str(r["plasmid_id"]) for r in bad.collect()) == ["None", "b.xyz", "c", "d.fa"] and all(r["error"] for r in bad.collect())
