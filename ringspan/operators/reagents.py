@@ -207,7 +207,20 @@ def cleanup_note(cfg: dict | None = None) -> str:
 def digest_note(minutes, temp_c, star_limit_h, no_heat_kill, unknown) -> Column:
     """A sentence on how to run a reconciled digest."""
     run = F.when(minutes.isNotNull() & temp_c.isNotNull(), F.format_string("Incubate at %s °C for %d min.", temp_c, minutes)).otherwise("Enzymes differ in temperature or are not in the table: digest one after the other.")
-    limit = F.when(star_limit_h.isNotNull(), F.format_string(" Stop within %s h.", F.format_number(star_limit_h, 0))).otherwise("")
+    limit = F.when(star_limit_h.isNotNull(), F.format_string(" Stop within %s h.", F.regexp_replace(star_limit_h.cast("string"), r"\.0$", ""))).otherwise("")
     kill = F.when(F.size(no_heat_kill) > 0, F.concat(F.lit(" Heat does not stop "), F.array_join(no_heat_kill, ", "), F.lit("; purify."))).otherwise("")
     ask = F.when(F.size(unknown) > 0, F.concat(F.lit(" Look up "), F.array_join(unknown, ", "), F.lit("."))).otherwise("")
     return F.concat(run, limit, kill, ask)
+
+
+def forms(plans: DataFrame) -> DataFrame:
+    """(id, gel_percent, agarose_g, growth_c, extension_s, amplicon): the numbers that a form shows for a
+    plan (id, bp, repetitive), and the amplicon's size as it is printed, a blank where it is not known."""
+    bp, rep = F.col("bp"), F.col("repetitive")
+    return plans.select("id", gel_percent(bp).alias("gel_percent"), agarose_grams(bp).alias("agarose_g"), growth_temperature(rep).alias("growth_c"), extension_seconds(bp, rep).alias("extension_s"), shown(bp, 0).alias("amplicon"))
+
+
+def pcr_rows(plans: DataFrame, cfg: dict | None = None) -> DataFrame:
+    """(id, nth, component, ul): the reaction of each plan (id)."""
+    made = F.array(*[F.struct(F.lit(n).alias("component"), F.lit(float(u)).alias("ul")) for n, u in pcr_mix(cfg)])
+    return plans.select("id", F.posexplode(made).alias("nth", "r")).select("id", "nth", "r.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ringspan.functions.sequences import END_AT, END_GC, NEIGHBOURS
 from ringspan.operators.enzymes import LETTERS, catalogue
-from ringspan.operators.reagents import BENCH
+from ringspan.operators.reagents import BENCH, pcr_mix
 from ringspan.sources.conditions import rows as condition_rows
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -31,6 +31,12 @@ SEQS = f"seqs AS (SELECT doc_id AS id, {_dna('text')} AS s FROM documents WHERE
 PROBES = f"probes AS (SELECT item_id AS query_id, {_dna('text')} AS q FROM benchmark WHERE length({_dna('text')}) > 0)"
 _SHORT = "concat_ws('', c_mktsegment, translate(c_name, '0123456789', 'abcdefghij'))"
 SHORT = f"shorts AS (SELECT c_custkey AS id, {_dna(_SHORT)} AS s FROM customer WHERE length({_dna(_SHORT)}) > 0)"
+# the canonical form of longer circles: of the turns that start at the least 31 bases, the least
+LONG = f"""strand AS (SELECT id, upper(s) AS t, length(s) AS n FROM seqs UNION ALL SELECT id, {_rc('upper(s)')}, length(s) FROM seqs),
+turn AS (SELECT id, t, n, i, substr(ext, i, least(31, n)) AS w FROM (SELECT id, t, n, t || substr(t, 1, least(30, n)) AS ext, unnest(range(1, n + 1)) AS i FROM strand)),
+least AS (SELECT id, min(w) AS w FROM turn GROUP BY id),
+long AS (SELECT id, min(substr(t, i) || substr(t, 1, i - 1)) AS canonical FROM turn JOIN least USING (id, w) GROUP BY id),
+prints AS (SELECT id, substr(sha256(canonical), 1, 16) AS fingerprint FROM long)"""
 _TURNS = "list_min(list_transform(range(1, length({x}) + 1), lambda i: substr({x}, i) || substr({x}, 1, i - 1)))"
 CANON = f"canon AS (SELECT id, least({_TURNS.format(x='s')}, {_TURNS.format(x=_rc('s'))}) AS canonical FROM shorts)"
 _AT = "CAST(l_partkey * 37 % 5000 AS INTEGER)"
@@ -124,10 +130,13 @@ SQL = {
     "seq_projections": _with(SEQS) + f"SELECT id, CAST(length(s) AS INTEGER) AS length, md5({_rc('s')}) AS rc_md5, round({_GC.format(s='s')}, 6) AS gc, CAST({_HOMO.format(s='s')} AS INTEGER) AS homopolymer, substr(s || s || s, length(s) - 2, 6) AS origin, md5(substr(s, 2) || substr(s, 1, 1)) AS turned_md5 FROM seqs",
     "rotation_fingerprint": _with(SHORT, CANON) + "SELECT id, canonical, substr(sha256(canonical), 1, 16) AS fingerprint FROM canon",
     "rotation_offsets": _with(SHORT) + "SELECT id, CAST(instr(s || s, t) - 1 AS INTEGER) AS \"offset\", true AS same_circle, CAST(NULL AS INTEGER) AS other_length FROM (SELECT id, s, substr(s, id % length(s) + 1) || substr(s, 1, id % length(s)) AS t FROM shorts)",
-    "dup_groups": _with(SHORT, CANON) + "SELECT substr(sha256(canonical), 1, 16) AS fingerprint, min(id) AS class_id, count(*) AS n FROM canon GROUP BY 1 HAVING count(*) > 1",
+    "fingerprint_long": _with(SEQS, LONG) + "SELECT id, fingerprint, min(id) OVER (PARTITION BY fingerprint) AS class_id FROM prints",
+    "streaming_ingest": _with(SEQS, LONG) + "SELECT id, CAST(length(s) AS INTEGER) AS length, fingerprint FROM seqs JOIN prints USING (id)",
+    "dup_groups": _with(SEQS, LONG) + "SELECT fingerprint, min(id) AS class_id, count(*) AS n FROM prints GROUP BY 1 HAVING count(*) > 1",
+    "short_dup_groups": _with(SHORT, CANON) + "SELECT substr(sha256(canonical), 1, 16) AS fingerprint, min(id) AS class_id, count(*) AS n FROM canon GROUP BY 1 HAVING count(*) > 1",
     "kmer_relationships": _with(SEQS, CLS, KMERS, REL) + "SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, kind FROM kinds",
     "lineage": _with(SEQS, CLS, KMERS, REL) + "SELECT CASE WHEN length(y.s) < length(x.s) THEN b ELSE a END AS smaller, CASE WHEN length(y.s) < length(x.s) THEN a ELSE b END AS larger, round(containment, 6) AS containment FROM kinds JOIN cls x ON x.id = a JOIN cls y ON y.id = b WHERE containment >= 0.98 AND jaccard < 0.99",
-    "library_report": _with(SEQS, CLS, KMERS, REL, SHORT, CANON) + "SELECT (SELECT count(*) FROM canon) AS n_circles, (SELECT count(DISTINCT canonical) FROM canon) AS n_distinct, (SELECT count(*) FROM (SELECT canonical FROM canon GROUP BY 1 HAVING count(*) > 1)) AS n_duplicate_groups, (SELECT count(*) FROM kinds WHERE kind <> 'related') AS n_near_pairs",
+    "library_report": _with(SEQS, CLS, KMERS, REL, LONG) + "SELECT (SELECT count(*) FROM prints) AS n_circles, (SELECT count(DISTINCT fingerprint) FROM prints) AS n_distinct, (SELECT count(*) FROM (SELECT fingerprint FROM prints GROUP BY 1 HAVING count(*) > 1)) AS n_duplicate_groups, (SELECT count(*) FROM kinds WHERE kind <> 'related') AS n_near_pairs",
     "provenance_hits": _with(SEQS, PROBES, HITS) + "SELECT query_id, id, start, strand FROM hits",
     "complexity_metrics": _with(SEQS) + f"SELECT id, CAST(length(s) AS INTEGER) AS length, {_HE.format(x='(' + _GC.format(s='s') + ' * 10)')} / 10 AS gc, CAST({_HOMO.format(s='s')} AS INTEGER) AS homopolymer, round(coalesce(rf, 0.0), 6) AS repeat_fraction FROM seqs LEFT JOIN {REPEATS.format(id='id', s='s', w=20, t='seqs')} USING (id)",
     "insert_ladder": _with(SEQS, PROBES, HITS) + f""", don AS (SELECT query_id, count(DISTINCT id) AS n_donors, count(DISTINCT CASE WHEN strand = -1 THEN id END) AS flipped FROM hits GROUP BY 1),
@@ -171,7 +180,7 @@ SQL = {
 _DIG = f"dig AS (SELECT DISTINCT s_suppkey AS digest, name AS enzyme FROM (SELECT s_suppkey, unnest([s_suppkey % {len(_ENZ)}, s_suppkey * 7 % {len(_ENZ)}]) AS i FROM supplier) JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM enz) USING (i))"
 _LOOK = "look AS (" + SQL["conditions_lookup"].partition(", sold AS")[2].join(["WITH sold AS", ""]) + ")"
 SQL["digest_conditions"] = _with(ENZ, COND, _DIG, _LOOK) + "SELECT digest, CAST(max(try_cast(minutes AS INTEGER)) AS INTEGER) AS minutes, CASE WHEN count(DISTINCT temp_c) = 1 THEN min(temp_c) END AS temp_c, array_to_string(list_sort(coalesce(list(DISTINCT temp_c) FILTER (temp_c IS NOT NULL), [])), ';') AS temps, array_to_string(list_sort(coalesce(list(DISTINCT inactivation) FILTER (inactivation IS NOT NULL AND NOT lower(inactivation) LIKE 'no%'), [])), ';') AS inactivations, array_to_string(list_sort(coalesce(list(DISTINCT sold_as) FILTER (lower(inactivation) LIKE 'no%'), [])), ';') AS no_heat_kill, min(try_cast(star_h AS DOUBLE)) AS star_limit_h, array_to_string(list_sort(coalesce(list(DISTINCT enzyme) FILTER (sold_as IS NULL), [])), ';') AS unknown FROM dig JOIN look USING (enzyme) GROUP BY digest"
-_NAMES = "names AS (SELECT replace(c_name, '#', '') || '_' || lower(c_mktsegment) AS label FROM customer), asked AS (SELECT n_name AS asked FROM nation UNION SELECT c_name FROM customer WHERE c_nationkey = 3 UNION SELECT replace(c_name, '#', '') FROM customer WHERE c_nationkey = 4 UNION SELECT '0000' || r_regionkey FROM region)"
+_NAMES = "names AS (SELECT replace(c_name, '#', '') || '_' || lower(c_mktsegment) AS label FROM customer), asked AS (SELECT n_name AS asked FROM nation UNION SELECT c_name FROM customer UNION SELECT replace(c_name, '#', '') FROM customer UNION SELECT '0000' || r_regionkey FROM region)"
 SQL["resolve_name"] = _with(_NAMES) + ", hit AS (SELECT asked, label, CASE WHEN l = q THEN 1 WHEN split_part(l, '_', 1) = q THEN 2 WHEN starts_with(l, q) THEN 3 WHEN contains(l, q) THEN 4 END AS tier FROM (SELECT asked, lower(trim(asked)) AS q, label, lower(trim(label)) AS l FROM asked, names)), t AS (SELECT asked, min(tier) AS tier FROM hit GROUP BY asked) SELECT t.asked, t.tier, count(h.label) AS n, CASE WHEN count(h.label) = 1 THEN min(h.label) END AS label FROM t LEFT JOIN hit h ON h.asked = t.asked AND h.tier = t.tier GROUP BY t.asked, t.tier"
 SQL["target_resolution"] = _with(FEATS) + ", m AS (SELECT * FROM feats WHERE type <> 'primer_bind' AND (label LIKE '%A%' OR label LIKE '%NF%') AND k IN (SELECT o_orderkey FROM orders)), g AS (SELECT k, s, e, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM m), w AS (SELECT k, s, b, row_number() OVER (PARTITION BY k ORDER BY s - b DESC, s) AS r FROM g WHERE b IS NOT NULL), x AS (SELECT k, min(s) AS lo, max(e) AS hi, array_to_string(list_sort(list(DISTINCT label)), ';') AS labels FROM m GROUP BY k) SELECT x.k, CASE WHEN s - b > lo + 5000 - hi THEN s ELSE lo END AS t_s, CASE WHEN s - b > lo + 5000 - hi THEN b + 5000 ELSE hi END AS t_e, labels FROM x LEFT JOIN w ON w.k = x.k AND w.r = 1"
 SQL["thermocycler_steps"] = f"WITH p AS (SELECT p_partkey AS id, 50 + p_size / 4 AS c, p_size * 200 + 13 AS bp, p_size % 2 = 0 AS rep FROM part) SELECT id, CAST(nth AS INTEGER) AS nth, step, CAST(celsius AS DOUBLE) AS celsius, CAST(seconds AS INTEGER) AS seconds, CAST(cycles AS INTEGER) AS cycles FROM (SELECT id, 0 AS nth, 'Initial denaturation' AS step, 95.0 AS celsius, 180 AS seconds, 1 AS cycles FROM p UNION ALL SELECT id, 1, 'Denaturation', 98, 20, 30 FROM p UNION ALL SELECT id, 2, 'Annealing', {_HE.format(x='c')}, 15, 30 FROM p UNION ALL SELECT id, 3, 'Extension', 72, greatest(15, {_HE.format(x='(bp / 1000 * CASE WHEN rep THEN 45 ELSE 30 END)')}), 30 FROM p UNION ALL SELECT id, 4, 'Final extension', 72, 120, 1 FROM p)"
@@ -195,3 +204,37 @@ ranks AS (SELECT d.*, s, row_number() OVER (PARTITION BY d.id ORDER BY sr, colla
 prod AS (SELECT *, substr(s, 1, u_top) || substr(s, d_top + 1) AS product FROM ranks WHERE rk <= 25),
 good AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rk) AS q FROM prod WHERE length(product) < 40 OR (NOT contains(product || product, {_AROUND.format(t='u_top')}) AND NOT contains(product || product, {_AROUND.format(t='d_top')})))
 SELECT t.id, g.up IS NOT NULL AS feasible, g.up, g.down, g.u_top, g.d_top, g.strategy, substr(g.s || g.s, length(g.s) + u_top - 5, 6) || substr(g.s || g.s, d_top + 1, 6) AS junction, CASE WHEN g.up IS NOT NULL THEN EXISTS (SELECT 1 FROM res r WHERE r.name IN (g.up, g.down) AND regexp_matches(product || substr(product, 1, r.size - 1), r.pattern) AND length(product) >= r.size) END AS site_regenerated, CAST(length(product) AS INTEGER) AS product_bp, reasons FROM targets t LEFT JOIN (SELECT * FROM good WHERE q = 1) g ON g.id = t.id LEFT JOIN said ON said.id = t.id"""
+
+# a repeat is as long as what two neighbours among the sorted suffixes have in common, found bit by bit
+_STEPS = [128, 64, 32, 16, 8, 4, 2, 1]
+_COMMON = "pre"
+for _k in _STEPS:
+    _COMMON = f"(SELECT *, CASE WHEN left(a, m{_k * 2 if _k < 128 else ''} + {_k}) = left(b, m{_k * 2 if _k < 128 else ''} + {_k}) THEN m{_k * 2 if _k < 128 else ''} + {_k} ELSE m{_k * 2 if _k < 128 else ''} END AS m{_k} FROM {_COMMON})"
+_P = {"too short": "length < 125", "too long": "length > 3000", "GC out of range": "gc < 25 OR gc > 75", "homopolymer": "homopolymer > 9", "repeat": "longest_repeat > 40", "repeat fraction": "repeat_fraction > 0.35"}
+_PEN = {"too short": 0.5, "too long": 0.5, "GC out of range": 0.3, "homopolymer": 0.3, "repeat": 0.5, "repeat fraction": 0.4}
+SQL["complexity_report"] = _with(SEQS).rstrip() + f""", suf AS (SELECT id, n, substr(s, i, 200) AS a FROM (SELECT id, s, length(s) AS n, unnest(range(1, length(s) + 1)) AS i FROM seqs)),
+pre AS (SELECT id, n, a, coalesce(lag(a) OVER (PARTITION BY id ORDER BY a), '') AS b, 0 AS m FROM suf),
+rep AS (SELECT id, least(max(m1), any_value(n) // 2, 200) AS longest_repeat FROM {_COMMON} GROUP BY id),
+x AS (SELECT id, CAST(length(s) AS INTEGER) AS length, {_HE.format(x='(' + _GC.format(s='s') + ' * 10)')} / 10 AS gc, CAST({_HOMO.format(s='s')} AS INTEGER) AS homopolymer, CAST(longest_repeat AS INTEGER) AS longest_repeat, {_HE.format(x='(coalesce(rf, 0.0) * 1000)')} / 1000 AS repeat_fraction FROM seqs JOIN rep USING (id) LEFT JOIN {REPEATS.format(id='id', s='s', w=20, t='seqs')} USING (id)),
+y AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _P.items())}], lambda r: r IS NOT NULL) AS rs, round(least(1.0, {' + '.join(f"CASE WHEN {v} THEN {_PEN[k]} ELSE 0 END" for k, v in _P.items())}), 6) AS score FROM x)
+SELECT id, length, gc, homopolymer, longest_repeat, repeat_fraction, array_to_string(rs, ';') AS reasons, CAST(score AS DOUBLE) AS score, len(rs) = 0 AS synthesizable FROM y"""
+SQL["feature_labels"] = "SELECT p_partkey, trim(coalesce(CASE WHEN p_size % 7 = 0 THEN p_partkey::VARCHAR END, CASE WHEN p_size % 5 = 0 THEN p_name END, CASE WHEN p_size % 3 = 0 THEN p_type END, CASE WHEN p_size % 2 = 0 THEN p_brand END, 'misc_feature')) AS label FROM part"
+SQL["inserts_normalised"] = f"WITH b AS (SELECT item_id, text, {_dna('text')} AS s FROM benchmark), p AS (SELECT item_id, 'text' AS kind, upper(regexp_replace(trim(text), '[ \\n\\r\\t]', '', 'g')) AS c FROM b UNION ALL SELECT item_id, 'bases', substr(s, 1, 70) || 'NRYK' FROM b) SELECT item_id, kind, CASE WHEN regexp_full_match(c, '[ACGTRYSWKMBDHVN]+') THEN c END AS \"insert\" FROM p"
+SQL["spans_inside"] = _with(FEATS) + "SELECT k, f, s - 1000 AS s, e - 1000 AS e FROM feats WHERE s >= 1000 AND e <= 2500"
+SQL["cut_footprints"] = _with(SEQS, CUTS) + 'SELECT enzyme, count(*) AS n, CAST(sum(abs(top - bottom)) AS BIGINT) AS bases, min(least(top, bottom)) AS "first", max(greatest(top, bottom)) AS "last" FROM cuts GROUP BY enzyme'
+SQL["enzyme_descriptions"] = f"WITH e AS (SELECT * FROM {_values([(e['name'], e['site'], e['kind'], e['ovhg_seq'], e['supplier_count']) for e in catalogue('All')], ['name', 'site', 'kind', 'ovhg_seq', 'supplier_count'])}) SELECT name, name || ' ' || site || ' (' || CASE WHEN kind = 'blunt' THEN 'blunt' ELSE kind || chr(39) || ' ' || ovhg_seq END || ')' AS described, name NOT IN ('AhaIII', 'AsuII', 'HgiAI', 'MstI') AS sold, NOT regexp_matches(ovhg_seq, '[^ACGT]') AS end_known, CAST(supplier_count AS INTEGER) AS supplier_count FROM e"
+SQL["directory_scan"] = f"SELECT n_nationkey, CASE WHEN n_nationkey <> 7 THEN n_name END AS name, CASE WHEN n_nationkey <> 7 THEN CAST(length({_dna("n_name || repeat('base', n_nationkey)")}) AS INTEGER) END AS length, n_nationkey <> 7 AS readable FROM nation"
+SQL["callable_source"] = "SELECT r_name AS plasmid_id, CASE WHEN NOT starts_with(r_name, 'EU') THEN CAST(length(r_name) * 5 + 3 AS INTEGER) END AS bytes, starts_with(r_name, 'EU') AS failed FROM region"
+SQL["source_coercion"] = f"SELECT r_name AS plasmid_id, CAST(4 * (r_regionkey + 1) AS INTEGER) AS length FROM region UNION ALL SELECT n_name, CAST(length({_dna('n_name')}) AS INTEGER) FROM nation WHERE n_nationkey >= 3 UNION ALL SELECT 'extra', 2"
+SQL["record_labels"] = "WITH s AS (SELECT DISTINCT replace(replace(s_name, 'Supplier#0000', 'Customer'), '#', '') AS name, CAST(s_suppkey % 7 AS INTEGER) AS length FROM supplier), c AS (SELECT replace(c_name, '#0000', '') AS label, c_custkey % 7 AS n FROM customer) SELECT name, length, min(label) AS label FROM s LEFT JOIN c ON n = length AND starts_with(label, name) GROUP BY ALL"
+SQL["library_lines"] = "SELECT c_name AS label, c_name || '  ' || (c_custkey * 3 + 100) || ' bp' || CASE WHEN c_name = 'Customer#000000007' THEN '  [base vector]' ELSE '' END || CASE WHEN c_name IN ('Customer#000000007', 'Customer#000000009') THEN '  [unavailable]' ELSE '' END AS line FROM customer"
+SQL["primer_notes"] = _with(SEQS, TARGETS, PRIMERS) + f""", n AS (SELECT b.id, f_seq, right(f_seq, 15) AS tip, s || substr(s, 1, 14) AS ext, length(s) AS m FROM best b JOIN seqs USING (id) WHERE rn = 1),
+at AS (SELECT id, f_seq, len(list_filter(range(1, m + 1), lambda i: substr(ext, i, 15) = tip)) + CASE WHEN {_rc('tip')} <> tip THEN len(list_filter(range(1, m + 1), lambda i: substr(ext, i, 15) = {_rc('tip')})) ELSE 0 END AS places FROM n)
+SELECT id, array_to_string(list_filter([CASE WHEN places > 1 THEN '3'' end anneals at more than one place' END, CASE WHEN right(f_seq, 1) NOT IN ('G', 'C') THEN 'no G or C at the 3'' end' END, CASE WHEN regexp_matches(f_seq, 'AAAA|CCCC|GGGG|TTTT') THEN 'run of four or more equal bases' END, CASE WHEN contains(substr(f_seq, 1, length(f_seq) - 5), {_rc('right(f_seq, 5)')}) THEN '3'' end may pair with the primer itself' END], lambda x: x IS NOT NULL), ';') AS notes FROM at""".replace("at AS (", "hits AS (").replace("FROM at", "FROM hits")
+_D = BENCH["digest"]
+SQL["digestion_mixes"] = f"WITH x AS (SELECT s_suppkey AS reaction, {STOCK.format(c='s_acctbal')} AS c FROM supplier), r AS (SELECT reaction, 0 AS nth, '{_D['buffer']}' AS component, CAST(NULL AS DOUBLE) AS ng, CAST({_D['buffer_ul']} AS DOUBLE) AS ul FROM x UNION ALL SELECT reaction, 1, 'DNA', {_D['micrograms']} * 1000.0, {_D['micrograms']} * 1000.0 / c FROM x UNION ALL SELECT reaction, 2, 'enzyme 1', NULL, {_D['enzyme_ul']} FROM x UNION ALL SELECT reaction, 3, 'enzyme 2', NULL, {_D['enzyme_ul']} FROM x UNION ALL SELECT reaction, 4, '{_D['phosphatase']}', NULL, {_D['phosphatase_ul']} FROM x), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, CASE WHEN count(ul) = 5 THEN {_D['total_ul']} - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(ng, 6) AS ng, round(CAST(ul AS DOUBLE), 6) AS ul FROM w"
+SQL["digest_notes"] = SQL["digest_conditions"].replace(" SELECT digest, CAST(max", ", cond_of AS (SELECT digest, CAST(max", 1) + ") SELECT digest, CASE WHEN minutes IS NOT NULL AND temp_c IS NOT NULL THEN 'Incubate at ' || temp_c || ' °C for ' || minutes || ' min.' ELSE 'Enzymes differ in temperature or are not in the table: digest one after the other.' END || CASE WHEN star_limit_h IS NOT NULL THEN ' Stop within ' || regexp_replace(CAST(star_limit_h AS VARCHAR), '\\.0$', '') || ' h.' ELSE '' END || CASE WHEN no_heat_kill <> '' THEN ' Heat does not stop ' || replace(no_heat_kill, ';', ', ') || '; purify.' ELSE '' END || CASE WHEN unknown <> '' THEN ' Look up ' || replace(unknown, ';', ', ') || '.' ELSE '' END AS note FROM cond_of"
+SQL["bench_forms"] = f"WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 11 > 0 THEN p_size * 37 END AS bp, p_size % 2 = 0 AS rep FROM part), q AS (SELECT *, CAST(CASE WHEN bp < 500 THEN 1.5 WHEN bp < 1000 THEN 1.2 ELSE 1.0 END AS DOUBLE) AS g FROM p) SELECT id, g AS gel_percent, round(g / 2, 6) AS agarose_g, CASE WHEN rep THEN {BENCH['growth_temp_c_repetitive']} ELSE {BENCH['growth_temp_c']} END AS growth_c, CAST(greatest(15, {_HE.format(x='(bp / 1000 * CASE WHEN rep THEN 45 ELSE 30 END)')}) AS INTEGER) AS extension_s, coalesce(CASE WHEN bp >= 1000 THEN (bp // 1000) || ',' || lpad(CAST(bp % 1000 AS VARCHAR), 3, '0') ELSE CAST(bp AS VARCHAR) END, '____') AS amplicon FROM q"
+SQL["pcr_reactions"] = "SELECT p_partkey AS id, CAST(nth AS INTEGER) AS nth, component, CAST(ul AS DOUBLE) AS ul FROM part CROSS JOIN " + _values([(i, n, float(u)) for i, (n, u) in enumerate(pcr_mix())], ["nth", "component", "ul"])
+SQL["mix_specs"] = "SELECT c_custkey AS reaction, CAST(4 AS INTEGER) AS rows, CAST(10.0 AS DOUBLE) AS total_ul FROM customer"
+SQL["product_comparison"] = _with(SHORT) + f", c AS (SELECT id, s, translate(left(s, 1), 'ACGT', 'CGTA') || substr(s, 2) AS o FROM shorts) SELECT id, true AS turned, true AS turned_over, false AS longer, contains(s || s, o) OR contains(s || s, {_rc('o')}) AS changed FROM c"

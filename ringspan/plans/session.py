@@ -17,6 +17,7 @@ from ringspan.functions import kernels
 from ringspan.operators import enzymes, excision, insertion, intervals, inventory, pcr, sourcing
 from ringspan.plans import maps, report
 from ringspan.sources.formats import format_genbank
+from ringspan.sources.library import library_lines
 
 #: Runs of bases at least this long never leave in an answer; hits that are listed at most.
 LONGEST_BASES, MOST_HITS = 40, 12
@@ -272,6 +273,4 @@ class Session:
 
 def library_digest(library: DataFrame, config: dict) -> str:
     """The library as sorted lines, base vectors and unavailable ones marked."""
-    base, gone = set(config.get("base_vectors") or []), set(config.get("unavailable") or [])
-    lines = [f"{r['label']}  {r['length']} bp" + ("  [base vector]" if r["label"] in base else "") + ("  [unavailable]" if r["label"] in gone else "") for r in library.select("label", "length").orderBy("label").toLocalIterator()]
-    return "\n".join(lines)
+    return "\n".join(r["line"] for r in library_lines(library, config).orderBy("label").toLocalIterator())

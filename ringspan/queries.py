@@ -89,6 +89,10 @@ def rotation_offsets(spark, d):
 
 
 def dup_groups(spark, d):
+    return inventory.duplicate_groups(inventory.classes(seqs(spark, d)))
+
+
+def short_dup_groups(spark, d):
     s = short_seqs(spark, d).select("id", S.fingerprint_of(S.canonical_short("s")).alias("fingerprint"))
     least = s.groupBy("fingerprint").agg(F.min("id").alias("class_id"))
     return inventory.duplicate_groups(s.join(least, "fingerprint"))
@@ -111,9 +115,7 @@ def lineage(spark, d):
 
 
 def library_report(spark, d):
-    s = short_seqs(spark, d).select("id", S.fingerprint_of(S.canonical_short("s")).alias("fingerprint"))
-    members = s.join(s.groupBy("fingerprint").agg(F.min("id").alias("class_id")), "fingerprint")
-    return inventory.report(members, inventory.relationships(inventory.kmers(_classes_by_text(spark, d))))
+    return inventory.report(inventory.classes(seqs(spark, d)), inventory.relationships(inventory.kmers(_classes_by_text(spark, d))))
 
 
 def provenance_hits(spark, d):
@@ -368,10 +370,11 @@ def digest_conditions(spark, d):
 
 
 def resolve_name(spark, d):
+    """What the names of all customers (as they are, and without the sign), nations and regions mean in the library."""
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     names = c.select(F.concat_ws("_", F.regexp_replace("c_name", "#", ""), F.lower("c_mktsegment")).alias("label"))
-    asked = n.select(F.col("n_name").alias("asked")).union(c.where("c_nationkey = 3").select(F.col("c_name").alias("asked"))).union(c.where("c_nationkey = 4").select(F.regexp_replace("c_name", "#", "").alias("asked"))).union(table(spark, d, "region").select(F.concat(F.lit("0000"), F.col("r_regionkey").cast("string")).alias("asked"))).distinct()
-    return inventory.resolve_name(names, asked)
+    asked = n.select(F.col("n_name").alias("asked")).union(c.select("c_name")).union(c.select(F.regexp_replace("c_name", "#", ""))).union(table(spark, d, "region").select(F.concat(F.lit("0000"), F.col("r_regionkey").cast("string"))))
+    return inventory.resolve_name(names, asked.distinct())
 
 
 def search_caps(spark, d):
@@ -409,6 +412,135 @@ def streaming_ingest(spark, d):
     return ingest_available(spark, d, "documents.parquet", table(spark, d, "documents").schema)
 
 
+def feature_labels(spark, d):
+    """The label of each part read as a feature: of its qualifiers those that its size allows."""
+    p = table(spark, d, "part")
+    have = lambda name, c, every: F.when(F.col("p_size") % every == 0, F.struct(F.lit(name).alias("key"), F.array(F.concat(F.lit(" "), c)).alias("value")))
+    q = F.map_from_entries(F.filter(F.array(have("product", "p_brand", 2), have("gene", "p_type", 3), have("note", "p_name", 5), have("label", F.col("p_partkey").cast("string"), 7)), lambda x: x.isNotNull()))
+    return p.select("p_partkey", S.feature_label(q, F.lit("misc_feature")).alias("label"))
+
+
+def inserts_normalised(spark, d):
+    """Benchmark texts and their bases as they might be pasted; those that are no bases are refused."""
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    pasted = b.select("item_id", F.lit("text").alias("kind"), F.col("text").alias("pasted"))
+    bases = S.dna_like("text")
+    pasted = pasted.union(b.select("item_id", F.lit("bases"), F.concat(F.lit(" \t"), F.lower(F.substring(bases, 1, 30)), F.lit("\n"), F.substring(bases, 31, 40), F.lit(" nryk\r\n"))))
+    return pasted.select("item_id", "kind", insertion.normalise_insert(F.col("pasted")).alias("insert"))
+
+
+def spans_inside(spark, d):
+    return intervals.inside_span(feats(spark, d), F.lit(1000), F.lit(2500)).select("k", "f", "s", "e")
+
+
+def cut_footprints(spark, d):
+    lo, hi = enzymes.footprint(F.col("top"), F.col("bottom"))
+    return enzymes.cut_sites(seqs(spark, d)).groupBy("enzyme").agg(F.count(F.lit(1)).alias("n"), F.sum(hi - lo).alias("bases"), F.min(lo).alias("first"), F.max(hi).alias("last"))
+
+
+def enzyme_descriptions(spark, d):
+    e = enzymes.enzymes(spark, "All")
+    return e.select("name", enzymes.describe(F.col("name"), F.col("site"), F.col("kind"), F.col("ovhg_seq")).alias("described"), "sold", F.col("end").isNotNull().alias("end_known"), "supplier_count")
+
+
+def directory_scan(spark, d):
+    """Each nation as a FASTA file of a directory, read again as a library; one file is broken."""
+    from ringspan.session import new_path
+    from ringspan.sources import library
+
+    path = new_path(spark, "scanned")
+    name = F.col("n_name")
+    text = F.concat(F.when(F.col("n_nationkey") != 7, F.concat(F.lit(">"), name, F.lit("\n"))).otherwise(""), S.dna_like(F.concat(name, F.repeat(F.lit("base"), F.col("n_nationkey")))), F.lit("\n"))
+    table(spark, d, "nation").select("n_nationkey", text.alias("value")).write.partitionBy("n_nationkey").text(path)
+    found = library.directory(spark, path, "part-*", recursive=True)
+    good, bad = library.scan(found, "fasta")
+    key = F.regexp_extract("plasmid_id", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey")
+    return good.select(key, "name", "length", F.lit(True).alias("readable")).union(bad.select(key, F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(False)))
+
+
+def callable_source(spark, d):
+    """A store that is asked for one record at a time, and has none for one of the ids."""
+    from ringspan.sources.library import callable_source
+
+    ids = [r["r_name"] for r in table(spark, d, "region").select("r_name").orderBy("r_regionkey").collect()]
+
+    def load(i: str) -> bytes:
+        if i.startswith("EU"):
+            raise KeyError("no such record")
+        return f">{i}\n{'ACGT' * len(i)}\n".encode()
+
+    r = callable_source(spark, "ringspan_regions", ids, load)
+    return r.select("plasmid_id", F.length(F.col("content").cast("string")).alias("bytes"), F.col("error").isNotNull().alias("failed"))
+
+
+def source_coercion(spark, d):
+    """Records at hand and a table, named as one library: the first owner of a name has it."""
+    from ringspan.sources.library import as_source, records
+
+    r = {x["r_name"]: "acgt" * (x["r_regionkey"] + 1) for x in table(spark, d, "region").select("r_name", "r_regionkey").collect()}
+    more = table(spark, d, "nation").select(F.when(F.col("n_nationkey") < 3, F.lit("ASIA")).otherwise(F.col("n_name")).alias("plasmid_id"), S.dna_like("n_name").alias("sequence"))
+    one = as_source(spark, [r, more.where("plasmid_id <> 'ASIA'").union(more.where("plasmid_id = 'ASIA'").limit(1))])
+    return one.select("plasmid_id", F.length("sequence").alias("length")).unionByName(records(spark, {"extra": "ac"}).select("plasmid_id", F.length("sequence").alias("length")))
+
+
+def record_labels(spark, d):
+    """The library's label of each supplier read as a record of a name and a length."""
+    s = table(spark, d, "supplier").select(F.regexp_replace(F.regexp_replace("s_name", "Supplier#0000", "Customer"), "#", "").alias("name"), (F.col("s_suppkey") % 7).cast("int").alias("length"))
+    c = table(spark, d, "customer").select(F.regexp_replace("c_name", "#0000", "").alias("label"), (F.col("c_custkey") % 7).cast("int").alias("length"))
+    return inventory.label_of(s.distinct(), c)
+
+
+def library_lines(spark, d):
+    from ringspan.sources.library import library_lines
+
+    c = table(spark, d, "customer").select(F.col("c_name").alias("label"), (F.col("c_custkey") * 3 + 100).alias("length"))
+    return library_lines(c, {"base_vectors": ["Customer#000000007"], "unavailable": ["Customer#000000007", "Customer#000000009"]})
+
+
+def primer_notes(spark, d):
+    """What is worth knowing of each span's forward primer."""
+    s = seqs(spark, d)
+    b = pcr.best_pairs(targets(s).join(s, "id")).select("id", "f_seq").join(s, "id")
+    return b.select("id", F.array_join(pcr.notes(F.col("f_seq"), F.col("s")), ";").alias("notes"))
+
+
+def digestion_mixes(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("reaction"), _stock("s_acctbal").alias("conc"))
+    m = reagents.digest_mix(s, dephosphorylate=True)
+    return m.select("reaction", "nth", "component", F.round("ng", 6).alias("ng"), F.round("ul", 6).alias("ul"))
+
+
+def digest_notes(spark, d):
+    r = reagents.digest_conditions(_digests(spark, d).join(conditions_lookup(spark, d), "enzyme"))
+    return r.select("digest", reagents.digest_note(F.col("minutes"), F.col("temp_c"), F.col("star_limit_h"), F.col("no_heat_kill"), F.col("unknown")).alias("note"))
+
+
+def bench_forms(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 11 > 0, F.col("p_size") * 37).alias("bp"), (F.col("p_size") % 2 == 0).alias("repetitive"))
+    f = reagents.forms(p)
+    return f.withColumns({"agarose_g": F.round("agarose_g", 6), "growth_c": F.col("growth_c").cast("int")})
+
+
+def pcr_reactions(spark, d):
+    return reagents.pcr_rows(table(spark, d, "part").select(F.col("p_partkey").alias("id")))
+
+
+def mix_specs(spark, d):
+    """The assemblies of all customers as JSON, each read back: its rows and the volume they come to."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("reaction"), F.lit(5000).alias("b_bp"), F.lit(50.0).alias("b_conc"), (F.lit(100) + F.col("c_custkey") % 77).alias("i_bp"), F.lit(10.0).alias("i_conc"))
+    spec = reagents.spec_json(reagents.gibson_mix(c))
+    back = spec.select("reaction", F.from_json("spec", "array<struct<nth:int,component:string,ul:double>>").alias("r"))
+    return back.select("reaction", F.size("r").alias("rows"), F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x["ul"]), 6).alias("total_ul"))
+
+
+def product_comparison(spark, d):
+    """Each short circle against itself turned, turned over, and with one base changed."""
+    s = short_seqs(spark, d)
+    turned = S.rotate("s", F.floor(F.length("s") / 3).cast("int"))
+    other = F.concat(F.translate(F.substring("s", 1, 1), "ACGT", "CGTA"), F.substr("s", F.lit(2)))
+    return s.select("id", S.circular_equal("s", turned).alias("turned"), S.circular_equal("s", S.reverse_complement(turned)).alias("turned_over"), S.circular_equal("s", F.concat("s", F.lit("A"))).alias("longer"), S.circular_equal("s", other).alias("changed"))
+
+
 QUERIES = {f.__name__: f for f in (
     seq_projections, rotation_fingerprint, fingerprint_long, rotation_offsets, dup_groups, kmer_relationships, lineage, library_report,
     provenance_hits, complexity_metrics, complexity_report, insert_ladder, backbone_ladder, tight_arc, target_resolution, feature_classes, essential_hints,
@@ -416,5 +548,7 @@ QUERIES = {f.__name__: f for f in (
     graft_features, cut_sites, unique_cutters, ligation_pairs, enzyme_dimension, excision_best, excision_reasons, excision_plans,
     primer_candidates, primer_pairs, pcr_deletions, insertion_routes, insertion_reasons, insertion_openings, insertion_homology, ng_fmol,
     dilution_plans, gibson_mixes, ligation_mixes, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
-    source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest,
+    source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest, short_dup_groups, feature_labels, inserts_normalised,
+    spans_inside, cut_footprints, enzyme_descriptions, directory_scan, callable_source, source_coercion, record_labels, library_lines,
+    primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
 )}

@@ -43,8 +43,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
+def cut(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Write df to the shared folder, with options of the writer, and read it back.
 
     This cuts the lineage in a way that survives lost executors, lets several consumers share
     one computation, and gives the planner the true size, so that Spark's own threshold decides
@@ -52,5 +52,5 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -133,3 +133,11 @@ def load_record(path: str) -> dict:
 def write_genbank(plasmids: DataFrame, path: str) -> None:
     """Write (name, sequence) rows as GenBank records, many to a file, to any store Spark reaches."""
     plasmids.select(format_genbank_udf("name", "sequence").alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def library_lines(library: DataFrame, config: dict) -> DataFrame:
+    """(label, line): each circle as a line of text, base vectors and unavailable ones marked. Two names of
+    one circle are both listed."""
+    marked = lambda key, text: F.when(F.col("label").isin(list(config.get(key) or [])), F.lit(f"  [{text}]")).otherwise("")
+    line = F.concat(F.col("label"), F.lit("  "), F.col("length").cast("string"), F.lit(" bp"), marked("base_vectors", "base vector"), marked("unavailable", "unavailable"))
+    return library.select("label", line.alias("line"))
