@@ -5,7 +5,7 @@ texts at the wanted similarity agree on some block with a known chance, so the n
 follows from their width and the recall that is wanted (`blocks_for`). Where they meet, the block is
 the start of a pigeonring chain: the differences in the segments that follow it on the ring, summed
 from the block on, must stay within `budget` bits a segment for every length of the chain, and those in
-the last word of the ring, wherever the block is, within 1.4 times its share.
+the 64 bits behind it and in the last word of the ring together within 1.1 times their share.
 
 `groups` verifies pairs before anything joins them. Of the pairs of a key a least spanning forest leaves
 first, by the difference in the prints' last words, which every key sees alike; rows that have more pairs
@@ -33,8 +33,8 @@ from ringspan.llm.components import components
 
 #: Bits of a key below those that number its block.
 KEY_BITS = 40
-#: What the last word of a print may differ in, as a multiple of its share of the budget.
-LAST = 1.4
+#: What the 64 bits behind a block and the last word may differ in together, as a multiple of their share.
+TOGETHER = 1.1
 #: Pairs of a key that are held at once, for each of its rows; beyond, its forest grows row by row.
 LIMIT = 8
 
@@ -169,7 +169,7 @@ def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
     wide = float(t[3].max()) / max(least, 1e-9) + 2 if least else float(t[3].max()) + 2
     t = t[:, np.argsort(of * wide + t[3], kind="stable")]
     check, last, size, node = t[1].view(np.uint64), t[2].view(np.uint64), t[3], t[4]
-    most_last = LAST * 64 / b.bits * b.budget
+    together = TOGETHER * 128 / b.bits * b.budget
     # each row meets those behind it in its run whose sizes are in reach
     end = np.searchsorted(of, of, side="right")
     reach = end if not least else np.minimum(end, np.searchsorted(of * wide + size, of * wide + size / least + 1e-6, side="right"))
@@ -185,9 +185,10 @@ def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
         k = meets[rows]
         i = np.repeat(rows, k)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-        ok = np.flatnonzero(_chain(check[i] ^ check[j], b))
-        i, j = i[ok], j[ok]
-        keep = (node[i] != node[j]) & (np.bitwise_count(last[i] ^ last[j]) <= most_last)
+        x = check[i] ^ check[j]
+        ok = np.flatnonzero(_chain(x, b))
+        i, j, x = i[ok], j[ok], x[ok]
+        keep = (node[i] != node[j]) & (np.bitwise_count(last[i] ^ last[j]) + np.bitwise_count(x) <= together)
         if rooted:
             keep &= t[5][i] != t[5][j]
         u.append(i[keep])
@@ -252,7 +253,8 @@ def spanning(check: np.ndarray, last: np.ndarray, size: np.ndarray, b: Blocks, l
         left, far, by = np.delete(left, k), np.delete(far, k), np.delete(by, k)
         d = np.bitwise_count(last[left] ^ last[at])
         near = np.flatnonzero((d < far) & (least * np.maximum(size[left], size[at]) <= np.minimum(size[left], size[at])))
-        near = near[(d[near] <= LAST * 64 / b.bits * b.budget) & _chain(check[left[near]] ^ check[at], b)]
+        x = check[left[near]] ^ check[at]
+        near = near[(d[near] + np.bitwise_count(x) <= TOGETHER * 128 / b.bits * b.budget) & _chain(x, b)]
         far[near] = d[near]
         by[near] = at
     return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)

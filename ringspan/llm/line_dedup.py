@@ -42,10 +42,66 @@ def normalised(line: str) -> str:
     return " ".join(line.encode("utf-8", "replace").translate(_PLAIN).decode("utf-8").split())
 
 
+#: Bytes of text that are normalised together, few enough for the processor's cache, and whose prints are made together.
+TOGETHER_BYTES, PRINTED_BYTES = 150_000, 3_000_000
+_PLACE = np.random.default_rng(64).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _Lines:
+    """The lines of some texts, normalised together: `norms`, every line; `of`, the text of each; `at`, its place
+    there; `words`, how many words it has."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = np.frombuffer(b"\n".join(texts).translate(_PLAIN), dtype=np.uint8)
+        ends = self.raw == 10
+        solid = (self.raw != 32) & ~ends
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        self.start = np.flatnonzero(first)
+        line = np.searchsorted(np.flatnonzero(ends), self.start)
+        keep = solid | ends
+        keep[self.start[1:][line[1:] == line[:-1]] - 1] = True  # one blank before each word that is not the first
+        self.plain = self.raw[keep]
+        self.norms = self.plain.tobytes().split(b"\n")
+        self.words = np.bincount(line, minlength=len(self.norms))
+        n = np.array([t.count(b"\n") + 1 for t in texts])
+        self.of = np.repeat(np.arange(len(texts)), n)
+        self.at = np.arange(len(self.of)) - np.repeat(np.cumsum(n) - n, n)
+        self._solid, self._first = solid, first
+
+    def sizes(self) -> np.ndarray:
+        """The characters of each line."""
+        begun = np.concatenate([[0], np.cumsum((self.plain & 0xC0) != 0x80)])
+        ends = np.append(np.flatnonzero(self.plain == 10), len(self.plain))
+        return np.diff(begun[ends], prepend=0) - np.append(0, np.ones(len(ends) - 1, dtype=np.int64))
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word, line by line: its bytes, each times a number of its place."""
+        if not len(self.start):
+            return np.zeros(0, dtype=np.uint64)
+        at = np.flatnonzero(self._solid)
+        word = np.cumsum(self._first)[at] - 1
+        place = (at - self.start[word]) & 255
+        sums = np.add.reduceat((self.raw[at].astype(np.uint64) + np.uint64(1)) * _PLACE[place], np.flatnonzero(np.diff(word, prepend=-1)))
+        return (sums ^ (sums >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _together(texts):
+    """(first, texts): runs of texts of about TOGETHER_BYTES, or one text; first is the number of the run's first."""
+    part, held, first = [], 0, 0
+    for i, t in enumerate(texts):
+        part.append(t.as_py())
+        held += len(part[-1])
+        if held > TOGETHER_BYTES:
+            yield first, part
+            part, held, first = [], 0, i + 1
+    if part:
+        yield first, part
+
+
 def prints(hashes: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     """SimHashes of `width` 64-bit words, one for each n of the hashes: of the distinct words of a line,
     since a word that every text has often would make lines alike that have little else in common."""
-    h = (hashes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     out = np.zeros((len(n), width), dtype=np.uint64)
     start = np.cumsum(n) - n
     order = np.argsort(n, kind="stable")
@@ -53,13 +109,17 @@ def prints(hashes: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     while at < len(n):  # lines of as many words come together, 4,000 words at a time
         k = int(size[at])
         rows = order[at : min(int(np.searchsorted(size, k, side="right")), at + max(1, 4000 // max(k, 1)))]
+        part = np.sort(hashes[(start[rows][:, None] + np.arange(k)).ravel()].reshape(len(rows), k), axis=1)
+        again = np.zeros(part.shape, dtype=bool)
+        again[:, 1:] = part[:, 1:] == part[:, :-1]
         if k < 256:
-            part = h[(start[rows][:, None] + np.arange(k)).ravel()]
-            ones = bits_of(part, width).reshape(len(rows), k, 64 * width).sum(axis=1, dtype=np.uint8)
-            out[rows] = np.packbits(ones > k // 2, axis=1, bitorder="little").view("<u8")
+            bits = bits_of(part.ravel(), width).reshape(len(rows), k, 64 * width)
+            bits[again] = 0
+            ones = bits.sum(axis=1, dtype=np.uint8)
+            out[rows] = np.packbits(ones > ((k - again.sum(axis=1)) // 2)[:, None], axis=1, bitorder="little").view("<u8")
         else:
-            for r in rows:
-                out[r] = wide_print(h[start[r] : start[r] + k], width)
+            for r, words, seen in zip(rows, part, again, strict=True):
+                out[r] = wide_print(words[~seen], width)
         at += len(rows)
     return out
 
@@ -141,33 +201,34 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, width:
     out = T.StructType([src.schema["id"], src.schema["thash"], T.StructField("line", T.IntegerType()), T.StructField("again", T.BooleanType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("size", T.LongType()), *(T.StructField(c, T.LongType()) for c in print_columns(width))])
 
     def run(batches):
-        from zlib import crc32
-
         from xxhash import xxh3_128_digest
 
+        def batch(b, parts):
+            row, line, again, digests, sizes, words, hashes = ([x for p in parts for x in p[k]] if k in (2, 3) else np.concatenate([p[k] for p in parts]) for k in range(7))
+            made = prints(hashes, words, width)
+            at, d = pa.array(row), _halves(digests)
+            return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(again, pa.bool_()), pa.array(d[0]), pa.array(d[1]), pa.array(sizes), *(pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(width))], names=out.names)
+
         for b in batches:
-            row, line, again, node, size, hashes, n = [], [], [], [], [], [], []
-            for i, t in enumerate(b.column(2)):
-                seen = set()
-                for k, x in enumerate(t.as_py().translate(_PLAIN).split(b"\n")):
-                    words = x.split()
-                    if len(words) < min_words:
-                        continue
-                    norm = b" ".join(words)
-                    d = xxh3_128_digest(norm)
-                    size.append(len(norm) if norm.isascii() else len(norm.decode("utf-8", "replace")))
-                    row.append(i)
-                    line.append(k)
+            parts, held = [], 0
+            for low, texts in _together(b.column(2)):
+                lines = _Lines(texts)
+                keep = np.flatnonzero(lines.words >= min_words)
+                digests = [xxh3_128_digest(lines.norms[i]) for i in keep.tolist()]
+                again, seen, text = [], set(), -1
+                for i, d in zip(lines.of[keep].tolist(), digests, strict=True):
+                    if i != text:
+                        seen, text = set(), i
                     again.append(d in seen)
                     seen.add(d)
-                    node.append(d)
-                    distinct = set(map(crc32, words))
-                    hashes += distinct
-                    n.append(len(distinct))
-            at = pa.array(row, pa.int64())
-            d = _halves(node)
-            made = prints(np.array(hashes, dtype=np.uint64), np.array(n, dtype=np.int64), width)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(again, pa.bool_()), pa.array(d[0]), pa.array(d[1]), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(width))], names=out.names)
+                wanted = np.repeat(lines.words >= min_words, lines.words)
+                parts.append((low + lines.of[keep], lines.at[keep], again, digests, lines.sizes()[keep], lines.words[keep], lines.hashes()[wanted]))
+                held += len(lines.raw)
+                if held > PRINTED_BYTES:
+                    yield batch(b, parts)
+                    parts, held = [], 0
+            if parts:
+                yield batch(b, parts)
 
     return src.mapInArrow(run, out)
 
@@ -227,31 +288,22 @@ def norms_of(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str, min_w
 
         have, seen = sent.value, set()
 
-        def passed(norms, ids):
-            digests = list(map(xxh3_128_digest, norms))
-            d, keep = _halves(digests), []
-            for i in range(len(norms)) if have is None else np.flatnonzero(_passes(have, d[0] ^ np.array(ids, dtype=np.int64))).tolist():
-                if digests[i] not in seen:
-                    seen.add(digests[i])
-                    keep.append(i)
-            if len(seen) > 200_000:
-                seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(d[0][keep]), pa.array(d[1][keep]), pa.array([norms[i].decode("utf-8", "replace") for i in keep], pa.string())], names=["d1", "d2", "norm"])
-
         for b in batches:
-            norms, ids, held = [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for x in t.as_py().translate(_PLAIN).split(b"\n"):
-                    words = x.split()
-                    if len(words) >= min_words:
-                        norms.append(b" ".join(words))
-                        ids.append(i)
-                        held += len(x)
-                if held > 4_000_000:
-                    yield passed(norms, ids)
-                    norms, ids, held = [], [], 0
-            if norms:
-                yield passed(norms, ids)
+            ids = b.column(0).to_numpy()
+            for low, texts in _together(b.column(1)):
+                lines = _Lines(texts)
+                whole = np.flatnonzero(lines.words >= min_words)
+                if not len(whole):
+                    continue
+                digests = [xxh3_128_digest(lines.norms[i]) for i in whole.tolist()]
+                d, keep = _halves(digests), []
+                for i in range(len(whole)) if have is None else np.flatnonzero(_passes(have, d[0] ^ ids[low + lines.of[whole]])).tolist():
+                    if digests[i] not in seen:
+                        seen.add(digests[i])
+                        keep.append(i)
+                if len(seen) > 200_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(d[0][keep]), pa.array(d[1][keep]), pa.array([lines.norms[i].decode("utf-8", "replace") for i in whole[keep].tolist()], pa.string())], names=["d1", "d2", "norm"])
 
     found = src.mapInArrow(run, "d1 long, d2 long, norm string").join(ends.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "norm")
     return found if have is not None else found.dropDuplicates(["node"])
@@ -266,11 +318,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     same = lines.where("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in print_columns(b.words)])
     nodes = cut(same.withColumn("node", F.monotonically_increasing_id()), "line_nodes")
 
+    norms = None
+
     def verify(links):
+        nonlocal norms
+        if norms is None:  # pairs that are left untried are of lines that the first pairs have
+            norms = norms_of_ends(links)
+        return cut(verified(links, norms, similarity).where("ok").select("u", "v"), "line_links")
+
+    def norms_of_ends(links):
         ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         named = cut(nodes.select("node", "d1", "d2", "first").join(ends, "node", "left_semi"), "line_ends")
-        norms = cut(norms_of(docs, named, id_col, text_col, min_words), "line_norms")
-        return cut(verified(links, norms, similarity).where("ok").select("u", "v"), "line_links")
+        return cut(norms_of(docs, named, id_col, text_col, min_words), "line_norms")
 
     roots = groups(nodes.select("node", "size", *print_columns(b.words)), b, verify, similarity)
     named = nodes.join(roots, "node", "left").select("d1", "d2", "node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))

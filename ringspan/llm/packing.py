@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from ringspan.llm._shared import cut, ship
 
 #: Words whose ids a worker keeps at most: those of two generations of half as many.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 # The definition of vocabularies that encode each match of their word pattern by itself.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -119,12 +119,12 @@ def _encoder(path: str):
 
 
 def _encoded(encode, texts: pa.Array):
-    """The ids of each text, for about 4 MB of text at a time."""
+    """The ids of each text, for about 2 MB of text at a time."""
     part, held = [], 0
     for t in texts:
         part.append(t.as_py())
         held += len(part[-1])
-        if held > 4_000_000:
+        if held > 2_000_000:
             yield from encode(part)
             part, held = [], 0
     yield from encode(part)
@@ -165,7 +165,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
                     piece.append(k // width)
                     ids.append(data[k : k + width])
                     held += len(ids[-1])
-                if held > 16_000_000:
+                if held > 4_000_000:
                     yield batch()
                     rows, piece, ids, held = [], [], [], 0
             if rows:
@@ -265,6 +265,6 @@ def packers_for(n_docs: int, docs_per_packer: int = 50_000) -> int:
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, open_bins: int = 512, docs_per_packer: int = 50_000) -> DataFrame:
     """(id, piece, start, length, ids, sequence_id, offset) of all documents."""
-    pieces = cut(tokenize_pieces(docs, tokenizer_path, id_col, text_col, max_len), "pieces")
+    pieces = cut(tokenize_pieces(docs, tokenizer_path, id_col, text_col, max_len), "pieces", {"parquet.block.size": str(16 << 20)})
     places = place(pieces.select("seat", "piece", "length"), packers_for(docs.count(), docs_per_packer), max_len, open_bins, 4 * open_bins)
     return pieces.join(cut(places.drop("length"), "places"), ["seat", "piece"]).select(F.col(f"`{id_col}`"), "piece", "start", "length", "ids", "sequence_id", "offset")

@@ -156,17 +156,30 @@ def test_no_filter_beyond_its_size(spark, monkeypatch):
     assert result(spark, rows) == want and want[2][1] == [0]
 
 
-def test_prints_are_majorities():
+def test_prints_are_majorities_of_distinct_words():
     rng = np.random.default_rng(4)
     n = np.array([1, 2, 5, 5, 300, 0, 7])
-    h = rng.integers(0, 2**32, n.sum(), dtype=np.uint64)
+    h = rng.integers(0, 40, n.sum(), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     got, at = L.prints(h, n, 3), 0
     for k, p in zip(n, got, strict=True):
-        bits = L.bits_of((h[at : at + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 3).sum(axis=0, dtype=int)
-        assert (np.unpackbits(p.view(np.uint8), bitorder="little") == (2 * bits > k)).all()
+        words = np.unique(h[at : at + k])
+        bits = L.bits_of(words, 3).sum(axis=0, dtype=int)
+        assert (np.unpackbits(p.view(np.uint8), bitorder="little") == (2 * bits > len(words))).all()
         at += k
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("aB1 \t\n!é🙂\r", max_size=30), min_size=1, max_size=5))
+def test_lines_normalised_together(texts):
+    got = L._Lines([t.encode() for t in texts])
+    want = [(i, k, L.normalised(x)) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    assert list(zip(got.of.tolist(), got.at.tolist(), [x.decode() for x in got.norms], strict=True)) == want
+    assert got.words.tolist() == [len(x.split()) for _, _, x in want] and got.sizes().tolist() == [len(x) for _, _, x in want]
+    words = [w for _, _, x in want for w in x.split()]
+    h = got.hashes().tolist()
+    assert len(h) == len(words) and len(set(h)) == len(set(words)) == len(set(zip(h, words, strict=True)))
+
+
 def test_forests_are_least_and_leave_marks():
     last = np.array([0, 1, 3, 7, 0xFF, 0xFE], dtype=np.uint64)
     u, v = np.array([0, 0, 0, 1, 1, 2, 4]), np.array([1, 2, 3, 2, 3, 3, 5])
