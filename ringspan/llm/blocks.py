@@ -158,9 +158,8 @@ def by_key(batches, width: int, found):
 
 
 def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
-    """t in the order of (key, cell, size); positions (u, v) of all pairs that pass, if rooted; else
+    """t, which comes by key and cell, in the order of (key, cell, size); positions (u, v) of all pairs that pass, if rooted; else
     of a least spanning forest of them, and which rows have pairs beyond it."""
-    t = t[:, np.lexsort((*t[width:], t[0]))]
     n = t.shape[1]
     turn = np.diff(t[0]) != 0
     if len(t) > width:

@@ -178,14 +178,37 @@ def _least(pv: int, mv: int, m: int, j: int, n: int) -> int:
     return int((column + np.abs((m - np.arange(m + 1)) - (n - j))).min())
 
 
+def _word_by_word(x: list[str], y: list[str], most: int) -> bool:
+    """Whether walking both lines and replacing what lies between words they share costs `most` letters at
+    most, which their distance then does as well. False says nothing."""
+    i = j = cost = 0
+    n, m = len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for skip in range(1, 9):  # the nearest words that agree again
+            a = next((a for a in sorted(range(skip + 1), key=lambda a: abs(2 * a - skip)) if i + a < n and j + skip - a < m and x[i + a] == y[j + skip - a]), None)
+            if a is not None:
+                break
+        else:
+            break
+        to, at = i + a, j + skip - a
+        cost += max(sum(map(len, x[i:to])) + a, sum(map(len, y[j:at])) + skip - a)
+        if cost > most:
+            return False
+        i, j = to, at
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     longest = max(len(a), len(b))
     most = int((1 - similarity) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
-        return True  # replacing word by word is within reach already
+    if _word_by_word(x, y, most):
+        return True
     # each word that is put in, taken out or replaced costs its letters and a blank at most
     reach = 1 + max(map(len, (*x, *y)))
     if edit_distance(x, y, most // reach) * reach <= most:

@@ -186,3 +186,11 @@ def test_forests_are_least_and_leave_marks():
     a, b, more = blocks.forest(u, v, last, np.arange(6))
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (1, 2), (2, 3), (4, 5)]
     assert more.tolist() == [True] * 4 + [False] * 2
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "ccc", "dddd", "e"]), min_size=1, max_size=14), st.lists(st.sampled_from(["a", "bb", "ccc", "dddd", "e", "x"]), min_size=1, max_size=14), st.integers(0, 30))
+def test_word_by_word_is_an_upper_bound(x, y, most):
+    if L._word_by_word(x, y, most):
+        assert slow_distance(" ".join(x), " ".join(y)) <= most
+    assert L._word_by_word(x, x, 0)
