@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ringspan.functions import kernels
 from ringspan.functions.sequences import circular_slice
+from ringspan.session import cut
 
 # Recognition sites; ^ marks the cut of the top strand, _ that of the bottom strand,
 # one mark alone a blunt cut; (a/b) the places of both cuts behind the site; ? an unknown cut.
@@ -367,6 +368,15 @@ def cut_sites(seqs: DataFrame, pool="CommOnly", id_col: str = "id", seq_col: str
     return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, enzyme string, top int, bottom int, n_cuts int")
 
 
+def still_cut(plans: DataFrame, product: str, names: list[str], pool="CommOnly") -> DataFrame:
+    """plans with `site_regenerated`: whether one of the enzymes in some columns still cuts the product. A plan
+    of an enzyme outside the pool is judged by the others."""
+    own = cut(plans.withColumn("again", F.monotonically_increasing_id()), "plans")
+    found = cut_sites(own, pool, "again", product).groupBy(F.col("id").alias("again")).agg(F.collect_set("enzyme").alias("cutters"))
+    hit = F.exists(F.array(*names), lambda n: F.coalesce(F.array_contains("cutters", n), F.lit(False)))
+    return own.join(found, "again", "left").withColumn("site_regenerated", hit).drop("again", "cutters")
+
+
 def footprint(top, bottom) -> tuple[Column, Column]:
     """The single-stranded stretch that a cut leaves."""
     return F.least(top, bottom), F.greatest(top, bottom)

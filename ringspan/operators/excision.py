@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringspan.functions.sequences import circular_equal, circular_slice, delete_span
-from ringspan.operators.enzymes import SAME, cut_sites, enzymes, strategy, strategy_rank
+from ringspan.operators.enzymes import SAME, enzymes, still_cut, strategy, strategy_rank
 from ringspan.operators.intervals import overlaps
 from ringspan.session import cut, settle
 
@@ -67,10 +67,11 @@ def reasons(pairs: DataFrame, cuts: DataFrame, targets: DataFrame) -> DataFrame:
     return tally.union(many).union(sides.select("id", "r.reason", "r.n").where("n > 0"))
 
 
-def simulate(plans: DataFrame, seqs: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+def simulate(plans: DataFrame, seqs: DataFrame, signatures: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
     """plans (id, u_top, d_top) with the product of the digest, cross-checked: `product` is the edit
     in the parent's frame, `retained` the closed fragment that holds the signature (else the longer
-    one), `verified` that both are one circle and that the cut junctions are gone."""
+    one), `verified` that both are one circle, that the cut junctions are gone and that every protected
+    stretch (id, p_s, p_e) is in the product."""
     p = plans.join(seqs.select("id", "s"), "id")
     n = F.length("s")
     inner = circular_slice("s", F.col("u_top"), F.col("d_top"))
@@ -84,7 +85,12 @@ def simulate(plans: DataFrame, seqs: DataFrame, signatures: DataFrame | None = N
     around = lambda top: circular_slice("s", F.col(top) - 20, F.col(top) + 20)
     twice = F.concat("product", "product")
     gone = ~F.contains(twice, around("u_top")) & ~F.contains(twice, around("d_top"))
-    return p.withColumns({"verified": circular_equal("product", "retained") & (gone | (F.length("product") < 40)), "junction": F.upper(F.concat(circular_slice("s", F.col("u_top") - 6, F.col("u_top")), circular_slice("s", F.col("d_top"), F.col("d_top") + 6)))}).drop("s")
+    whole = F.lit(True)
+    if protected is not None:
+        spans = protected.groupBy("id").agg(F.collect_set(F.struct("p_s", "p_e")).alias("must_stay"))
+        p = p.join(spans, "id", "left")
+        whole = F.forall(F.coalesce("must_stay", F.array()), lambda x: F.contains(twice, circular_slice("s", x["p_s"], x["p_e"])))
+    return p.withColumns({"verified": circular_equal("product", "retained") & (gone | (F.length("product") < 40)) & whole, "junction": F.upper(F.concat(circular_slice("s", F.col("u_top") - 6, F.col("u_top")), circular_slice("s", F.col("d_top"), F.col("d_top") + 6)))}).drop("s", "must_stay")
 
 
 def signature(protected: DataFrame, seqs: DataFrame, width: int = 60) -> DataFrame:
@@ -97,11 +103,7 @@ def signature(protected: DataFrame, seqs: DataFrame, width: int = 60) -> DataFra
 
 def regenerated(plans: DataFrame, pool="CommOnly") -> DataFrame:
     """plans with `site_regenerated`: whether an enzyme of the plan still cuts the product."""
-    own = cut(plans.withColumn("again", F.monotonically_increasing_id()), "verified_plans")
-    found = cut_sites(own, pool, "again", "product").groupBy(F.col("id").alias("again")).agg(F.collect_set("enzyme").alias("cutters"))
-    known = own.join(found, "again", "left")
-    hit = F.coalesce(F.array_contains("cutters", F.col("up")) | F.array_contains("cutters", F.col("down")), F.lit(False))
-    return known.withColumn("site_regenerated", hit).drop("again", "cutters")
+    return still_cut(plans, "product", ["up", "down"], pool)
 
 
 def plan(seqs: DataFrame, cuts: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", max_alternatives: int = 10, tries: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +111,7 @@ def plan(seqs: DataFrame, cuts: DataFrame, targets: DataFrame, protected: DataFr
     out of the max_alternatives + tries best candidates; and the refusals."""
     pairs = cut(ranked(candidate_pairs(cuts, targets, protected, pool)), "excision_pairs")
     best = pairs.where(F.col("rank") <= max_alternatives + tries)
-    done = simulate(best, seqs, signature(protected, seqs) if protected is not None else None).where("verified")
+    done = simulate(best, seqs, signature(protected, seqs) if protected is not None else None, protected).where("verified")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
     plans = done.withColumn("alt_rank", nth - 1).where(F.col("alt_rank") <= max_alternatives)
     return regenerated(plans, pool), reasons(pairs, cuts, targets)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringspan.functions.sequences import circular_slice, replace_span
-from ringspan.operators.enzymes import cut_sites, enzymes, strategy
+from ringspan.functions.sequences import circular_slice, replace_span, reverse_complement
+from ringspan.operators import pcr
+from ringspan.operators.enzymes import cut_sites, enzymes, still_cut, strategy
 from ringspan.operators.intervals import overlaps
 from ringspan.session import cut, settle
 
@@ -80,12 +81,14 @@ def restriction_routes(vectors: DataFrame, donors: DataFrame, protected: DataFra
     return best, why
 
 
-def restriction_products(routes: DataFrame, vectors: DataFrame, donors: DataFrame) -> DataFrame:
-    """routes with the product, its length check, and the warnings."""
+def restriction_products(routes: DataFrame, vectors: DataFrame, donors: DataFrame, pool="CommOnly") -> DataFrame:
+    """routes with the product, its checks for length and presence, whether an enzyme of the route still cuts
+    it, and the warnings."""
     full = routes.join(vectors.select(F.col("pair_id").alias("id"), "v"), "id").join(donors.select(F.col("pair_id").alias("id"), "d"), "id")
     fragment = circular_slice("d", F.col("udt"), F.col("ddt"))
     full = full.withColumn("fragment", fragment).withColumn("product", replace_span("v", F.col("ut"), F.col("dt"), F.col("fragment")))
-    warn = F.array(F.when(F.col("d_extra") > 0, "the fragment carries bases of the donor's flanks"), F.when(~F.col("directional"), "the vector may close on itself"))
+    full = still_cut(full, "product", ["ue", "de", "ude", "dde"], pool)
+    warn = F.array(F.when(F.col("d_extra") > 0, "the fragment carries bases of the donor's flanks"), F.when(~F.col("directional"), "the vector may close on itself"), F.when(F.col("site_regenerated"), "a site is made again at a junction"))
     return full.withColumns({"verified": (F.length("product") == F.length("v") - (F.col("dt") - F.col("ut")) + F.length("fragment")) & F.contains(F.concat("product", "product"), F.col("fragment")), "warnings": F.filter(warn, lambda x: x.isNotNull())}).drop("v", "d")
 
 
@@ -112,4 +115,44 @@ def homology_order(vectors: DataFrame, inserts: DataFrame, homology: int = 25) -
     ext = F.upper(F.concat("v", F.substr("v", F.lit(1), F.lit(homology - 1))))
     again = lambda arm: F.instr(F.substr(ext, F.instr(ext, F.col(arm)) + 1), F.col(arm)) > 0
     warn = F.array(F.when(F.length("order") < 125, "order under 125 bases"), F.when(F.length("insert") < 200, "insert under 200 bases assembles poorly"), F.when(again("up_arm"), "upstream arm occurs twice in the vector"), F.when(again("down_arm"), "downstream arm occurs twice in the vector"))
-    return j.withColumn("warnings", F.filter(warn, lambda x: x.isNotNull())).withColumn("verified", F.length("product") == F.length("v") - (F.col("o_e") - F.col("o_s")) + F.length("insert")).drop("v", "insert", "o_s", "o_e")
+    return j.withColumn("warnings", F.filter(warn, lambda x: x.isNotNull())).withColumn("verified", (F.length("product") == F.length("v") - (F.col("o_e") - F.col("o_s")) + F.length("insert")) & F.contains(F.concat("product", "product"), F.col("insert"))).drop("v", "insert", "o_s", "o_e")
+
+
+#: Ways to open a vector for assembly: by digest if one will do, else by PCR; or only one of these.
+PREPS = ("auto", "digest", "pcr")
+
+
+def homology_routes(vectors: DataFrame, inserts: DataFrame, donors: DataFrame | None = None, protected: DataFrame | None = None, pool="CommOnly", vector_prep: str = "auto", max_digest_collateral: int = 200, homology: int = 25, **primers) -> DataFrame:
+    """A row per vector: how to open it and what to assemble. vectors: (pair_id, v, v_s, v_e); inserts:
+    (id, insert); donors: (pair_id, d, d_s, d_e) where the insert is amplified from a plasmid rather than
+    ordered; protected: (id, label, p_s, p_e); primers: parameters of pcr.best_pairs.
+
+    (id, prep, ue, de, o_s, o_e, vector_f, vector_r, insert_f, insert_r, up_arm, down_arm, order, product,
+    warnings, verified, reason): prep is digest or pcr, null with a reason where neither was found. A digest
+    may cost max_digest_collateral bases of the vector; inverse PCR costs none."""
+    if vector_prep not in PREPS:
+        raise ValueError(f"vector_prep is one of {', '.join(PREPS)}, not {vector_prep!r}")
+    own = vectors.select(F.col("pair_id").alias("id"), "v", "v_s", "v_e")
+    if vector_prep == "pcr":
+        cut_open = own.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("ue", "string"), ("ut", "int"), ("de", "string"), ("dt", "int"))])
+    else:
+        cut_open = own.select("id").join(digest_openings(vectors, protected, pool, max_digest_collateral), "id", "left")
+    opened = own.join(cut_open, "id").withColumns({"o_s": F.coalesce("ut", "v_s"), "o_e": F.coalesce("dt", "v_e")})
+    amplified = opened.where("ut is null" if vector_prep != "digest" else "false")
+    pair = pcr.best_pairs(amplified.select("id", F.col("v").alias("s"), F.col("v_s").alias("t_s"), F.col("v_e").alias("t_e")), False, **primers)
+    opened = opened.join(pair.select("id", F.col("f_seq").alias("vector_f"), F.col("r_seq").alias("vector_r")), "id", "left")
+    opened = opened.withColumn("prep", F.when(F.col("ut").isNotNull(), "digest").when(F.col("vector_f").isNotNull(), "pcr"))
+    opened = opened.withColumn("reason", F.when(F.col("prep").isNull(), F.lit("no pair of unique cuts opens the vector" if vector_prep == "digest" else "the vector is too short for primers")))
+    made = homology_order(opened.select("id", "v", "o_s", "o_e"), inserts, homology)
+    out = opened.drop("ut", "dt").join(made, "id", "left")
+    if donors is not None:
+        inner = pcr.best_pairs(donors.select(F.col("pair_id").alias("id"), F.col("d").alias("s"), F.col("d_s").alias("t_s"), F.col("d_e").alias("t_e")), True, **primers)
+        out = out.join(inner.select("id", "f_seq", "r_seq"), "id", "left")
+        out = out.withColumns({"insert_f": F.concat("up_arm", "f_seq"), "insert_r": F.concat(reverse_complement("down_arm"), F.col("r_seq")), "order": F.lit(None).cast("string")})
+    else:
+        out = out.withColumns({"insert_f": F.lit(None).cast("string"), "insert_r": F.lit(None).cast("string")})
+    template = lambda name, c: F.transform(pcr.notes(F.col(c), F.col("v")), lambda x: F.concat(F.lit(f"{name}: "), x))
+    said = F.when(F.col("prep") == "pcr", F.concat(template("vector forward primer", "vector_f"), template("vector reverse primer", "vector_r"))).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn("warnings", F.concat(F.coalesce("warnings", F.array().cast("array<string>")), said))
+    done = F.col("prep").isNotNull()
+    return out.select("id", "prep", "ue", "de", *[F.when(done, F.col(c)).alias(c) for c in ("o_s", "o_e", "vector_f", "vector_r", "insert_f", "insert_r", "up_arm", "down_arm", "order", "product", "warnings")], (done & F.coalesce("verified", F.lit(False))).alias("verified"), "reason")

@@ -153,6 +153,8 @@ def plan_deletions(spans: DataFrame, method: str = "KLD", overlap: int = 20, ove
         "amplicon_bp": F.when(F.col("reason").isNull(), n - cut + F.length("f_tail") + F.length("r_tail")),
         "anneal_c": F.least("f_tm", "r_tm") - ANNEAL_BELOW,
         "warnings": F.filter(warn, lambda x: x.isNotNull()),
+        "f_notes": notes(F.col("f_seq"), F.col("s")),
+        "r_notes": notes(F.col("r_seq"), F.col("s")),
         "verification": F.lit("length"),
     })
     return out.withColumn("extension_s", extension_seconds(F.col("amplicon_bp"))).drop("s")

@@ -238,3 +238,8 @@ SQL["bench_forms"] = f"WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 11
 SQL["pcr_reactions"] = "SELECT p_partkey AS id, CAST(nth AS INTEGER) AS nth, component, CAST(ul AS DOUBLE) AS ul FROM part CROSS JOIN " + _values([(i, n, float(u)) for i, (n, u) in enumerate(pcr_mix())], ["nth", "component", "ul"])
 SQL["mix_specs"] = "SELECT c_custkey AS reaction, CAST(4 AS INTEGER) AS rows, CAST(10.0 AS DOUBLE) AS total_ul FROM customer"
 SQL["product_comparison"] = _with(SHORT) + f", c AS (SELECT id, s, translate(left(s, 1), 'ACGT', 'CGTA') || substr(s, 2) AS o FROM shorts) SELECT id, true AS turned, true AS turned_over, false AS longer, contains(s || s, o) OR contains(s || s, {_rc('o')}) AS changed FROM c"
+_ARMS = "arms AS (SELECT id, v_s - 60 AS p_s, v_s - 50 AS p_e FROM vd UNION ALL SELECT id, v_e + 50, v_e + 60 FROM vd)"
+_KEPT = _ROUTES.replace("AND u.enzyme <> d.enzyme)", "AND u.enzyme <> d.enzyme WHERE NOT EXISTS (SELECT 1 FROM arms a WHERE a.id = u.id AND u.top < a.p_e AND a.p_s < d.top))")
+SQL["insertion_protected"] = SQL["insertion_routes"].replace(_ROUTES, _ARMS + ", " + _KEPT).replace(", CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, true AS verified, CAST(bp AS INTEGER) AS product_bp", "").replace("directional, same_enzymes FROM", "directional FROM")
+SQL["insertion_openings_protected"] = SQL["insertion_openings"].replace(", c AS (SELECT id, enzyme", f", {_ARMS}, c AS (SELECT id, enzyme").replace("AND d.top - u.top <= 200)", "AND d.top - u.top <= 200 AND NOT EXISTS (SELECT 1 FROM arms a WHERE a.id = u.id AND u.top < a.p_e AND a.p_s < d.top))")
+SQL["insertion_preps"] = "WITH op AS (" + SQL["insertion_openings_protected"].replace("<= 200", "<= 80") + f"), {SEQS}, {VD}, x AS (SELECT vd.*, ut IS NOT NULL AS cut, coalesce(ut, v_s) AS o_s, coalesce(dt, v_e) AS o_e, substr(d, d_s + 1, 30) AS ins FROM vd LEFT JOIN op USING (id)) SELECT id, CASE WHEN cut THEN 'digest' ELSE 'pcr' END AS prep, CAST(o_s AS INTEGER) AS o_s, CAST(o_e AS INTEGER) AS o_e, substr(v || v || v, length(v) + o_s - 24, 25) AS up_arm, substr(v || v || v, length(v) + o_e + 1, 25) AS down_arm, CAST(80 AS INTEGER) AS order_bp, md5(substr(v, 1, o_s) || ins || substr(v, o_e + 1)) AS product_md5, true AS verified, NOT cut AS has_primers FROM x"

@@ -10,7 +10,7 @@ from datetime import date
 from html import escape
 from pathlib import Path
 
-from ringspan.operators.reagents import BLANK, bench_config
+from ringspan.operators.reagents import BLANK, DALTONS, DALTONS_LIGATION, bench_config, cleanup_note, gel_recipe, pcr_mix
 
 
 @dataclass
@@ -55,44 +55,109 @@ def transformation(repetitive: bool, cfg: dict | None = None) -> list[str]:
     return [f"Thaw {t['cells_ul']} µL competent cells on ice, add {t['dna_ul']} µL of the reaction; run the control alongside.", f"Add {t['soc_ul']} µL SOC, {t['outgrowth']} at {temp} °C.", f"Plate {t['plated_ul']} µL and grow overnight at {temp} °C ({why}).", f"Pick {t['colonies']} colonies and sequence the whole plasmid."]
 
 
+def mix(title: str, rows: list[tuple[str, float | None]], total: float, note: str = "") -> Table:
+    """A reaction's table; the water is a blank while an amount is not known."""
+    known = [v for _, v in rows]
+    water = None if None in known else total - sum(known)
+    text = note if water is None or water >= 0 else f"{note} The volumes exceed the reaction; concentrate the DNA.".strip()
+    return Table(title, ["component", "µL"], [[n, number(v)] for n, v in [*rows, ("water", water)]] + [["total", number(total)]], text)
+
+
+def _volume(ng: float, conc: float | None) -> float | None:
+    return ng / conc if conc else None
+
+
+def digestion(name: str, enzymes: list[str], conc: float | None, config: dict | None = None, dephosphorylate: bool = False) -> Table:
+    d = bench_config(config)["digest"]
+    more = [(d["phosphatase"], d["phosphatase_ul"])] if dephosphorylate else []
+    return mix(f"Digestion of {name}", [(d["buffer"], d["buffer_ul"]), (f"{name} ({d['micrograms']:g} µg)", _volume(d["micrograms"] * 1000, conc)), *[(e, d["enzyme_ul"]) for e in dict.fromkeys(enzymes)], *more], d["total_ul"])
+
+
+def ligation(backbone: tuple[str, int, float | None], insert: tuple[str, int, float | None] | None, config: dict | None = None) -> Table:
+    """Backbone and insert: (name, bp, ng/µL); without an insert the backbone closes on itself."""
+    g = bench_config(config)["ligation"]
+    rows = [(backbone[0], _volume(g["backbone_fmol"] * backbone[1] * DALTONS_LIGATION / 1e6, backbone[2]))]
+    if insert:
+        rows.append((insert[0], _volume(g["backbone_fmol"] * g["insert_molar_excess"] * insert[1] * DALTONS_LIGATION / 1e6, insert[2])))
+    return mix("Ligation", [*rows, (f"10x {g['enzyme']} buffer", g["buffer_ul"]), (g["enzyme"], g["enzyme_ul"])], g["total_ul"], f"{g['backbone_fmol']} fmol of backbone" + (f", {g['insert_molar_excess']}-fold insert." if insert else "; run a control without ligase."))
+
+
+def assembly(backbone: tuple[str, int, float | None], insert: tuple[str, int, float | None], config: dict | None = None) -> Table:
+    g = bench_config(config)["gibson"]
+    fmol = g["backbone_ng"] * 1e6 / (backbone[1] * DALTONS)
+    rows = [(g["master_mix"], g["total_ul"] * g["master_mix_fraction"]), (backbone[0], _volume(g["backbone_ng"], backbone[2])), (insert[0], _volume(fmol * g["insert_molar_excess"] * insert[1] * DALTONS / 1e6, insert[2]))]
+    return mix("Assembly", rows, g["total_ul"], f"{number(fmol, 1)} fmol of backbone, {g['insert_molar_excess']}-fold insert; 50 °C for 30 min.")
+
+
+def amplification(template: str, anneal_c: float | None, bp: int, repetitive: bool, config: dict | None = None) -> list[Table]:
+    """The reaction and the cycler's program."""
+    g = bench_config(config)["pcr"]
+    per = g["seconds_per_kb_repetitive" if repetitive else "seconds_per_kb"]
+    anneal = BLANK if anneal_c is None else f"{anneal_c:.0f}"
+    steps = [["Initial denaturation", "95", 180, 1], ["Denaturation", "98", 20, g["cycles"]], ["Annealing", anneal, 15, g["cycles"]], ["Extension", "72", max(15, round(bp / 1000 * per)), g["cycles"]], ["Final extension", "72", 120, 1]]
+    return [Table(f"PCR on {template}", ["component", "µL"], [[n, number(v)] for n, v in pcr_mix(config)]), Table("Cycler", ["step", "°C", "s", "cycles"], steps)]
+
+
+def gel(bp: int, config: dict | None = None) -> Table:
+    return Table(f"Gel for {bp:,} bp", ["component", "amount"], [list(r) for r in gel_recipe(bp, config)])
+
+
+def _provenance(plan: dict, parent: dict, how: str) -> str:
+    return f"Planned on {parent['name']} ({parent['length']:,} bp); product {len(plan['product']):,} bp, checked by {how}."
+
+
 def excision_report(plan: dict, parent: dict, config: dict | None = None, figures=()) -> Report:
     """plan: a row of excision plans; parent: name, length and concentration of the start."""
     pair = plan["up"] if plan["up"] == plan["down"] else f"{plan['up']} + {plan['down']}"
     removed = plan["d_top"] - plan["u_top"]
-    r = Report(f"Deletion from {parent['name']}", figures=list(figures))
+    r = Report(f"Deletion from {parent['name']}", warnings=list(plan.get("warnings") or []), figures=list(figures))
     r.strategy = [f"Digest {parent['name']} with {pair} and close the backbone; {removed:,} bp leave.", f"Ends: {plan['strategy'].replace('_', ' ')}. Product {plan['product_bp']:,} bp."]
+    if plan.get("product"):
+        r.strategy.append(_provenance(plan, parent, "simulating the digest"))
     if caveat := two_band_caveat(removed, plan["product_bp"]):
         r.warnings.append(caveat)
     if plan.get("site_regenerated"):
         r.warnings.append("the junction is a site of an enzyme used, so undigested parent and product can't be told apart by it")
-    conc = parent.get("ng_per_ul")
-    d = bench_config(config)["digest"]
-    dna = None if not conc else d["micrograms"] * 1000 / conc
-    used = [d["buffer_ul"], dna, *[d["enzyme_ul"]] * (1 if plan["up"] == plan["down"] else 2)]
-    water = None if dna is None else d["total_ul"] - sum(used)
-    names = [plan["up"]] if plan["up"] == plan["down"] else [plan["up"], plan["down"]]
-    r.tables.append(Table("Digestion", ["component", "µL"], [[d["buffer"], number(d["buffer_ul"])], [f"{parent['name']} ({d['micrograms']:g} µg)", number(dna)], *[[n, number(d["enzyme_ul"])] for n in names], ["water", number(water)]]))
-    r.steps = [("Digest", ["Mix in the order of the table, incubate as the supplier says."]), ("Gel", [f"Cut out the {plan['product_bp']:,} bp band."]), ("Ligate", ["Close the backbone with ligase, at low DNA concentration."]), ("Transform", transformation(bool(plan.get("repetitive")), config))]
+    r.materials.append(Table("DNA and enzymes", ["name", "what"], [[parent["name"], f"plasmid, {parent['length']:,} bp"], *[[n, "restriction enzyme"] for n in dict.fromkeys([plan["up"], plan["down"]])]]))
+    r.tables = [digestion(parent["name"], [plan["up"], plan["down"]], parent.get("ng_per_ul"), config), gel(plan["product_bp"], config), ligation(("backbone", plan["product_bp"], None), None, config)]
+    r.steps = [("Digest", ["Mix in the order of the table, incubate as the supplier says."]), ("Gel", [f"Cut out the {plan['product_bp']:,} bp band.", cleanup_note(config)]), ("Ligate", ["Close the backbone with ligase, at low DNA concentration."]), ("Transform", transformation(bool(plan.get("repetitive")), config))]
     return r
 
 
 def pcr_report(plan: dict, parent: dict, config: dict | None = None, figures=()) -> Report:
     r = Report(f"Deletion from {parent['name']} by inverse PCR", warnings=list(plan.get("warnings") or []), figures=list(figures))
     r.strategy = [f"Amplify all of {parent['name']} but the target, {plan['amplicon_bp']:,} bp, and close it."]
+    if plan.get("product"):
+        r.strategy.append(_provenance(plan, parent, "its length"))
     r.materials.append(Table("Oligos", ["name", "sequence"], [["forward", (plan.get("f_tail") or "").lower() + plan["f_seq"]], ["reverse", (plan.get("r_tail") or "").lower() + plan["r_seq"]]]))
+    r.tables = amplification(parent["name"], plan["anneal_c"], plan["amplicon_bp"], bool(plan.get("repetitive")), config) + [gel(plan["amplicon_bp"], config)]
     r.steps = [("PCR", [f"Anneal at {plan['anneal_c']:.0f} °C, extend {plan['extension_s']} s."]), ("Close", ["Phosphorylate, ligate and remove the template, or assemble by the tails."]), ("Transform", transformation(bool(plan.get("repetitive")), config))]
     return r
 
 
 def insertion_report(plan: dict, vector: dict, insert: dict, config: dict | None = None, figures=()) -> Report:
     r = Report(f"Insertion of {insert['name']} into {vector['name']}", warnings=list(plan.get("warnings") or []), figures=list(figures))
-    if plan.get("ue"):
+    conc = vector.get("ng_per_ul")
+    if plan["route"] == "restriction":
+        n = len(plan["fragment"])
         r.strategy = [f"Open {vector['name']} with {plan['ue']} and {plan['de']}; release the fragment with {plan['ude']} and {plan['dde']}."]
-        r.steps = [("Digest", ["Digest both, purify the bands."]), ("Ligate", ["Fivefold molar excess of the fragment."])]
+        r.materials.append(Table("DNA and enzymes", ["name", "what"], [[vector["name"], "vector"], [insert["name"], "donor"], *[[e, "restriction enzyme"] for e in dict.fromkeys([plan["ue"], plan["de"], plan["ude"], plan["dde"]])]]))
+        r.tables = [digestion(vector["name"], [plan["ue"], plan["de"]], conc, config, not plan["directional"]), digestion(insert["name"], [plan["ude"], plan["dde"]], insert.get("ng_per_ul"), config), gel(n, config), ligation(("vector, opened", len(plan["product"]) - n, None), ("fragment", n, None), config)]
+        r.steps = [("Digest", ["Digest both, purify the bands.", cleanup_note(config)]), ("Ligate", ["Mix as in the table, with a control without the fragment."])]
     else:
-        r.strategy = [f"Assemble {insert['name']} into opened {vector['name']} by homology."]
-        r.materials.append(Table("Synthetic fragment", ["name", "length"], [[insert["name"], f"{len(plan['order']):,} bp"]]))
-        r.steps = [("Assemble", ["Threefold molar excess of the fragment, 50 °C for 30 min."])]
+        how = f"cut with {plan['ue']} and {plan['de']}" if plan["prep"] == "digest" else "amplified by inverse PCR"
+        r.strategy = [f"Assemble {insert['name']} into {vector['name']}, {how}, by homology."]
+        oligos = [[n, plan[k]] for n, k in (("vector forward", "vector_f"), ("vector reverse", "vector_r"), ("insert forward", "insert_f"), ("insert reverse", "insert_r")) if plan.get(k)]
+        if oligos:
+            r.materials.append(Table("Oligos", ["name", "sequence"], oligos))
+        if plan.get("order"):
+            r.materials.append(Table("Synthetic fragment", ["name", "length"], [[insert["name"], f"{len(plan['order']):,} bp"]]))
+        put = plan["edit"][2]
+        opened = len(plan["product"]) - put
+        r.tables = [digestion(vector["name"], [plan["ue"], plan["de"]], conc, config)] if plan["prep"] == "digest" else amplification(vector["name"], None, opened, bool(plan.get("repetitive")), config)
+        r.tables.append(assembly(("vector, opened", opened, None), (insert["name"], put + len(plan["up_arm"]) + len(plan["down_arm"]), None), config))
+        r.steps = [("Open the vector", [f"{how[0].upper()}{how[1:]}; purify the band.", cleanup_note(config)]), ("Assemble", ["Mix as in the table."])]
+    r.strategy.append(_provenance(plan, vector, "length and presence of the insert"))
     r.steps.append(("Transform", transformation(bool(plan.get("repetitive")), config)))
     return r
 

@@ -101,9 +101,10 @@ class Session:
 
     def search_inventory(self, query: str) -> str:
         """By name; else by sequence if it is one of 12 bases or more; else by feature label."""
-        names = [r["label"] for r in self.library.where(F.contains(F.lower("label"), F.lit(query.lower()))).select("label").orderBy("label").collect()]
+        named = self.library.where(F.contains(F.lower("label"), F.lit(query.lower()))).select("label")
+        names = [r["label"] for r in named.orderBy("label").limit(MOST_HITS).collect()]
         if names:
-            return self.answer(kind="name", hits=names[:MOST_HITS], total=len(names))
+            return self.answer(kind="name", hits=names, total=named.count())
         clean = re.sub(r"\s", "", query).upper()
         if len(clean) >= 12 and re.fullmatch(f"[{kernels.IUPAC}]+", clean):
             q = self.spark.createDataFrame([(0, clean)], "query_id long, q string")
@@ -141,53 +142,80 @@ class Session:
         s, e = intervals.rotate_span(F.col("s"), F.col("e"), F.lit(turned), F.lit(row["length"]))
         return self.features.where(F.col("plasmid_id") == row["plasmid_id"]).select(F.col("plasmid_id").alias("k"), s.cast("int").alias("s"), e.cast("int").alias("e"), "label", "type")
 
-    def _protected(self, row, span, turned: int = 0):
+    def _classes(self, row, span, turned: int = 0, protect: list[str] | None = None):
+        """The features of a plasmid by what becomes of them; a KeyError if one is to go and to stay."""
+        t = self.spark.createDataFrame([(row["plasmid_id"], *span)], "k string, t_s int, t_e int")
+        f = intervals.classify(self._features(row, turned), t, protect)
+        torn = f.where("contradiction").orderBy("s").first()
+        if torn:
+            raise KeyError(f"{torn['label']!r} lies inside what is to go, and is to be protected")
+        return f
+
+    def _protected(self, row, span, turned: int = 0, protect: list[str] | None = None):
         if self.features is None:
             return None
-        f = self._features(row, turned)
-        t = self.spark.createDataFrame([(row["plasmid_id"], *span)], "k string, t_s int, t_e int")
-        return intervals.classify(f, t).where("class = 'protected'").select(F.lit(row["label"]).alias("id"), "label", "p_s", "p_e")
+        return self._classes(row, span, turned, protect).where("class = 'protected'").select(F.lit(row["label"]).alias("id"), "label", "p_s", "p_e")
 
-    def plan_deletion(self, name: str, what, method: str = "auto") -> str:
-        """By digest if a route exists, else by inverse PCR; a refusal is an answer with reasons."""
+    def _lost(self, row, span, turned: int = 0) -> list[str]:
+        """Warnings of what goes with a span, and of what an insertion interrupts."""
+        if self.features is None:
+            return []
+        gone = self._classes(row, span, turned).where("class <> 'protected'").select("label", "class", intervals.looks_essential(F.col("label")).alias("essential")).distinct().orderBy("label").collect()
+        lost = [f"{r['label']} looks essential and goes" for r in gone if r["class"] == "removed" and r["essential"]]
+        return lost + ([f"{r['label']} spans the site and is interrupted" for r in gone if r["class"] == "umbrella"] if span[0] == span[1] else [])
+
+    def plan_deletion(self, name: str, what, method: str = "auto", protect: list[str] | None = None) -> str:
+        """By digest if a route exists, else by inverse PCR; a refusal is an answer with reasons. protect: names
+        of features that must stay, whatever is asked for."""
         row = self._row(name)
         span = self._span(row, what)
         whole = intervals.centred(self.spark.createDataFrame([(row["label"], row["sequence"], *span)], "id string, s string, t_s int, t_e int")).first()
         span, turned = (whole["t_s"], whole["t_e"]), whole["turned"]
+        guarded, lost = self._protected(row, span, turned, protect), self._lost(row, span, turned)
         one = self.spark.createDataFrame([(row["label"], whole["s"])], "id string, s string")
         t = self.spark.createDataFrame([(row["label"], *span)], "id string, t_s int, t_e int")
+        plans, why = excision.plan(one, enzymes.cut_sites(one, self.pool), t, guarded, self.pool)
+        best = excision.best_or_refusal(plans, why, t).first()
         if method in ("auto", "restriction"):
-            cuts = enzymes.cut_sites(one, self.pool)
-            plans, why = excision.plan(one, cuts, t, self._protected(row, span, turned), self.pool)
-            best = excision.best_or_refusal(plans, why, t).first()
             if best["feasible"]:
-                plan = {**best.asDict(), "product_bp": len(best["product"]), "parent": row["label"], "route": "restriction", "edit": (best["u_top"], best["d_top"], 0), "turned": turned}
+                plan = {**best.asDict(), "product_bp": len(best["product"]), "parent": row["label"], "route": "restriction", "edit": (best["u_top"], best["d_top"], 0), "turned": turned, "warnings": lost}
                 h = self.register(plan)
-                return self.answer(handle=h, route="restriction", enzymes=[best["up"], best["down"]], product_bp=plan["product_bp"], site_regenerated=best["site_regenerated"], verification="digest simulated")
+                return self.answer(handle=h, route="restriction", enzymes=[best["up"], best["down"]], product_bp=plan["product_bp"], site_regenerated=best["site_regenerated"], warnings=lost, verification="digest simulated")
             if method == "restriction":
                 return self.answer(feasible=False, reasons=best["reasons"] or {})
         got = pcr.plan_deletions(t.join(one, "id")).first()
         if not got["feasible"]:
             return self.answer(feasible=False, reasons={got["reason"]: 1})
-        h = self.register({**got.asDict(), "parent": row["label"], "route": "pcr", "edit": (*span, 0), "turned": turned})
-        return self.answer(handle=h, route="pcr", amplicon_bp=got["amplicon_bp"], anneal_c=got["anneal_c"], warnings=got["warnings"], verification="length")
-
-    def plan_insertion(self, name: str, at, sequence: str | None = None, donor: str | None = None, what=None, method: str = "auto") -> str:
+        rather = [f"a digest with {best['up']} and {best['down']} would do, at {best['collateral']} further bases"] if best["feasible"] else []
+        said = [f"{who} primer: {x}" for who, notes in (("forward", got["f_notes"]), ("reverse", got["r_notes"])) for x in notes]
+        warnings = [*rather, *got["warnings"], *said, *lost]
+        h = self.register({**got.asDict(), "parent": row["label"], "route": "pcr", "edit": (*span, 0), "turned": turned, "warnings": warnings})
+        return self.answer(handle=h, route="pcr", amplicon_bp=got["amplicon_bp"], anneal_c=got["anneal_c"], warnings=warnings, verification="length")
+
+    def plan_insertion(self, name: str, at, sequence: str | None = None, donor: str | None = None, what=None, method: str = "auto", protect: list[str] | None = None, vector_prep: str = "auto", max_digest_collateral: int = 200, homology: int = 25, **primers) -> str:
+        """By subcloning if a route exists, else by assembly. Features beside the site are protected; protect
+        names some that must stay even if they lie in what is replaced. vector_prep: how the vector is opened
+        for assembly, by digest, by pcr, or (auto) by digest if that costs max_digest_collateral bases at
+        most. primers: parameters of pcr.best_pairs."""
         row = self._row(name)
         span = self._span(row, at)
-        reasons: dict[str, int] = {}
+        guarded = self._protected(row, span, 0, protect)
+        guarded = None if guarded is None else guarded.withColumn("id", F.lit(1).cast("long"))
+        lost = self._lost(row, span)
+        v = self.spark.createDataFrame([(1, row["sequence"], *span)], "pair_id long, v string, v_s int, v_e int")
+        w, reasons = None, {}
         if donor is not None:
             d = self._row(donor)
             d_span = self._span(d, what) if what is not None else (0, d["length"])
             sequence = (d["sequence"] * 2)[d_span[0] : d_span[1]]
+            w = self.spark.createDataFrame([(1, d["sequence"], *d_span)], "pair_id long, d string, d_s int, d_e int")
             if method in ("auto", "restriction"):
-                v = self.spark.createDataFrame([(1, row["sequence"], *span)], "pair_id long, v string, v_s int, v_e int")
-                w = self.spark.createDataFrame([(1, d["sequence"], *d_span)], "pair_id long, d string, d_s int, d_e int")
-                best, why = insertion.restriction_routes(v, w, None, self.pool)
-                got = insertion.restriction_products(best, v, w).first()
+                best, why = insertion.restriction_routes(v, w, guarded, self.pool)
+                got = insertion.restriction_products(best, v, w, self.pool).where("verified").first()
                 if got:
-                    h = self.register({**got.asDict(), "parent": row["label"], "insert": donor, "route": "restriction"})
-                    return self.answer(handle=h, route="restriction", vector=[got["ue"], got["de"]], donor=[got["ude"], got["dde"]], directional=got["directional"], product_bp=len(got["product"]), warnings=got["warnings"], verification="length and presence")
+                    warnings = [*got["warnings"], *lost]
+                    h = self.register({**got.asDict(), "parent": row["label"], "insert": donor, "route": "restriction", "warnings": warnings})
+                    return self.answer(handle=h, route="restriction", vector=[got["ue"], got["de"]], donor=[got["ude"], got["dde"]], directional=got["directional"], site_regenerated=got["site_regenerated"], product_bp=len(got["product"]), warnings=warnings, verification="length and presence")
                 reasons = {r["reason"]: r["n"] for r in why.orderBy(F.desc("n"), "reason").limit(4).collect()}
         elif method == "restriction":
             reasons = {"insert is synthetic, so there is nothing to digest": 1}
@@ -196,10 +224,13 @@ class Session:
         clean = re.sub(r"\s", "", sequence or "").upper()
         if not re.fullmatch(f"[{kernels.IUPAC}]+", clean):
             raise ValueError("the insert is no sequence of base codes")
-        v = self.spark.createDataFrame([(1, row["sequence"], *span)], "id long, v string, o_s int, o_e int")
-        got = insertion.homology_order(v, self.spark.createDataFrame([(1, clean)], "id long, insert string")).first()
-        h = self.register({**got.asDict(), "parent": row["label"], "insert": donor or "insert", "route": "gibson"})
-        return self.answer(handle=h, route="gibson", order_bp=len(got["order"]), product_bp=len(got["product"]), warnings=got["warnings"], reasons=reasons, verification="length and presence")
+        put = self.spark.createDataFrame([(1, clean)], "id long, insert string")
+        got = insertion.homology_routes(v, put, w, guarded, self.pool, vector_prep, max_digest_collateral, homology, **primers).first()
+        if not got["verified"]:
+            return self.answer(feasible=False, reasons={**reasons, got["reason"] or "the product failed its checks": 1})
+        warnings = [*got["warnings"], *lost]
+        h = self.register({**got.asDict(), "parent": row["label"], "insert": donor or "insert", "route": "gibson", "warnings": warnings, "edit": (got["o_s"], got["o_e"], len(clean))})
+        return self.answer(handle=h, route="gibson", vector_prep=got["prep"], vector=[got["ue"], got["de"]] if got["prep"] == "digest" else None, order_bp=len(got["order"]) if got["order"] else None, product_bp=len(got["product"]), warnings=warnings, reasons=reasons, verification="length and presence")
 
     def source_sequence(self, name: str, sequence: str | None = None) -> str:
         q = self.spark.createDataFrame([(0, (sequence or "").upper() or None)], "query_id long, q string")
@@ -216,9 +247,23 @@ class Session:
         out = inside(path)
         if not self.confirm(f"write {out}"):
             return self.answer(written=False)
-        out.write_text(format_genbank(handle, self.products[handle]["product"]), encoding="utf-8")
+        p = self.products[handle]
+        out.write_text(format_genbank(handle, p["product"], self._product_features(p)), encoding="utf-8")
         return self.answer(written=str(out))
 
+    def _product_features(self, p: dict) -> list[dict]:
+        """The parent's features in the product's frame, for a GenBank file; none if the edit is not known."""
+        if self.features is None or "edit" not in p:
+            return []
+        row = self.library.where(F.col("label") == p["parent"]).first()
+        start, end, put = p["edit"]
+        n, out = len(p["product"]), []
+        for f in intervals.remap(self._features(row, p.get("turned", 0)), F.lit(start), F.lit(end), F.lit(put)).orderBy("s", "e").collect():
+            spans = [(f["s"], f["e"])] if f["e"] <= n else [(f["s"], n), (0, f["e"] - n)]
+            quals = {"label": [f["label"]], **({"note": ["truncated"]} if f["truncated"] else {})}
+            out.append({"type": f["type"], "parts": [{"start": a, "end": b, "strand": 1} for a, b in spans], "qualifiers": quals})
+        return out
+
     def _report(self, handle: str, concentrations: dict | None = None):
         p = self.products[handle]
         row = self.library.where(F.col("label") == p["parent"]).first()
@@ -227,7 +272,7 @@ class Session:
         figures = self._figures(p, row)
         bench = self.config.get("bench")
         if "insert" in p:
-            return report.insertion_report(p, parent, {"name": p["insert"]}, bench, figures)
+            return report.insertion_report(p, parent, {"name": p["insert"], "ng_per_ul": conc.get(p["insert"])}, bench, figures)
         return (report.excision_report if p["route"] == "restriction" else report.pcr_report)(p, parent, bench, figures)
 
     def _figures(self, p: dict, row) -> list[tuple[str, str]]:

@@ -294,6 +294,30 @@ def insertion_openings(spark, d):
     return insertion.digest_openings(_vectors_donors(spark, d)[0])
 
 
+def _arms(v):
+    """(id, label, p_s, p_e): two features near each vector's site that must survive."""
+    left = v.select(F.col("pair_id").alias("id"), F.lit("left arm").alias("label"), (F.col("v_s") - 60).alias("p_s"), (F.col("v_s") - 50).alias("p_e"))
+    return left.union(v.select("pair_id", F.lit("right arm"), F.col("v_e") + 50, F.col("v_e") + 60))
+
+
+def insertion_protected(spark, d):
+    v, w = _vectors_donors(spark, d)
+    return insertion.restriction_routes(v, w, _arms(v))[0].select("id", "ue", "ut", "de", "dt", "ude", "udt", "dde", "ddt", "directional")
+
+
+def insertion_openings_protected(spark, d):
+    v = _vectors_donors(spark, d)[0]
+    return insertion.digest_openings(v, _arms(v))
+
+
+def insertion_preps(spark, d):
+    """How each vector is opened for assembly, and what comes of it."""
+    v, w = _vectors_donors(spark, d)
+    ins = w.select(F.col("pair_id").alias("id"), S.circular_slice("d", F.col("d_s"), F.col("d_e")).alias("insert"))
+    r = insertion.homology_routes(v, ins, None, _arms(v), max_digest_collateral=80)
+    return r.select("id", "prep", "o_s", "o_e", "up_arm", "down_arm", F.length("order").alias("order_bp"), F.md5(F.col("product").cast("binary")).alias("product_md5"), "verified", F.col("vector_f").isNotNull().alias("has_primers"))
+
+
 def insertion_homology(spark, d):
     v, w = _vectors_donors(spark, d)
     arms = v.select(F.col("pair_id").alias("id"), "v", F.col("v_s").alias("o_s"), F.col("v_e").alias("o_e"))
@@ -550,5 +574,5 @@ QUERIES = {f.__name__: f for f in (
     dilution_plans, gibson_mixes, ligation_mixes, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
     source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest, short_dup_groups, feature_labels, inserts_normalised,
     spans_inside, cut_footprints, enzyme_descriptions, directory_scan, callable_source, source_coercion, record_labels, library_lines,
-    primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
+    insertion_protected, insertion_openings_protected, insertion_preps, primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
 )}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import struct
 from pathlib import PurePath
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -121,18 +122,45 @@ def parse_genbank(text: str) -> dict:
     return _record(head[1] if len(head) > 1 else "", sequence, "circular" in (w.lower() for w in head), feats)
 
 
+def _snapgene_features(xml: str, length: int) -> list[dict]:
+    """The features of a SnapGene file's list: segments are 1-based and may run across the origin."""
+    out = []
+    for f in ElementTree.fromstring(xml).iter("Feature"):
+        strand = {"1": 1, "2": -1}.get(f.get("directionality"), 0)
+        parts = []
+        for segment in f.iter("Segment"):
+            lo, hi = (int(x) for x in segment.get("range", "").split("-"))
+            parts.append({"start": lo - 1, "end": hi if hi >= lo else hi + length, "strand": strand})
+        if not parts:
+            continue
+        quals: dict[str, list[str]] = {}
+        for q in f.iter("Q"):
+            found = [re.sub("<[^>]*>", "", x) for v in q.iter("V") for x in (v.get("text"), v.get("int"), v.get("predef")) if x]
+            quals.setdefault(q.get("name", ""), []).extend(found)
+        if f.get("name"):
+            quals.setdefault("label", [f.get("name")])
+        out.append(feature(f.get("type") or "misc_feature", parts, {k: v for k, v in quals.items() if k and v}))
+    return out
+
+
 def parse_snapgene(data: bytes) -> dict:
-    """The sequence and topology of a SnapGene file: typed packets of a byte and a length."""
-    at, found = 0, None
+    """The sequence, topology and features of a SnapGene file: typed packets of a byte and a length."""
+    at, found, listed = 0, None, None
     while at + 5 <= len(data):
         kind, size = data[at], struct.unpack(">I", data[at + 1 : at + 5])[0]
         body = data[at + 5 : at + 5 + size]
         if kind == 0 and size:
             found = (body[1:].decode("ascii", "replace"), bool(body[0] & 1))
+        elif kind == 10:
+            listed = body.decode("utf-8", "replace")
         at += 5 + size
     if not data.startswith(b"\x09") or not found:
         raise ValueError("no SnapGene sequence packet")
-    return _record("", found[0], found[1])
+    try:
+        feats = _snapgene_features(listed, len(found[0])) if listed else []
+    except ElementTree.ParseError as e:
+        raise ValueError(f"unreadable SnapGene features: {e}") from e
+    return _record("", found[0], found[1], feats)
 
 
 def parse(data, kind: str) -> dict:

@@ -92,3 +92,60 @@ def test_maps():
 def test_caveat_and_blanks():
     assert report.two_band_caveat(5000, 500) and not report.two_band_caveat(500, 400)
     assert report.number(None) == "____" and report.short_id("pHL_x_y") == "pHL"
+
+
+def test_deletion_by_pcr_says_what_a_bench_should_know(session):
+    r = ask(session.plan_deletion("pAB", "target", "pcr"))
+    assert r["route"] == "pcr" and any("a digest with PstI and PstI would do" in w for w in r["warnings"])
+    page = report.render(session._report(r["handle"]))
+    assert "Cycler" in page and "Oligos" in page and "product" in page
+
+
+def test_protected_features_are_refused_and_essential_ones_named(session):
+    with pytest.raises(KeyError, match="to be protected"):
+        session.plan_deletion("pAB", "290:420", "pcr", protect=["amp"])
+    r = ask(session.plan_deletion("pAB", "290:420", "pcr"))
+    assert any("ampR looks essential" in w for w in r["warnings"])
+
+
+def test_insertion_spares_what_is_beside_the_site(spark):
+    """The nearest pair of cuts would take a feature along; a wider one is beyond the collateral."""
+    rng = random.Random(3)
+    fill = lambda n: "".join(rng.choices("AC", k=n))
+    s = fill(300) + "GAATTC" + fill(30) + "GGATCC" + fill(300)
+    lib = spark.createDataFrame([("v", "pV", s, len(s))], "plasmid_id string, label string, sequence string, length int")
+    feats = spark.createDataFrame([("v", "promoter", "promoter", 310, 318)], "plasmid_id string, label string, type string, s int, e int")
+    put = "ACGT" * 40
+    free = Session(spark, lib, None, pool=["EcoRI", "BamHI"])
+    a = ask(free.plan_insertion("pV", "322", sequence=put))
+    assert a["vector_prep"] == "digest" and a["vector"] == ["EcoRI", "BamHI"] and a["product_bp"] == len(s) - 36 + 160
+    held = Session(spark, lib, feats, pool=["EcoRI", "BamHI"])
+    b = ask(held.plan_insertion("pV", "322", sequence=put))
+    assert b["vector_prep"] == "pcr" and b["product_bp"] == len(s) + 160 and b["verification"] == "length and presence"
+    c = ask(held.plan_insertion("pV", "322", sequence=put, vector_prep="digest"))
+    assert c == {"feasible": False, "reasons": {"no pair of unique cuts opens the vector": 1}}
+    assert ask(free.plan_insertion("pV", "322", sequence=put, max_digest_collateral=10))["vector_prep"] == "pcr"
+    d = ask(held.plan_insertion("pV", "314", sequence=put))
+    assert any("promoter spans the site" in w for w in d["warnings"])
+    with pytest.raises(ValueError):
+        held.plan_insertion("pV", "322", sequence=put, vector_prep="magic")
+    page = report.render(held._report(b["handle"]))
+    assert "Assembly" in page and "vector forward" in page and "inverse PCR" in page
+
+
+def test_insert_from_a_donor_by_homology(session):
+    r = ask(session.plan_insertion("pAB", "100", donor="pCD", what="300:500", method="gibson", vector_prep="pcr"))
+    p = session.products[r["handle"]]
+    donor = session.library.where("plasmid_id = 'p2'").first()["sequence"]
+    assert r["order_bp"] is None and r["product_bp"] == len(p["product"]) and donor[300:500] in p["product"]
+    assert p["insert_f"].startswith(p["up_arm"]) and donor[300:].startswith(p["insert_f"][25:])
+
+
+def test_export_with_features(session, tmp_path, monkeypatch):
+    from ringspan.sources.formats import parse_genbank
+
+    monkeypatch.chdir(tmp_path)
+    r = ask(session.plan_deletion("pAB", "target"))
+    session.export_product(r["handle"], "out.gb")
+    got = parse_genbank((tmp_path / "out.gb").read_text())
+    assert "ampR" in [f["label"] for f in got["features"]] and got["sequence"] == session.products[r["handle"]]["product"].upper()

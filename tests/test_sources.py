@@ -121,3 +121,17 @@ def test_names_without_a_format_are_failures(spark):
     good, bad = library.scan(spark.createDataFrame(rows, "plasmid_id string, content binary"))
     assert [r["plasmid_id"] for r in good.collect()] == ["a.fasta"]
     assert sorted(str(r["plasmid_id"]) for r in bad.collect()) == ["None", "b.xyz", "c", "d.fa"] and all(r["error"] for r in bad.collect())
+
+
+def test_snapgene_features():
+    def packet(kind, body):
+        return bytes([kind]) + struct.pack(">I", len(body)) + body
+
+    xml = '<Features><Feature name="ampR" type="CDS" directionality="2"><Segment range="3-6"/><Q name="gene"><V text="&lt;b&gt;bla&lt;/b&gt;"/></Q></Feature><Feature name="wrap" type="misc_feature"><Segment range="9-2"/></Feature></Features>'
+    data = packet(9, b"SnapGene\0\1\0\1\0\1") + packet(0, b"\1ACGTACGTAC") + packet(10, xml.encode())
+    r = formats.parse_snapgene(data)
+    a, b = r["features"]
+    assert (a["label"], a["type"], a["start"], a["end"], a["strand"], a["qualifiers"]["gene"]) == ("ampR", "CDS", 2, 6, -1, ["bla"])
+    assert (b["label"], b["start"], b["end"]) == ("wrap", 8, 12) and r["circular"]
+    with pytest.raises(ValueError):
+        formats.parse_snapgene(packet(9, b"SnapGene") + packet(0, b"\1ACGT") + packet(10, b"<Features"))
