@@ -19,13 +19,17 @@ def _as_documents(df: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3 go. Labels are learnt from `docs`, held-out rows excepted."""
+    """Documents that score under 0.3 go. Labels are learnt from `docs`, held-out rows excepted. Rows are judged
+    one by one, whole texts however long; a null text scores as an empty one, by the bias alone; with no label
+    to learn from all stay; an empty table gives no rows."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out("doc_id")))
     return quality.score(docs, weights, out="_score").where("_score >= 0.3").select(*COLUMNS)
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines alike across documents, one occurrence stays."""
+    """Of lines alike across documents, one occurrence stays. No row goes: a document of which all lines were
+    others' is left empty. A null text stays null; rows equal in id and text keep the same lines; ties go to
+    the least doc_id and the earlier line; an empty table gives no rows."""
     return _as_documents(line_dedup.dedup(docs.select(*COLUMNS)))
 
 
@@ -41,12 +45,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark, in whole texts however long. Every row stays; a null text stays null; an
+    empty table gives no rows."""
     return _as_documents(secret_scan.redact(docs.select(*COLUMNS), vocabulary("byte_bpe_50k.tiktoken")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 2048 tokens: a row per piece, with its ids and place."""
+    """Training sequences of at most 2048 tokens: a row per piece, with its ids and place. A null text gives its
+    end id alone; longer texts are cut; rows of one id, or of none, are packed each; an empty table gives no
+    rows."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
