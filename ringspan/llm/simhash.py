@@ -288,7 +288,7 @@ def _near_sets(links: DataFrame, nodes: DataFrame, rows: DataFrame, row_col: str
     return cut(told.where("sure").select("u", "v").union(checked), "near_links")
 
 
-def near_texts(rows: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+def near_texts(rows: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """(row, root): the group of each row, named by its least row; texts whose sets of shingles have a Jaccard
     similarity of at least `similarity` share a group. rows: a written table, with a row key of its own
     (long, never null)."""

@@ -72,3 +72,35 @@ def test_near_copies_from_similarity_08_go(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"], r["text"]) for r in C.near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted({(i, t) for i, t in rows if i not in gone}, key=str)
+
+
+def test_odd_rows_through_all_stages(spark, odd, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, extra columns with clashing names."""
+    spark.createDataFrame([(1, 1), (8, 0), (None, 1), (4, None), (7, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {}
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, odd, str(tmp_path))
+        assert got.columns == C.COLUMNS
+        rows[name] = got.collect()
+    assert len(rows["line_dedup"]) == len(rows["secret_scan"]) == odd.count() >= len(rows["quality_classifier"])
+    assert all((r["n_chars"] or 0) == len(r["text"] or "") for r in rows["line_dedup"] + rows["secret_scan"])
+    assert next(r for r in rows["secret_scan"] if r["doc_id"] == 3)["text"] is None
+    near = [r["doc_id"] for r in rows["simhash_near_dedup"]]
+    # 2 is there twice; 4 and 5 are as empty as 3; 7 is a copy of 6
+    assert sorted(near, key=str) == sorted([1, 2, 3, None, 6, 8, 9, 10, -5], key=str)
+    packed = C.STAGES[-1][1](spark, odd, str(tmp_path)).collect()
+    assert len({r["sequence_id"] for r in packed}) < len(packed) and {r["doc_id"] for r in packed} == {r["doc_id"] for r in odd.collect()}
+
+
+def test_empty_table_through_all_stages(spark, none, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert all(stage(spark, none, str(tmp_path)).count() == 0 for _, stage in C.STAGES)
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Equal texts under equal, other and no ids; one id with two texts."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, a), (2, b), (2, a), (None, b), (None, b), (None, "a text that has no id at all")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in C.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, "a text that has no id at all")], key=str)
