@@ -23,6 +23,7 @@ from ringspan.sources.library import library_lines
 LONGEST_BASES, MOST_HITS = 40, 12
 _BASES = re.compile(r"[ACGTacgt]{%d,}" % LONGEST_BASES)
 
+# The names of the tools, and those that ask first.
 TOOLS = ("search_inventory", "inspect_plasmid", "plan_deletion", "plan_insertion", "source_sequence", "compare_product", "export_product", "save_protocol", "ask_user", "report_inputs", "generate_report")
 GATED = ("export_product", "save_protocol", "generate_report")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ringspan.sources.formats import SUFFIXES, format_genbank_udf, format_of, parse, parse_udf
-from ringspan.session import settle
+from ringspan.session import cut, settle
 
 _STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -71,7 +71,9 @@ class _Ids(DataSourceReader):
 
 
 def callable_source(spark: SparkSession, name: str, ids: list[str], load: Callable[[str], bytes]) -> DataFrame:
-    """(plasmid_id, content, error) of a remote store, a partition and one load for each id."""
+    """(plasmid_id, content, error) of a remote store, a partition and one load for each id. What was loaded is
+    kept in the shared folder: however often the table is used, the store is asked once (again only for
+    a task that is lost)."""
 
     class Source(DataSource):
         @classmethod
@@ -85,7 +87,7 @@ def callable_source(spark: SparkSession, name: str, ids: list[str], load: Callab
             return _Ids(ids, load)
 
     spark.dataSource.register(Source)
-    return spark.read.format(name).load()
+    return cut(spark.read.format(name).load(), name)
 
 
 def first_owner(sources: list[DataFrame], key: str = "plasmid_id") -> DataFrame:

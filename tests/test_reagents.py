@@ -1,4 +1,6 @@
-"""Bench arithmetic against an independent sheet."""
+"""Bench arithmetic against an independent sheet, whose numbers are fixed values."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,17 +29,22 @@ def test_ligation_sheet(spark):
     assert got["backbone"] == pytest.approx(1.797, abs=0.001) and got["insert"] == pytest.approx(4.50, abs=0.005)
 
 
-@pytest.mark.parametrize("stock", [1.1, 2, 5, 20, 87.3, 250, 500, 1364, 2000, 9999])
-def test_dilution_is_pipettable_and_exact(spark, stock):
-    p = one(spark, R.dilution(F.lit(float(stock)), F.lit(1.0)))
-    assert p["status"] == "ok" and p["take_ul"] >= 1.0
-    assert stock / 100 ** p["pre_steps"] * p["take_ul"] / p["final_ul"] == pytest.approx(1.0)
+def test_dilutions_are_pipettable_and_exact(spark):
+    """Two hundred stocks over four decades, and targets that they are above."""
+    rng = random.Random(14)
+    rows = [(10 ** rng.uniform(0.01, 4), 10 ** rng.uniform(-1, 0)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "stock double, target double").withColumn("p", R.dilution(F.col("stock"), F.col("target")))
+    got = df.collect()
+    assert len(got) == 200
+    for r in got:
+        p = r["p"]
+        assert p["status"] == "ok" and p["take_ul"] >= 1.0 and p["take_ul"] + p["water_ul"] == pytest.approx(p["final_ul"])
+        assert r["stock"] / 100 ** p["pre_steps"] * p["take_ul"] / p["final_ul"] == pytest.approx(r["target"])
 
 
-def test_dilution_edges(spark):
-    assert [one(spark, R.dilution(F.lit(x).cast("double"), F.lit(1.0)))["status"] for x in (None, 0.0, 0.4, 1.0)] == ["unknown", "unknown", "neat", "neat"]
-    p = one(spark, R.dilution(F.lit(20.0), F.lit(1.0)))
-    assert (p["take_ul"], p["water_ul"], p["final_ul"]) == (1.0, 19.0, 20.0)
+def test_dilutions_without_a_reading_or_a_need(spark):
+    state = lambda stock, target: one(spark, R.dilution(F.lit(stock).cast("double"), F.lit(target)))["status"]
+    assert [state(None, 2.5), state(-3.0, 2.5), state(2.4, 2.5), state(2.5, 2.5), state(2.6, 2.5)] == ["unknown", "unknown", "neat", "neat", "ok"]
 
 
 def test_extension_and_gel(spark):
