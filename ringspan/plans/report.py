@@ -177,6 +177,15 @@ document.querySelectorAll('form.dilution').forEach(f => f.addEventListener('inpu
   }
   out.textContent = 'out of range';
 }));
+document.querySelectorAll('form.mix').forEach(f => f.addEventListener('input', () => {
+  let left = parseFloat(f.dataset.total) - parseFloat(f.dataset.fixed);
+  f.querySelectorAll('label').forEach(row => {
+    const conc = parseFloat(row.querySelector('input').value), take = parseFloat(row.dataset.ng) / conc;
+    row.querySelector('output').textContent = conc > 0 ? take.toFixed(2) + ' µL' : 'no reading yet';
+    left -= conc > 0 ? take : NaN;
+  });
+  f.querySelector('output.water').textContent = Number.isNaN(left) ? 'no reading yet' : left < 0 ? 'too much for the reaction' : left.toFixed(2) + ' µL water';
+}));
 """
 
 
@@ -192,6 +201,32 @@ def dilution_form(name: str, config: dict | None = None) -> str:
     return f'<form class="dilution" data-target="{p["template_ng_per_ul"]}" data-least="{p["min_pipette_ul"]}" data-ladder="{ladder}"><label>{escape(name)}, ng/µL <input name="stock" inputmode="decimal"></label> <output>no reading yet</output></form>'
 
 
+def mix_form(title: str, needed: dict[str, float], fixed_ul: float, total_ul: float) -> str:
+    """A calculator of a reaction: what to take of DNA of which `needed` says the nanograms, and the water."""
+    rows = "".join(f'<label data-ng="{ng:.6f}">{escape(n)} ({ng:,.1f} ng), ng/µL <input inputmode="decimal"> <output>no reading yet</output></label><br>' for n, ng in needed.items())
+    return f'<form class="mix" data-total="{total_ul}" data-fixed="{fixed_ul}"><p>{escape(title)}</p>{rows}<output class="water">no reading yet</output></form>'
+
+
+def calculators(plan: dict, parent: dict, config: dict | None = None) -> list[str]:
+    """The forms that a plan's report offers: the template's dilution, and the reactions it takes."""
+    c = bench_config(config)
+    d, g, lig = c["digest"], c["gibson"], c["ligation"]
+    digest = mix_form(f"Digestion of {parent['name']}", {parent["name"]: d["micrograms"] * 1000.0}, d["buffer_ul"] + 2 * d["enzyme_ul"], d["total_ul"])
+    n = len(plan.get("product") or "")
+    if plan["route"] == "pcr":
+        return [dilution_form(parent["name"], config)]
+    if plan["route"] == "gibson":
+        put = plan["edit"][2]
+        per = g["backbone_ng"] / max(n - put, 1) * g["insert_molar_excess"]
+        insert = per * (put + len(plan["up_arm"]) + len(plan["down_arm"]))
+        opened = digest if plan["prep"] == "digest" else dilution_form(parent["name"], config)
+        return [opened, mix_form("Assembly", {"vector, opened": float(g["backbone_ng"]), plan["insert"]: insert}, g["total_ul"] * g["master_mix_fraction"], g["total_ul"])]
+    needed = {"backbone": lig["backbone_fmol"] * (n - len(plan.get("fragment") or "")) * DALTONS_LIGATION / 1e6}
+    if plan.get("fragment"):
+        needed["fragment"] = lig["backbone_fmol"] * lig["insert_molar_excess"] * len(plan["fragment"]) * DALTONS_LIGATION / 1e6
+    return [digest, mix_form("Ligation", needed, lig["buffer_ul"] + lig["enzyme_ul"], lig["total_ul"])]
+
+
 def render(r: Report, forms: list[str] | None = None) -> str:
     e = escape
     parts = [f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{e(r.title)}</title><style>{_CSS}</style></head><body><h1>{e(r.title)}</h1><p>{e(r.author)} Generated {e(r.generated)}</p>']

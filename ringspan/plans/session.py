@@ -313,7 +313,8 @@ class Session:
             return self.answer(written=False)
         r = self._report(handle, concentrations)
         r.aim = aim
-        report.write_report(r, str(out), [report.dilution_form(self.products[handle]["parent"], self.config.get("bench"))])
+        p = self.products[handle]
+        report.write_report(r, str(out), report.calculators(p, {"name": p["parent"]}, self.config.get("bench")))
         return self.answer(written=str(out))
 
 

@@ -149,3 +149,14 @@ def test_export_with_features(session, tmp_path, monkeypatch):
     session.export_product(r["handle"], "out.gb")
     got = parse_genbank((tmp_path / "out.gb").read_text())
     assert "ampR" in [f["label"] for f in got["features"]] and got["sequence"] == session.products[r["handle"]]["product"].upper()
+
+
+def test_calculators_of_each_route(session):
+    a = session.products[ask(session.plan_deletion("pAB", "target"))["handle"]]
+    b = session.products[ask(session.plan_insertion("pAB", "100", sequence="ACGT" * 40, vector_prep="pcr"))["handle"]]
+    c = session.products[ask(session.plan_deletion("pCD", "300:360", "pcr"))["handle"]]
+    forms = [report.calculators(p, {"name": "pAB<"}) for p in (a, b, c)]
+    assert [len(f) for f in forms] == [2, 2, 1] and all("pAB<" not in x for f in forms for x in f)
+    # 100 ng of the vector, and three times its moles of the 210 bases to order
+    n = len(b["product"]) - 160
+    assert f'data-ng="{100 / n * 3 * 210:.6f}"' in forms[1][1] and 'data-total="10"' in forms[1][1]
