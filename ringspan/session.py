@@ -15,9 +15,12 @@ BATCH_ROWS = 2000
 def settle(spark: SparkSession) -> None:
     """Turn off partitioning-aware unions: when adaptive execution replaces a branch of such a union
     (by an empty relation, say), Spark 4.1 may join it with the wrong number of partitions and fail.
-    Lower the rows of an Arrow batch, which hold whole texts here."""
+    Lower the rows of an Arrow batch, which hold whole texts here. Let adaptive execution join small
+    shuffles into tasks of the advised size instead of one for every core."""
     if spark.version >= "4.1" and spark.conf.get("spark.sql.unionOutputPartitioning") != "false":
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst") != "false":
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
