@@ -341,24 +341,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     same = lines.where("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in print_columns(b.words)])
     nodes = cut(same.withColumn("node", F.monotonically_increasing_id()), "line_nodes")
 
-    norms = None
+    ends = norms = None
 
     def verify(links):
-        nonlocal norms
+        nonlocal ends, norms
         if norms is None:  # pairs that are left untried are of lines that the first pairs have
-            norms = norms_of_ends(links)
+            ends = ends_of(links)
+            norms = cut(norms_of(docs, ends, id_col, text_col, min_words), "line_norms")
         return cut(verified(links, norms, similarity).where("ok").select("u", "v"), "line_links")
 
-    def norms_of_ends(links):
-        ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        named = cut(nodes.select("node", "d1", "d2", "first").join(ends, "node", "left_semi"), "line_ends")
-        return cut(norms_of(docs, named, id_col, text_col, min_words), "line_norms")
+    def ends_of(links):
+        named = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        return cut(nodes.select("node", "d1", "d2", "first").join(named, "node", "left_semi"), "line_ends")
 
     roots = groups(nodes.select("node", "size", *print_columns(b.words)), b, verify, similarity)
-    named = nodes.join(roots, "node", "left").select("d1", "d2", "node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("fuzzy"))
+    fuzzy = ends.join(roots, "node").select("d1", "d2", "root", "first")
+    group = fuzzy.groupBy("root").agg(F.min("first").alias("keep"))
     # a group of one node that one document holds has nothing to drop but its own repeats
-    group = named.where("fuzzy").groupBy("root").agg(F.min("first").alias("keep"))
-    shared = named.where("fuzzy").join(group, "root").select("d1", "d2", "root", "keep").union(named.where("not fuzzy and n > 1").select("d1", "d2", "root", F.col("first").alias("keep")))
+    alone = nodes.where("n > 1").join(roots, "node", "left_anti").select("d1", "d2", F.col("node").alias("root"), F.col("first").alias("keep"))
+    shared = fuzzy.join(group, "root").select("d1", "d2", "root", "keep").union(alone)
     held = cut(shared, "line_groups")
     here = cut(lines.join(held, ["d1", "d2"]).select("id", "thash", "line", "again", "root", F.col("id").eqNullSafe(F.col("keep")).alias("home")), "line_places")
     first = here.where("home").groupBy("root").agg(F.min("line").alias("first_line"))
@@ -367,7 +368,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     gone = cut(gone.groupBy("id", "thash").agg(F.sort_array(F.collect_set("line")).alias("dropped_lines")).withColumnsRenamed({"id": own, "thash": own_hash}), "lines_gone")
     kept = [f for f in docs.schema.fields if f.name.lower() != "dropped_lines"]
     src = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    joined = src.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(own_hash)), "left").drop(own, own_hash)
+    # one row of `gone` for each key: its side is small enough to be held, and texts need no sorting
+    joined = src.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(own_hash)), "left").drop(own, own_hash)
     drop = F.coalesce("dropped_lines", F.array().cast("array<int>"))
 
     def left(lines):
