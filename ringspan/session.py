@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,16 +16,35 @@ BATCH_ROWS = 2000
 def settle(spark: SparkSession) -> None:
     """Turn off partitioning-aware unions: when adaptive execution replaces a branch of such a union
     (by an empty relation, say), Spark 4.1 may join it with the wrong number of partitions and fail.
-    Lower the rows of an Arrow batch, which hold whole texts here. Let adaptive execution join small
-    shuffles into tasks of the advised size instead of one for every core."""
+    Lower the rows of an Arrow batch, which hold whole texts here."""
     if spark.version >= "4.1" and spark.conf.get("spark.sql.unionOutputPartitioning") != "false":
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    if spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst") != "false":
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """Inside, a setting of the session has another value; for steps that run before it ends."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def few_tasks(spark: SparkSession):
+    """Inside, adaptive execution joins small shuffles into tasks of the advised size instead of one for every
+    core: for steps on small tables that cost more to start than to run."""
+    return setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+
+
+def long_batches(spark: SparkSession):
+    """Inside, Arrow batches have ten times the rows: for rows of a few numbers."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(10 * BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master only, one
     of our own."""
