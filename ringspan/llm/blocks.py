@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringspan.llm._shared import cut, ship
+from ringspan.llm._shared import cut, long_batches, ship
 from ringspan.llm.components import components
 
 #: Bits of a key below those that number its block.
@@ -113,15 +113,15 @@ def _entries(nodes: DataFrame, b: Blocks, rooted: bool) -> DataFrame:
     names = print_columns(b.words)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            prints = np.stack([batch.column(name).to_numpy() for name in names], axis=1).view(np.uint64)
-            last = batch.column(names[-1])
-            for k in range(b.count):
-                key = _at(prints, k * b.bits) & np.uint64((1 << b.bits) - 1)
-                check = pa.array(_at(prints, (k + 1) * b.bits).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64) | k << KEY_BITS), check, last, *(batch.column(c) for c in ("size", "node", *more))], names=["key", "check", "last", "size", "node", *more])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                prints = np.stack([batch.column(name).to_numpy() for name in names], axis=1).view(np.uint64)
+                mask = np.uint64((1 << b.bits) - 1)
+                key = np.concatenate([(_at(prints, k * b.bits) & mask).view(np.int64) | k << KEY_BITS for k in range(b.count)])
+                check = np.concatenate([_at(prints, (k + 1) * b.bits).view(np.int64) for k in range(b.count)])
+                rest = [pa.array(np.tile(batch.column(c).to_numpy(), b.count)) for c in (names[-1], "size", "node", *more)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), *rest], names=["key", "check", "last", "size", "node", *more])
 
     return nodes.select("node", "size", *names, *more).mapInArrow(run, "key long, check long, last long, size long, node long" + ", root long" * rooted)
 
@@ -267,8 +267,6 @@ def _named(t: np.ndarray, u: np.ndarray, v: np.ndarray):
 def meeting(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
     """(u, v), u >= v: pairs of nodes (node, size, p0, p1...) that meet on a block and pass the chain and whose
     smaller size is at least `least` of the larger, as a forest of each key. Rows with pairs beyond it are marked: (u, u)."""
-    ship(nodes.sparkSession)
-
     def found(t):
         if t.shape[1] > 1:
             t, u, v, more = _pairs(t, 5, b, least, False)
@@ -281,8 +279,6 @@ def meeting(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sa
 
 def untried(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
     """(u, v), u > v: every pair of nodes (node, size, p0, p1..., root) of unequal roots that meets as in `meeting`."""
-    ship(nodes.sparkSession)
-
     def found(t):
         if t.shape[1] > 1:
             t, u, v, _ = _pairs(t, 6, b, least, True)
@@ -304,13 +300,16 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 def groups(nodes: DataFrame, b: Blocks, verify: Callable[[DataFrame], DataFrame], least: float = 0.0) -> DataFrame:
     """(node, root): each node that a verified pair joins to another, with the least node of its group.
     nodes: (node, size, p0, p1...), a written table; verify gives those of the pairs (u, v) that hold."""
-    found = cut(meeting(nodes, b, least), "links")
+    ship(nodes.sparkSession)
+    with long_batches(nodes.sparkSession):
+        found = cut(meeting(nodes, b, least), "links")
     links = found.where("u <> v")
     roots = components(verify(links))
     marked = found.where("u = v").select(F.col("u").alias("node"))
     if marked.isEmpty():
         return roots
     named = nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "size", *print_columns(b.words), F.coalesce("root", "node").alias("root"))
-    rest = untried(cut(named, "open"), b, least).join(links, ["u", "v"], "left_anti")
-    more = cut(verify(cut(rest, "untried")), "more")
+    with long_batches(nodes.sparkSession):
+        rest = cut(untried(cut(named, "open"), b, least).join(links, ["u", "v"], "left_anti"), "untried")
+    more = cut(verify(rest), "more")
     return roots if more.isEmpty() else joined_roots(roots, more)

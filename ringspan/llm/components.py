@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringspan.llm._shared import cut
+from ringspan.llm._shared import cut, few_tasks
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,6 +24,11 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node that has an edge to another, with the least node of its component.
     edges: (u, v), of one orderable type; loops, nulls and repeated edges do no harm."""
+    with few_tasks(edges.sparkSession):
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e, "edges")
     seen = _mark(e)

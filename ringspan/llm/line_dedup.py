@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringspan.llm._shared import cut, fresh, ship
+from ringspan.llm._shared import cut, few_tasks, fresh, ship
 from ringspan.llm.blocks import bits_of, blocks_for, groups, print_columns, wide_print
 
 # Letters in lower case, digits as one, other signs as a blank; the line end and other bytes stay.
@@ -352,7 +352,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     def ends_of(links):
         named = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        return cut(nodes.select("node", "d1", "d2", "first").join(named, "node", "left_semi"), "line_ends")
+        with few_tasks(spark):
+            return cut(nodes.select("node", "d1", "d2", "first").join(named, "node", "left_semi"), "line_ends")
 
     roots = groups(nodes.select("node", "size", *print_columns(b.words)), b, verify, similarity)
     fuzzy = ends.join(roots, "node").select("d1", "d2", "root", "first")
@@ -360,7 +361,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     # a group of one node that one document holds has nothing to drop but its own repeats
     alone = nodes.where("n > 1").join(roots, "node", "left_anti").select("d1", "d2", F.col("node").alias("root"), F.col("first").alias("keep"))
     shared = fuzzy.join(group, "root").select("d1", "d2", "root", "keep").union(alone)
-    held = cut(shared, "line_groups")
+    with few_tasks(spark):
+        held = cut(shared, "line_groups")
     here = cut(lines.join(held, ["d1", "d2"]).select("id", "thash", "line", "again", "root", F.col("id").eqNullSafe(F.col("keep")).alias("home")), "line_places")
     first = here.where("home").groupBy("root").agg(F.min("line").alias("first_line"))
     gone = here.where("not home").select("id", "thash", "line").union(here.where("home").join(first, "root").where("line <> first_line").select("id", "thash", "line")).union(lines.where("again").select("id", "thash", "line"))
