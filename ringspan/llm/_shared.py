@@ -9,9 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringspan.session import cut, few_tasks, long_batches, new_path, settle, shared_dir
+from ringspan.session import cut, few_tasks, new_path, settle, shared_dir
 
-__all__ = ["SPACE", "cut", "few_tasks", "fresh", "long_batches", "new_path", "settle", "shared_dir", "ship"]
+__all__ = ["SPACE", "cut", "few_tasks", "fresh", "new_path", "settle", "shared_dir", "ship"]
 
 #: Fixed value: the white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"

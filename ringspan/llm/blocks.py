@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringspan.llm._shared import cut, long_batches, ship
+from ringspan.llm._shared import cut, ship
 from ringspan.llm.components import components
 
 #: Bits of a key below those that number its block.
@@ -165,13 +165,13 @@ def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
     if len(t) > width:
         turn |= np.diff(t[width]) != 0
     of = np.concatenate([[0], np.cumsum(turn)])  # the run of each row
-    wide = float(t[3].max()) / max(least, 1e-9) + 2 if least else float(t[3].max()) + 2
-    t = t[:, np.argsort(of * wide + t[3], kind="stable")]
+    wide = int(t[3].max() / least if least else t[3].max()) + 2
+    t = t[:, np.argsort(of * wide + t[3])]
     check, last, size, node = t[1].view(np.uint64), t[2].view(np.uint64), t[3], t[4]
     together = TOGETHER * 128 / b.bits * b.budget
     # each row meets those behind it in its run whose sizes are in reach
-    end = np.searchsorted(of, of, side="right")
-    reach = end if not least else np.minimum(end, np.searchsorted(of * wide + size, of * wide + size / least + 1e-6, side="right"))
+    end = np.append(np.flatnonzero(np.diff(of)) + 1, n)[of]
+    reach = np.searchsorted(of * wide + size, of * wide + np.floor(size / least + 1e-6).astype(np.int64), side="right") if least else end
     meets = np.maximum(reach - np.arange(n) - 1, 0)
     runs = int(of[-1]) + 1
     most, hits = LIMIT * np.bincount(of, minlength=runs), np.zeros(runs, dtype=np.int64)
@@ -301,15 +301,13 @@ def groups(nodes: DataFrame, b: Blocks, verify: Callable[[DataFrame], DataFrame]
     """(node, root): each node that a verified pair joins to another, with the least node of its group.
     nodes: (node, size, p0, p1...), a written table; verify gives those of the pairs (u, v) that hold."""
     ship(nodes.sparkSession)
-    with long_batches(nodes.sparkSession):
-        found = cut(meeting(nodes, b, least), "links")
+    found = cut(meeting(nodes, b, least), "links")
     links = found.where("u <> v")
     roots = components(verify(links))
     marked = found.where("u = v").select(F.col("u").alias("node"))
     if marked.isEmpty():
         return roots
     named = nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "size", *print_columns(b.words), F.coalesce("root", "node").alias("root"))
-    with long_batches(nodes.sparkSession):
-        rest = cut(untried(cut(named, "open"), b, least).join(links, ["u", "v"], "left_anti"), "untried")
+    rest = cut(untried(cut(named, "open"), b, least).join(links, ["u", "v"], "left_anti"), "untried")
     more = cut(verify(rest), "more")
     return roots if more.isEmpty() else joined_roots(roots, more)

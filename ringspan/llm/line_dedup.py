@@ -209,10 +209,6 @@ def similar(a: str, b: str, similarity: float) -> bool:
     x, y = a.split(" "), b.split(" ")
     if _word_by_word(x, y, most):
         return True
-    # each word that is put in, taken out or replaced costs its letters and a blank at most
-    reach = 1 + max(map(len, (*x, *y)))
-    if edit_distance(x, y, most // reach) * reach <= most:
-        return True
     return edit_distance(a, b, most) <= most
 
 
