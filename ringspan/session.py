@@ -40,11 +40,6 @@ def few_tasks(spark: SparkSession):
     return setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
 
 
-def long_batches(spark: SparkSession):
-    """Inside, Arrow batches have ten times the rows: for rows of a few numbers."""
-    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(10 * BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master only, one
     of our own."""
