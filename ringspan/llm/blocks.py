@@ -114,8 +114,8 @@ def _entries(nodes: DataFrame, b: Blocks, rooted: bool) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 prints = np.stack([batch.column(name).to_numpy() for name in names], axis=1).view(np.uint64)
                 mask = np.uint64((1 << b.bits) - 1)
                 key = np.concatenate([(_at(prints, k * b.bits) & mask).view(np.int64) | k << KEY_BITS for k in range(b.count)])
