@@ -59,7 +59,7 @@ _PLAIN = re.compile("[\u0000-ɏ]*")
 @lru_cache(maxsize=4)
 def _encoder(path: str):
     """Texts -> little-endian unsigned 32-bit ids; words seen before come from a bounded cache. Texts that
-    hold a special token, or characters from U+0250 on, go to the tokenizer whole."""
+    hold a special token, or characters from U+0250 on in either case of letters, go to the tokenizer whole."""
     import numpy as np
     from tokenizers import Tokenizer
 
@@ -104,8 +104,9 @@ def _encoder(path: str):
         out: list[bytes | None] = [None] * len(texts)
         split, missing = [], {}
         for i, text in enumerate(texts):
-            if wordwise and _PLAIN.fullmatch(text) and not special.search(text):
-                words = _PIECES.findall(text.lower())
+            low = text.lower()
+            if wordwise and _PLAIN.fullmatch(text) and _PLAIN.fullmatch(low) and not special.search(text):
+                words = _PIECES.findall(low)
                 split.append((i, words))
                 missing.update(dict.fromkeys([w for w in words if w not in now]))
             else:

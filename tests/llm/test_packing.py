@@ -23,6 +23,17 @@ def test_words_encode_as_whole_texts_do():
     assert [np.frombuffer(b, dtype="<u4").tolist() for b in got] == ids_of(texts)
 
 
+def test_each_character_of_the_word_pattern_encodes_as_the_tokenizer_does():
+    alone = [chr(c) for c in range(0x250)]
+    inside = [f"ab{c}cd{c}{c} x{c}" for c in alone]
+    rng = random.Random(5)
+    odd = "".join(alone) + "\u212a\u212b\u1e9e\u0307 's'll"
+    strings = ["".join(rng.choices(odd, k=rng.randint(1, 30))) for _ in range(10_000)]
+    texts = ["\u0189c", "Azərbaycan DİLİ \u018fLİ", *alone, *inside, *strings]
+    got = P._encoder(PATH)(texts)
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in got] == ids_of(texts)
+
+
 def check(rows, capacity):
     at = defaultdict(list)
     for r in rows:
