@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringspan.llm import ann, line_dedup, outliers, packing, quality, secret_scan, sharding, simhash, spiece, warc
+from ringspan.llm import ann, hard_negatives, line_dedup, minhash, outliers, packing, quality, secret_scan, sharding, simhash, spiece, warc
 from ringspan.llm._shared import cut
 
 
@@ -90,13 +90,25 @@ def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_pivot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = F.col("embedding").cast("array<double>")
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = table(spark, sf_dir, "embeddings").where(finite).select("vec_id", label.alias("label"), F.transform(vec, lambda x: F.floor(256 * x)).alias("scaled"))
+    return hard_negatives.mine(whole, F.col("id") % 100 == 0, vec_col="scaled")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_sharding, op4_hilbert_neighbours, op5_sentencepiece, op6_simhash, op7_secret_scan, op8_quality_classifier, op9_line_dedup, op10_quality_outliers, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_sharding, op4_hilbert_neighbours, op5_sentencepiece, op6_simhash, op7_secret_scan, op8_quality_classifier, op9_line_dedup, op10_quality_outliers, op11_minhash, op12_pivot_negatives, pipeline)}
 
 #: DuckDB SQL for what SQL can express on whole tables.
 SQL = {
@@ -116,4 +128,22 @@ placed AS (SELECT doc_id, CAST(max(b) FILTER (n = 8) AS INTEGER) AS shard, CAST(
 SELECT c.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY c.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM c JOIN placed ON c.doc_id IS NOT DISTINCT FROM placed.doc_id
 """,
     "op2_warc": "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p), k AS (SELECT payload_digest, max(page_id) AS keep FROM d WHERE payload_bytes >= 1000 GROUP BY 1) SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM d LEFT JOIN k USING (payload_digest)",
+    "op11_minhash": r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(doc_id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v, least FROM reach JOIN ways ON u = doc_id),
+c AS (SELECT doc_id, min(least) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+""",
+    "op12_pivot_negatives": """
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score QUALIFY rank <= 5
+""",
 }
