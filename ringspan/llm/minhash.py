@@ -10,10 +10,10 @@ similarity of just 0.85, 32 bands of 6 rows miss a pair with a chance of 3 in te
 
 Groups: documents of equal sets are one node. Of the nodes of a key a forest of candidates leaves first: a search
 from the node that is most like the others takes all its neighbours at once, so a dense group of n costs few
-steps and gives n - 1 pairs. Nodes that may have more pairs than that are marked; while such a node still has
-candidates in another component, it puts forward the best few by estimate, then eight times as many, and so on
-until none is left. So the components are those of all candidate pairs, and a group does not emit the square of
-its members unless its pairs really have to be looked at one by one (candidates that whole sets refute).
+steps and gives n - 1 pairs. Nodes that may have more pairs than that are marked. Keys whose marked nodes still lie in
+several components, once those pairs have been confirmed, are looked at again where their nodes meet, now with whole sets: every
+candidate pair of two components is confirmed or refuted on the spot, the likeliest first, and a link leaves only
+where it joins two components. So the components are those of all candidate pairs, and no group emits the square of its members.
 
 Scale: documents are read in place and leave the scan as signatures (under 400 bytes). A shuffle brings the band
 keys together; keys of more than about `max_run` nodes are dealt as pairs of parts to many tasks. Texts of
@@ -43,8 +43,8 @@ from ringspan.llm.simhash import shingles
 BITS = 2
 #: Standard deviations of an estimate under the wanted similarity at which a candidate goes.
 DEVIATIONS = 5.0
-#: Pairs of a node that are put forward at first, once a forest of its key has been tried, and the factor by which they grow.
-AT_FIRST, GROWTH = 4, 8
+#: Bytes of whole sets that one part of a key holds in the second look; a task has two parts at a time.
+CELL_BYTES = 32_000_000
 
 
 class Functions:
@@ -148,20 +148,23 @@ def _digests(parts: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b"".join(xxh3_128_digest(p) for p in parts), dtype="<i8").reshape(-1, 2).T)
 
 
-def _cells(nodes: DataFrame, hashes: int, max_run: int, sampled: int, rooted: bool) -> DataFrame:
-    """(key, n, node, s0...[, root][, cell]) of nodes by key; cells if there are keys to be dealt as pairs of parts:
+def _cells(nodes: DataFrame, hashes: int, max_run: int, sampled: int) -> DataFrame:
+    """(key, n, node, s0...[, cell]) of nodes by key; cells if there are keys to be dealt as pairs of parts:
     those with more than about max_run nodes, found on one node in `sampled`."""
-    cols = ["n", "node", *_words(hashes), *(["root"] if rooted else [])]
-    keyed = lambda df: df.select(F.explode("bands").alias("key"), *cols)
+    keyed = lambda df: df.select(F.explode("bands").alias("key"), "n", "node", *_words(hashes))
     part = keyed(nodes.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(sampled)) == 0)).groupBy("key").count()
     large = cut(part.where(F.col("count") * sampled > max_run / 2).select(F.col("key").alias("hot"), F.ceil(F.col("count") * sampled / max_run).cast("int").alias("parts")), "large")
     rows = keyed(nodes)
     if large.isEmpty():
         return rows.repartition("key").sortWithinPartitions("key")
-    # each row meets every part of its key: cell (x, y) holds the parts x and y
     joined = rows.join(large, rows["key"] == large["hot"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    joined = joined.withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return joined.select(*rows.columns, (F.least("x", "y") * F.col("parts") + F.greatest("x", "y")).cast("long").alias("cell")).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return _in_parts(joined, rows.columns).repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def _in_parts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (node, parts, ...) once for every part of their key, so that each meets each: cell (x, y) holds the parts x and y."""
+    both = rows.withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return both.select(*columns, (F.least("x", "y") * F.col("parts") + F.greatest("x", "y")).cast("long").alias("cell"))
 
 
 def _runs(t: np.ndarray, width: int) -> np.ndarray:
@@ -237,42 +240,93 @@ def candidates(nodes: DataFrame, percent: int, hashes: int, max_run: int = 20_00
         if len(u):
             yield _named(np.concatenate([alike.node[u], mark]), np.concatenate([alike.node[v], mark]))
 
-    return _cells(nodes, hashes, max_run, sampled, False).mapInArrow(lambda batches: by_key(batches, width, found), "u long, v long").distinct()
-
-
-def further(nodes: DataFrame, percent: int, hashes: int, most: int, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
-    """(u, v), u > v: of the candidates of unlike roots that a node (node, n, s0..., bands, root) meets on a key, the `most` best by
-    estimate, ties to the lesser node. Nodes that have more are marked: (u, u)."""
-    width = 4 + len(_words(hashes))
-
-    def found(t):
-        edges = _runs(t, width)
-        alike, root = _Alike(t, percent, hashes), t[width - 1]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
-                continue
-            step = max(1, 500_000 // (hi - lo))
-            rest = np.arange(lo, hi)
-            for at in range(lo, hi, step):  # about half a million pairs at a time
-                rows = np.arange(at, min(hi, at + step))
-                got = alike.agree(rows[:, None], rest[None, :])
-                got[root[rows][:, None] == root[lo:hi][None, :]] = -1
-                a, b = np.nonzero(got >= 0)
-                if not len(a):
-                    continue
-                order = np.lexsort((alike.node[b + lo], -got[a, b], a))
-                a, b = a[order], b[order]
-                nth = np.arange(len(a)) - np.searchsorted(a, a)
-                mark = alike.node[rows[np.unique(a[nth >= most])]]
-                a, b = a[nth < most], b[nth < most]
-                yield _named(np.concatenate([alike.node[rows[a]], mark]), np.concatenate([alike.node[b + lo], mark]))
-
-    return _cells(nodes, hashes, max_run, sampled, True).mapInArrow(lambda batches: by_key(batches, width, found), "u long, v long").distinct()
-
+    return _cells(nodes, hashes, max_run, sampled).mapInArrow(lambda batches: by_key(batches, width, found), "u long, v long").distinct()
+
+
+class _Sets:
+    """The whole sets of some rows, one behind the other."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.size = np.array([len(p) for p in parts], dtype=np.int64)
+        self.end = np.cumsum(self.size)
+        self.flat = np.concatenate(parts)
+
+    def of(self, row: int) -> np.ndarray:
+        return self.flat[self.end[row] - self.size[row] : self.end[row]]
+
+    def linked(self, row: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the others have the similarity with a row."""
+        mine, size = self.of(row), self.size[others]
+        at = np.repeat(self.end[others] - np.cumsum(size), size) + np.arange(size.sum())
+        held = self.flat[at]
+        hit = mine[np.minimum(np.searchsorted(mine, held), len(mine) - 1)] == held
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+        return 100 * common >= percent * (size + len(mine) - common)
+
+
+def joining(alike: _Alike, sets: _Sets, root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs (row, row) that join the components of a key's rows as all its linked candidates do."""
+    root, out = root.copy(), []
+    names, n = np.unique(root, return_counts=True)
+    for row in np.flatnonzero(root != names[n.argmax()]):
+        other = np.flatnonzero(root != root[row])
+        got = alike.agree(row, other)
+        other = other[got >= 0][np.argsort(-got[got >= 0], kind="stable")]
+        at, step = 0, 8  # the likeliest few, then ever more of those that are not joined yet
+        while at < len(other):
+            part = other[at : at + step]
+            part = part[root[part] != root[row]]
+            for hit in part[sets.linked(row, part, percent)] if len(part) else ():
+                if root[hit] != root[row]:
+                    out.append((int(row), int(hit)))
+                    root[root == root[hit]] = root[row]
+            at, step = at + step, 4 * step
+    return out
+
+
+def joined_on_sets(nodes: DataFrame, sets: DataFrame, percent: int, hashes: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """(u, v): links between nodes (node, n, s0..., bands, root) of unlike roots that meet on a key, such that the components are
+    those of all such links. sets: (node, held)."""
+    names = _words(hashes)
+    keyed = nodes.select(F.explode("bands").alias("key"), "node", "n", "root")
+    load = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("n").alias("load")).where("a <> b")
+    load = load.select("key", F.ceil(8 * F.col("load") / cell_bytes).cast("int").alias("parts"))
+    rows = _in_parts(keyed.select("key", "node").join(load, "key"), ["key", "node"])
+    whole = nodes.select("node", "n", "root", *names).join(sets, "node")
+    dealt = rows.join(whole, "node").select("key", "cell", "n", "node", "root", *names, "held").repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+    def found(batches):
+        part, key = [], None
+
+        def links():
+            t = pa.Table.from_batches(part)
+            cols = [t.column(c).to_numpy() for c in ("key", "n", "node", *names)]
+            root = t.column("root").to_numpy()
+            if len(root) < 2 or (root == root[0]).all():
+                return
+            alike = _Alike(np.stack(cols), percent, hashes)
+            held = _Sets([np.frombuffer(x.as_buffer(), dtype=np.uint64) for c in t.column("held").chunks for x in c])
+            got = np.array(joining(alike, held, root, percent), dtype=np.int64).reshape(-1, 2)
+            if len(got):
+                yield _named(alike.node[got[:, 0]], alike.node[got[:, 1]])
 
-def confirmed(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The links (u, v) whose whole sets have the similarity: 100 * intersection >= percent * union. Sets are made
-    again from the texts of one document each."""
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy() for c in (0, 1)])
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(at) != 0).any(axis=0)) + 1, [b.num_rows]]) if b.num_rows else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if key != tuple(at[:, lo]):
+                    if part:
+                        yield from links()
+                    part, key = [], tuple(at[:, lo])
+                part.append(b.slice(lo, hi - lo))
+        if part:
+            yield from links()
+
+    return dealt.mapInArrow(found, "u long, v long").distinct()
+
+
+def whole_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, held): the whole set of each end of links (u, v), made again from the text of one document."""
     with few_tasks(docs.sparkSession):
         ends = cut(nodes.select("node", "rep", "d1", "d2").join(links.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "minhash_ends")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("rep"), F.col(text_col).alias("text")).join(ends, "rep").select("node", "d1", "d2", "text")
@@ -292,7 +346,11 @@ def confirmed(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                     sets.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["node", "held"])
 
-    sets = cut(texts.mapInArrow(held, "node long, held binary").dropDuplicates(["node"]), "minhash_sets")
+    return cut(texts.mapInArrow(held, "node long, held binary").dropDuplicates(["node"]), "minhash_sets")
+
+
+def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (u, v) whose whole sets have the similarity: 100 * intersection >= percent * union."""
     whole = lambda end: sets.select(F.col("node").alias(end), F.col("held").alias(f"{end}_held"))
 
     def near(batches):
@@ -315,22 +373,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = cut(signatures(docs, id_col, text_col, shingle, hashes, rows), "signatures")
     same = made.where("n > 0").groupBy("d1", "d2").agg(F.min("rep").alias("rep"), F.min("id").alias("least"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in names], F.min("bands").alias("bands"))
     nodes = cut(same.withColumn("node", F.monotonically_increasing_id()), "minhash_nodes")
-    confirm = lambda links: confirmed(links, nodes, docs, id_col, text_col, shingle, percent)
     found = cut(candidates(nodes, percent, hashes), "candidates")
-    tried = found.where("u <> v")
-    roots = components(confirm(tried))
-    most = AT_FIRST
-    while not (marked := found.where("u = v").select(F.col("u").alias("node"))).isEmpty():
+    links = found.where("u <> v")
+    sets = whole_sets(links, nodes, docs, id_col, text_col, shingle)
+    roots = components(confirmed(links, sets, percent))
+    marked = found.where("u = v").select(F.col("u").alias("node"))
+    if not marked.isEmpty():
         with few_tasks(spark):
             open_ = cut(nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "n", *names, "bands", F.coalesce("root", "node").alias("root")), "minhash_open")
-            found = cut(further(open_, percent, hashes, most), "candidates")
-        new = cut(found.where("u <> v").join(tried, ["u", "v"], "left_anti"), "candidates")
-        if not new.isEmpty():
-            links = confirm(new)
-            tried = tried.union(new)
-            if not links.isEmpty():
-                roots = cut(joined_roots(roots, links), "minhash_roots")
-        most *= GROWTH
+            more = cut(joined_on_sets(open_, sets, percent, hashes), "minhash_links")
+        if not more.isEmpty():
+            roots = cut(joined_roots(roots, more), "minhash_roots")
     named = nodes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = cut(named.join(least, "root").select("d1", "d2", "component_id"), "minhash_named")
