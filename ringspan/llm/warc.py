@@ -10,7 +10,8 @@ Scale: payloads move only in the join that marks revisits, and not even then whi
 repeated payloads is small enough for Spark to broadcast (its size is known, it is a written
 table). An archive has at most `captures_per_file` captures, and no more than come to `archive_bytes` at
 the mean size of a payload. Gzipped archives are read as a stream, a record at a time, and records leave
-in batches of about 4 MB: a task holds one record and one batch, however large the archive. A file is
+in batches of about 4 MB: a task holds one record and one batch, however large the archive. They are left out of the scan that
+reads other archives whole. A file is
 gzipped as a whole, not record by record, since Spark's writer does so; both are read. Assembly shuffles
 record heads only, unless payloads are kept. Links are pre-aggregated per capture, captures stay rows of
 their own: a hot identifier is no hot group.
@@ -55,9 +56,10 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     path = path or new_path(spark, "archives")
     src = pages.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "%20"), F.lit("urn:none")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     src = src.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
-    again = src.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    slim = cut(src.select("id", "digest", "bytes"), "payloads")
+    again = slim.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     again = cut(again.where("n > 1 and keep is not null").select(F.col("digest").alias("same"), "keep"), "repeated")
-    mean = int(src.agg(F.avg("bytes")).first()[0] or 0) + 1
+    mean = int(slim.agg(F.avg("bytes")).first()[0] or 0) + 1
     captures_per_file = max(1, min(captures_per_file, archive_bytes // mean))
     src = src.join(again, src["digest"] == again["same"], "left").withColumn("revisit", F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep")))
     own, sent, meta = (_uuid(kind, F.col("id"), F.col("digest")) for kind in ("capture", "request", "metadata"))
@@ -161,6 +163,15 @@ def _batched(records: Iterable[dict], kinds: pa.Schema) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
 
+def _unzipped(names: str) -> str:
+    """The pattern of those names that fit one and do not end in .gz: they are left out before the scan, which would
+    read each into one value."""
+    if not names.endswith("*"):
+        return names
+    stem = names.rstrip("*")
+    return "{" + ",".join([f"{names}[^z]", f"{names}[^g]z", f"{names}[^.]gz", f"{stem}z", f"{stem}gz"]) + "}"
+
+
 def read_records(spark: SparkSession, path: str, names: str = "part-*") -> DataFrame:
     """A row per record of the archives under a path whose names fit the pattern. Those ending in .gz are
     read as a stream of stretches between blank lines; others, which Spark would split, are read whole."""
@@ -190,11 +201,14 @@ def read_records(spark: SparkSession, path: str, names: str = "part-*") -> DataF
     def whole(batches):
         yield from _batched((r for b in batches for data in b.column(0) for r in parse(inflated(data.as_py()))), kinds)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", names).schema("path string, modificationTime timestamp, length long, content binary").load(path)
     parts = spark.read.option("lineSep", _END).option("pathGlobFilter", names if names.endswith(".gz") else f"{names}.gz").schema("value string").text(path)
     stretches = parts.select(F.col("_metadata.file_path").alias("name"), F.col("value").cast("binary").alias("part"))
+    gzipped = stretches.mapInArrow(streamed, RECORD)
+    if names.endswith(".gz"):
+        return gzipped
+    files = spark.read.format("binaryFile").option("pathGlobFilter", _unzipped(names)).schema("path string, modificationTime timestamp, length long, content binary").load(path)
     others = files.where(~F.col("path").endswith(".gz") & (F.col("length") > 0)).select("content")
-    return stretches.mapInArrow(streamed, RECORD).union(others.mapInArrow(whole, RECORD))
+    return gzipped.union(others.mapInArrow(whole, RECORD))
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -82,6 +82,21 @@ def test_archives_roll_by_bytes(spark, tmp_path):
     assert W.assemble(W.read_records(spark, path)).count() == 40
 
 
+def test_large_gzipped_archives_are_read_as_streams_only(spark, tmp_path):
+    """Spark may not read the archives into one value each; other files beside them may be."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 2000) for i in range(20)], "page_id long, url string, html string")
+    path = W.write(pages, str(tmp_path / "a"))
+    for name in ("z", "gz", "xz", "x.z", "xgz", "a.gzz"):
+        (tmp_path / "a" / f"part-{name}").write_bytes(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <" + name.encode() + b">\r\nContent-Length: 2\r\n\r\nok\r\n\r\n")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "200")
+    try:
+        got = W.read_records(spark, path).collect()
+        assert W.read_records(spark, path, "part-*.gz").count() == 60
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert len(got) == 66 and {r["record_id"] for r in got if r["type"] == "resource"} == {f"<{n}>" for n in ("z", "gz", "xz", "x.z", "xgz", "a.gzz")}
+
+
 def test_links_both_ways_and_by_a_hop(spark, tmp_path):
     data = b"".join([
         record("request", "<q1>", WARC_Concurrent_To="<r1>"), record("response", "<r1>"), record("metadata", "<m1>", WARC_Concurrent_To="<q1>"),
