@@ -9,12 +9,17 @@ the 64 bits behind it and in the last word of the ring together within 1.1 times
 
 `groups` verifies pairs before anything joins them. Of the pairs of a key a least spanning forest leaves
 first, by the difference in the prints' last words, which every key sees alike; rows that have more pairs
-than that are marked. When the verified pairs have been joined, a second search gives every pair of marked
-rows that still lie in two groups. So the groups are those of all pairs that meet, and a dense group does
-not emit the square of its rows.
+than that are marked. When the verified pairs have been joined, marked rows that still lie in two groups put forward the
+nearest few of such pairs each, then sixteen times as many, and so on until none has more. So the groups are those of
+all pairs that meet, and a dense group emits the square of its rows only where its pairs must be refuted one by one.
 
 Scale: rows of a key that holds more than about `max_run` are dealt as pairs of parts to many tasks;
-rows inside a key are ordered by size and compared only as far as sizes allow.
+rows inside a key are ordered by size and compared only as far as sizes allow, about a million pairs at a time, which
+leave as they are found.
+
+Cases: nodes without a partner have no row; nodes of equal prints meet on every block; prints of no words are all
+zeros and meet like any other; an empty table gives no rows. Blocks get wider with the table, so whether two rows
+that are less alike than asked for meet depends on its size; those that are alike meet with the chance asked for.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ KEY_BITS = 40
 TOGETHER = 1.1
 #: Pairs of a key that are held at once, for each of its rows; beyond, its forest grows row by row.
 LIMIT = 8
+#: Pairs of a row that are put forward once a forest of its key has been tried, and the factor by which they grow.
+AT_FIRST, GROWTH = 16, 16
 
 
 class Blocks(NamedTuple):
@@ -157,57 +164,63 @@ def by_key(batches, width: int, found):
         yield from found(np.concatenate(held, axis=1))
 
 
-def _pairs(t: np.ndarray, width: int, b: Blocks, least: float, rooted: bool):
-    """t, which comes by key and cell, in the order of (key, cell, size); positions (u, v) of all pairs that pass, if rooted; else
-    of a least spanning forest of them, and which rows have pairs beyond it."""
-    n = t.shape[1]
-    turn = np.diff(t[0]) != 0
-    if len(t) > width:
-        turn |= np.diff(t[width]) != 0
-    of = np.concatenate([[0], np.cumsum(turn)])  # the run of each row
-    wide = int(t[3].max() / least if least else t[3].max()) + 2
-    t = t[:, np.argsort(of * wide + t[3])]
-    check, last, size, node = t[1].view(np.uint64), t[2].view(np.uint64), t[3], t[4]
-    together = TOGETHER * 128 / b.bits * b.budget
-    # each row meets those behind it in its run whose sizes are in reach
-    end = np.append(np.flatnonzero(np.diff(of)) + 1, n)[of]
-    reach = np.searchsorted(of * wide + size, of * wide + np.floor(size / least + 1e-6).astype(np.int64), side="right") if least else end
-    meets = np.maximum(reach - np.arange(n) - 1, 0)
-    runs = int(of[-1]) + 1
-    most, hits = LIMIT * np.bincount(of, minlength=runs), np.zeros(runs, dtype=np.int64)
-    u, v, at = [], [], 0
-    total = np.cumsum(meets)
-    while at < n:  # about a million pairs at a time, or all of one row
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, side="right")))
-        rows = np.arange(at, to)
-        rows = rows[(meets[rows] > 0) & (hits[of[rows]] <= most[of[rows]])]
-        k = meets[rows]
-        i = np.repeat(rows, k)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-        x = check[i] ^ check[j]
-        ok = np.flatnonzero(_chain(x, b))
-        i, j, x = i[ok], j[ok], x[ok]
-        keep = (node[i] != node[j]) & (np.bitwise_count(last[i] ^ last[j]) + np.bitwise_count(x) <= together)
-        if rooted:
-            keep &= t[5][i] != t[5][j]
-        u.append(i[keep])
-        v.append(j[keep])
-        if not rooted:
-            hits += np.bincount(of[u[-1]], minlength=runs)
-        at = to
-    u, v = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (u, v))
-    if rooted:
-        return t, u, v, np.zeros(n, dtype=bool)
+class _Run:
+    """Entries t, which come by key and cell, in the order of (key, cell, size), and the pairs among them that pass."""
+
+    def __init__(self, t: np.ndarray, width: int, b: Blocks, least: float):
+        turn = np.diff(t[0]) != 0
+        if len(t) > width:
+            turn |= np.diff(t[width]) != 0
+        self.of = of = np.concatenate([[0], np.cumsum(turn)])  # the run of each row
+        wide = int(t[3].max() / least if least else t[3].max()) + 2
+        self.t = t = t[:, np.argsort(of * wide + t[3])]
+        self.check, self.last, self.size, self.node = t[1].view(np.uint64), t[2].view(np.uint64), t[3], t[4]
+        self.b, self.n, self.runs = b, t.shape[1], int(of[-1]) + 1
+        # each row meets those behind it in its run whose sizes are in reach
+        end = np.append(np.flatnonzero(np.diff(of)) + 1, self.n)[of]
+        reach = np.searchsorted(of * wide + self.size, of * wide + np.floor(self.size / least + 1e-6).astype(np.int64), side="right") if least else end
+        self.meets = np.maximum(reach - np.arange(self.n) - 1, 0)
+
+    def pairs(self, wanted: Callable[[np.ndarray], np.ndarray]):
+        """(u, v, differing bits): positions of pairs u < v that pass, of about a million that meet, or all of one row. wanted
+        tells which of some rows are still looked at."""
+        together = TOGETHER * 128 / self.b.bits * self.b.budget
+        total, at = np.cumsum(self.meets), 0
+        while at < self.n:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, side="right")))
+            rows = np.arange(at, to)
+            rows = rows[self.meets[rows] > 0]
+            rows = rows[wanted(rows)]
+            k = self.meets[rows]
+            i = np.repeat(rows, k)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+            x = self.check[i] ^ self.check[j]
+            ok = np.flatnonzero(_chain(x, self.b))
+            i, j = i[ok], j[ok]
+            apart = np.bitwise_count(self.last[i] ^ self.last[j]).astype(np.int64) + np.bitwise_count(x[ok])
+            keep = (self.node[i] != self.node[j]) & (apart <= together)
+            yield i[keep], j[keep], apart[keep]
+            at = to
+
+
+def _spanned(r: _Run, b: Blocks, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (u, v) of a least spanning forest of the pairs that pass, and which rows have pairs beyond it."""
+    most, hits = LIMIT * np.bincount(r.of, minlength=r.runs), np.zeros(r.runs, dtype=np.int64)
+    found = []
+    for u, v, _ in r.pairs(lambda rows: hits[r.of[rows]] <= most[r.of[rows]]):
+        found.append((u, v))
+        hits += np.bincount(r.of[u], minlength=r.runs)
+    u, v = (np.concatenate(c) for c in zip(*found, strict=True))
     dense = hits > most
-    keep = ~dense[of[u]] if len(u) else np.zeros(0, dtype=bool)
-    u, v, more = forest(u[keep], v[keep], last, node)
+    keep = ~dense[r.of[u]] if len(u) else np.zeros(0, dtype=bool)
+    u, v, more = forest(u[keep], v[keep], r.last, r.node)
     parts = [(u, v)]
-    for r in np.flatnonzero(dense):
-        lo, hi = np.searchsorted(of, [r, r + 1])
-        x, y = spanning(check[lo:hi], last[lo:hi], size[lo:hi], b, least)
+    for k in np.flatnonzero(dense):
+        lo, hi = np.searchsorted(r.of, [k, k + 1])
+        x, y = spanning(r.check[lo:hi], r.last[lo:hi], r.size[lo:hi], b, least)
         parts.append((x + lo, y + lo))
         more[parts[-1][0]] = more[parts[-1][1]] = True
-    return t, *(np.concatenate(c) for c in zip(*parts, strict=True)), more
+    return *(np.concatenate(c) for c in zip(*parts, strict=True)), more
 
 
 def forest(u: np.ndarray, v: np.ndarray, last: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,8 +272,8 @@ def spanning(check: np.ndarray, last: np.ndarray, size: np.ndarray, b: Blocks, l
     return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
 
 
-def _named(t: np.ndarray, u: np.ndarray, v: np.ndarray):
-    a, c = t[4][u], t[4][v]
+def _named(r: _Run, u: np.ndarray, v: np.ndarray):
+    a, c = r.node[u], r.node[v]
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names=["u", "v"])
 
 
@@ -269,21 +282,36 @@ def meeting(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sa
     smaller size is at least `least` of the larger, as a forest of each key. Rows with pairs beyond it are marked: (u, u)."""
     def found(t):
         if t.shape[1] > 1:
-            t, u, v, more = _pairs(t, 5, b, least, False)
+            r = _Run(t, 5, b, least)
+            u, v, more = _spanned(r, b, least)
             mark = np.flatnonzero(more)
             if len(u):
-                yield _named(t, np.concatenate([u, mark]), np.concatenate([v, mark]))
+                yield _named(r, np.concatenate([u, mark]), np.concatenate([v, mark]))
 
     return _cells(nodes, b, max_run, sampled).mapInArrow(lambda batches: by_key(batches, 5, found), "u long, v long").distinct()
 
 
-def untried(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
-    """(u, v), u > v: every pair of nodes (node, size, p0, p1..., root) of unequal roots that meets as in `meeting`."""
+def untried(nodes: DataFrame, b: Blocks, least: float, most: int, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
+    """(u, v), u >= v: pairs of nodes (node, size, p0, p1..., root) of unequal roots that meet as in `meeting`: of those
+    that a row has with rows of its key behind it the `most` of the least difference. The nodes of pairs beyond that are
+    marked: (u, u)."""
     def found(t):
-        if t.shape[1] > 1:
-            t, u, v, _ = _pairs(t, 6, b, least, True)
-            for k in range(0, len(u), 100_000):
-                yield _named(t, u[k : k + 100_000], v[k : k + 100_000])
+        if t.shape[1] < 2:
+            return
+        r = _Run(t, 6, b, least)
+        more = np.zeros(r.n, dtype=bool)
+        for u, v, apart in r.pairs(lambda rows: np.ones(len(rows), dtype=bool)):
+            cross = r.t[5][u] != r.t[5][v]
+            u, v, apart = u[cross], v[cross], apart[cross]
+            order = np.lexsort((r.node[v], apart, u))
+            u, v = u[order], v[order]
+            first = np.arange(len(u)) - np.searchsorted(u, u) < most
+            more[u[~first]] = more[v[~first]] = True
+            if first.any():
+                yield _named(r, u[first], v[first])
+        mark = np.flatnonzero(more)
+        if len(mark):
+            yield _named(r, mark, mark)
 
     return _cells(nodes, b, max_run, sampled, True).mapInArrow(lambda batches: by_key(batches, 6, found), "u long, v long").distinct()
 
@@ -304,10 +332,15 @@ def groups(nodes: DataFrame, b: Blocks, verify: Callable[[DataFrame], DataFrame]
     found = cut(meeting(nodes, b, least), "links")
     links = found.where("u <> v")
     roots = components(verify(links))
-    marked = found.where("u = v").select(F.col("u").alias("node"))
-    if marked.isEmpty():
-        return roots
-    named = nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "size", *print_columns(b.words), F.coalesce("root", "node").alias("root"))
-    rest = cut(untried(cut(named, "open"), b, least).join(links, ["u", "v"], "left_anti"), "untried")
-    more = cut(verify(rest), "more")
-    return roots if more.isEmpty() else joined_roots(roots, more)
+    most, tried = AT_FIRST, links
+    while not (marked := found.where("u = v").select(F.col("u").alias("node"))).isEmpty():
+        named = nodes.join(marked, "node", "left_semi").join(roots, "node", "left").select("node", "size", *print_columns(b.words), F.coalesce("root", "node").alias("root"))
+        found = cut(untried(cut(named, "open"), b, least, most), "untried")
+        rest = cut(found.where("u <> v").join(tried, ["u", "v"], "left_anti"), "untried")
+        if not rest.isEmpty():
+            more = verify(rest)
+            tried = tried.union(rest)
+            if not more.isEmpty():
+                roots = cut(joined_roots(roots, more), "roots")
+        most *= GROWTH
+    return roots
