@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ringspan.functions import kernels
 from ringspan.functions.sequences import circular_slice
-from ringspan.session import cut
+from ringspan.session import cut, local_table
 
 # Recognition sites; ^ marks the cut of the top strand, _ that of the bottom strand,
 # one mark alone a blunt cut; (a/b) the places of both cuts behind the site; ? an unknown cut.
@@ -284,9 +284,9 @@ _SCHEMA = "name string, site string, size int, top_off int, ovhg int, kind strin
 
 
 def enzymes(spark: SparkSession, pool="CommOnly") -> DataFrame:
-    """The dimension; `end` is what compatible ends have in common, null where it is not known."""
-    names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in catalogue(pool)], _SCHEMA)
+    """The dimension; `end` is what compatible ends have in common, null where it is not known. A local
+    relation, whose size the planner knows: joins with it need no shuffle."""
+    return local_table(spark, catalogue(pool), _SCHEMA)
 
 
 def site_words(pool="CommOnly") -> list[tuple[str, int, int, str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringspan.functions.sequences import circular_equal, circular_slice, delete_span
+from ringspan.operators import fragments
 from ringspan.operators.enzymes import SAME, enzymes, still_cut, strategy, strategy_rank
 from ringspan.operators.intervals import overlaps
 from ringspan.session import cut, settle
@@ -67,21 +68,15 @@ def reasons(pairs: DataFrame, cuts: DataFrame, targets: DataFrame) -> DataFrame:
     return tally.union(many).union(sides.select("id", "r.reason", "r.n").where("n > 0"))
 
 
-def simulate(plans: DataFrame, seqs: DataFrame, signatures: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
-    """plans (id, u_top, d_top) with the product of the digest, cross-checked: `product` is the edit
-    in the parent's frame, `retained` the closed fragment that holds the signature (else the longer
-    one), `verified` that both are one circle, that the cut junctions are gone and that every protected
-    stretch (id, p_s, p_e) is in the product."""
-    p = plans.join(seqs.select("id", "s"), "id")
-    n = F.length("s")
-    inner = circular_slice("s", F.col("u_top"), F.col("d_top"))
-    outer = circular_slice("s", F.col("d_top"), F.col("u_top") + n)
-    if signatures is not None:
-        p = p.join(signatures, "id", "left")
-        keep_inner = F.coalesce(F.contains(inner, F.col("signature")) & ~F.contains(outer, F.col("signature")), F.lit(False))
-    else:
-        keep_inner = F.length(inner) > F.length(outer)
-    p = p.withColumns({"retained": F.when(keep_inner, inner).otherwise(outer), "product": delete_span("s", F.col("u_top"), F.col("d_top"))})
+def simulate(plans: DataFrame, seqs: DataFrame, cuts: DataFrame, signatures: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
+    """plans (id, up, down, u_top, d_top) with the product of the digest, cross-checked: `product` is the edit
+    in the parent's frame; `retained` the fragment that all cuts of the plan's enzymes leave and that closes on its own ends (see
+    fragments), null with a `refusal` where there is no such one; `verified` that both are one circle, that the cut
+    junctions are gone and that every protected stretch (id, p_s, p_e) is in the product."""
+    plans = plans.withColumn("plan", F.array("up", "down"))
+    kept = fragments.kept_fragment(fragments.released(seqs, plans, cuts, ["up", "down"]), signatures)
+    p = plans.join(kept, ["id", "plan"], "left").join(seqs.select("id", "s"), "id").drop("plan")
+    p = p.withColumn("product", delete_span("s", F.col("u_top"), F.col("d_top")))
     around = lambda top: circular_slice("s", F.col(top) - 20, F.col(top) + 20)
     twice = F.concat("product", "product")
     gone = ~F.contains(twice, around("u_top")) & ~F.contains(twice, around("d_top"))
@@ -90,7 +85,8 @@ def simulate(plans: DataFrame, seqs: DataFrame, signatures: DataFrame | None = N
         spans = protected.groupBy("id").agg(F.collect_set(F.struct("p_s", "p_e")).alias("must_stay"))
         p = p.join(spans, "id", "left")
         whole = F.forall(F.coalesce("must_stay", F.array()), lambda x: F.contains(twice, circular_slice("s", x["p_s"], x["p_e"])))
-    return p.withColumns({"verified": circular_equal("product", "retained") & (gone | (F.length("product") < 40)) & whole, "junction": F.upper(F.concat(circular_slice("s", F.col("u_top") - 6, F.col("u_top")), circular_slice("s", F.col("d_top"), F.col("d_top") + 6)))}).drop("s", "must_stay")
+    same = F.coalesce(circular_equal("product", "retained"), F.lit(False))
+    return p.withColumns({"verified": same & (gone | (F.length("product") < 40)) & whole, "junction": F.upper(F.concat(circular_slice("s", F.col("u_top") - 6, F.col("u_top")), circular_slice("s", F.col("d_top"), F.col("d_top") + 6)))}).drop("s", "must_stay")
 
 
 def signature(protected: DataFrame, seqs: DataFrame, width: int = 60) -> DataFrame:
@@ -111,7 +107,7 @@ def plan(seqs: DataFrame, cuts: DataFrame, targets: DataFrame, protected: DataFr
     out of the max_alternatives + tries best candidates; and the refusals."""
     pairs = cut(ranked(candidate_pairs(cuts, targets, protected, pool)), "excision_pairs")
     best = pairs.where(F.col("rank") <= max_alternatives + tries)
-    done = simulate(best, seqs, signature(protected, seqs) if protected is not None else None, protected).where("verified")
+    done = simulate(best, seqs, cuts, signature(protected, seqs) if protected is not None else None, protected).where("verified").drop("refusal", "n_frags")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
     plans = done.withColumn("alt_rank", nth - 1).where(F.col("alt_rank") <= max_alternatives)
     return regenerated(plans, pool), reasons(pairs, cuts, targets)

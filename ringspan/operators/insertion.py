@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringspan.functions.sequences import circular_slice, replace_span, reverse_complement
-from ringspan.operators import pcr
+from ringspan.functions.sequences import circular_equal, circular_slice, replace_span, reverse_complement
+from ringspan.operators import fragments, pcr
 from ringspan.operators.enzymes import cut_sites, enzymes, still_cut, strategy
 from ringspan.operators.intervals import overlaps
 from ringspan.session import cut, settle
@@ -82,14 +82,38 @@ def restriction_routes(vectors: DataFrame, donors: DataFrame, protected: DataFra
 
 
 def restriction_products(routes: DataFrame, vectors: DataFrame, donors: DataFrame, pool="CommOnly") -> DataFrame:
-    """routes with the product, its checks for length and presence, whether an enzyme of the route still cuts
-    it, and the warnings."""
+    """routes with the product, whether an enzyme of the route still cuts it, and the warnings. `verified`: the ends that the cuts
+    leave on the opened vector and on the fragment, read from the circles themselves, ligate, and the circle that they close to
+    is the product of the edit."""
+    dim = enzymes(routes.sparkSession, pool).select("name", "ovhg")
     full = routes.join(vectors.select(F.col("pair_id").alias("id"), "v"), "id").join(donors.select(F.col("pair_id").alias("id"), "d"), "id")
-    fragment = circular_slice("d", F.col("udt"), F.col("ddt"))
-    full = full.withColumn("fragment", fragment).withColumn("product", replace_span("v", F.col("ut"), F.col("dt"), F.col("fragment")))
+    for name in ("ue", "de", "ude", "dde"):
+        full = full.join(dim.select(F.col("name").alias(name), F.col("ovhg").alias(f"{name}_over")), name)
+    end = lambda s, top, name: fragments.end_of(F.col(s), F.col(top), F.col(top) - F.col(f"{name}_over"))
+    full = full.withColumns({"b_left": end("v", "dt", "de"), "b_right": end("v", "ut", "ue"), "f_left": end("d", "udt", "ude"), "f_right": end("d", "ddt", "dde")})
+    full = full.withColumn("fragment", circular_slice("d", F.col("udt"), F.col("ddt"))).withColumn("product", replace_span("v", F.col("ut"), F.col("dt"), F.col("fragment")))
     full = still_cut(full, "product", ["ue", "de", "ude", "dde"], pool)
-    warn = F.array(F.when(F.col("d_extra") > 0, "the fragment carries bases of the donor's flanks"), F.when(~F.col("directional"), "the vector may close on itself"), F.when(F.col("site_regenerated"), "a site is made again at a junction"))
-    return full.withColumns({"verified": (F.length("product") == F.length("v") - (F.col("dt") - F.col("ut")) + F.length("fragment")) & F.contains(F.concat("product", "product"), F.col("fragment")), "warnings": F.filter(warn, lambda x: x.isNotNull())}).drop("v", "d")
+    back = (F.col("b_right") == fragments.turned_end(F.col("f_right"))) & (F.col("b_left") == fragments.turned_end(F.col("f_left")))
+    warn = F.array(F.when(F.col("d_extra") > 0, "the fragment carries bases of the donor's flanks"), F.when(F.col("b_left") == F.col("b_right"), "the vector may close on itself"), F.when(back, "the fragment may go in either way round"), F.when(F.col("site_regenerated"), "a site is made again at a junction"))
+    under = lambda name, top: F.col(top) - F.col(f"{name}_over")
+    # cuts so near that a strand between them has no bases cannot both be made
+    apart = (under("de", "dt") > under("ue", "ut")) & (under("ue", "ut") + F.length("v") > under("de", "dt")) & (F.col("ut") + F.length("v") > F.col("dt")) & (under("dde", "ddt") > under("ude", "udt"))
+    ligates = (F.col("b_right") == F.col("f_left")) & (F.col("f_right") == F.col("b_left")) & apart
+    ring = F.concat(circular_slice("v", F.col("dt"), F.col("ut") + F.length("v")), F.col("fragment"))
+    full = full.withColumns({"verified": ligates & circular_equal("product", ring), "warnings": F.filter(warn, lambda x: x.isNotNull())})
+    return full.drop("v", "d", "b_left", "b_right", "f_left", "f_right", *[f"{n}_over" for n in ("ue", "de", "ude", "dde")])
+
+
+def ligated(routes: DataFrame, vectors: DataFrame, donors: DataFrame, pool="CommOnly") -> DataFrame:
+    """(id, frag, flip, start, product): everything that the digests of a route can close to with the opened vector: each fragment that
+    the donor's digest gives, either way round. start: where the fragment begins on the donor."""
+    own = routes.select("id", "ue", "ut", "de", "dt", "ude", "dde")
+    v = own.join(vectors.select(F.col("pair_id").alias("id"), F.col("v").alias("s")), "id")
+    d = own.join(donors.select(F.col("pair_id").alias("id"), F.col("d").alias("s")), "id")
+    opened = fragments.released(v.select("id", "s"), own, cut_sites(v, pool), ["ue", "de"]).withColumn("any", F.max("interferes").over(Window.partitionBy("id", "plan")))
+    opened = opened.join(own.select("id", "dt"), "id").where("n_frags = 2 and start = dt and not any")
+    inserts = cut(fragments.released(d.select("id", "s"), own, cut_sites(d, pool), ["ude", "dde"]), "donor_fragments")
+    return fragments.ligations(opened, inserts).join(inserts.select("id", "frag", "start"), ["id", "frag"])
 
 
 def digest_openings(vectors: DataFrame, protected: DataFrame | None = None, pool="CommOnly", max_collateral: int = 200) -> DataFrame:

@@ -195,14 +195,19 @@ fit AS (SELECT *, row_number() OVER (PARTITION BY id, ue, ut, de, dt ORDER BY uo
 SQL["insertion_reasons"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES) + "SELECT id, CASE WHEN EXISTS (SELECT 1 FROM opt x WHERE x.id = pr.id AND x.side = 'up' AND x.ve = ue AND x.vt = ut) AND EXISTS (SELECT 1 FROM opt y WHERE y.id = pr.id AND y.side = 'down' AND y.ve = de AND y.vt = dt) THEN 'every candidate enzyme cuts inside the insert fragment' ELSE 'donor lacks a compatible flanking site' END AS reason, count(*) AS n FROM pr WHERE (id, ue, ut, de, dt) NOT IN (SELECT (id, ue, ut, de, dt) FROM fit) GROUP BY 1, 2"
 SQL["insertion_routes"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES) + f""", sc AS (SELECT f.id, ue, ut, de, dt, ude, udt, dde, ddt, {_STRAT.format(a='a', b='b')} IS NULL AS directional, ue = ude AND de = dde AS same_enzymes, dt - ut - (v_e - v_s) AS v_extra, ddt - udt - (d_e - d_s) AS d_extra, CASE WHEN ue IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END + CASE WHEN de IN ('XhoI', 'PaeR7I') THEN 9 ELSE 0 END AS sup, a.canonical AS cu, b.canonical AS cd, length(v) - (dt - ut) + ddt - udt AS bp FROM fit f JOIN enz a ON a.name = ue JOIN enz b ON b.name = de JOIN vd ON vd.id = f.id WHERE r = 1)
 SELECT id, ue, ut, de, dt, ude, udt, dde, ddt, directional, same_enzymes, CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, true AS verified, CAST(bp AS INTEGER) AS product_bp FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY directional DESC, same_enzymes DESC, v_extra, d_extra, sup DESC, cu, cd, ue, de) AS q FROM sc) WHERE q = 1"""
+# the single strand that enzyme e leaves where its top cut is t
+_LETTERS_AT = "substr({s} || {s} || {s}, length({s}) + {t} - greatest({e}.ovhg, 0) + 1, abs({e}.ovhg))"
+_APART = "dt - b.ovhg > ut - a.ovhg AND ut + length(v) - a.ovhg > dt - b.ovhg AND ut + length(v) > dt"
+_LIGATES = ("{v} = {w} AND {x} = {y} AND " + _APART + " AND ddt - db.ovhg > udt - da.ovhg").format(v=_LETTERS_AT.format(s="v", t="ut", e="a"), w=_LETTERS_AT.format(s="d", t="udt", e="da"), x=_LETTERS_AT.format(s="v", t="dt", e="b"), y=_LETTERS_AT.format(s="d", t="ddt", e="db"))
+SQL["insertion_routes"] = SQL["insertion_routes"].replace("AS bp FROM fit f", f"AS bp, {_LIGATES} AS verified FROM fit f").replace("JOIN enz b ON b.name = de JOIN vd", "JOIN enz b ON b.name = de JOIN enz da ON da.name = ude JOIN enz db ON db.name = dde JOIN vd").replace("true AS verified", "verified")
 _AROUND = "substr(s || s || s, length(s) + {t} - 19, 40)"
 _PATTERN = lambda x: "".join(f"[{LETTERS[c]}]" for c in x)
 _RES = f"res AS (SELECT * FROM {_values([(n, size, _PATTERN(site) + '|' + _PATTERN(site.translate(str.maketrans('ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN'))[::-1])) for n, site, size, *_ in _ENZ], ['name', 'size', 'pattern'])})"
 _WHY = SQL["excision_reasons"].partition(PAIRS)[2]
 SQL["excision_plans"] = _with(SEQS, CUTS, ENZ, TARGETS, GUARD, PAIRS, _RES) + f""", why AS ({_WHY}), said AS (SELECT id, '{{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}}' AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, reason) AS r FROM why) WHERE r <= 5 GROUP BY id),
-ranks AS (SELECT d.*, s, row_number() OVER (PARTITION BY d.id ORDER BY sr, collateral, cu, cd, up, down) AS rk FROM dedup d JOIN targets t USING (id) WHERE dup = 1),
+ranks AS (SELECT d.*, s, t.t_s AS at_s, row_number() OVER (PARTITION BY d.id ORDER BY sr, collateral, cu, cd, up, down) AS rk FROM dedup d JOIN targets t USING (id) WHERE dup = 1),
 prod AS (SELECT *, substr(s, 1, u_top) || substr(s, d_top + 1) AS product FROM ranks WHERE rk <= 25),
-good AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rk) AS q FROM prod WHERE length(product) < 40 OR (NOT contains(product || product, {_AROUND.format(t='u_top')}) AND NOT contains(product || product, {_AROUND.format(t='d_top')})))
+good AS (SELECT prod.*, row_number() OVER (PARTITION BY id ORDER BY rk) AS q FROM prod JOIN enz eu ON eu.name = up JOIN enz ed ON ed.name = down WHERE {_LETTERS_AT.format(s='s', t='u_top', e='eu')} = {_LETTERS_AT.format(s='s', t='d_top', e='ed')} AND NOT contains(substr(s, u_top + 1, d_top - u_top), substr(s, at_s - 49, 10)) AND (length(product) < 40 OR (NOT contains(product || product, {_AROUND.format(t='u_top')}) AND NOT contains(product || product, {_AROUND.format(t='d_top')}))))
 SELECT t.id, g.up IS NOT NULL AS feasible, g.up, g.down, g.u_top, g.d_top, g.strategy, substr(g.s || g.s, length(g.s) + u_top - 5, 6) || substr(g.s || g.s, d_top + 1, 6) AS junction, CASE WHEN g.up IS NOT NULL THEN EXISTS (SELECT 1 FROM res r WHERE r.name IN (g.up, g.down) AND regexp_matches(product || substr(product, 1, r.size - 1), r.pattern) AND length(product) >= r.size) END AS site_regenerated, CAST(length(product) AS INTEGER) AS product_bp, reasons FROM targets t LEFT JOIN (SELECT * FROM good WHERE q = 1) g ON g.id = t.id LEFT JOIN said ON said.id = t.id"""
 
 # a repeat is as long as what two neighbours among the sorted suffixes have in common, found bit by bit
@@ -239,6 +244,35 @@ SQL["pcr_reactions"] = "SELECT p_partkey AS id, CAST(nth AS INTEGER) AS nth, com
 SQL["mix_specs"] = "SELECT c_custkey AS reaction, CAST(4 AS INTEGER) AS rows, CAST(10.0 AS DOUBLE) AS total_ul FROM customer"
 SQL["product_comparison"] = _with(SHORT) + f", c AS (SELECT id, s, translate(left(s, 1), 'ACGT', 'CGTA') || substr(s, 2) AS o FROM shorts) SELECT id, true AS turned, true AS turned_over, false AS longer, contains(s || s, o) OR contains(s || s, {_rc('o')}) AS changed FROM c"
 _ARMS = "arms AS (SELECT id, v_s - 60 AS p_s, v_s - 50 AS p_e FROM vd UNION ALL SELECT id, v_e + 50, v_e + 60 FROM vd)"
+_DIGEST = ", ".join(f"'{e}'" for e in ("BamHI", "KpnI", "EcoRV", "BsaI", "HaeIII", "BssSI"))
+_X4 = "substr(s || s || s || s, length(s) + {a} + 1, {n})"
+_END = "CASE WHEN {o} < 0 THEN '5:' WHEN {o} > 0 THEN '3:' ELSE 'blunt:' END || " + _X4.format(a="{t} - greatest({o}, 0)", n="abs({o})")
+
+
+def _fragments(cuts: str, key: str) -> str:
+    """Fragments out of distinct rows (key, s, top, ov): each cut and the next, the last one and the first a turn later."""
+    w = f"(PARTITION BY {key} ORDER BY top, ov)"
+    nxt = f"SELECT *, row_number() OVER {w} - 1 AS frag, count(*) OVER (PARTITION BY {key}) AS n_frags, coalesce(lead(top) OVER {w}, first_value(top) OVER {w} + length(s)) AS stop, coalesce(lead(ov) OVER {w}, first_value(ov) OVER {w}) AS ov2 FROM ({cuts})"
+    return f"SELECT *, top AS start, {_END.format(t='top', o='ov')} AS \"left\", {_END.format(t='stop', o='ov2')} AS \"right\", stop <= top OR stop - ov2 <= top - ov AS interferes, {_X4.format(a='top', n='stop - top')} AS bases, {_X4.format(a='top - ov', n='stop - ov2 - top + ov')} AS under FROM ({nxt})"
+
+
+_FRAG_CUTS = "SELECT DISTINCT id, s, top, top - bottom AS ov FROM cuts JOIN seqs USING (id) WHERE enzyme IN (" + _DIGEST + ")"
+SQL["digest_products"] = _with(SEQS, CUTS) + f"SELECT id, CAST(frag AS INTEGER) AS frag, CAST(n_frags AS INTEGER) AS n_frags, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, \"left\", \"right\", interferes, \"left\" = \"right\" AND NOT interferes AS closes, CASE WHEN \"left\" = \"right\" AND NOT interferes THEN md5(bases) END AS product_md5 FROM ({_fragments(_FRAG_CUTS, 'id')})"
+_BEST = SQL["insertion_routes"].partition(", sc AS")[2]
+_TURN = "split_part({e}, ':', 1) || ':' || " + _rc("split_part({e}, ':', 2)")
+_DONOR_CUTS = "SELECT DISTINCT rt.id, vd.d AS s, c.top, c.top - c.bottom AS ov FROM rt JOIN vd ON vd.id = rt.id JOIN cuts c ON c.id = rt.id + 1 AND c.enzyme IN (ude, dde)"
+_OPENED = "SELECT rt.*, substr(s || s, dt + 1, ut - dt + length(s)) AS b_top, " + _END.format(t="dt", o="(SELECT ovhg FROM enz WHERE name = de)") + ' AS b_left, ' + _END.format(t="ut", o="(SELECT ovhg FROM enz WHERE name = ue)") + " AS b_right FROM (SELECT rt.*, v, v AS s FROM rt JOIN vd USING (id)) rt JOIN enz a ON a.name = ue JOIN enz b ON b.name = de WHERE " + _APART
+SQL["ligation_products"] = _with(SEQS, CUTS, ENZ, VD, _ROUTES).rstrip() + ", sc AS" + _BEST.partition("\nSELECT")[0] + ", rt AS (SELECT" + _BEST.partition("\nSELECT")[2] + f"), fr AS ({_fragments(_DONOR_CUTS, 'id')}), ways AS (SELECT id, frag, start, false AS flip, \"left\", \"right\", bases FROM fr WHERE NOT interferes UNION ALL SELECT id, frag, start, true, {_TURN.format(e=chr(34) + 'right' + chr(34))}, {_TURN.format(e=chr(34) + 'left' + chr(34))}, {_rc('under')} FROM fr WHERE NOT interferes), op AS ({_OPENED}) SELECT id, CAST(frag AS INTEGER) AS frag, flip, start = udt AS wanted, CAST(length(b_top || bases) AS INTEGER) AS product_bp, md5(b_top || bases) AS product_md5 FROM op JOIN ways USING (id) WHERE b_right = \"left\" AND \"right\" = b_left"
+_MID = "length(s) // 2"
+SQL["assemblies"] = _with(SEQS, TARGETS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", own AS (SELECT id AS reaction, 0 AS piece, substr(s, {_MID} + 1) || substr(s, 1, {_MID}) AS own FROM targets UNION ALL SELECT id - k, k, substr(s, {_MID} + 1, 60) FROM targets, (VALUES (1), (2), (3)) AS v(k) WHERE k <= 2 OR (id - k) % 2 <> 0),
+pieces AS (SELECT reaction, piece, CASE WHEN piece = 0 THEN own ELSE coalesce(right(lag(own) OVER w, 25), NULL) || own || CASE WHEN lead(piece) OVER w IS NULL THEN left(first_value(own) OVER w, 25) ELSE '' END END AS t FROM own WINDOW w AS (PARTITION BY reaction ORDER BY piece)),
+ways AS (SELECT reaction, piece, false AS flip, t FROM pieces UNION ALL SELECT reaction, piece, true, {_rc('t')} FROM pieces WHERE piece <> 0),
+edge AS (SELECT a.reaction, a.piece AS a, a.flip AS af, b.piece AS b, b.flip AS bf, list_max(list_filter(range(20, 61), lambda k: k < length(a.t) AND k <= length(b.t) AND right(a.t, k) = left(b.t, k))) AS over FROM ways a JOIN ways b ON a.reaction = b.reaction AND (a.piece <> b.piece OR a.piece = 0)),
+sizes AS (SELECT reaction, count(*) AS n_pieces, bool_or(piece = 0) AS opened FROM pieces GROUP BY 1),
+path AS (SELECT reaction, 0 AS a, false AS af, [0] AS used, '0' AS route, t AS grown, false AS done FROM pieces WHERE piece = 0
+ UNION ALL SELECT p.reaction, e.b, e.bf, list_append(p.used, e.b), CASE WHEN e.b = 0 THEN p.route ELSE p.route || ',' || CASE WHEN e.bf THEN '-' ELSE '' END || e.b END, CASE WHEN e.b = 0 THEN left(p.grown, length(p.grown) - e.over) ELSE left(p.grown, length(p.grown) - e.over) || w.t END, e.b = 0 FROM path p JOIN edge e ON e.reaction = p.reaction AND e.a = p.a AND e.af = p.af JOIN ways w ON w.reaction = p.reaction AND w.piece = e.b AND w.flip = e.bf WHERE NOT p.done AND e.over IS NOT NULL AND (e.b = 0 OR NOT list_contains(p.used, e.b))),
+tally AS (SELECT reaction, count(*) FILTER (len(used) - 1 = n_pieces) AS n_products, count(*) FILTER (len(used) - 1 < n_pieces) AS n_partial, min(route) FILTER (len(used) - 1 = n_pieces) AS route, min(grown) FILTER (len(used) - 1 = n_pieces) AS product FROM path JOIN sizes USING (reaction) WHERE done GROUP BY 1)
+SELECT reaction, n_pieces, coalesce(n_products, 0) AS n_products, coalesce(n_partial, 0) AS n_partial, CASE WHEN n_products = 1 THEN route END AS route, CASE WHEN n_products = 1 THEN CAST(length(product) AS INTEGER) END AS product_bp, CASE WHEN n_products = 1 THEN md5(product) END AS product_md5, CASE WHEN NOT opened THEN 'no backbone' WHEN coalesce(n_products, 0) = 0 THEN 'no closed product holds every piece' WHEN n_products > 1 THEN n_products || ' closed products hold every piece' END AS reason FROM sizes LEFT JOIN tally USING (reaction)"""
 _KEPT = _ROUTES.replace("AND u.enzyme <> d.enzyme)", "AND u.enzyme <> d.enzyme WHERE NOT EXISTS (SELECT 1 FROM arms a WHERE a.id = u.id AND u.top < a.p_e AND a.p_s < d.top))")
 SQL["insertion_protected"] = SQL["insertion_routes"].replace(_ROUTES, _ARMS + ", " + _KEPT).replace(", CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, true AS verified, CAST(bp AS INTEGER) AS product_bp", "").replace("directional, same_enzymes FROM", "directional FROM")
 SQL["insertion_openings_protected"] = SQL["insertion_openings"].replace(", c AS (SELECT id, enzyme", f", {_ARMS}, c AS (SELECT id, enzyme").replace("AND d.top - u.top <= 200)", "AND d.top - u.top <= 200 AND NOT EXISTS (SELECT 1 FROM arms a WHERE a.id = u.id AND u.top < a.p_e AND a.p_s < d.top))")

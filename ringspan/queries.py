@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringspan.functions import sequences as S
-from ringspan.operators import complexity, enzymes, excision, insertion, intervals, inventory, pcr, reagents, sourcing
+from ringspan.operators import complexity, enzymes, excision, fragments, insertion, intervals, inventory, pcr, reagents, sourcing
 from ringspan.session import cut
 
 CIRCLE = 5000
@@ -286,6 +286,49 @@ def insertion_routes(spark, d):
     return insertion.restriction_products(best, v, w).select("id", "ue", "ut", "de", "dt", "ude", "udt", "dde", "ddt", "directional", "same_enzymes", "v_extra", "d_extra", "verified", F.length("product").alias("product_bp"))
 
 
+#: Enzymes of a digest with many fragments: a 5' end, a 3' end, blunt ends, and one that cuts beside its site.
+DIGEST = ("BamHI", "KpnI", "EcoRV", "BsaI", "HaeIII", "BssSI")
+
+
+def digest_products(spark, d):
+    """All fragments of each sequence by six enzymes together, with their ends, and what closes on itself."""
+    s = seqs(spark, d)
+    f = fragments.digest(s, enzymes.cut_sites(s, list(DIGEST)))
+    return f.select("id", "frag", "n_frags", "start", "stop", "left", "right", "interferes", fragments.closes().alias("closes"), F.md5(F.when(fragments.closes(), F.col("top")).cast("binary")).alias("product_md5"))
+
+
+def ligation_products(spark, d):
+    """What each vector, opened by its best route, closes to with the fragments of its donor's digest."""
+    v, w = _vectors_donors(spark, d)
+    best = cut(insertion.restriction_routes(v, w)[0], "routes")
+    p = insertion.ligated(best, v, w).join(best.select("id", "udt"), "id")
+    return p.select("id", "frag", "flip", (F.col("start") == F.col("udt")).alias("wanted"), F.length("product").alias("product_bp"), F.md5(F.col("product").cast("binary")).alias("product_md5"))
+
+
+def assembly_pieces(spark, d):
+    """(reaction, piece, top): each sequence opened in the middle as the backbone, and the middles of the next two or three
+    as inserts, each with the 25 bases before it in front and the last with the 25 behind it at its end."""
+    s = seqs(spark, d).where(F.length("s") >= 4 * TARGET)
+    mid = F.floor(F.length("s") / 2).cast("int")
+    v = s.select(F.col("id").alias("reaction"), F.lit(0).alias("piece"), F.concat(F.substr("s", mid + 1), F.substr("s", F.lit(1), mid)).alias("own"))
+    core = s.select("id", F.substr("s", mid + 1, F.lit(2 * TARGET)).alias("own"))
+    ins = core.select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("piece"), "id", "own").select((F.col("id") - F.col("piece")).alias("reaction"), "piece", "own").where((F.col("piece") <= 2) | (F.pmod("reaction", F.lit(2)) == 1))
+    every = v.unionByName(ins)
+    by = Window.partitionBy("reaction").orderBy("piece")
+    last = F.lead("piece").over(by).isNull()
+    first = F.first("own").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.right(F.lag("own").over(by), F.lit(25))
+    top = F.when(F.col("piece") == 0, F.col("own")).otherwise(F.concat(before, "own", F.when(last, F.substring(first, 1, 25)).otherwise("")))
+    return every.select("reaction", "piece", top.alias("top"))
+
+
+def assemblies(spark, d):
+    p = cut(assembly_pieces(spark, d), "pieces")
+    rows = cut(fragments.oriented(p.select("reaction", "piece", "top", F.col("top").alias("bottom"), F.lit("blunt:").alias("left"), F.lit("blunt:").alias("right"))), "oriented")
+    r = fragments.assemble(rows, fragments.overlaps(rows, 20, 60))
+    return r.select("reaction", "n_pieces", "n_products", "n_partial", "route", F.length("product").alias("product_bp"), F.md5(F.col("product").cast("binary")).alias("product_md5"), "reason")
+
+
 def insertion_reasons(spark, d):
     return insertion.restriction_routes(*_vectors_donors(spark, d))[1]
 
@@ -574,5 +617,5 @@ QUERIES = {f.__name__: f for f in (
     dilution_plans, gibson_mixes, ligation_mixes, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
     source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest, short_dup_groups, feature_labels, inserts_normalised,
     spans_inside, cut_footprints, enzyme_descriptions, directory_scan, callable_source, source_coercion, record_labels, library_lines,
-    insertion_protected, insertion_openings_protected, insertion_preps, primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
+    digest_products, ligation_products, assemblies, insertion_protected, insertion_openings_protected, insertion_preps, primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
 )}

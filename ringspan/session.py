@@ -6,7 +6,10 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 #: Rows of an Arrow batch at most.
@@ -61,6 +64,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def local_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table that is part of the plan: the planner knows its size, unlike that of an RDD."""
+    kinds = T._parse_datatype_string(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([{n: r[n] for n in kinds.names} for r in rows], schema=to_arrow_schema(kinds)), kinds)
+
+
 def cut(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write df to the shared folder, with options of the writer, and read it back.
 

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ringspan.session import local_table
+
 #: When the supplier's table was read. It goes stale.
 RETRIEVED = "2026-08-15"
 DEFAULTS = {"base_vectors": [], "enzyme_stock": None, "unavailable": [], "bench": {}}
@@ -22,7 +24,7 @@ def rows() -> list[dict]:
 def conditions(spark: SparkSession) -> DataFrame:
     """(name, temp_c, minutes, bp_from_end, inactivation, star_h), all text as the supplier has it."""
     r = rows()
-    return spark.createDataFrame([tuple(x.values()) for x in r], ", ".join(f"{k} string" for k in r[0]))
+    return local_table(spark, r, ", ".join(f"{k} string" for k in r[0]))
 
 
 def lab_config(explicit: str | None = None, variable: str = "RINGSPAN_LAB_CONFIG") -> dict:
