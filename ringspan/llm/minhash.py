@@ -6,7 +6,7 @@ signatures are compared by a few exclusive-ors and a bit count. Bands of `rows`
 key, give the candidates. Two minima that differ agree in their low bits with a chance of c = 2^-BITS; the
 share of agreeing places is therefore c + (1 - c) J, and J is estimated from it. A candidate whose estimate lies
 `DEVIATIONS` standard deviations under the wanted similarity goes; the others are confirmed on whole sets. At a
-similarity of just 0.85, 32 bands of 6 rows miss a pair with a chance of 3 in ten million.
+similarity of just 0.85, 24 bands of 5 rows miss a pair with a chance of 8 in ten million.
 
 Groups: documents of equal sets are one node. Of the nodes of a key a forest of candidates leaves first: a search
 from the node that is most like the others takes all its neighbours at once, so a dense group of n costs few
@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from ringspan.llm._shared import cut, few_tasks, ship
 from ringspan.llm.blocks import by_key, joined_roots
 from ringspan.llm.components import components
+from ringspan.llm.line_dedup import _passes, bloom
 from ringspan.llm.simhash import shingles
 
 #: Low bits of each minimum that a signature keeps.
@@ -94,10 +95,9 @@ def least_agreeing(similarity: float, hashes: int, deviations: float = DEVIATION
     return max(0, int(np.floor(hashes * p - deviations * np.sqrt(hashes * p * (1 - p)))))
 
 
-def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
+def band_keys(minima: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """(n, bands) keys of (n, hashes) minima: the number of the band in the low 8 bits, a hash of its minima above."""
-    n, hashes = minima.shape
-    bands = hashes // rows
+    n = len(minima)
     h = np.zeros((n, bands), dtype=np.uint64)
     part = minima[:, : bands * rows].reshape(n, bands, rows)
     for k in range(rows):
@@ -110,7 +110,7 @@ def _words(hashes: int) -> list[str]:
     return [f"s{k}" for k in range(BITS * hashes // 64)]
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, hashes: int = 192, rows: int = 6, seed: int = 11) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, hashes: int = 192, rows: int = 5, bands: int = 24, seed: int = 11) -> DataFrame:
     """(id, rep, n, d1, d2, s0..., bands): the size of each row's set, the 128-bit digest of the set, its packed
     signature and its band keys (none for an empty set). rep names the row by a hash of id and text."""
     ship(docs.sparkSession)
@@ -128,10 +128,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 made = np.stack([of.minima(h) for h in sets]) if sets else np.zeros((0, hashes), dtype=np.uint64)
                 digest = _digests([h.tobytes() for h in sets])
                 full = np.array([len(h) for h in sets], dtype=np.int64)
-                sig, keys = packed(made), band_keys(made, rows)
+                sig, keys = packed(made), band_keys(made, rows, bands)
                 ends = np.concatenate([[0], np.cumsum((full > 0) * keys.shape[1])])
-                bands = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[full > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(full), pa.array(digest[0]), pa.array(digest[1]), *(pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64)) for k in range(len(names))), bands], names=out.names)
+                held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[full > 0].ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(full), pa.array(digest[0]), pa.array(digest[1]), *(pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64)) for k in range(len(names))), held], names=out.names)
 
     return src.mapInArrow(run, out)
 
@@ -326,27 +326,32 @@ def joined_on_sets(nodes: DataFrame, sets: DataFrame, percent: int, hashes: int,
 
 
 def whole_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, held): the whole set of each end of links (u, v), made again from the text of one document."""
+    """(node, held): the whole set of each end of links (u, v), made again from the text of one document. Texts are read again in
+    place, and only sets leave the scan: those whose document a Bloom filter lets through while it is small; of more
+    candidates than it may hold, those that a join finds."""
     with few_tasks(docs.sparkSession):
         ends = cut(nodes.select("node", "rep", "d1", "d2").join(links.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "minhash_ends")
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("rep"), F.col(text_col).alias("text")).join(ends, "rep").select("node", "d1", "d2", "text")
+    have = bloom(ends.select(F.col("rep").alias("key")), ends.count())
+    sent = docs.sparkSession.sparkContext.broadcast(have)
+    src = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("rep"), F.col(text_col).alias("text"))
+    if have is None:
+        src = src.join(ends.select("rep").distinct(), "rep", "left_semi")
 
     def held(batches):
-        seen = set()  # rows that are repeated come one behind the other, or in few tasks
+        seen: set[int] = set()  # rows that are repeated leave once or, in tasks with very many, a few times
         for b in batches:
-            keep, sets = [], []
-            for i, node in enumerate(b.column(0).to_pylist()):
-                if node in seen:
-                    continue
-                data = _set_of(b.column(3)[i].as_py(), shingle).tobytes()
-                d = _digests([data])
-                if d[0, 0] == b.column(1)[i].as_py() and d[1, 0] == b.column(2)[i].as_py():
-                    seen.add(node)
-                    keep.append(node)
-                    sets.append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["node", "held"])
+            rep = b.column(0).to_numpy()
+            pick = np.arange(len(rep)) if sent.value is None else np.flatnonzero(_passes(sent.value, rep))
+            pick = [i for i in pick.tolist() if rep[i] not in seen and not seen.add(rep[i])]
+            if len(seen) > 200_000:
+                seen.clear()
+            for at in range(0, len(pick), 500):
+                sets = [_set_of(b.column(1)[i].as_py(), shingle).tobytes() for i in pick[at : at + 500]]
+                d = _digests(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(d[0]), pa.array(d[1]), pa.array(sets, pa.binary())], names=["d1", "d2", "held"])
 
-    return cut(texts.mapInArrow(held, "node long, held binary").dropDuplicates(["node"]), "minhash_sets")
+    found = src.mapInArrow(held, "d1 long, d2 long, held binary").join(ends.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "held")
+    return cut(found.dropDuplicates(["node"]), "minhash_sets")
 
 
 def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -365,12 +370,12 @@ def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(links.join(whole("u"), "u").join(whole("v"), "v").select("u", "v", "u_held", "v_held").mapInArrow(near, "u long, v long"), "minhash_links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, hashes: int = 192, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, hashes: int = 192, rows: int = 5, bands: int = 24) -> DataFrame:
     """(id, n_shingles, component_id, kept): documents link where 100 * intersection >= percent * union of their
     sets; component_id is the least id that links reach; kept, whether the row's own id is that."""
     spark = docs.sparkSession
     names = _words(hashes)
-    made = cut(signatures(docs, id_col, text_col, shingle, hashes, rows), "signatures")
+    made = cut(signatures(docs, id_col, text_col, shingle, hashes, rows, bands), "signatures")
     same = made.where("n > 0").groupBy("d1", "d2").agg(F.min("rep").alias("rep"), F.min("id").alias("least"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in names], F.min("bands").alias("bands"))
     nodes = cut(same.withColumn("node", F.monotonically_increasing_id()), "minhash_nodes")
     found = cut(candidates(nodes, percent, hashes), "candidates")
