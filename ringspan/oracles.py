@@ -42,6 +42,12 @@ CANON = f"canon AS (SELECT id, least({_TURNS.format(x='s')}, {_TURNS.format(x=_r
 _AT = "CAST(l_partkey * 37 % 5000 AS INTEGER)"
 FEATS = f"feats AS (SELECT l_orderkey AS k, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS f, {_AT} AS s, {_AT} + CAST(l_quantity AS INTEGER) AS e, l_returnflag || l_linestatus AS label, CASE WHEN l_linenumber = 7 THEN 'primer_bind' ELSE 'misc_feature' END AS type FROM lineitem)"
 WIDE = FEATS + ", wide AS (SELECT k, f, s, s + (e - s) * 20 AS e, label, type FROM feats)"
+CROWD = "crowd AS (SELECT k, f, pos AS s, pos + CAST(q AS INTEGER) * CASE WHEN l_linenumber = 1 THEN 40 ELSE 1 END AS e, CASE WHEN k % 11 = 0 THEN 'copy' ELSE l_returnflag || l_linestatus END AS label FROM (SELECT *, l_suppkey AS k, l_quantity AS q, CAST((l_partkey * 37 + l_orderkey * 11) % 200000 AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS f FROM lineitem))"
+PARTS = WIDE + """, pw AS (SELECT *, (e - s) // 5 AS w FROM wide),
+parts AS (SELECT k, f, s, e, label, type, CAST(nth AS INTEGER) AS nth, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(d AS INTEGER) AS d FROM (
+ SELECT *, 0 AS nth, s AS a, s + w AS b, 1 AS d FROM pw WHERE f % 3 = 0 UNION ALL SELECT *, 1, s + 2 * w, e, 1 FROM pw WHERE f % 3 = 0
+ UNION ALL SELECT *, 0, s + 4 * w, e, -1 FROM pw WHERE f % 3 = 1 UNION ALL SELECT *, 1, s + 2 * w, s + 3 * w, -1 FROM pw WHERE f % 3 = 1 UNION ALL SELECT *, 2, s, s + w, -1 FROM pw WHERE f % 3 = 1
+ UNION ALL SELECT *, 0, s, e, 1 FROM pw WHERE f % 3 = 2))"""
 TARGETS = "targets AS (SELECT id, s, length(s) // 2 AS t_s, length(s) // 2 + 30 AS t_e FROM seqs WHERE length(s) >= 120)"
 CLS = "cls AS (SELECT min(id) AS id, s FROM seqs GROUP BY s)"
 KMERS = f"k AS (SELECT DISTINCT id, least(w, {_rc('w')}) AS km FROM (SELECT id, substr(ext, i, 31) AS w FROM (SELECT id, s || substr(s, 1, 30) AS ext, unnest(range(1, length(s) + 1)) AS i FROM cls WHERE length(s) >= 31)))"
@@ -148,7 +154,8 @@ SQL = {
     "essential_hints": "SELECT p_partkey, regexp_matches(lower(p_name), 'ori|ampr|neor|kanr|puro|blast|bsd|hygro') AS essential, lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%brass%' AS metal FROM part",
     "overlap_pairs": _with(WIDE) + "SELECT x.k, x.f AS a, y.f AS b FROM wide x JOIN wide y ON x.k = y.k AND x.f < y.f AND x.s < y.e AND y.s < x.e",
     "nested_pairs": _with(WIDE) + "SELECT x.k, x.f AS \"outer\", y.f AS \"inner\", x.label AS outer_label, y.label AS inner_label FROM wide x JOIN wide y ON x.k = y.k AND x.s <= y.s AND y.e <= x.e AND x.e - x.s > y.e - y.s",
-    "repeat_arrays": _with(WIDE) + ", n AS (SELECT x.k, x.f, count(*) AS copies, count(DISTINCT y.label) AS kinds, min(y.label) AS label FROM wide x JOIN wide y ON x.k = y.k AND x.s <= y.s AND y.e <= x.e AND x.e - x.s > y.e - y.s GROUP BY 1, 2) SELECT k, f AS \"array\", label, copies FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f) AS r FROM n WHERE kinds = 1) WHERE r = 1",
+    "repeat_arrays": _with(CROWD) + "SELECT k, f AS \"array\", label, copies FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f) AS r FROM (SELECT x.k, x.f, count(*) AS copies, count(DISTINCT y.label) AS kinds, min(y.label) AS label FROM crowd x JOIN crowd y ON x.k = y.k AND x.s <= y.s AND y.e <= x.e AND x.e - x.s > y.e - y.s GROUP BY 1, 2) WHERE kinds = 1 AND copies >= 3) WHERE r = 1",
+    "crowded_overlaps": _with(CROWD) + "SELECT x.k, x.f AS a, y.f AS b FROM crowd x JOIN crowd y ON x.k = y.k AND x.f < y.f AND x.s < y.e AND y.s < x.e",
     "feature_pruning": _with(WIDE) + ", a AS (SELECT *, label LIKE '%AF%' AS keep FROM wide WHERE type <> 'primer_bind' AND (e - s >= 60 OR label LIKE '%AF%')), b AS (SELECT * FROM a WHERE keep OR (SELECT count(DISTINCT y.label) FROM a y WHERE y.k = a.k AND a.s <= y.s AND y.e <= a.e AND a.e - a.s > y.e - y.s) < 2), c AS (SELECT * FROM b WHERE keep OR NOT EXISTS (SELECT 1 FROM b y WHERE y.k = b.k AND y.s <= b.s AND b.e <= y.e AND y.e - y.s > b.e - b.s)) SELECT k, f, s, e, label FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY keep DESC, e - s DESC, s, f) AS r FROM c) WHERE r <= 3",
     "feature_remap_insert": _with(FEATS) + ", m AS (SELECT k, f, type, e - s AS w, CASE WHEN s < 2500 THEN s ELSE s + 300 END AS ns, CASE WHEN e <= 2500 THEN e ELSE e + 300 END AS ne FROM feats) SELECT k, f, ns AS s, ne AS e, ne - ns <> w AS truncated FROM m WHERE ne > ns AND NOT (ne - ns <> w AND type = 'primer_bind')",
     "feature_remap_delete": _with(FEATS) + ", m AS (SELECT k, f, type, e - s AS w, CASE WHEN s < 1000 THEN s WHEN s >= 2000 THEN s - 1000 ELSE 1000 END AS ns, CASE WHEN e <= 1000 THEN e WHEN e >= 2000 THEN e - 1000 ELSE 1000 END AS ne FROM feats) SELECT k, f, ns AS s, ne AS e, ne - ns <> w AS truncated FROM m WHERE ne > ns AND NOT (ne - ns <> w AND type = 'primer_bind')",
@@ -244,6 +251,15 @@ SQL["pcr_reactions"] = "SELECT p_partkey AS id, CAST(nth AS INTEGER) AS nth, com
 SQL["mix_specs"] = "SELECT c_custkey AS reaction, CAST(4 AS INTEGER) AS rows, CAST(10.0 AS DOUBLE) AS total_ul FROM customer"
 SQL["product_comparison"] = _with(SHORT) + f", c AS (SELECT id, s, translate(left(s, 1), 'ACGT', 'CGTA') || substr(s, 2) AS o FROM shorts) SELECT id, true AS turned, true AS turned_over, false AS longer, contains(s || s, o) OR contains(s || s, {_rc('o')}) AS changed FROM c"
 _ARMS = "arms AS (SELECT id, v_s - 60 AS p_s, v_s - 50 AS p_e FROM vd UNION ALL SELECT id, v_e + 50, v_e + 60 FROM vd)"
+SQL["parts_remap"] = _with(PARTS) + """, m AS (SELECT *, CASE WHEN a < 1000 THEN a WHEN a >= 2000 THEN a - 850 ELSE 1000 END AS na, CASE WHEN b <= 1000 THEN b WHEN b >= 2000 THEN b - 850 ELSE 1000 END AS nb FROM parts),
+l AS (SELECT *, bool_or(nb - na <> b - a) OVER (PARTITION BY k, f) AS tr, min(na) OVER (PARTITION BY k, f) AS ns, max(nb) OVER (PARTITION BY k, f) AS ne FROM m WHERE nb > na)
+SELECT k, f, ns AS s, ne AS e, tr AS truncated, CASE WHEN tr THEN 'truncated by edit' END AS note, CAST(row_number() OVER (PARTITION BY k, f ORDER BY nth) - 1 AS INTEGER) AS nth, na AS start, nb AS "end", d AS strand FROM l WHERE NOT (tr AND type = 'primer_bind')"""
+_TURNED = "SELECT k, f, (s - 1234 + 5000) % 5000 AS s, (s - 1234 + 5000) % 5000 + e - s AS e, nth, (a - 1234 + 5000) % 5000 AS a, (a - 1234 + 5000) % 5000 + b - a AS b, d FROM parts"
+SQL["parts_rotation"] = _with(PARTS) + f""", t AS ({_TURNED}), sp AS (SELECT k, f, s, e, nth, 0 AS sub, a, b, d FROM t WHERE b <= 5000 UNION ALL SELECT k, f, s, e, nth, CASE WHEN d < 0 THEN 1 ELSE 0 END, a, 5000, d FROM t WHERE b > 5000 UNION ALL SELECT k, f, s, e, nth, CASE WHEN d < 0 THEN 0 ELSE 1 END, 0, b - 5000, d FROM t WHERE b > 5000)
+SELECT k, f, s, e, CAST(row_number() OVER (PARTITION BY k, f ORDER BY nth, sub) - 1 AS INTEGER) AS nth, a AS start, b AS "end", d AS strand FROM sp"""
+SQL["parts_graft"] = _with(PARTS) + 'SELECT k, f, CASE WHEN f > 2 THEN 10100 - e ELSE s END AS s, CASE WHEN f > 2 THEN 10100 - s ELSE e END AS e, nth, CASE WHEN f > 2 THEN 10100 - b ELSE a END AS start, CASE WHEN f > 2 THEN 10100 - a ELSE b END AS "end", CASE WHEN f > 2 THEN -d ELSE d END AS strand FROM parts'
+SQL["genbank_features"] = _with(SEQS, PARTS) + """, x AS (SELECT k, f, any_value(type) AS type, any_value(label) AS label, min(a) AS a, max(b) AS b, string_agg(a || ':' || b || ':' || d, ',' ORDER BY nth) AS parts FROM parts GROUP BY 1, 2)
+SELECT id, CAST(length(s) AS INTEGER) AS length, CASE WHEN f IS NULL THEN NULL ELSE CAST(row_number() OVER (PARTITION BY id ORDER BY f) - 1 AS INTEGER) END AS nth, type, label, a AS start, b AS "end", parts FROM seqs LEFT JOIN x ON k = id"""
 _DIGEST = ", ".join(f"'{e}'" for e in ("BamHI", "KpnI", "EcoRV", "BsaI", "HaeIII", "BssSI"))
 _X4 = "substr(s || s || s || s, length(s) + {a} + 1, {n})"
 _END = "CASE WHEN {o} < 0 THEN '5:' WHEN {o} > 0 THEN '3:' ELSE 'blunt:' END || " + _X4.format(a="{t} - greatest({o}, 0)", n="abs({o})")

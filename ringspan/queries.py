@@ -177,7 +177,69 @@ def nested_pairs(spark, d):
 
 
 def repeat_arrays(spark, d):
-    return intervals.repeat_arrays(wide_feats(spark, d), least=1)
+    """Arrays of at least three copies, among all features of a circle's orders that share a part."""
+    return intervals.repeat_arrays(crowded(spark, d))
+
+
+def crowded(spark, d):
+    """(k, f, s, e, label): the order lines of each supplier as features of one circle, so that they are many; of every eleventh
+    supplier all have one label."""
+    t = table(spark, d, "lineitem")
+    at = (F.col("l_partkey") * 37 + F.col("l_orderkey") * 11).cast("int") % (40 * CIRCLE)
+    nth = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
+    long = F.when(F.col("l_linenumber") == 1, 40).otherwise(1)
+    return t.select(F.col("l_suppkey").alias("k"), nth.alias("f"), at.alias("s"), (at + F.col("l_quantity").cast("int") * long).alias("e"), F.when(F.col("l_suppkey") % 11 == 0, "copy").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("label"))
+
+
+def crowded_overlaps(spark, d):
+    return intervals.overlapping_pairs(crowded(spark, d))
+
+
+def part_feats(spark, d):
+    """(k, f, s, e, type, parts, qualifiers): order lines as features of one, two or three parts on either strand."""
+    f = wide_feats(spark, d)
+    w = F.floor((F.col("e") - F.col("s")) / 5).cast("int")
+    part = lambda a, b, strand: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(strand).alias("strand"))
+    s, e = F.col("s"), F.col("e")
+    parts = F.when(F.col("f") % 3 == 0, F.array(part(s, s + w, 1), part(s + 2 * w, e, 1))).when(F.col("f") % 3 == 1, F.array(part(s + 4 * w, e, -1), part(s + 2 * w, s + 3 * w, -1), part(s, s + w, -1))).otherwise(F.array(part(s, e, 1)))
+    return f.select("k", "f", "s", "e", "type", parts.alias("parts"), F.create_map(F.lit("label"), F.array("label")).alias("qualifiers"))
+
+
+def _by_part(f):
+    return f.select("*", F.posexplode("parts").alias("nth", "p")).select("*", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.strand").alias("strand")).drop("p", "parts")
+
+
+def parts_remap(spark, d):
+    r = intervals.remap(part_feats(spark, d), F.lit(1000), F.lit(2000), F.lit(150))
+    return _by_part(r).select("k", "f", "s", "e", "truncated", F.array_join(F.col("qualifiers")["note"], ";").alias("note"), "nth", "start", "end", "strand")
+
+
+def parts_rotation(spark, d):
+    r = intervals.rotate(part_feats(spark, d), F.lit(1234), F.lit(CIRCLE))
+    return _by_part(r).select("k", "f", "s", "e", "nth", "start", "end", "strand")
+
+
+def parts_graft(spark, d):
+    """Two features of each circle, and the others turned over and moved."""
+    f = part_feats(spark, d)
+    return _by_part(intervals.graft(f.where("f <= 2"), intervals.turn_over(f.where("f > 2"), F.lit(2 * CIRCLE)), 100)).select("k", "f", "s", "e", "nth", "start", "end", "strand")
+
+
+def genbank_features(spark, d):
+    """All documents with the features of the orders of the same number, written as GenBank and read again."""
+    from ringspan.session import new_path
+    from ringspan.sources.library import read_genbank, write_genbank
+
+    f = part_feats(spark, d).select(F.col("k").alias("id"), "f", F.struct("type", F.lit(None).cast("string").alias("label"), F.col("s").alias("start"), F.col("e").alias("end"), F.lit(0).alias("strand"), "parts", "qualifiers").alias("feature"))
+    held = f.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", F.to_json("feature").alias("j")))), lambda x: x["j"]).alias("features"))
+    kind = "struct<type:string,label:string,start:int,end:int,strand:int,parts:array<struct<start:int,end:int,strand:int>>,qualifiers:map<string,array<string>>>"
+    rows = seqs(spark, d).join(held, "id", "left").select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("name"), F.col("s").alias("sequence"), F.transform("features", lambda j: F.from_json(j, kind)).alias("features"))
+    path = new_path(spark, "genbank")
+    write_genbank(rows, path)
+    back, _ = read_genbank(spark, path)
+    one = F.array_join(F.transform(F.col("x")["parts"], lambda p: F.concat_ws(":", p["start"], p["end"], p["strand"])), ",")
+    each = back.select("name", F.length("sequence").alias("length"), F.posexplode_outer("features").alias("nth", "x"))
+    return each.select(F.substring("name", 2, 30).cast("long").alias("id"), "length", "nth", F.col("x.type").alias("type"), F.col("x.label").alias("label"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), one.alias("parts"))
 
 
 def feature_pruning(spark, d):
@@ -617,5 +679,5 @@ QUERIES = {f.__name__: f for f in (
     dilution_plans, gibson_mixes, ligation_mixes, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
     source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest, short_dup_groups, feature_labels, inserts_normalised,
     spans_inside, cut_footprints, enzyme_descriptions, directory_scan, callable_source, source_coercion, record_labels, library_lines,
-    digest_products, ligation_products, assemblies, insertion_protected, insertion_openings_protected, insertion_preps, primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
+    digest_products, ligation_products, assemblies, crowded_overlaps, parts_remap, parts_rotation, parts_graft, genbank_features, insertion_protected, insertion_openings_protected, insertion_preps, primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
 )}

@@ -197,18 +197,21 @@ def format_genbank(name: str, sequence: str, features=(), circular: bool = True)
     lines = [f"LOCUS       {clean_name(name, 'record'):<16} {len(s):>11} bp    DNA     {'circular' if circular else 'linear  '} SYN", "DEFINITION  .", "ACCESSION   .", "FEATURES             Location/Qualifiers"]
     for f in features:
         lines.append(f"     {f['type']:<16}{_place(f['parts'])}")
-        for k, values in f["qualifiers"].items():
-            lines += [f'                     /{k}="{v}"' for v in values]
+        for k, values in dict(f["qualifiers"] or {}).items():
+            lines += [f'                     /{k}="{v}"' for v in (values if values is not None else ())]
     lines.append("ORIGIN")
     for i in range(0, len(s), 60):
         lines.append(f"{i + 1:>9} " + " ".join(s[j : j + 10] for j in range(i, min(i + 60, len(s)), 10)))
     return "\n".join([*lines, "//", ""])
 
 
-def format_genbank_udf(name, sequence):
-    """A column of GenBank files of names and sequences."""
+def format_genbank_udf(name, sequence, features=None):
+    """A column of GenBank files of names, sequences and, where given, arrays of features."""
 
     def f(name: pd.Series, sequence: pd.Series) -> pd.Series:
         return pd.Series([format_genbank(n or "", s or "") for n, s in zip(name, sequence, strict=True)])
 
-    return F.pandas_udf(f, T.StringType())(name, sequence)
+    def whole(name: pd.Series, sequence: pd.Series, listed: pd.Series) -> pd.Series:
+        return pd.Series([format_genbank(n or "", s or "", () if fs is None else fs) for n, s, fs in zip(name, sequence, listed, strict=True)])
+
+    return F.pandas_udf(f, T.StringType())(name, sequence) if features is None else F.pandas_udf(whole, T.StringType())(name, sequence, features)

@@ -132,9 +132,19 @@ def load_record(path: str) -> dict:
         return parse(f.read(), kind)
 
 
-def write_genbank(plasmids: DataFrame, path: str) -> None:
-    """Write (name, sequence) rows as GenBank records, many to a file, to any store Spark reaches."""
-    plasmids.select(format_genbank_udf("name", "sequence").alias("value")).write.option("lineSep", "\n").text(path)
+def write_genbank(plasmids: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write (name, sequence[, features]) rows as GenBank records, many to a file, to any store Spark reaches. Features keep
+    their type, all parts of their location and their qualifiers."""
+    features = ["features"] if "features" in plasmids.columns else []
+    plasmids.select(format_genbank_udf("name", "sequence", *features).alias("value")).write.mode(mode).option("lineSep", "\n").text(path)
+
+
+def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of files of many GenBank records: (name, sequence, circular, features) and (content, error). Spark cuts
+    the files at the lines that end records, so a large file is many tasks."""
+    text = spark.read.option("lineSep", "\n//\n").text(path).select(F.regexp_replace("value", r"^\s+", "").alias("content")).where("content <> ''")
+    r = text.withColumn("r", parse_udf("genbank")(F.concat("content", F.lit("\n//\n"))))
+    return r.where("r.error is null").select("r.name", "r.sequence", "r.circular", "r.features"), r.where("r.error is not null").select("content", "r.error")
 
 
 def library_lines(library: DataFrame, config: dict) -> DataFrame:
