@@ -302,12 +302,21 @@ def site_words(pool="CommOnly") -> list[tuple[str, int, int, str]]:
     return sorted(out)
 
 
-class _Finder:
-    """All cuts of a pool on a circle."""
+class Finder:
+    """All cuts of a pool on a circle. `names` and `info` (catalogue rows) are by the number of the enzyme, which follows the
+    order of names."""
 
     def __init__(self, pool):
         words = site_words(pool)
         self.names = sorted({w[0] for w in words})
+        rows = {r["name"]: r for r in catalogue(pool)}
+        self.info = [rows[n] for n in self.names]
+        #: by enzyme: the number of its end, -1 where that is not known; the rank of its canonical name; its suppliers, 0 if not known
+        ends = sorted({r["end"] for r in self.info if r["end"]})
+        self.ends = np.array([ends.index(r["end"]) if r["end"] else -1 for r in self.info], dtype=np.int64)
+        order = sorted({r["canonical"] for r in self.info})
+        self.canonical = np.array([order.index(r["canonical"]) for r in self.info], dtype=np.int64)
+        self.suppliers = np.array([r["supplier_count"] or 0 for r in self.info], dtype=np.int64)
         nth = {n: i for i, n in enumerate(self.names)}
         self.ovhg = np.zeros(len(self.names), dtype=np.int64)
         found: dict[tuple[int, int], list] = {}
@@ -346,7 +355,7 @@ def cut_sites(seqs: DataFrame, pool="CommOnly", id_col: str = "id", seq_col: str
     catalogue(pool)
 
     def run(batches):
-        find = _Finder(pool)
+        find = Finder(pool)
         names = pa.array(find.names, pa.string())
 
         def batch(ids, rows):

@@ -1,81 +1,114 @@
 """Deleting a span by restriction digest: candidate pairs, rejection reasons, ranking, simulation.
 
-Everything runs for many (circle, target) rows at once. A refusal is a row with its reasons.
+Everything runs for many (circle, target) rows at once. A refusal is a row with its reasons. Cuts, pairs, ranks and
+reasons of a circle depend on that circle alone, so `judge` finds them where the circle is, in one pass without a shuffle
+but that which brings circle and target together; only the best plans and the counts leave it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringspan.functions.sequences import circular_equal, circular_slice, delete_span
 from ringspan.operators import fragments
-from ringspan.operators.enzymes import SAME, enzymes, still_cut, strategy, strategy_rank
-from ringspan.operators.intervals import overlaps
+from ringspan.operators.enzymes import BLUNT, SAME, STICKY, Finder, catalogue, still_cut
 from ringspan.session import cut, settle
 
-
-def candidate_pairs(cuts: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", allow_single_enzyme: bool = True) -> DataFrame:
-    """(id, up, down, u_top, d_top, strategy, status, ...): every pair of cuts with matching ends that
-    flanks a target, with its fate. cuts: cut_sites(); targets: (id, t_s, t_e); protected: (id, label,
-    p_s, p_e) or None. Pairs whose ends do not match are never made; `reasons` counts them."""
-    spark = cuts.sparkSession
-    settle(spark)
-    dim = enzymes(spark, pool).select("name", "kind", "end", "canonical")
-    at = cuts.join(targets, "id").join(dim, F.col("enzyme") == F.col("name")).drop("enzyme")
-    once = at.where("n_cuts = 1")
-    up = once.where("top <= t_s").select("id", "t_s", "t_e", F.col("top").alias("u_top"), "name", "kind", "end", "canonical").alias("u")
-    down = once.where("top >= t_e").select("id", F.col("top").alias("d_top"), "name", "kind", "end", "canonical").alias("d")
-    pairs = up.join(down, (F.col("u.id") == F.col("d.id")) & (F.col("u.end") == F.col("d.end"))).select("u.id", "u.t_s", "u.t_e", F.col("u.name").alias("up"), F.col("d.name").alias("down"), "u_top", "d_top", F.col("u.canonical").alias("cu"), F.col("d.canonical").alias("cd"), strategy("u", "d").alias("strategy"))
-    pairs = pairs.withColumn("status", F.lit(None).cast("string"))
-    if allow_single_enzyme:
-        two = at.where("n_cuts = 2 and end is not null").groupBy("id", "name", "canonical", "t_s", "t_e").agg(F.min("top").alias("u_top"), F.max("top").alias("d_top"))
-        flank = (F.col("u_top") <= F.col("t_s")) & (F.col("d_top") >= F.col("t_e"))
-        one = two.select("id", "t_s", "t_e", F.col("name").alias("up"), F.col("name").alias("down"), "u_top", "d_top", F.col("canonical").alias("cu"), F.col("canonical").alias("cd"), F.lit(SAME).alias("strategy"), F.when(~flank, "enzyme cuts twice but not flanking the target").alias("status"))
-        pairs = pairs.unionByName(one)
-    if protected is not None:
-        hurt = pairs.where("status is null").select("id", "up", "down", "u_top", "d_top").join(protected, "id").where(overlaps(F.col("u_top"), F.col("d_top"), F.col("p_s"), F.col("p_e")))
-        first = hurt.groupBy("id", "up", "down", "u_top", "d_top").agg(F.min_by("label", F.struct("p_s", "p_e", "label")).alias("hurt"))
-        pairs = pairs.join(first, ["id", "up", "down", "u_top", "d_top"], "left").withColumn("status", F.coalesce("status", F.when(F.col("hurt").isNotNull(), F.concat(F.lit("would damage "), "hurt")))).drop("hurt")
-    return pairs.withColumn("collateral", F.col("d_top") - F.col("u_top") - (F.col("t_e") - F.col("t_s")))
-
-
-def ranked(pairs: DataFrame) -> DataFrame:
-    """pairs with `rank` for those that work: by strategy, collateral, canonical names; enzymes that
-    cut alike are one plan, the others are refused as duplicates."""
-    ok = pairs.where("status is null")
-    order = [strategy_rank(F.col("strategy")), "collateral", "cu", "cd", "up", "down"]
-    same = F.row_number().over(Window.partitionBy("id", F.array_sort(F.array("cu", "cd")), "u_top", "d_top").orderBy(*order))
-    ok = ok.withColumn("dup", same)
-    nth = F.row_number().over(Window.partitionBy("id", F.col("dup") > 1).orderBy(*order))
-    ok = ok.withColumns({"rank": F.when(F.col("dup") == 1, nth), "status": F.when(F.col("dup") > 1, "duplicate of an equischizomer")}).drop("dup")
-    return ok.unionByName(pairs.where("status is not null").withColumn("rank", F.lit(None).cast("int")))
-
-
-def reasons(pairs: DataFrame, cuts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, reason, n): the histogram of refusals of each target. Pairs of unlike ends are counted from the
-    numbers of cuts on either side."""
-    settle(pairs.sparkSession)
-    tally = pairs.where("status is not null").groupBy("id", F.col("status").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    many = cuts.where("n_cuts > 2").join(targets, "id").groupBy("id").agg(F.count_distinct("enzyme").alias("n")).select("id", F.lit("enzyme cuts more than twice").alias("reason"), "n")
-    once = cuts.where("n_cuts = 1").join(targets, "id")
-    count = lambda c: F.sum(c.cast("long"))
-    known = once.groupBy("id").agg(count(F.col("top") <= F.col("t_s")).alias("u"), count(F.col("top") >= F.col("t_e")).alias("d"))
-    matched = pairs.where("up <> down").groupBy("id").agg(F.count(F.lit(1)).alias("m"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    sides = targets.select("id").join(known, "id", "left").join(matched, "id", "left").select("id", zero("u").alias("u"), zero("d").alias("d"), (zero("u") * zero("d") - zero("m")).alias("unlike"))
-    sides = sides.select("id", F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), n.alias("n")) for r, n in (("incompatible ends", F.col("unlike")), ("no unique site upstream of the target", (F.col("u") == 0).cast("long")), ("no unique site downstream of the target", (F.col("d") == 0).cast("long")))])).alias("r"))
-    return tally.union(many).union(sides.select("id", "r.reason", "r.n").where("n > 0"))
-
-
-def simulate(plans: DataFrame, seqs: DataFrame, cuts: DataFrame, signatures: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
-    """plans (id, up, down, u_top, d_top) with the product of the digest, cross-checked: `product` is the edit
-    in the parent's frame; `retained` the fragment that all cuts of the plan's enzymes leave and that closes on its own ends (see
-    fragments), null with a `refusal` where there is no such one; `verified` that both are one circle, that the cut
-    junctions are gone and that every protected stretch (id, p_s, p_e) is in the product."""
-    plans = plans.withColumn("plan", F.array("up", "down"))
-    kept = fragments.kept_fragment(fragments.released(seqs, plans, cuts, ["up", "down"]), signatures)
-    p = plans.join(kept, ["id", "plan"], "left").join(seqs.select("id", "s"), "id").drop("plan")
+_PLAN = "array<struct<rank:int,up:string,down:string,u_top:int,d_top:int,strategy:string,collateral:int,sites:array<struct<top:int,bottom:int>>>>"
+_RANK = {SAME: 0, STICKY: 1, BLUNT: 2}
+
+
+def _pairs(find: Finder, text: str, t_s: int, t_e: int, arms: list[dict], single: bool) -> tuple[list[dict], Counter]:
+    """The pairs of cuts with matching ends that flank a target, best first, and the histogram of refusals."""
+    enzyme, top, many = find.cuts(text)
+    info, why, pairs = find.info, Counter(), []
+    once = [(info[e], int(t)) for e, t in zip(enzyme[many == 1].tolist(), top[many == 1].tolist(), strict=True)]
+    up, down = [c for c in once if c[1] <= t_s], [c for c in once if c[1] >= t_e]
+    by_end: dict[str, list] = {}
+    for e, t in down:
+        by_end.setdefault(e["end"], []).append((e, t))
+    matched = [(u, u_top, d, d_top) for u, u_top in up if u["end"] for d, d_top in by_end.get(u["end"], ())]
+    two = enzyme[many == 2].reshape(-1, 2)[:, 0].tolist()
+    for e, (lo, hi) in zip(two, top[many == 2].reshape(-1, 2).tolist(), strict=True) if single else ():
+        if info[e]["end"]:
+            if lo <= t_s and hi >= t_e:
+                matched.append((info[e], lo, info[e], hi))
+            else:
+                why["enzyme cuts twice but not flanking the target"] += 1
+    for u, u_top, d, d_top in matched:
+        hurt = next((a["label"] for a in arms if u_top < a["p_e"] and a["p_s"] < d_top), None)
+        if hurt is not None:
+            why[f"would damage {hurt}"] += 1
+            continue
+        strategy = SAME if u is d else BLUNT if u["kind"] == "blunt" else STICKY
+        pairs.append({"up": u["name"], "down": d["name"], "u_top": u_top, "d_top": d_top, "strategy": strategy, "collateral": d_top - u_top - (t_e - t_s), "order": (_RANK[strategy], d_top - u_top, u["canonical"], d["canonical"], u["name"], d["name"]), "sites": [{"top": t, "bottom": t - e["ovhg"]} for e, t in ((u, u_top), (d, d_top))]})
+    best, seen = [], set()
+    for p in sorted(pairs, key=lambda p: p["order"]):  # enzymes that cut alike are one plan
+        same = (*sorted(p["order"][2:4]), p["u_top"], p["d_top"])
+        if same in seen:
+            why["duplicate of an equischizomer"] += 1
+        else:
+            seen.add(same)
+            best.append({**p, "rank": len(best) + 1})
+    why["incompatible ends"] = len(up) * len(down) - sum(u is not d for u, _, d, _ in matched)
+    why["enzyme cuts more than twice"] = len(set(enzyme[many > 2].tolist()))
+    why["no unique site upstream of the target"] = int(not up)
+    why["no unique site downstream of the target"] = int(not down)
+    return best, +why
+
+
+def judge(seqs: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", allow_single_enzyme: bool = True, most: int | None = None) -> DataFrame:
+    """(id, t_s, t_e, plans, reasons): for each target (id, t_s, t_e) the pairs of cuts with matching ends that flank it and
+    damage nothing protected (id, label, p_s, p_e), ranked by strategy, collateral and canonical names, the first `most` or
+    all; and how often what else was refused, and why. Pairs whose ends do not match are never made but counted. A
+    target without a circle has neither cuts nor plans."""
+    settle(seqs.sparkSession)
+    pool = pool if isinstance(pool, str) else sorted(pool)
+    catalogue(pool)
+    rows = targets.select("id", "t_s", "t_e").join(seqs.select("id", "s"), "id", "left")
+    kind = "array<struct<p_s:int,p_e:int,label:string>>"
+    if protected is None:
+        rows = rows.withColumn("arms", F.array().cast(kind))
+    else:
+        rows = rows.join(protected.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("p_s").cast("int").alias("p_s"), F.col("p_e").cast("int").alias("p_e"), "label"))).cast(kind).alias("arms")), "id", "left")
+    sent = pa.list_(pa.struct([("rank", pa.int32()), ("up", pa.string()), ("down", pa.string()), ("u_top", pa.int32()), ("d_top", pa.int32()), ("strategy", pa.string()), ("collateral", pa.int32()), ("sites", pa.list_(pa.struct([("top", pa.int32()), ("bottom", pa.int32())])))]))
+
+    def run(batches):
+        find = Finder(pool)
+        for b in batches:
+            plans, reasons = [], []
+            for t_s, t_e, s, arms in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                best, why = _pairs(find, s or "", t_s, t_e, arms or [], allow_single_enzyme)
+                plans.append([{k: v for k, v in p.items() if k != "order"} for p in best[:most]])
+                reasons.append(list(why.items()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(plans, sent), pa.array(reasons, pa.map_(pa.string(), pa.int64()))], names=["id", "t_s", "t_e", "plans", "reasons"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select("id", "t_s", "t_e", "s", "arms").mapInArrow(run, f"id {kinds['id']}, t_s {kinds['t_s']}, t_e {kinds['t_e']}, plans {_PLAN}, reasons map<string,bigint>")
+
+
+def ranked(judged: DataFrame) -> DataFrame:
+    """(id, t_s, t_e, rank, up, down, u_top, d_top, strategy, collateral, sites): a row for each plan."""
+    return judged.select("id", "t_s", "t_e", F.explode("plans").alias("p")).select("id", "t_s", "t_e", "p.*")
+
+
+def reasons(judged: DataFrame) -> DataFrame:
+    """(id, reason, n): the histogram of refusals of each target."""
+    return judged.select("id", F.explode("reasons").alias("reason", "n"))
+
+
+def simulate(plans: DataFrame, seqs: DataFrame, signatures: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
+    """plans (id, up, down, u_top, d_top, sites) with the product of the digest, cross-checked: `product` is the edit
+    in the parent's frame; `retained` the fragment that the sites (all cuts of the plan's enzymes) leave and that closes on its own
+    ends (see fragments), null with a `refusal` where there is no such one; `verified` that both are one circle, that the
+    cut junctions are gone and that every protected stretch (id, p_s, p_e) is in the product."""
+    p = plans.join(seqs.select("id", "s"), "id")
+    p = p.withColumn("signature", F.lit(None).cast("string")) if signatures is None else p.join(signatures, "id", "left")
+    p = p.withColumn("_kept", fragments.kept_fragment(F.col("s"), F.col("sites"), F.col("signature"))).withColumns({"retained": F.col("_kept")["retained"], "refusal": F.col("_kept")["refusal"]}).drop("_kept", "signature", "sites")
     p = p.withColumn("product", delete_span("s", F.col("u_top"), F.col("d_top")))
     around = lambda top: circular_slice("s", F.col(top) - 20, F.col(top) + 20)
     twice = F.concat("product", "product")
@@ -102,20 +135,19 @@ def regenerated(plans: DataFrame, pool="CommOnly") -> DataFrame:
     return still_cut(plans, "product", ["up", "down"], pool)
 
 
-def plan(seqs: DataFrame, cuts: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", max_alternatives: int = 10, tries: int = 15) -> tuple[DataFrame, DataFrame]:
+def plan(seqs: DataFrame, targets: DataFrame, protected: DataFrame | None = None, pool="CommOnly", max_alternatives: int = 10, tries: int = 15) -> tuple[DataFrame, DataFrame]:
     """(plans, reasons): the verified plans of each target, best first, max_alternatives + 1 at most,
     out of the max_alternatives + tries best candidates; and the refusals."""
-    pairs = cut(ranked(candidate_pairs(cuts, targets, protected, pool)), "excision_pairs")
-    best = pairs.where(F.col("rank") <= max_alternatives + tries)
-    done = simulate(best, seqs, cuts, signature(protected, seqs) if protected is not None else None, protected).where("verified").drop("refusal", "n_frags")
+    judged = cut(judge(seqs, targets, protected, pool, most=max_alternatives + tries), "excision_plans")
+    done = simulate(ranked(judged), seqs, signature(protected, seqs) if protected is not None else None, protected).where("verified").drop("refusal")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
     plans = done.withColumn("alt_rank", nth - 1).where(F.col("alt_rank") <= max_alternatives)
-    return regenerated(plans, pool), reasons(pairs, cuts, targets)
+    return regenerated(plans, pool), reasons(judged)
 
 
 def best_or_refusal(plans: DataFrame, why: DataFrame, targets: DataFrame, top: int = 5) -> DataFrame:
     """A row per target: the best plan, or feasible = false and its most frequent reasons."""
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "reason"))
     said = why.withColumn("r", nth).where(F.col("r") <= top).groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
-    first = plans.where("alt_rank = 0").drop("status", "t_s", "t_e")
+    first = plans.where("alt_rank = 0").drop("t_s", "t_e")
     return targets.join(first, "id", "left").join(said, "id", "left").withColumn("feasible", F.col("up").isNotNull())

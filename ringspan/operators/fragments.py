@@ -43,20 +43,29 @@ def turned_end(end: Column) -> Column:
     return F.concat(F.substring_index(end, ":", 1), F.lit(":"), reverse_complement(F.substring_index(end, ":", -1)))
 
 
+def fragments_of(s: Column, sites: Column) -> Column:
+    """The fragments of a circle by an array of cuts (top, bottom), in the order of their starts, as an array of (start, stop, top, bottom,
+    left, right, interferes). stop may pass the length."""
+    n = F.length(s)
+    cuts = F.array_sort(F.array_distinct(F.transform(sites, lambda x: F.struct(x["top"].alias("top"), (x["top"] - x["bottom"]).alias("over")))))
+
+    def one(i):
+        a, last = F.get(cuts, i), i + 1 == F.size(cuts)
+        z = F.get(cuts, F.when(last, F.lit(0)).otherwise(i + 1))
+        start, stop = a["top"], z["top"] + F.when(last, n).otherwise(0)
+        b_s, b_e = start - a["over"], stop - z["over"]
+        return F.struct(start.alias("start"), stop.alias("stop"), _arc(s, start, stop).alias("top"), _arc(s, b_s, b_e).alias("bottom"), end_of(s, start, b_s).alias("left"), end_of(s, stop, b_e).alias("right"), ((stop <= start) | (b_e <= b_s)).alias("interferes"))
+
+    return F.when((n > 0) & (F.size(sites) > 0), F.transform(F.sequence(F.lit(0), F.size(cuts) - 1), one))
+
+
 def digest(circles: DataFrame, cuts: DataFrame) -> DataFrame:
     """(id, frag, n_frags, start, stop, top, bottom, left, right, interferes): the fragments of each circle (id, s) by
-    all the given cuts (id, top, bottom), in the order of their starts. stop may pass the length."""
+    all the given cuts (id, top, bottom), in the order of their starts."""
     settle(circles.sparkSession)
-    at = cuts.select("id", F.struct("top", (F.col("top") - F.col("bottom")).alias("over")).alias("c")).groupBy("id").agg(F.sort_array(F.collect_set("c")).alias("c"))
-    n = F.length("s")
-    rows = circles.select("id", "s").where(n > 0).join(at, "id")
-    following = F.when(F.col("frag") + 1 < F.size("c"), F.get("c", F.col("frag") + 1)).otherwise(F.get("c", F.lit(0)))
-    rows = rows.select("id", "s", "c", F.posexplode("c").alias("frag", "a")).withColumn("z", following)
-    last = F.col("frag") + 1 == F.size("c")
-    rows = rows.withColumns({"n_frags": F.size("c"), "start": F.col("a.top"), "stop": F.col("z.top") + F.when(last, n).otherwise(0)})
-    b_s, b_e = F.col("start") - F.col("a.over"), F.col("stop") - F.col("z.over")
-    s = F.col("s")
-    return rows.select("id", "frag", "n_frags", "start", "stop", _arc(s, F.col("start"), F.col("stop")).alias("top"), _arc(s, b_s, b_e).alias("bottom"), end_of(s, F.col("start"), b_s).alias("left"), end_of(s, F.col("stop"), b_e).alias("right"), ((F.col("stop") <= F.col("start")) | (b_e <= b_s)).alias("interferes"))
+    at = cuts.groupBy("id").agg(F.collect_set(F.struct("top", "bottom")).alias("sites"))
+    made = circles.select("id", "s").join(at, "id").select("id", fragments_of(F.col("s"), F.col("sites")).alias("f"))
+    return made.select("id", F.size("f").alias("n_frags"), F.posexplode("f").alias("frag", "x")).select("id", "frag", "n_frags", "x.*")
 
 
 def closes(left="left", right="right", interferes="interferes") -> Column:
@@ -158,16 +167,18 @@ def released(circles: DataFrame, plans: DataFrame, cuts: DataFrame, enzymes: lis
     return made.select(F.col("id.id").alias("own"), F.col("id.plan").alias("plan"), *[c for c in made.columns if c != "id"]).withColumnRenamed("own", "id")
 
 
-def kept_fragment(fragments: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
-    """(id, plan, n_frags, retained, refusal): of each digest the fragment that stays: the one that holds the
-    signature (id, signature) of its circle, or the longer one (the later of equals) where there is none. Another number
-    than two of fragments, cuts that interfere, a signature in none or both, and ends that do not ligate are refusals."""
-    f = fragments
-    if signatures is None:
-        f = f.withColumn("signature", F.lit(None).cast("string"))
-    else:
-        f = f.join(signatures, "id", "left")
-    f = f.withColumn("holds", F.when(F.col("signature").isNotNull(), F.contains("top", "signature")))
-    best = f.groupBy("id", "plan").agg(F.max(F.struct("holds", F.length("top").alias("n"), "frag", "top", closes().alias("closes"))).alias("m"), F.max("n_frags").alias("n_frags"), F.max("interferes").alias("interferes"), F.sum(F.col("holds").cast("int")).alias("holding"))
-    why = F.when(F.col("interferes"), "cuts interfere").when(F.col("n_frags") != 2, F.format_string("the digest gives %d fragments", F.col("n_frags"))).when(F.col("holding") != 1, "the fragment to retain is not told apart").when(~F.col("m.closes"), "the ends of the retained fragment do not ligate")
-    return best.select("id", "plan", "n_frags", F.when(why.isNull(), F.col("m.top")).alias("retained"), why.alias("refusal"))
+def kept_fragment(s: Column, sites: Column, signature: Column) -> Column:
+    """(retained, refusal): the fragment of a circle's digest that stays: the one that holds the signature, or the
+    longer one (the later of equals) where that is null. Another number than two of fragments, cuts that interfere, a
+    signature in none or both, and ends that do not ligate are refusals."""
+    f = fragments_of(s, sites)
+    marked = F.transform(f, lambda x: F.struct(F.when(signature.isNotNull(), F.contains(x["top"], signature)).alias("holds"), F.length(x["top"]).alias("n"), x["start"].alias("start"), x["top"].alias("top"), (x["left"] == x["right"]).alias("closes"), x["interferes"].alias("interferes")))
+
+    def told(m):
+        best = F.array_max(m)
+        holding = F.size(F.filter(m, lambda x: x["holds"]))
+        why = F.when(F.exists(m, lambda x: x["interferes"]), "cuts interfere").when(F.size(m) != 2, F.format_string("the digest gives %d fragments", F.size(m))).when(signature.isNotNull() & (holding != 1), "the fragment to retain is not told apart").when(~best["closes"], "the ends of the retained fragment do not ligate")
+        return F.struct(F.when(why.isNull(), best["top"]).alias("retained"), why.alias("refusal"))
+
+    # an array of one, so that the fragments are made once
+    return F.coalesce(F.transform(F.array(marked), told)[0], F.struct(F.lit(None).cast("string").alias("retained"), F.lit("no cut").alias("refusal")))

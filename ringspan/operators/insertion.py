@@ -6,12 +6,16 @@ donor and the fragment on it. All joins carry the pair.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringspan.functions.sequences import circular_equal, circular_slice, replace_span, reverse_complement
 from ringspan.operators import fragments, pcr
-from ringspan.operators.enzymes import cut_sites, enzymes, still_cut, strategy
+from ringspan.operators.enzymes import Finder, catalogue, cut_sites, enzymes, still_cut
 from ringspan.operators.intervals import overlaps
 from ringspan.session import cut, settle
 
@@ -22,63 +26,116 @@ def normalise_insert(text) -> Column:
     return F.when(clean.rlike("^[ACGTRYSWKMBDHVN]+$"), clean)
 
 
-def nearest_flanks(cuts: DataFrame, most: int = 30) -> DataFrame:
-    """(id, side, enzyme, top, nth): the nearest unique cuts on either side of a site; cuts carry
-    t_s and t_e."""
-    once = cuts.where("n_cuts = 1")
-    up = once.where("top <= t_s").select("id", F.lit("up").alias("side"), "enzyme", "top", (F.col("t_s") - F.col("top")).alias("far"))
-    down = once.where("top >= t_e").select("id", F.lit("down").alias("side"), "enzyme", "top", (F.col("top") - F.col("t_e")).alias("far"))
-    nth = F.row_number().over(Window.partitionBy("id", "side").orderBy("far", "enzyme"))
-    return up.union(down).withColumn("nth", nth).where(F.col("nth") <= most).drop("far")
-
-
-def donor_options(flanks: DataFrame, donor_cuts: DataFrame, pool="CommOnly", most: int = 6) -> DataFrame:
-    """(id, side, v_enzyme, v_top, enzyme, top, n_cuts, opt): for each vector cut, the donor cuts that
-    leave a matching end beyond the fragment: the same enzyme first, then few cuts, then near ones.
-    donor_cuts carry d_s and d_e."""
-    spark = flanks.sparkSession
-    settle(spark)
-    dim = enzymes(spark, pool).select("name", F.col("end").alias("k"))
-    v = flanks.join(dim, F.col("enzyme") == F.col("name")).select("id", "side", F.col("enzyme").alias("v_enzyme"), F.col("top").alias("v_top"), "k")
-    d = donor_cuts.join(dim, F.col("enzyme") == F.col("name")).select("id", "enzyme", "top", "n_cuts", "d_s", "d_e", "k")
-    both = v.join(d, ["id", "k"]).where(((F.col("side") == "up") & (F.col("top") <= F.col("d_s"))) | ((F.col("side") == "down") & (F.col("top") >= F.col("d_e"))))
-    far = F.when(F.col("side") == "up", F.col("d_s") - F.col("top")).otherwise(F.col("top") - F.col("d_e"))
-    order = Window.partitionBy("id", "side", "v_enzyme", "v_top").orderBy((F.col("enzyme") != F.col("v_enzyme")).cast("int"), "n_cuts", far, "enzyme", "top")
-    return both.withColumn("opt", F.row_number().over(order)).where(F.col("opt") <= most).select("id", "side", "v_enzyme", "v_top", "enzyme", "top", "n_cuts", "opt")
+#: Unique cuts of the vector on either side of its site, and donor cuts for each, that are tried.
+FLANKS, OPTIONS = 30, 6
+_FAR = 1 << 40
+
+
+def _flanks(find: Finder, text: str, start: int, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(enzyme, top) of the nearest unique cuts before and after a site."""
+    enzyme, top, many = find.cuts(text)
+    out = []
+    for side, far in ((top <= start, start - top), (top >= end, top - end)):
+        at = np.flatnonzero((many == 1) & side)
+        at = at[np.lexsort((enzyme[at], far[at]))][:FLANKS]
+        out.append((enzyme[at], top[at]))
+    return out
+
+
+class _Donor:
+    """The cuts of a donor, by enzyme and place, and the fragment on it."""
+
+    def __init__(self, find: Finder, text: str, start: int, end: int):
+        self.enzyme, self.top, self.many = find.cuts(text)
+        self.span = start, end
+        self.end = find.ends[self.enzyme]
+        alone = np.diff(self.enzyme) != 0
+        self.next = np.append(np.where(alone, _FAR, self.top[1:]), _FAR)[: len(self.top)]
+        self.before = np.insert(np.where(alone, -_FAR, self.top[:-1]), 0, -_FAR)[: len(self.top)]
+
+    def options(self, side: int, enzyme: int, end: int) -> np.ndarray:
+        """Cuts that leave a matching end beyond the fragment: of the same enzyme first, then of enzymes of few cuts, then near ones."""
+        far = self.span[0] - self.top if side == 0 else self.top - self.span[1]
+        at = np.flatnonzero((self.end == end) & (far >= 0))
+        return at[np.lexsort((self.top[at], self.enzyme[at], far[at], self.many[at], self.enzyme[at] != enzyme))][:OPTIONS]
+
+    def table(self, side: int, enzymes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(flanks, OPTIONS): the options of each flank, -1 for none."""
+        out = np.full((len(enzymes), OPTIONS), -1)
+        for i, (e, k) in enumerate(zip(enzymes.tolist(), ends.tolist(), strict=True)):
+            if k >= 0:
+                got = self.options(side, e, k)
+                out[i, : len(got)] = got
+        return out
+
+
+def _route(find: Finder, v: str, v_s: int, v_e: int, d: str, d_s: int, d_e: int, arms: list[dict]) -> tuple[dict | None, Counter]:
+    """The best way to subclone, and the histogram of refusals."""
+    (ue, ut), (de, dt) = _flanks(find, v, v_s, v_e)
+    donor, why = _Donor(find, d, d_s, d_e), Counter()
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(ue)), np.arange(len(de)), indexing="ij"))
+    keep = ue[i] != de[j]
+    i, j = i[keep], j[keep]
+    free = np.ones(len(i), dtype=bool)
+    for arm in arms:  # the first that is hurt gives the reason
+        hit = free & (ut[i] < arm["p_e"]) & (arm["p_s"] < dt[j])
+        why[f"opening the vector would damage {arm['label']}"] += int(hit.sum())
+        free &= ~hit
+    i, j = i[free], j[free]
+    u, w = donor.table(0, ue, find.ends[ue]), donor.table(1, de, find.ends[de])
+    lacks = (u[i, 0] < 0) | (w[j, 0] < 0)
+    why["donor lacks a compatible flanking site"] = int(lacks.sum())
+    i, j = i[~lacks], j[~lacks]
+    x, y = u[i][:, :, None], w[j][:, None, :]
+    ok = (x >= 0) & (y >= 0) & (donor.top[x] < donor.top[y]) & (donor.next[x] >= donor.top[y]) & (donor.before[y] <= donor.top[x]) if len(i) else np.zeros((0, OPTIONS, OPTIONS), dtype=bool)
+    ok = ok.reshape(len(i), OPTIONS * OPTIONS)
+    fits = ok.any(axis=1)
+    why["every candidate enzyme cuts inside the insert fragment"] = int((~fits).sum())
+    first, i, j = ok[fits].argmax(axis=1), i[fits], j[fits]
+    if not len(i):
+        return None, +why
+    x, y = u[i, first // OPTIONS], w[j, first % OPTIONS]
+    unlike = (find.ends[ue[i]] != find.ends[de[j]]) | (find.ends[ue[i]] < 0)
+    same = (donor.enzyme[x] == ue[i]) & (donor.enzyme[y] == de[j])
+    v_extra, d_extra = dt[j] - ut[i] - (v_e - v_s), donor.top[y] - donor.top[x] - (d_e - d_s)
+    suppliers = find.suppliers[ue[i]] + find.suppliers[de[j]]
+    k = np.lexsort((de[j], ue[i], find.canonical[de[j]], find.canonical[ue[i]], -suppliers, d_extra, v_extra, ~same, ~unlike))[0]
+    name = lambda e: find.names[int(e)]
+    best = {"ue": name(ue[i[k]]), "ut": ut[i[k]], "de": name(de[j[k]]), "dt": dt[j[k]], "ude": name(donor.enzyme[x[k]]), "udt": donor.top[x[k]], "dde": name(donor.enzyme[y[k]]), "ddt": donor.top[y[k]]}
+    return {**best, "directional": bool(unlike[k]), "same_enzymes": bool(same[k]), "v_extra": v_extra[k], "d_extra": d_extra[k], "suppliers": suppliers[k]}, +why
+
+
+_ROUTE = "ue string, ut int, de string, dt int, ude string, udt int, dde string, ddt int, directional boolean, same_enzymes boolean, v_extra int, d_extra int, suppliers int"
 
 
 def restriction_routes(vectors: DataFrame, donors: DataFrame, protected: DataFrame | None = None, pool="CommOnly") -> tuple[DataFrame, DataFrame]:
-    """(routes, reasons): the best way to subclone each pair, and the refusals (id, reason, n)."""
-    spark = vectors.sparkSession
-    settle(spark)
-    v_cuts = cut(cut_sites(vectors, pool, "pair_id", "v"), "vector_cuts").join(vectors.select(F.col("pair_id").alias("id"), F.col("v_s").alias("t_s"), F.col("v_e").alias("t_e")), "id")
-    d_cuts = cut(cut_sites(donors, pool, "pair_id", "d"), "donor_cuts").join(donors.select(F.col("pair_id").alias("id"), "d_s", "d_e"), "id")
-    flanks = nearest_flanks(v_cuts)
-    up, down = flanks.where("side = 'up'"), flanks.where("side = 'down'")
-    pairs = up.select("id", F.col("enzyme").alias("ue"), F.col("top").alias("ut")).join(down.select("id", F.col("enzyme").alias("de"), F.col("top").alias("dt")), "id").where("ue <> de")
-    pairs = pairs.withColumn("status", F.lit(None).cast("string"))
-    if protected is not None:
-        hurt = pairs.join(protected, "id").where(overlaps(F.col("ut"), F.col("dt"), F.col("p_s"), F.col("p_e"))).groupBy("id", "ue", "de", "ut", "dt").agg(F.min_by("label", F.struct("p_s", "label")).alias("hurt"))
-        pairs = pairs.join(hurt, ["id", "ue", "de", "ut", "dt"], "left").withColumn("status", F.when(F.col("hurt").isNotNull(), F.concat(F.lit("opening the vector would damage "), "hurt"))).drop("hurt")
-    opts = donor_options(flanks, d_cuts, pool)
-    side = lambda s, p: opts.where(F.col("side") == s).select("id", F.col("v_enzyme").alias(f"{p}e"), F.col("v_top").alias(f"{p}t"), F.col("enzyme").alias(f"{p}de"), F.col("top").alias(f"{p}dt"), F.col("opt").alias(f"{p}o"))
-    open_ = pairs.where("status is null")
-    met = open_.join(side("up", "u"), ["id", "ue", "ut"]).join(side("down", "d"), ["id", "de", "dt"]).where("udt < ddt")
-    cut_in = met.alias("m").join(d_cuts.select("id", "enzyme", "top").alias("c"), (F.col("m.id") == F.col("c.id")) & (F.col("c.enzyme").isin(F.col("m.ude"), F.col("m.dde"))) & (F.col("c.top") > F.col("m.udt")) & (F.col("c.top") < F.col("m.ddt")), "left_anti")
-    first = F.row_number().over(Window.partitionBy("id", "ue", "ut", "de", "dt").orderBy("uo", "do"))
-    whole = cut_in.withColumn("r", first).where("r = 1").drop("r")
-    key = ["id", "ue", "ut", "de", "dt"]
-    has = opts.groupBy("id", F.col("v_enzyme").alias("e"), F.col("v_top").alias("t"), "side").agg(F.lit(True).alias("has"))
-    judged = open_.join(has.where("side = 'up'").select("id", F.col("e").alias("ue"), F.col("t").alias("ut"), F.col("has").alias("hu")), ["id", "ue", "ut"], "left").join(has.where("side = 'down'").select("id", F.col("e").alias("de"), F.col("t").alias("dt"), F.col("has").alias("hd")), ["id", "de", "dt"], "left")
-    judged = judged.join(whole.select(*key).distinct().withColumn("ok", F.lit(True)), key, "left").withColumn("status", F.when(F.col("ok").isNotNull(), None).when(F.col("hu").isNull() | F.col("hd").isNull(), "donor lacks a compatible flanking site").otherwise("every candidate enzyme cuts inside the insert fragment"))
-    why = judged.where("status is not null").select("id", "status").union(pairs.where("status is not null").select("id", "status")).groupBy("id", F.col("status").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    dim = enzymes(spark, pool).select("name", "kind", "end", "canonical", "supplier_count")
-    scored = whole.join(dim.alias("a"), F.col("ue") == F.col("a.name")).join(dim.alias("b"), F.col("de") == F.col("b.name"))
-    scored = scored.join(vectors.select(F.col("pair_id").alias("id"), "v_s", "v_e"), "id").join(donors.select(F.col("pair_id").alias("id"), "d_s", "d_e"), "id")
-    scored = scored.select("id", "ue", "ut", "de", "dt", "ude", "udt", "dde", "ddt", strategy("a", "b").isNull().alias("directional"), ((F.col("ue") == F.col("ude")) & (F.col("de") == F.col("dde"))).alias("same_enzymes"), (F.col("dt") - F.col("ut") - (F.col("v_e") - F.col("v_s"))).alias("v_extra"), (F.col("ddt") - F.col("udt") - (F.col("d_e") - F.col("d_s"))).alias("d_extra"), (F.coalesce(F.col("a.supplier_count"), F.lit(0)) + F.coalesce(F.col("b.supplier_count"), F.lit(0))).alias("suppliers"), F.col("a.canonical").alias("cu"), F.col("b.canonical").alias("cd"))
-    order = Window.partitionBy("id").orderBy(F.desc("directional"), F.desc("same_enzymes"), "v_extra", "d_extra", F.desc("suppliers"), "cu", "cd", "ue", "de")
-    best = scored.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "cu", "cd")
-    return best, why
+    """(routes, reasons): the best way to subclone each pair, and the refusals (id, reason, n). Everything that concerns a pair is found
+    where its vector and its donor are brought together: cuts, the nearest flanks of the site, donor cuts with matching
+    ends, and the best of what fits."""
+    settle(vectors.sparkSession)
+    pool = pool if isinstance(pool, str) else sorted(pool)
+    catalogue(pool)
+    rows = vectors.select(F.col("pair_id").alias("id"), "v", "v_s", "v_e").join(donors.select(F.col("pair_id").alias("id"), "d", "d_s", "d_e"), "id")
+    kind = "array<struct<p_s:int,label:string,p_e:int>>"
+    if protected is None:
+        rows = rows.withColumn("arms", F.array().cast(kind))
+    else:
+        rows = rows.join(protected.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("p_s").cast("int").alias("p_s"), "label", F.col("p_e").cast("int").alias("p_e")))).cast(kind).alias("arms")), "id", "left")
+    ints = {"ut", "dt", "udt", "ddt", "v_extra", "d_extra", "suppliers"}
+    sent = pa.struct([(n, pa.int32() if n in ints else pa.bool_() if n in ("directional", "same_enzymes") else pa.string()) for n in (c.split()[0] for c in _ROUTE.split(", "))])
+
+    def run(batches):
+        find = Finder(pool)
+        for b in batches:
+            found, reasons = [], []
+            for v, v_s, v_e, d, d_s, d_e, arms in zip(*(b.column(c).to_pylist() for c in range(1, 8)), strict=True):
+                best, why = _route(find, v or "", v_s, v_e, d or "", d_s, d_e, arms or [])
+                found.append(best and {k: int(x) if k in ints else x for k, x in best.items()})
+                reasons.append(list(why.items()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, sent), pa.array(reasons, pa.map_(pa.string(), pa.int64()))], names=["id", "route", "reasons"])
+
+    made = cut(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, route struct<{', '.join(':'.join(c.split()) for c in _ROUTE.split(', '))}>, reasons map<string,bigint>"), "routes")
+    return made.where("route is not null").select("id", "route.*"), made.select("id", F.explode("reasons").alias("reason", "n"))
 
 
 def restriction_products(routes: DataFrame, vectors: DataFrame, donors: DataFrame, pool="CommOnly") -> DataFrame:

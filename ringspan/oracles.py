@@ -290,6 +290,6 @@ path AS (SELECT reaction, 0 AS a, false AS af, [0] AS used, '0' AS route, t AS g
 tally AS (SELECT reaction, count(*) FILTER (len(used) - 1 = n_pieces) AS n_products, count(*) FILTER (len(used) - 1 < n_pieces) AS n_partial, min(route) FILTER (len(used) - 1 = n_pieces) AS route, min(grown) FILTER (len(used) - 1 = n_pieces) AS product FROM path JOIN sizes USING (reaction) WHERE done GROUP BY 1)
 SELECT reaction, n_pieces, coalesce(n_products, 0) AS n_products, coalesce(n_partial, 0) AS n_partial, CASE WHEN n_products = 1 THEN route END AS route, CASE WHEN n_products = 1 THEN CAST(length(product) AS INTEGER) END AS product_bp, CASE WHEN n_products = 1 THEN md5(product) END AS product_md5, CASE WHEN NOT opened THEN 'no backbone' WHEN coalesce(n_products, 0) = 0 THEN 'no closed product holds every piece' WHEN n_products > 1 THEN n_products || ' closed products hold every piece' END AS reason FROM sizes LEFT JOIN tally USING (reaction)"""
 _KEPT = _ROUTES.replace("AND u.enzyme <> d.enzyme)", "AND u.enzyme <> d.enzyme WHERE NOT EXISTS (SELECT 1 FROM arms a WHERE a.id = u.id AND u.top < a.p_e AND a.p_s < d.top))")
-SQL["insertion_protected"] = SQL["insertion_routes"].replace(_ROUTES, _ARMS + ", " + _KEPT).replace(", CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, true AS verified, CAST(bp AS INTEGER) AS product_bp", "").replace("directional, same_enzymes FROM", "directional FROM")
+SQL["insertion_protected"] = SQL["insertion_routes"].replace(_ROUTES, _ARMS + ", " + _KEPT).replace(", CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, verified, CAST(bp AS INTEGER) AS product_bp", "").replace("directional, same_enzymes FROM", "directional FROM")
 SQL["insertion_openings_protected"] = SQL["insertion_openings"].replace(", c AS (SELECT id, enzyme", f", {_ARMS}, c AS (SELECT id, enzyme").replace("AND d.top - u.top <= 200)", "AND d.top - u.top <= 200 AND NOT EXISTS (SELECT 1 FROM arms a WHERE a.id = u.id AND u.top < a.p_e AND a.p_s < d.top))")
 SQL["insertion_preps"] = "WITH op AS (" + SQL["insertion_openings_protected"].replace("<= 200", "<= 80") + f"), {SEQS}, {VD}, x AS (SELECT vd.*, ut IS NOT NULL AS cut, coalesce(ut, v_s) AS o_s, coalesce(dt, v_e) AS o_e, substr(d, d_s + 1, 30) AS ins FROM vd LEFT JOIN op USING (id)) SELECT id, CASE WHEN cut THEN 'digest' ELSE 'pcr' END AS prep, CAST(o_s AS INTEGER) AS o_s, CAST(o_e AS INTEGER) AS o_e, substr(v || v || v, length(v) + o_s - 24, 25) AS up_arm, substr(v || v || v, length(v) + o_e + 1, 25) AS down_arm, CAST(80 AS INTEGER) AS order_bp, md5(substr(v, 1, o_s) || ins || substr(v, o_e + 1)) AS product_md5, true AS verified, NOT cut AS has_primers FROM x"

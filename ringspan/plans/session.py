@@ -175,7 +175,7 @@ class Session:
         guarded, lost = self._protected(row, span, turned, protect), self._lost(row, span, turned)
         one = self.spark.createDataFrame([(row["label"], whole["s"])], "id string, s string")
         t = self.spark.createDataFrame([(row["label"], *span)], "id string, t_s int, t_e int")
-        plans, why = excision.plan(one, enzymes.cut_sites(one, self.pool), t, guarded, self.pool)
+        plans, why = excision.plan(one, t, guarded, self.pool)
         best = excision.best_or_refusal(plans, why, t).first()
         if method in ("auto", "restriction"):
             if best["feasible"]:

@@ -287,25 +287,24 @@ def enzyme_dimension(spark, d):
     return e.select("name", "site", "size", "top_off", "ovhg", "kind", "ovhg_seq", "canonical")
 
 
-def _cuts_and_targets(spark, d):
+def _judged(spark, d):
     s = seqs(spark, d)
-    return s, cut(enzymes.cut_sites(s), "cuts"), targets(s), guarded(s)
+    return excision.judge(s, targets(s), guarded(s))
 
 
 def excision_best(spark, d):
-    s, cuts, t, p = _cuts_and_targets(spark, d)
-    r = excision.ranked(excision.candidate_pairs(cuts, t, p))
+    r = excision.ranked(_judged(spark, d))
     return r.where("rank = 1").select("id", "up", "down", "u_top", "d_top", "strategy", "collateral")
 
 
 def excision_reasons(spark, d):
-    s, cuts, t, p = _cuts_and_targets(spark, d)
-    return excision.reasons(excision.ranked(excision.candidate_pairs(cuts, t, p)), cuts, t)
+    return excision.reasons(_judged(spark, d))
 
 
 def excision_plans(spark, d):
-    s, cuts, t, p = _cuts_and_targets(spark, d)
-    plans, why = excision.plan(s, cuts, t, p)
+    s = seqs(spark, d)
+    t = targets(s)
+    plans, why = excision.plan(s, t, guarded(s))
     r = excision.best_or_refusal(plans, why, t)
     return r.select("id", "feasible", "up", "down", "u_top", "d_top", "strategy", "junction", "site_regenerated", F.length("product").alias("product_bp"), F.to_json("reasons").alias("reasons"))
 

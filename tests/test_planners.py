@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ringspan.operators import enzymes, excision, insertion, intervals, pcr
+from ringspan.operators import excision, insertion, intervals, pcr
 
 
 def filler(n, seed, forbidden):
@@ -28,7 +28,7 @@ def plan(spark, s, span, pool, protected=None):
     seqs = spark.createDataFrame([("p", s)], "id string, s string")
     t = spark.createDataFrame([("p", *span)], "id string, t_s int, t_e int")
     p = spark.createDataFrame(protected, "id string, label string, p_s int, p_e int") if protected else None
-    plans, why = excision.plan(seqs, enzymes.cut_sites(seqs, pool), t, p, pool)
+    plans, why = excision.plan(seqs, t, p, pool)
     return excision.best_or_refusal(plans, why, t).first()
 
 
