@@ -142,6 +142,19 @@ def gibson_mix(pairs: DataFrame, cfg: dict | None = None) -> DataFrame:
     return with_water(rows, g["total_ul"])
 
 
+def gibson_mix_many(backbones: DataFrame, inserts: DataFrame, cfg: dict | None = None) -> DataFrame:
+    """Component rows of assemblies of any number of inserts, with the water. backbones: (reaction, b_bp, b_conc); inserts: (reaction,
+    nth from 1, component, i_bp, i_conc). Each insert gets the molar excess over the backbone; an insert of a reaction without a
+    backbone has no row; water is negative where the volumes pass the total, null where one is not known."""
+    g = bench_config(cfg)["gibson"]
+    fmol = ng_to_fmol(F.lit(float(g["backbone_ng"])), F.col("b_bp"))
+    base = _rows(backbones, (g["master_mix"], g["total_ul"] * g["master_mix_fraction"], None, None, None), ("backbone", None, float(g["backbone_ng"]), fmol, F.col("b_conc")))
+    each = inserts.join(backbones.select("reaction", (fmol * g["insert_molar_excess"]).alias("fmol")), "reaction")
+    null = F.lit(None).cast("double")
+    rows = each.select("reaction", (F.col("nth") + 1).cast("int").alias("nth"), "component", null.alias("fixed_ul"), fmol_to_ng(F.col("fmol"), F.col("i_bp")).alias("ng"), "fmol", F.col("i_conc").cast("double").alias("ng_per_ul"))
+    return with_water(base.unionByName(rows.withColumn("ul", row_volume(F.col("fixed_ul"), F.col("ng"), F.col("ng_per_ul")))), g["total_ul"])
+
+
 def ligation_mix(pairs: DataFrame, cfg: dict | None = None) -> DataFrame:
     """Component rows of ligations (reaction, b_bp, b_conc, i_bp, i_conc), with the water."""
     g = bench_config(cfg)["ligation"]

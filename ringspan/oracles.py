@@ -132,6 +132,11 @@ def _dilution(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN 'unknown' WHEN {c} <= 1 THEN 'neat' ELSE 'ok' END AS status, CASE WHEN {ok} THEN CASE {steps} END ELSE 0 END AS pre_steps, CASE WHEN {ok} THEN CASE {final} END END AS final_ul, {c} AS c"
 
 
+def _stocked(rows) -> str:
+    return f"stocked AS (SELECT DISTINCT s_suppkey, name FROM (SELECT s_suppkey, unnest([s_suppkey * 5 % {len(rows)}, s_suppkey * 11 % {len(rows)}, (s_suppkey * 17 + 3) % {len(rows)}]) AS i FROM supplier) JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM enz) USING (i))"
+
+
+_LOOKUP = _with(ENZ, COND) + ", sold AS (SELECT site, top_off, ovhg, min(c.name) AS sold_as FROM enz JOIN cond c USING (name) GROUP BY 1, 2, 3) SELECT e.name AS enzyme, c.name AS sold_as, c.temp_c, c.minutes, c.bp_from_end, c.inactivation, c.star_h FROM enz e LEFT JOIN cond o ON o.name = e.name LEFT JOIN sold s ON s.site = e.site AND s.top_off = e.top_off AND s.ovhg = e.ovhg LEFT JOIN cond c ON c.name = coalesce(o.name, s.sold_as)"
 SQL = {
     "seq_projections": _with(SEQS) + f"SELECT id, CAST(length(s) AS INTEGER) AS length, md5({_rc('s')}) AS rc_md5, round({_GC.format(s='s')}, 6) AS gc, CAST({_HOMO.format(s='s')} AS INTEGER) AS homopolymer, substr(s || s || s, length(s) - 2, 6) AS origin, md5(substr(s, 2) || substr(s, 1, 1)) AS turned_md5 FROM seqs",
     "rotation_fingerprint": _with(SHORT, CANON) + "SELECT id, canonical, substr(sha256(canonical), 1, 16) AS fingerprint FROM canon",
@@ -164,8 +169,8 @@ SQL = {
     "graft_features": _with(FEATS) + "SELECT k, f, CASE WHEN f > 2 THEN s + 100 ELSE s END AS s, CASE WHEN f > 2 THEN e + 100 ELSE e END AS e FROM feats",
     "cut_sites": _with(SEQS, CUTS) + "SELECT id, enzyme, top, bottom, n_cuts FROM cuts",
     "unique_cutters": _with(SEQS, CUTS) + "SELECT id, enzyme, top, nth, total FROM (SELECT id, enzyme, top, CAST(row_number() OVER (PARTITION BY id ORDER BY top, enzyme) AS INTEGER) AS nth, count(*) OVER (PARTITION BY id) AS total FROM cuts WHERE n_cuts = 1) WHERE nth <= 40",
-    "ligation_pairs": _with(ENZ) + f"SELECT a.name AS a, b.name AS b, {_STRAT.format(a='a', b='b')} AS strategy FROM enz a CROSS JOIN enz b WHERE {_STRAT.format(a='a', b='b')} IS NOT NULL",
-    "enzyme_dimension": _with(ENZ) + "SELECT * FROM enz",
+    "ligation_pairs": _with(ENZ, _stocked(_ENZ)) + f"SELECT x.s_suppkey, a.name AS a, b.name AS b, {_STRAT.format(a='a', b='b')} AS strategy FROM stocked x JOIN stocked y USING (s_suppkey) JOIN enz a ON a.name = x.name JOIN enz b ON b.name = y.name WHERE {_STRAT.format(a='a', b='b')} IS NOT NULL",
+    "enzyme_dimension": _with(ENZ, _stocked(_ENZ)) + "SELECT s_suppkey, enz.* FROM stocked JOIN enz USING (name)",
     "excision_best": _with(SEQS, CUTS, ENZ, TARGETS, GUARD, PAIRS) + "SELECT id, up, down, u_top, d_top, strategy, CAST(collateral AS INTEGER) AS collateral FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sr, collateral, cu, cd, up, down) AS r FROM dedup WHERE dup = 1) WHERE r = 1",
     "excision_reasons": _with(SEQS, CUTS, ENZ, TARGETS, GUARD, PAIRS) + "SELECT id, status AS reason, count(*) AS n FROM pairs WHERE status IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT id, 'duplicate of an equischizomer', count(*) FROM dedup WHERE dup > 1 GROUP BY 1 UNION ALL SELECT id, 'enzyme cuts more than twice', count(DISTINCT enzyme) FROM cuts JOIN targets USING (id) WHERE n_cuts > 2 GROUP BY 1 UNION ALL SELECT id, 'no unique site upstream of the target', 1 FROM targets t WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.id = t.id AND n_cuts = 1 AND top <= t_s) UNION ALL SELECT id, 'no unique site downstream of the target', 1 FROM targets t WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.id = t.id AND n_cuts = 1 AND top >= t_e)",
     "primer_candidates": _with(SEQS, TARGETS, PRIMERS) + "SELECT id, role, len, seq, round(tm, 4) AS tm, round(gc, 4) AS gc, round(penalty, 4) AS penalty FROM scored",
@@ -178,14 +183,14 @@ SQL = {
     "dilution_plans": f"WITH x AS (SELECT s_suppkey, {STOCK.format(c='s_acctbal')} AS c0 FROM supplier), y AS (SELECT s_suppkey, {_dilution('c0')} FROM x) SELECT s_suppkey, status, CAST(pre_steps AS INTEGER) AS pre_steps, round(CAST(final_ul AS DOUBLE), 4) AS final_ul, round(final_ul / (c / power(100.0, pre_steps)), 4) AS take_ul, round(final_ul - final_ul / (c / power(100.0, pre_steps)), 4) AS water_ul FROM y",
     "gibson_mixes": f"WITH x AS (SELECT c_custkey AS reaction, 5000 + c_custkey % 1000 AS b, {STOCK.format(c='c_acctbal')} AS c, 100 + c_custkey % 77 AS i FROM customer), y AS (SELECT *, 1e8 / (b * 650) AS fm FROM x), r AS (SELECT reaction, 0 AS nth, '{BENCH['gibson']['master_mix']}' AS component, CAST(NULL AS DOUBLE) AS ng, CAST(NULL AS DOUBLE) AS fmol, 5.0::DOUBLE AS ul FROM y UNION ALL SELECT reaction, 1, 'backbone', 100.0, fm, 100 / c FROM y UNION ALL SELECT reaction, 2, 'insert', fm * 3 * i * 650 / 1e6, fm * 3, fm * 3 * i * 650 / 1e6 / 10 FROM y), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, NULL, CASE WHEN count(ul) = 3 THEN 10 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(ng, 6) AS ng, round(fmol, 6) AS fmol, round(ul, 6) AS ul FROM w",
     "ligation_mixes": f"WITH x AS (SELECT c_custkey AS reaction, 7000 + c_custkey % 1000 AS b, {STOCK.format(c='c_acctbal')} AS c FROM customer), r AS (SELECT reaction, 0 AS nth, 'backbone' AS component, CAST(15 AS DOUBLE) * b * 660 / 1e6 AS ng, CAST(15 AS DOUBLE) * b * 660 / 1e6 / c AS ul FROM x UNION ALL SELECT reaction, 1, 'insert', CAST(75 AS DOUBLE) * 300 * 660 / 1e6, CAST(75 AS DOUBLE) * 300 * 660 / 1e6 / 3.3 FROM x UNION ALL SELECT reaction, 2, '10x T4 DNA ligase buffer', NULL, 2 FROM x UNION ALL SELECT reaction, 3, 'T4 DNA ligase', NULL, 1 FROM x), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, CASE WHEN count(ul) = 4 THEN 20 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(CAST(ng AS DOUBLE), 6) AS ng, round(CAST(ul AS DOUBLE), 6) AS ul FROM w",
-    "conditions_lookup": _with(ENZ, COND) + ", sold AS (SELECT site, top_off, ovhg, min(c.name) AS sold_as FROM enz JOIN cond c USING (name) GROUP BY 1, 2, 3) SELECT e.name AS enzyme, c.name AS sold_as, c.temp_c, c.minutes, c.bp_from_end, c.inactivation, c.star_h FROM enz e LEFT JOIN cond o ON o.name = e.name LEFT JOIN sold s ON s.site = e.site AND s.top_off = e.top_off AND s.ovhg = e.ovhg LEFT JOIN cond c ON c.name = coalesce(o.name, s.sold_as)",
-    "genbank_round_trip": _with(SEQS) + "SELECT id, 'd' || id AS name, CAST(length(s) AS INTEGER) AS length, true AS same, true AS circular FROM seqs",
+    "conditions_lookup": _LOOKUP.replace("FROM enz e LEFT JOIN", "FROM stocked k JOIN enz e USING (name) LEFT JOIN").replace("SELECT e.name AS enzyme", "SELECT s_suppkey, e.name AS enzyme").replace(", sold AS", f", {_stocked(_ENZ)}, sold AS"),
+    "genbank_round_trip": _with(SEQS) + "SELECT id, left(regexp_replace('d' || id || ' a/' || left(s, 20), '[^A-Za-z0-9_.-]', '_', 'g'), 16) AS name, CAST(length(s) AS INTEGER) AS length, md5(s) AS md5, true AS circular FROM seqs",
     "search_caps": "SELECT q, c_custkey, nth, total FROM (SELECT c_nationkey AS q, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS nth, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer) WHERE nth <= 12",
     "source_union_first_owner": "SELECT s_suppkey AS plasmid_id, s_name AS label, 0 AS source FROM supplier UNION ALL SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "scan_dead_letter": f"WITH x AS (SELECT page_id, url, {_dna('html')} AS s FROM pages) SELECT page_id AS plasmid_id, CASE WHEN page_id % 3 = 0 AND s <> '' THEN CAST(length(s) AS INTEGER) END AS length, CASE WHEN page_id % 3 <> 0 THEN 'expected one record, found 0' WHEN s = '' THEN 'the record has no sequence' END AS error FROM x",
 }
 _DIG = f"dig AS (SELECT DISTINCT s_suppkey AS digest, name AS enzyme FROM (SELECT s_suppkey, unnest([s_suppkey % {len(_ENZ)}, s_suppkey * 7 % {len(_ENZ)}]) AS i FROM supplier) JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM enz) USING (i))"
-_LOOK = "look AS (" + SQL["conditions_lookup"].partition(", sold AS")[2].join(["WITH sold AS", ""]) + ")"
+_LOOK = "look AS (" + _LOOKUP.partition(", sold AS")[2].join(["WITH sold AS", ""]) + ")"
 SQL["digest_conditions"] = _with(ENZ, COND, _DIG, _LOOK) + "SELECT digest, CAST(max(try_cast(minutes AS INTEGER)) AS INTEGER) AS minutes, CASE WHEN count(DISTINCT temp_c) = 1 THEN min(temp_c) END AS temp_c, array_to_string(list_sort(coalesce(list(DISTINCT temp_c) FILTER (temp_c IS NOT NULL), [])), ';') AS temps, array_to_string(list_sort(coalesce(list(DISTINCT inactivation) FILTER (inactivation IS NOT NULL AND NOT lower(inactivation) LIKE 'no%'), [])), ';') AS inactivations, array_to_string(list_sort(coalesce(list(DISTINCT sold_as) FILTER (lower(inactivation) LIKE 'no%'), [])), ';') AS no_heat_kill, min(try_cast(star_h AS DOUBLE)) AS star_limit_h, array_to_string(list_sort(coalesce(list(DISTINCT enzyme) FILTER (sold_as IS NULL), [])), ';') AS unknown FROM dig JOIN look USING (enzyme) GROUP BY digest"
 _NAMES = "names AS (SELECT replace(c_name, '#', '') || '_' || lower(c_mktsegment) AS label FROM customer), asked AS (SELECT n_name AS asked FROM nation UNION SELECT c_name FROM customer UNION SELECT replace(c_name, '#', '') FROM customer UNION SELECT '0000' || r_regionkey FROM region)"
 SQL["resolve_name"] = _with(_NAMES) + ", hit AS (SELECT asked, label, CASE WHEN l = q THEN 1 WHEN split_part(l, '_', 1) = q THEN 2 WHEN starts_with(l, q) THEN 3 WHEN contains(l, q) THEN 4 END AS tier FROM (SELECT asked, lower(trim(asked)) AS q, label, lower(trim(label)) AS l FROM asked, names)), t AS (SELECT asked, min(tier) AS tier FROM hit GROUP BY asked) SELECT t.asked, t.tier, count(h.label) AS n, CASE WHEN count(h.label) = 1 THEN min(h.label) END AS label FROM t LEFT JOIN hit h ON h.asked = t.asked AND h.tier = t.tier GROUP BY t.asked, t.tier"
@@ -234,7 +239,7 @@ SQL["feature_labels"] = "SELECT p_partkey, trim(coalesce(CASE WHEN p_size % 7 =
 SQL["inserts_normalised"] = f"WITH b AS (SELECT item_id, text, {_dna('text')} AS s FROM benchmark), p AS (SELECT item_id, 'text' AS kind, upper(regexp_replace(trim(text), '[ \\n\\r\\t]', '', 'g')) AS c FROM b UNION ALL SELECT item_id, 'bases', substr(s, 1, 70) || 'NRYK' FROM b) SELECT item_id, kind, CASE WHEN regexp_full_match(c, '[ACGTRYSWKMBDHVN]+') THEN c END AS \"insert\" FROM p"
 SQL["spans_inside"] = _with(FEATS) + "SELECT k, f, s - 1000 AS s, e - 1000 AS e FROM feats WHERE s >= 1000 AND e <= 2500"
 SQL["cut_footprints"] = _with(SEQS, CUTS) + 'SELECT enzyme, count(*) AS n, CAST(sum(abs(top - bottom)) AS BIGINT) AS bases, min(least(top, bottom)) AS "first", max(greatest(top, bottom)) AS "last" FROM cuts GROUP BY enzyme'
-SQL["enzyme_descriptions"] = f"WITH e AS (SELECT * FROM {_values([(e['name'], e['site'], e['kind'], e['ovhg_seq'], e['supplier_count']) for e in catalogue('All')], ['name', 'site', 'kind', 'ovhg_seq', 'supplier_count'])}) SELECT name, name || ' ' || site || ' (' || CASE WHEN kind = 'blunt' THEN 'blunt' ELSE kind || chr(39) || ' ' || ovhg_seq END || ')' AS described, name NOT IN ('AhaIII', 'AsuII', 'HgiAI', 'MstI') AS sold, NOT regexp_matches(ovhg_seq, '[^ACGT]') AS end_known, CAST(supplier_count AS INTEGER) AS supplier_count FROM e"
+SQL["enzyme_descriptions"] = f"WITH enz AS (SELECT * FROM {_values([(e['name'], e['site'], e['kind'], e['ovhg_seq'], e['supplier_count']) for e in catalogue('All')], ['name', 'site', 'kind', 'ovhg_seq', 'supplier_count'])}), {_stocked(catalogue('All'))} SELECT s_suppkey, name, name || ' ' || site || ' (' || CASE WHEN kind = 'blunt' THEN 'blunt' ELSE kind || chr(39) || ' ' || ovhg_seq END || ')' AS described, name NOT IN ('AhaIII', 'AsuII', 'HgiAI', 'MstI') AS sold, NOT regexp_matches(ovhg_seq, '[^ACGT]') AS end_known, CAST(supplier_count AS INTEGER) AS supplier_count FROM stocked JOIN enz USING (name)"
 SQL["directory_scan"] = f"SELECT n_nationkey, CASE WHEN n_nationkey <> 7 THEN n_name END AS name, CASE WHEN n_nationkey <> 7 THEN CAST(length({_dna("n_name || repeat('base', n_nationkey)")}) AS INTEGER) END AS length, n_nationkey <> 7 AS readable FROM nation"
 SQL["callable_source"] = "SELECT r_name AS plasmid_id, CASE WHEN NOT starts_with(r_name, 'EU') THEN CAST(length(r_name) * 5 + 3 AS INTEGER) END AS bytes, starts_with(r_name, 'EU') AS failed FROM region"
 SQL["source_coercion"] = f"SELECT r_name AS plasmid_id, CAST(4 * (r_regionkey + 1) AS INTEGER) AS length FROM region UNION ALL SELECT n_name, CAST(length({_dna('n_name')}) AS INTEGER) FROM nation WHERE n_nationkey >= 3 UNION ALL SELECT 'extra', 2"
@@ -248,7 +253,8 @@ SQL["digestion_mixes"] = f"WITH x AS (SELECT s_suppkey AS reaction, {STOCK.forma
 SQL["digest_notes"] = SQL["digest_conditions"].replace(" SELECT digest, CAST(max", ", cond_of AS (SELECT digest, CAST(max", 1) + ") SELECT digest, CASE WHEN minutes IS NOT NULL AND temp_c IS NOT NULL THEN 'Incubate at ' || temp_c || ' °C for ' || minutes || ' min.' ELSE 'Enzymes differ in temperature or are not in the table: digest one after the other.' END || CASE WHEN star_limit_h IS NOT NULL THEN ' Stop within ' || regexp_replace(CAST(star_limit_h AS VARCHAR), '\\.0$', '') || ' h.' ELSE '' END || CASE WHEN no_heat_kill <> '' THEN ' Heat does not stop ' || replace(no_heat_kill, ';', ', ') || '; purify.' ELSE '' END || CASE WHEN unknown <> '' THEN ' Look up ' || replace(unknown, ';', ', ') || '.' ELSE '' END AS note FROM cond_of"
 SQL["bench_forms"] = f"WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 11 > 0 THEN p_size * 37 END AS bp, p_size % 2 = 0 AS rep FROM part), q AS (SELECT *, CAST(CASE WHEN bp < 500 THEN 1.5 WHEN bp < 1000 THEN 1.2 ELSE 1.0 END AS DOUBLE) AS g FROM p) SELECT id, g AS gel_percent, round(g / 2, 6) AS agarose_g, CASE WHEN rep THEN {BENCH['growth_temp_c_repetitive']} ELSE {BENCH['growth_temp_c']} END AS growth_c, CAST(greatest(15, {_HE.format(x='(bp / 1000 * CASE WHEN rep THEN 45 ELSE 30 END)')}) AS INTEGER) AS extension_s, coalesce(CASE WHEN bp >= 1000 THEN (bp // 1000) || ',' || lpad(CAST(bp % 1000 AS VARCHAR), 3, '0') ELSE CAST(bp AS VARCHAR) END, '____') AS amplicon FROM q"
 SQL["pcr_reactions"] = "SELECT p_partkey AS id, CAST(nth AS INTEGER) AS nth, component, CAST(ul AS DOUBLE) AS ul FROM part CROSS JOIN " + _values([(i, n, float(u)) for i, (n, u) in enumerate(pcr_mix())], ["nth", "component", "ul"])
-SQL["mix_specs"] = "SELECT c_custkey AS reaction, CAST(4 AS INTEGER) AS rows, CAST(10.0 AS DOUBLE) AS total_ul FROM customer"
+SQL["mix_specs"] = SQL["gibson_mixes"].replace("5000 + c_custkey % 1000 AS b", "5000 AS b").replace("round(fmol, 6) AS fmol, ", "")
+SQL["gibson_mixes_many"] = f"WITH b AS (SELECT o_orderkey AS reaction, 1e8 / ((5000 + o_orderkey % 1000) * 650) AS fm, o_totalprice / 1000 AS c FROM orders), i AS (SELECT l_orderkey AS reaction, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, CAST(l_quantity * 20 AS INTEGER) AS bp, CASE WHEN l_discount > 0 THEN l_discount * 300 END AS c FROM lineitem), r AS (SELECT reaction, 0 AS nth, '{BENCH['gibson']['master_mix']}' AS component, CAST(NULL AS DOUBLE) AS ng, CAST(NULL AS DOUBLE) AS fmol, 5.0::DOUBLE AS ul FROM b UNION ALL SELECT reaction, 1, 'backbone', 100.0, fm, 100 / nullif(c, 0) FROM b UNION ALL SELECT reaction, n + 1, 'insert ' || n, fm * 3 * bp * 650 / 1e6, fm * 3, fm * 3 * bp * 650 / 1e6 / i.c FROM i JOIN b USING (reaction)), w AS (SELECT * FROM r UNION ALL SELECT reaction, 99, 'water', NULL, NULL, CASE WHEN count(ul) = count(*) THEN 10 - sum(ul) END FROM r GROUP BY reaction) SELECT reaction, CAST(nth AS INTEGER) AS nth, component, round(ng, 6) AS ng, round(fmol, 6) AS fmol, round(ul, 6) AS ul FROM w"
 SQL["product_comparison"] = _with(SHORT) + f", c AS (SELECT id, s, translate(left(s, 1), 'ACGT', 'CGTA') || substr(s, 2) AS o FROM shorts) SELECT id, true AS turned, true AS turned_over, false AS longer, contains(s || s, o) OR contains(s || s, {_rc('o')}) AS changed FROM c"
 _ARMS = "arms AS (SELECT id, v_s - 60 AS p_s, v_s - 50 AS p_e FROM vd UNION ALL SELECT id, v_e + 50, v_e + 60 FROM vd)"
 SQL["parts_remap"] = _with(PARTS) + """, m AS (SELECT *, CASE WHEN a < 1000 THEN a WHEN a >= 2000 THEN a - 850 ELSE 1000 END AS na, CASE WHEN b <= 1000 THEN b WHEN b >= 2000 THEN b - 850 ELSE 1000 END AS nb FROM parts),

@@ -278,13 +278,25 @@ def unique_cutters(spark, d):
     return enzymes.unique_cutters(enzymes.cut_sites(seqs(spark, d)))
 
 
+def _stocked(spark, d, pool="CommOnly"):
+    """(s_suppkey, name): the enzymes of each supplier, three of the pool by its key."""
+    e = enzymes.enzymes(spark, pool).select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("i"))
+    n = len(enzymes.catalogue(pool))
+    k = F.col("s_suppkey")
+    o = table(spark, d, "supplier").select(k, F.explode(F.array(k * 5 % n, k * 11 % n, (k * 17 + 3) % n)).alias("i")).distinct()
+    return o.join(e, "i").select("s_suppkey", "name")
+
+
 def ligation_pairs(spark, d):
-    return enzymes.ligation_pairs(spark)
+    """The enzymes of each supplier whose ends ligate with each other, or with themselves."""
+    s = _stocked(spark, d)
+    x, y = s.select("s_suppkey", F.col("name").alias("a")), s.select("s_suppkey", F.col("name").alias("b"))
+    return x.join(y, "s_suppkey").join(enzymes.ligation_pairs(spark), ["a", "b"]).select("s_suppkey", "a", "b", "strategy")
 
 
 def enzyme_dimension(spark, d):
     e = enzymes.enzymes(spark)
-    return e.select("name", "site", "size", "top_off", "ovhg", "kind", "ovhg_seq", "canonical")
+    return _stocked(spark, d).join(e, "name").select("s_suppkey", "name", "site", "size", "top_off", "ovhg", "kind", "ovhg_seq", "canonical")
 
 
 def _judged(spark, d):
@@ -483,15 +495,20 @@ def _digests(spark, d):
     return o.join(e, "i").select("digest", F.col("name").alias("enzyme"))
 
 
-def conditions_lookup(spark, d):
+def _conditions(spark, names):
     from ringspan.sources.conditions import conditions
 
-    names = enzymes.enzymes(spark).select(F.col("name").alias("enzyme"))
     return enzymes.conditions_lookup(names, conditions(spark), enzymes.enzymes(spark))
 
 
+def conditions_lookup(spark, d):
+    """Conditions of each supplier's enzymes."""
+    s = _stocked(spark, d)
+    return s.join(_conditions(spark, s.select(F.col("name").alias("enzyme")).distinct()), F.col("name") == F.col("enzyme")).drop("name")
+
+
 def digest_conditions(spark, d):
-    rows = _digests(spark, d).join(conditions_lookup(spark, d), "enzyme")
+    rows = _digests(spark, d).join(_conditions(spark, enzymes.enzymes(spark).select(F.col("name").alias("enzyme"))), "enzyme")
     r = reagents.digest_conditions(rows)
     j = lambda c: F.array_join(c, ";").alias(c)
     return r.select("digest", "minutes", "temp_c", j("temps"), j("inactivations"), j("no_heat_kill"), "star_limit_h", j("unknown"))
@@ -527,11 +544,12 @@ def scan_dead_letter(spark, d):
 
 
 def genbank_round_trip(spark, d):
+    """Each document's bases and a name made of its words as a GenBank record, read again."""
     from ringspan.sources.formats import format_genbank_udf, parse_udf
 
-    s = seqs(spark, d).select("id", F.col("s"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("name"))
+    s = seqs(spark, d).select("id", F.col("s"), F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(" a/"), F.substring("s", 1, 20)).alias("name"))
     r = s.withColumn("r", parse_udf("genbank")(format_genbank_udf("name", "s")))
-    return r.select("id", F.col("r.name").alias("name"), F.length("r.sequence").alias("length"), (F.col("r.sequence") == F.col("s")).alias("same"), F.col("r.circular").alias("circular"))
+    return r.select("id", F.col("r.name").alias("name"), F.length("r.sequence").alias("length"), F.md5(F.col("r.sequence").cast("binary")).alias("md5"), F.col("r.circular").alias("circular"))
 
 
 def streaming_ingest(spark, d):
@@ -567,8 +585,8 @@ def cut_footprints(spark, d):
 
 
 def enzyme_descriptions(spark, d):
-    e = enzymes.enzymes(spark, "All")
-    return e.select("name", enzymes.describe(F.col("name"), F.col("site"), F.col("kind"), F.col("ovhg_seq")).alias("described"), "sold", F.col("end").isNotNull().alias("end_known"), "supplier_count")
+    e = _stocked(spark, d, "All").join(enzymes.enzymes(spark, "All"), "name")
+    return e.select("s_suppkey", "name", enzymes.describe(F.col("name"), F.col("site"), F.col("kind"), F.col("ovhg_seq")).alias("described"), "sold", F.col("end").isNotNull().alias("end_known"), "supplier_count")
 
 
 def directory_scan(spark, d):
@@ -639,7 +657,7 @@ def digestion_mixes(spark, d):
 
 
 def digest_notes(spark, d):
-    r = reagents.digest_conditions(_digests(spark, d).join(conditions_lookup(spark, d), "enzyme"))
+    r = reagents.digest_conditions(_digests(spark, d).join(_conditions(spark, enzymes.enzymes(spark).select(F.col("name").alias("enzyme"))), "enzyme"))
     return r.select("digest", reagents.digest_note(F.col("minutes"), F.col("temp_c"), F.col("star_limit_h"), F.col("no_heat_kill"), F.col("unknown")).alias("note"))
 
 
@@ -654,11 +672,19 @@ def pcr_reactions(spark, d):
 
 
 def mix_specs(spark, d):
-    """The assemblies of all customers as JSON, each read back: its rows and the volume they come to."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("reaction"), F.lit(5000).alias("b_bp"), F.lit(50.0).alias("b_conc"), (F.lit(100) + F.col("c_custkey") % 77).alias("i_bp"), F.lit(10.0).alias("i_conc"))
+    """The assemblies of all customers as JSON, each read back."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("reaction"), F.lit(5000).alias("b_bp"), _stock("c_acctbal").alias("b_conc"), (F.lit(100) + F.col("c_custkey") % 77).alias("i_bp"), F.lit(10.0).alias("i_conc"))
     spec = reagents.spec_json(reagents.gibson_mix(c))
-    back = spec.select("reaction", F.from_json("spec", "array<struct<nth:int,component:string,ul:double>>").alias("r"))
-    return back.select("reaction", F.size("r").alias("rows"), F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x["ul"]), 6).alias("total_ul"))
+    back = spec.select("reaction", F.explode(F.from_json("spec", "array<struct<nth:int,component:string,ng:double,ul:double>>")).alias("r"))
+    return back.select("reaction", "r.nth", "r.component", F.round("r.ng", 6).alias("ng"), F.round("r.ul", 6).alias("ul"))
+
+
+def gibson_mixes_many(spark, d):
+    """An assembly for each order, its lines as inserts."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("reaction"), (F.lit(5000) + F.col("o_orderkey") % 1000).alias("b_bp"), (F.col("o_totalprice") / 1000).alias("b_conc"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("reaction"), nth.alias("nth"), F.concat(F.lit("insert "), nth.cast("string")).alias("component"), (F.col("l_quantity") * 20).cast("int").alias("i_bp"), F.when(F.col("l_discount") > 0, F.col("l_discount") * 300).alias("i_conc"))
+    return reagents.gibson_mix_many(o, i).select("reaction", "nth", "component", F.round("ng", 6).alias("ng"), F.round("fmol", 6).alias("fmol"), F.round("ul", 6).alias("ul"))
 
 
 def product_comparison(spark, d):
@@ -675,7 +701,7 @@ QUERIES = {f.__name__: f for f in (
     overlap_pairs, nested_pairs, repeat_arrays, feature_pruning, feature_remap_insert, feature_remap_delete, feature_rotation, named_spans,
     graft_features, cut_sites, unique_cutters, ligation_pairs, enzyme_dimension, excision_best, excision_reasons, excision_plans,
     primer_candidates, primer_pairs, pcr_deletions, insertion_routes, insertion_reasons, insertion_openings, insertion_homology, ng_fmol,
-    dilution_plans, gibson_mixes, ligation_mixes, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
+    dilution_plans, gibson_mixes, ligation_mixes, gibson_mixes_many, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
     source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest, short_dup_groups, feature_labels, inserts_normalised,
     spans_inside, cut_footprints, enzyme_descriptions, directory_scan, callable_source, source_coercion, record_labels, library_lines,
     digest_products, ligation_products, assemblies, crowded_overlaps, parts_remap, parts_rotation, parts_graft, genbank_features, insertion_protected, insertion_openings_protected, insertion_preps, primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
