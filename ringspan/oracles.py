@@ -299,3 +299,5 @@ _KEPT = _ROUTES.replace("AND u.enzyme <> d.enzyme)", "AND u.enzyme <> d.enzyme W
 SQL["insertion_protected"] = SQL["insertion_routes"].replace(_ROUTES, _ARMS + ", " + _KEPT).replace(", CAST(v_extra AS INTEGER) AS v_extra, CAST(d_extra AS INTEGER) AS d_extra, verified, CAST(bp AS INTEGER) AS product_bp", "").replace("directional, same_enzymes FROM", "directional FROM")
 SQL["insertion_openings_protected"] = SQL["insertion_openings"].replace(", c AS (SELECT id, enzyme", f", {_ARMS}, c AS (SELECT id, enzyme").replace("AND d.top - u.top <= 200)", "AND d.top - u.top <= 200 AND NOT EXISTS (SELECT 1 FROM arms a WHERE a.id = u.id AND u.top < a.p_e AND a.p_s < d.top))")
 SQL["insertion_preps"] = "WITH op AS (" + SQL["insertion_openings_protected"].replace("<= 200", "<= 80") + f"), {SEQS}, {VD}, x AS (SELECT vd.*, ut IS NOT NULL AS cut, coalesce(ut, v_s) AS o_s, coalesce(dt, v_e) AS o_e, substr(d, d_s + 1, 30) AS ins FROM vd LEFT JOIN op USING (id)) SELECT id, CASE WHEN cut THEN 'digest' ELSE 'pcr' END AS prep, CAST(o_s AS INTEGER) AS o_s, CAST(o_e AS INTEGER) AS o_e, substr(v || v || v, length(v) + o_s - 24, 25) AS up_arm, substr(v || v || v, length(v) + o_e + 1, 25) AS down_arm, CAST(80 AS INTEGER) AS order_bp, md5(substr(v, 1, o_s) || ins || substr(v, o_e + 1)) AS product_md5, true AS verified, NOT cut AS has_primers FROM x"
+SQL["deletion_routes"] = f"WITH dig AS ({SQL['excision_plans']}), amp AS ({SQL['pcr_deletions']}), {SEQS} SELECT dig.id, CASE WHEN dig.feasible THEN 'restriction' WHEN amp.feasible THEN 'pcr' END AS route, CASE WHEN dig.feasible THEN up END AS up, CASE WHEN dig.feasible THEN down END AS down, CASE WHEN NOT dig.feasible AND amp.feasible THEN f_seq END AS f_seq, CASE WHEN NOT dig.feasible AND amp.feasible THEN r_seq END AS r_seq, CASE WHEN dig.feasible THEN product_bp WHEN amp.feasible THEN CAST(length(s) - 30 AS INTEGER) END AS product_bp, CASE WHEN dig.feasible THEN md5(substr(s, 1, u_top) || substr(s, d_top + 1)) WHEN amp.feasible THEN product_md5 END AS product_md5 FROM dig LEFT JOIN amp ON amp.id = dig.id JOIN seqs ON seqs.id = dig.id"
+SQL["digest_probes"] = f"WITH dig AS ({SQL['excision_plans']}), amp AS ({SQL['pcr_deletions']}) SELECT dig.id, 'a digest with ' || up || ' and ' || down || ' would do, at ' || (d_top - u_top - 30) || ' further bases' AS said FROM dig JOIN amp ON amp.id = dig.id WHERE dig.feasible AND amp.feasible"

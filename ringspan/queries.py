@@ -321,6 +321,25 @@ def excision_plans(spark, d):
     return r.select("id", "feasible", "up", "down", "u_top", "d_top", "strategy", "junction", "site_regenerated", F.length("product").alias("product_bp"), F.to_json("reasons").alias("reasons"))
 
 
+def _deletions(spark, d, method):
+    from ringspan.plans import deletions
+
+    s = seqs(spark, d)
+    t = targets(s)
+    return deletions.plan_deletions(s, t, guarded(s), method=method)
+
+
+def deletion_routes(spark, d):
+    """Each target by digest if one works, else by inverse PCR."""
+    return _deletions(spark, d, "auto").select("id", "route", "up", "down", "f_seq", "r_seq", F.length("product").alias("product_bp"), F.md5(F.col("product").cast("binary")).alias("product_md5"))
+
+
+def digest_probes(spark, d):
+    """Of targets deleted by inverse PCR those where a digest would do as well."""
+    r = _deletions(spark, d, "pcr").select("id", F.explode("warnings").alias("said"))
+    return r.where(F.startswith("said", F.lit("a digest"))).select("id", "said")
+
+
 def _sites(spark, d):
     s = seqs(spark, d)
     return pcr.outward(targets(s).join(s, "id"))
@@ -704,5 +723,5 @@ QUERIES = {f.__name__: f for f in (
     dilution_plans, gibson_mixes, ligation_mixes, gibson_mixes_many, thermocycler_steps, water_balances, site_counts, conditions_lookup, digest_conditions, resolve_name, search_caps,
     source_union_first_owner, scan_dead_letter, genbank_round_trip, streaming_ingest, short_dup_groups, feature_labels, inserts_normalised,
     spans_inside, cut_footprints, enzyme_descriptions, directory_scan, callable_source, source_coercion, record_labels, library_lines,
-    digest_products, ligation_products, assemblies, crowded_overlaps, parts_remap, parts_rotation, parts_graft, genbank_features, insertion_protected, insertion_openings_protected, insertion_preps, primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
+    deletion_routes, digest_probes, digest_products, ligation_products, assemblies, crowded_overlaps, parts_remap, parts_rotation, parts_graft, genbank_features, insertion_protected, insertion_openings_protected, insertion_preps, primer_notes, digestion_mixes, digest_notes, bench_forms, pcr_reactions, mix_specs, product_comparison,
 )}
