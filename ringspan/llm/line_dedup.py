@@ -58,7 +58,7 @@ class _Lines:
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         self.start = np.flatnonzero(first)
-        line = np.searchsorted(np.flatnonzero(ends), self.start)
+        line = np.cumsum(ends, dtype=np.int32)[self.start]
         keep = solid | ends
         keep[self.start[1:][line[1:] == line[:-1]] - 1] = True  # one blank before each word that is not the first
         self.plain = self.raw[keep]
@@ -71,18 +71,20 @@ class _Lines:
 
     def sizes(self) -> np.ndarray:
         """The characters of each line."""
-        begun = np.concatenate([[0], np.cumsum((self.plain & 0xC0) != 0x80)])
+        begun = np.concatenate([[0], np.cumsum((self.plain & 0xC0) != 0x80, dtype=np.int32)])
         ends = np.append(np.flatnonzero(self.plain == 10), len(self.plain))
-        return np.diff(begun[ends], prepend=0) - np.append(0, np.ones(len(ends) - 1, dtype=np.int64))
+        return np.diff(begun[ends].astype(np.int64), prepend=0) - np.append(0, np.ones(len(ends) - 1, dtype=np.int64))
 
     def hashes(self) -> np.ndarray:
         """A hash of each word, line by line: its bytes, each times a number of its place."""
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        at = np.flatnonzero(self._solid)
-        word = np.cumsum(self._first)[at] - 1
-        place = (at - self.start[word]) & 255
-        sums = np.add.reduceat((self.raw[at].astype(np.uint64) + np.uint64(1)) * _PLACE[place], np.flatnonzero(np.diff(word, prepend=-1)))
+        letters = self.raw[self._solid]
+        begun = np.flatnonzero(self._first[self._solid])
+        place = np.arange(len(letters), dtype=np.int32) - np.repeat(begun.astype(np.int32), np.diff(begun, append=len(letters)))
+        terms = _PLACE[place & np.int32(255)]
+        terms *= letters.astype(np.uint64) + np.uint64(1)
+        sums = np.add.reduceat(terms, begun)
         return (sums ^ (sums >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
 
