@@ -43,7 +43,7 @@ TOGETHER = 1.1
 #: Pairs of a key that are held at once, for each of its rows; beyond, its forest grows row by row.
 LIMIT = 8
 #: Pairs of a row that are put forward once a forest of its key has been tried, and the factor by which they grow.
-AT_FIRST, GROWTH = 16, 16
+AT_FIRST, GROWTH = 64, 16
 
 
 class Blocks(NamedTuple):
