@@ -6,8 +6,9 @@ of all curves, one behind the other, are range-partitioned in Spark, so neighbou
 A query looks into its window and the `reach` windows to either side, in every curve. What windows find
 merges by query and is ranked by the exact cosine.
 
-Windows hold a two-hundredth of the table, but never under 16 rows or over `window_rows`. With `reach` as
-a number of windows the work of a query depends on neither, which serves vectors of a model, whose
+Windows hold a two-hundredth of the table, but never under 16 rows or over `window_rows`, as long as the sample has `SAMPLED` rows for
+each (2,500 windows, or 5 million rows, at the defaults); beyond, their number stays, and so does what is broadcast, and a window is
+dealt in parts of about `window_rows`. With `reach` as a number of windows the work of a query depends on neither, which serves vectors of a model, whose
 neighbours are much nearer than chance. The test vectors have no such structure (the cosine of a 5th
 neighbour is 0.42 in 64 dimensions, that of the nearest of ten thousand random ones): no window of a fixed
 size finds nine of ten neighbours among them at every size, so the reach is a share of the table
@@ -38,6 +39,9 @@ from pyspark.sql import functions as F
 
 from ringspan.llm._shared import cut, ship
 
+#: Rows of the sample for each window at least, so that bounds are quantiles.
+SAMPLED = 8
+
 _CLEAN = "id long, h binary, dim int, vec binary"
 
 
@@ -153,7 +157,8 @@ def search(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
     rows = rows.where(F.col("dim") == dim)
     sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "h").limit(max(1, min(sample_rows, sample_bytes // (8 * dim)))).select("vec").toArrow()
     held = _read(sample["vec"].to_pylist(), code, dim)
-    windows = max(1, n // min(window_rows, max(16, n // 200)))
+    windows = max(1, min(n // min(window_rows, max(16, n // 200)), sample_rows // SAMPLED))
+    parts = max(1, -(-n // (2 * windows * window_rows)))
     reach = max(1, int(np.ceil(reach_share * windows))) if reach is None else reach
     fitted = spark.sparkContext.broadcast(Curves(_unit(held) if len(held) else held, windows, curves, dims, bits))
     nth = Window.partitionBy("h").orderBy("id")
@@ -171,9 +176,11 @@ def search(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
                 for off in range(-reach, reach + 1):
                     to = at + off
                     ok = np.flatnonzero((to >= 0) & (to < c.windows) & ((kind == 1) | (off == 0)))
-                    if len(ok):
-                        part = b.take(pa.array(ok))
-                        yield pa.RecordBatch.from_arrays([pa.array(q * c.windows + to[ok], pa.int64()), part.column(3), part.column(0), part.column(1), part.column(2)], names=["cell", "kind", "h", "id", "vec"])
+                    mine = b.column(1).to_numpy()[ok] % parts
+                    for p in range(parts) if len(ok) else ():  # a query looks into all parts of a window
+                        pick = ok[(kind[ok] == 1) | (mine == p)]
+                        part = b.take(pa.array(pick))
+                        yield pa.RecordBatch.from_arrays([pa.array((q * c.windows + to[pick]) * parts + p, pa.int64()), part.column(3), part.column(0), part.column(1), part.column(2)], names=["cell", "kind", "h", "id", "vec"])
 
     cells = index.union(queries).mapInArrow(deal, "cell long, kind int, h binary, id long, vec binary")
 

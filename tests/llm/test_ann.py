@@ -41,6 +41,12 @@ def test_recall_without_structure(spark, n):
     assert recall(spark, range(n), v) >= 0.9
 
 
+def test_windows_beyond_the_sample_are_dealt_in_parts(spark):
+    """Two windows of many parts: a query that reaches both finds all there is."""
+    v = np.random.default_rng(4).standard_normal((500, 8)).astype(np.float32).astype(float)
+    assert recall(spark, range(500), v, curves=2, window_rows=16, sample_rows=16, reach=2) == 1
+
+
 def test_recall_of_a_fixed_reach_on_clusters(spark):
     rng = np.random.default_rng(2)
     v = (rng.standard_normal((600, 32))[rng.integers(0, 600, 6000)] + 0.1 * rng.standard_normal((6000, 32))).astype(np.float32).astype(float)
