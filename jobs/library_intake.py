@@ -15,7 +15,8 @@ pre-aggregated before it, and the join that takes it back to its records may be
 written by source in tasks that Spark balances, so a large source is several files and small ones share a task.
 
 Cases: records without bases are not filed; rows repeated with id and sequence in a batch are filed once, in later batches
-as copies; a null id is filed and is the first of its circle only among null ids; no new files means no new batch.
+as copies; a null id is filed and is the first of its circle only among null ids; no new files means no new batch, and a folder without files an
+empty registry.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from jobs.common import command_line, record_schema, sequences, settings  # noqa: E402
 from ringspan.functions import sequences as S  # noqa: E402
-from ringspan.session import settle  # noqa: E402
+from ringspan.session import settled  # noqa: E402
 
 log = logging.getLogger("library_intake")
 
@@ -85,15 +86,17 @@ def summarise(spark: SparkSession, out: str) -> DataFrame:
 
 def run(spark: SparkSession, records: str, out: str, checkpoint: str, config: dict | None = None) -> DataFrame:
     """File what is new; the registry as it stands then (id, source, length, gc, fingerprint, first_id, status)."""
-    settle(spark)
     config = {**DEFAULTS, **(config or {})}
-    stream = spark.readStream.schema(record_schema(config)).option("maxFilesPerTrigger", int(config["files_per_batch"])).parquet(records)
-    query = stream.writeStream.foreachBatch(lambda batch, epoch: file_batch(batch, epoch, out, config)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    read = sum(p["numInputRows"] for p in query.recentProgress)
-    log.info("read %d new records of %s", read, records)
-    totals = summarise(spark, out).agg(F.sum("n_records"), F.sum("n_first"), F.sum("n_copies")).first()
-    log.info("%s holds %s records: %s first, %s copies", out, *totals)
+    with settled(spark):
+        # the registry is there from the first run on, even if nothing has arrived
+        spark.createDataFrame([], REGISTRY).write.mode("append").partitionBy("batch", "status", "source").parquet(f"{out}/registry")
+        stream = spark.readStream.schema(record_schema(config)).option("maxFilesPerTrigger", int(config["files_per_batch"])).parquet(records)
+        query = stream.writeStream.foreachBatch(lambda batch, epoch: file_batch(batch, epoch, out, config)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        read = sum(p["numInputRows"] for p in query.recentProgress)
+        log.info("read %d new records of %s", read, records)
+        totals = summarise(spark, out).agg(F.sum("n_records"), F.sum("n_first"), F.sum("n_copies")).first()
+        log.info("%s holds %s records: %s first, %s copies", out, *(n or 0 for n in totals))
     return registry(spark, out).select(COLUMNS)
 
 

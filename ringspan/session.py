@@ -26,6 +26,19 @@ def settle(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def settled(spark: SparkSession):
+    """Inside, the settings of `settle`; for steps that run before it ends."""
+    keys = ("spark.sql.unionOutputPartitioning", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    settle(spark)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """Inside, a setting of the session has another value; for steps that run before it ends."""

@@ -70,6 +70,13 @@ def test_intake_of_nothing(spark, tmp_path):
     at = [str(tmp_path / x) for x in ("in", "out", "state")]
     add(spark, at[0], "one", [(5, "", "x", 1)])
     assert library_intake.run(spark, *at, RAW).count() == 0
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9999")
+    assert library_intake.run(spark, str(empty), str(tmp_path / "out2"), str(tmp_path / "state2"), RAW).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "9999"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_intake_in_many_batches_files_what_one_does(spark, tmp_path):
