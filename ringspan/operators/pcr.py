@@ -161,5 +161,5 @@ def plan_deletions(spans: DataFrame, method: str = "KLD", overlap: int = 20, ove
 
 
 def extension_seconds(bp, per_kb: int = 30) -> Column:
-    """Half-even, 15 s at least."""
-    return F.greatest(F.lit(15), F.bround(bp / 1000 * per_kb, 0).cast("int"))
+    """Half-even, 15 s at least. Multiplied first, so that a half is exact."""
+    return F.greatest(F.lit(15), F.bround(bp * per_kb / 1000, 0).cast("int"))
