@@ -17,7 +17,7 @@ def plan_deletions(seqs: DataFrame, targets: DataFrame, protected: DataFrame | N
     do as well, and at what cost. primers: parameters of pcr.plan_deletions."""
     if method not in METHODS:
         raise ValueError(f"method is one of {', '.join(METHODS)}, not {method!r}")
-    plans, why = excision.plan(seqs, targets, protected, pool, 0)
+    plans, why = excision.first_plan(seqs, targets, protected, pool, 0)
     best = excision.best_or_refusal(plans, why, targets).select("id", "up", "down", "collateral", F.col("product").alias("d_product"), F.col("reasons").alias("d_reasons"), F.col("feasible").alias("digest"))
     best = cut(best, "digests")
     open_ = targets if method == "pcr" else targets.join(best.where("not digest").select("id"), "id", "left_semi")
