@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringspan.functions.sequences import dna_like
+from ringspan.functions.sequences import read_as_bases
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -34,9 +34,10 @@ def record_schema(config: dict) -> T.StructType:
 def sequences(rows: DataFrame, config: dict) -> DataFrame:
     """(id, source, s): each record's bases, upper case; records without any have no row. With `as_bases`, letters of texts that hold no bases are
     read as some by a fixed mapping."""
-    text = F.col(config["sequence"])
-    s = dna_like(text) if config["as_bases"] else F.upper(F.regexp_replace(text, r"\s", ""))
-    return rows.select(F.col(config["id"]).alias("id"), F.col(config["group"]).alias("source"), s.alias("s")).where(F.length("s") > 0)
+    own = rows.select(F.col(config["id"]).alias("id"), F.col(config["group"]).alias("source"), F.col(config["sequence"]).alias("s"))
+    if config["as_bases"]:
+        return read_as_bases(own, "s")
+    return own.withColumn("s", F.upper(F.regexp_replace("s", r"\s", ""))).where(F.length("s") > 0)
 
 
 def command_line(name: str) -> SparkSession:

@@ -42,7 +42,7 @@ def sheets(spark: SparkSession, rows: DataFrame, config: dict) -> DataFrame:
     """(id, enzyme, top, sold_as, temp_c, minutes, inactivation, source)."""
     pool = config["pool"] if isinstance(config["pool"], str) else list(config["pool"])
     own = sequences(rows, config).select(F.struct("id", "source").alias("own"), "s")
-    once = enzymes.cut_sites(own, pool, "own").where("n_cuts = 1")
+    once = enzymes.cut_sites(own, pool, "own", once=True)
     dimension = enzymes.enzymes(spark, pool)
     use = enzymes.conditions_lookup(dimension.select(F.col("name").alias("enzyme")), conditions(spark), dimension)
     named = once.join(use, "enzyme")
