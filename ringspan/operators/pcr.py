@@ -46,10 +46,16 @@ def _scored(words: list[str], lengths: range, target_tm: float, min_gc: float, m
     return t
 
 
-def _word(role, boundary, most: int) -> Column:
+def _word(role, boundary, most: int, s: str = "s") -> Column:
     """The bases that a primer may take, from its 5' end; a whole turn of the circle at most."""
-    n = F.least(F.lit(most), F.length("s"))
-    return F.upper(F.when(role == "forward", circular_slice("s", boundary, boundary + n)).otherwise(reverse_complement(circular_slice("s", boundary - n, boundary))))
+    n = F.least(F.lit(most), F.length(s))
+    return F.upper(F.when(role == "forward", circular_slice(s, boundary, boundary + n)).otherwise(reverse_complement(circular_slice(s, boundary - n, boundary))))
+
+
+def words_at(s: str, start: str, end: str, inside: bool = False, max_length: int = DEFAULTS["max_length"], **_) -> tuple[Column, Column]:
+    """The bases that the forward and the reverse primer of a span may take, pointing away from it, or into it."""
+    f, r = (start, end) if inside else (end, start)
+    return _word(F.lit("forward"), F.col(f), max_length, s), _word(F.lit("reverse"), F.col(r), max_length, s)
 
 
 def candidates(sites: DataFrame, min_length: int = 18, max_length: int = 32, target_tm: float = 60.0, min_gc: float = 35.0, max_gc: float = 65.0) -> DataFrame:
@@ -77,25 +83,40 @@ def best_pairs(spans: DataFrame, inside: bool = False, min_length: int = 18, max
     """(id, f_len, r_len, f_seq, r_seq, f_tm, r_tm, score): of all pairs of primers that point away from a
     span (id, s, t_s, t_e), or into it, that with the least sum of penalties and twice the temperature
     difference; ties to the shorter forward, then reverse. A circle shorter than a primer has none."""
-    f, r = ("t_s", "t_e") if inside else ("t_e", "t_s")
-    src = spans.select("id", _word(F.lit("forward"), F.col(f), max_length).alias("f"), _word(F.lit("reverse"), F.col(r), max_length).alias("r")).where(F.length("f") >= min_length)
-    lengths = range(min_length, max_length + 1)
+    f, r = words_at("s", "t_s", "t_e", inside, max_length)
+    src = spans.select("id", f.alias("f"), r.alias("r")).where(F.length("f") >= min_length)
 
     def run(batches):
         for b in batches:
-            f, r = b.column(1).to_pylist(), b.column(2).to_pylist()
-            if not f:
-                continue
-            x, y = (_scored(words, lengths, target_tm, min_gc, max_gc) for words in (f, r))
-            score = x["penalty"][:, :, None] + y["penalty"][:, None, :] + 2 * np.abs(x["tm"][:, :, None] - y["tm"][:, None, :])
-            best = np.round(score, 9).reshape(len(f), -1).argmin(axis=1)
-            row, i, j = np.arange(len(f)), best // len(lengths), best % len(lengths)
-            cut_to = lambda words, k: pa.array([w[:n] for w, n in zip(words, (k + min_length).tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((i + min_length).astype(np.int32)), pa.array((j + min_length).astype(np.int32)), cut_to(f, i), cut_to(r, j), pa.array(x["tm"][row, i]), pa.array(y["tm"][row, j]), pa.array(score[row, i, j])], names=["id", "f_len", "r_len", "f_seq", "r_seq", "f_tm", "r_tm", "score"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), *_best(b.column(1).to_pylist(), b.column(2).to_pylist(), min_length, max_length, target_tm, min_gc, max_gc)], names=["id", "f_len", "r_len", "f_seq", "r_seq", "f_tm", "r_tm", "score"])
 
     return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, f_len int, r_len int, f_seq string, r_seq string, f_tm double, r_tm double, score double")
 
 
+def _best(f: list[str], r: list[str], min_length: int, max_length: int, target_tm: float, min_gc: float, max_gc: float) -> list[pa.Array]:
+    """The columns of `best_pairs`, from f_len on, for words that are long enough."""
+    lengths = range(min_length, max_length + 1)
+    x, y = (_scored(words, lengths, target_tm, min_gc, max_gc) for words in (f, r))
+    score = x["penalty"][:, :, None] + y["penalty"][:, None, :] + 2 * np.abs(x["tm"][:, :, None] - y["tm"][:, None, :])
+    best = np.round(score, 9).reshape(len(f), -1).argmin(axis=1)
+    row, i, j = np.arange(len(f)), best // len(lengths), best % len(lengths)
+    cut_to = lambda words, k: pa.array([w[:n] for w, n in zip(words, (k + min_length).tolist(), strict=True)], pa.string())
+    return [pa.array((i + min_length).astype(np.int32)), pa.array((j + min_length).astype(np.int32)), cut_to(f, i), cut_to(r, j), pa.array(x["tm"][row, i]), pa.array(y["tm"][row, j]), pa.array(score[row, i, j])]
+
+
+def pairs_of_words(f: list, r: list, min_length: int = 18, max_length: int = 32, target_tm: float = 60.0, min_gc: float = 35.0, max_gc: float = 65.0) -> tuple[pa.Array, pa.Array]:
+    """The primers of `best_pairs` for the words of spans, by row; null where a word is null or too short."""
+    at = [k for k, word in enumerate(f) if word is not None and len(word) >= min_length]
+    if not at:
+        return pa.nulls(len(f), pa.string()), pa.nulls(len(f), pa.string())
+    made = _best([f[k] for k in at], [r[k] for k in at], min_length, max_length, target_tm, min_gc, max_gc)
+    place = np.full(len(f), -1)
+    place[at] = np.arange(len(at))
+    back = pa.array(place, mask=place < 0)
+    return made[2].take(back), made[3].take(back)
+
+
 def outward(spans: DataFrame) -> DataFrame:
     """The two sites of primers that point away from a span (id, s, t_s, t_e)."""
     settle(spans.sparkSession)
