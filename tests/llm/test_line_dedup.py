@@ -194,3 +194,24 @@ def test_word_by_word_is_an_upper_bound(x, y, most):
     if L._word_by_word(x, y, most):
         assert slow_distance(" ".join(x), " ".join(y)) <= most
     assert L._word_by_word(x, x, 0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abé 𝄞", max_size=150), st.text("abé 𝄞", max_size=150)), min_size=1, max_size=6))
+def test_edit_distances_side_by_side(pairs):
+    a, b = zip(*pairs, strict=True)
+    assert L.edit_distances(a, b).tolist() == [slow_distance(x, y) for x, y in pairs]
+    assert L._similar(list(a), list(b), 0.8).tolist() == [slow_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in pairs]
+
+
+def test_pairs_of_lines_are_measured_together(monkeypatch):
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    a = [line(rng.choice([63, 64, 65, 400, 1000])) for _ in range(300)] + [line(9000)] * 2 + [line(33000)]
+    b = ["".join(c if rng.random() > 0.15 else rng.choice("abc") for c in x) if i % 2 else line(len(x)) for i, x in enumerate(a)]
+    want = [L.edit_distance(x, y, int(0.2 * len(x) + 1e-9)) <= int(0.2 * len(x) + 1e-9) for x, y in zip(a, b, strict=True)]
+    assert True in want and False in want
+    alone = []
+    monkeypatch.setattr(L, "edit_distance", lambda x, y, most, f=L.edit_distance: alone.append(x) or f(x, y, most))
+    assert L._similar(a, b, 0.8).tolist() == want
+    assert len(alone) < 20
