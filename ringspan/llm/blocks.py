@@ -13,7 +13,8 @@ than that are marked. When the verified pairs have been joined, marked rows that
 nearest few of such pairs each, then sixteen times as many, and so on until none has more. So the groups are those of
 all pairs that meet, and a dense group emits the square of its rows only where its pairs must be refuted one by one.
 
-Scale: rows of a key that holds more than about `max_run` are dealt as pairs of parts to many tasks;
+Scale: entries of blocks are dealt by their keys, those of some keys together as bytes, some 500,000 at a time, so Spark moves
+few rows; a key that holds more than about `max_run` goes row by row instead, as pairs of parts, to many tasks;
 rows inside a key are ordered by size and compared only as far as sizes allow, about a million pairs at a time, which
 leave as they are found.
 
@@ -44,6 +45,8 @@ TOGETHER = 1.1
 LIMIT = 8
 #: Pairs of a row that are put forward once a forest of its key has been tried, and the factor by which they grow.
 AT_FIRST, GROWTH = 64, 16
+#: Entries that are dealt to the parts of their keys at a time, and bits of a part's number at most.
+DEALT, PART_BITS = 500_000, 13
 
 
 class Blocks(NamedTuple):
@@ -100,51 +103,149 @@ def _at(prints: np.ndarray, pos: int) -> np.ndarray:
     return out
 
 
+def _budget(b: Blocks) -> int:
+    """How many of the 64 bits behind a block may differ."""
+    return min(64, int((1 + 64 / b.bits) * b.budget))
+
+
 def _chain(x: np.ndarray, b: Blocks) -> np.ndarray:
     """Whether differences behind a block that agrees stay within the budget at every length."""
-    ok = np.bitwise_count(x) <= (1 + 64 / b.bits) * b.budget
+    ok = np.bitwise_count(x) <= _budget(b)
     at = np.flatnonzero(ok)
     for k in range(1, 64 // b.bits + 1):
         part = x[at] & np.uint64((1 << min(64, k * b.bits)) - 1)
-        at = at[np.bitwise_count(part) <= (k + 1) * b.budget]
+        at = at[np.bitwise_count(part) <= int((k + 1) * b.budget)]
     ok[:] = False
     ok[at] = True
     return ok
 
 
-def _entries(nodes: DataFrame, b: Blocks, rooted: bool) -> DataFrame:
-    """(key, check, last, size, node[, root]): a row for each block of each node; check are the 64 bits
-    behind the block, last is the last word of the print."""
-    more = ["root"] if rooted else []
+def _meets_at(nodes: DataFrame, b: Blocks, rooted: bool, schema: str, made, together: int) -> DataFrame:
+    """What made gives for the entries of some `together` nodes: (key, check, last, size, node[, root]), each as a row of 64-bit integers for
+    each block and node; check are the 64 bits behind the block, last is the last word of the print."""
+    names, rest = print_columns(b.words), ["size", "node", *["root"] * rooted]
 
-    names = print_columns(b.words)
+    def entries(batches):
+        own = [np.concatenate([x.column(c).to_numpy() for x in batches]) for c in (names[-1], *rest)]
+        prints = np.stack([np.concatenate([x.column(c).to_numpy() for x in batches]) for c in names], axis=1).view(np.uint64)
+        mask = np.uint64((1 << b.bits) - 1)
+        out = np.empty((2 + len(own), b.count, len(prints)), dtype=np.int64)
+        for k in range(b.count):
+            out[0, k] = (_at(prints, k * b.bits) & mask).view(np.int64) | k << KEY_BITS
+            out[1, k] = _at(prints, (k + 1) * b.bits).view(np.int64)
+        out[2:] = np.stack(own)[:, None]
+        return out.reshape(len(out), -1)
 
     def run(batches):
+        held, n = [], 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
-                prints = np.stack([batch.column(name).to_numpy() for name in names], axis=1).view(np.uint64)
-                mask = np.uint64((1 << b.bits) - 1)
-                key = np.concatenate([(_at(prints, k * b.bits) & mask).view(np.int64) | k << KEY_BITS for k in range(b.count)])
-                check = np.concatenate([_at(prints, (k + 1) * b.bits).view(np.int64) for k in range(b.count)])
-                rest = [pa.array(np.tile(batch.column(c).to_numpy(), b.count)) for c in (names[-1], "size", "node", *more)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), *rest], names=["key", "check", "last", "size", "node", *more])
-
-    return nodes.select("node", "size", *names, *more).mapInArrow(run, "key long, check long, last long, size long, node long" + ", root long" * rooted)
-
-
-def _cells(nodes: DataFrame, b: Blocks, max_run: int, sampled: int, rooted: bool = False) -> DataFrame:
-    """_entries by key, and by cell if there are keys to be dealt as pairs of parts: those with more
-    than about max_run rows, found on one node in `sampled`."""
-    part = _entries(nodes.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(sampled)) == 0), b, rooted).groupBy("key").count()
+            for at in range(0, whole.num_rows, together):
+                held.append(whole.slice(at, together))
+                n += held[-1].num_rows
+                if n >= together:
+                    yield from made(entries(held))
+                    held, n = [], 0
+        if held:
+            yield from made(entries(held))
+
+    return nodes.select(*rest, *names).mapInArrow(run, schema)
+
+
+def _among(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which keys are among those of hot, which are in order."""
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+
+
+def _entries(nodes: DataFrame, b: Blocks, rooted: bool, hot: np.ndarray) -> DataFrame:
+    """(key, check, last, size, node[, root]): the entries of the keys in hot."""
+    names = ["key", "check", "last", "size", "node", *["root"] * rooted]
+
+    def made(t):
+        t = t[:, _among(t[0], hot)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in t], names=names)
+
+    return _meets_at(nodes, b, rooted, ", ".join(f"{c} long" for c in names), made, 2000)
+
+
+def _counts(nodes: DataFrame, b: Blocks) -> DataFrame:
+    """(key, count): how many of the nodes have a key."""
+
+    def made(t):
+        keys, n = np.unique(t[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    return _meets_at(nodes, b, False, "key long, n long", made, -(-DEALT // b.count)).groupBy("key").agg(F.sum("n").alias("count"))
+
+
+def _dealt(nodes: DataFrame, b: Blocks, rooted: bool, hot: np.ndarray) -> DataFrame:
+    """(part, rows): the entries of the keys that are not in hot, those of a part of the keys together, as bytes: a row of theirs moves many."""
+    bits = min(b.bits, PART_BITS)
+
+    def made(t):
+        if len(hot):
+            t = t[:, ~_among(t[0], hot)]
+        part = (t[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        rows = np.empty((len(part), len(t)), dtype=np.int64)
+        for c in range(len(t)):
+            rows[:, c] = t[c].take(order)
+        n = np.bincount(part, minlength=1 << bits)
+        parts = np.flatnonzero(n)
+        ends = np.concatenate([[0], np.cumsum(n[parts])]) * (8 * len(t))
+        whole = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows)])
+        for at in range(0, len(parts), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(parts[at : at + 1000].astype(np.int32)), whole.slice(at, 1000)], names=["part", "rows"])
+
+    return _meets_at(nodes, b, rooted, "part int, rows binary", made, -(-DEALT // b.count))
+
+
+def _of_parts(batches, width: int, b: Blocks, found):
+    """What found gives for the entries of batches (part, rows), which come by part, some 200,000 at a time and never part of a key."""
+
+    def whole(held):
+        rows = np.concatenate(held)
+        key, size = rows[:, 0], rows[:, 3]
+        wide = int(size.max()) + 1
+        if (b.count << b.bits) * wide < 1 << 63:
+            order = np.argsort((key >> KEY_BITS << b.bits | key & (1 << b.bits) - 1) * wide + size)
+        else:
+            order = np.lexsort((size, key))
+        return found(np.ascontiguousarray(rows[order].T))
+
+    held, n, last = [], 0, -1
+    for batch in batches:
+        part, rows = batch.column(0).to_numpy(), batch.column(1)
+        ends = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1]
+        data = np.frombuffer(rows.buffers()[2], dtype=np.uint8)
+        begun = np.flatnonzero(np.append(part[:1] != last, part[1:] != part[:-1])).tolist()
+        for lo, hi in zip([0, *begun], [*begun, len(part)], strict=True):
+            if n >= 200_000 and (lo or begun[:1] == [0]):
+                yield from whole(held)
+                held, n = [], 0
+            if lo < hi:
+                held.append(data[ends[lo] : ends[hi]].copy().view(np.int64).reshape(-1, width))
+                n += len(held[-1])
+                last = part[lo]
+    if n:
+        yield from whole(held)
+
+
+def _by_block(nodes: DataFrame, b: Blocks, found, max_run: int, sampled: int, rooted: bool = False) -> DataFrame:
+    """(u, v): what found gives for the entries of each key. Keys with more than about max_run rows, found on one node in `sampled`,
+    are dealt as pairs of parts, row by row: cells."""
+    width = 5 + rooted
+    part = _counts(nodes.where(F.pmod(F.xxhash64("node", F.lit(13)), F.lit(sampled)) == 0), b)
     large = cut(part.where(F.col("count") * sampled > max_run / 2).select(F.col("key").alias("hot"), F.ceil(F.col("count") * sampled / max_run).cast("int").alias("parts")), "large")
-    rows = _entries(nodes, b, rooted)
-    if large.isEmpty():
-        return rows.repartition("key").sortWithinPartitions("key")
+    hot = np.sort(large.select("hot").toArrow()["hot"].to_numpy())
+    dealt = _dealt(nodes, b, rooted, hot).repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _of_parts(batches, width, b, found), "u long, v long")
+    if not len(hot):
+        return dealt.distinct()
     # each row meets every part of its key: cell (x, y) holds the parts x and y
-    joined = rows.join(large, rows["key"] == large["hot"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = _entries(nodes, b, rooted, hot)
+    joined = rows.join(large, rows["key"] == large["hot"])
     joined = joined.withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return joined.select(*rows.columns, (F.least("x", "y") * F.col("parts") + F.greatest("x", "y")).cast("long").alias("cell")).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    cells = joined.select(*rows.columns, (F.least("x", "y") * F.col("parts") + F.greatest("x", "y")).cast("long").alias("cell")).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.union(cells.mapInArrow(lambda batches: by_key(batches, width, found), "u long, v long")).distinct()
 
 
 def by_key(batches, width: int, found):
@@ -173,7 +274,8 @@ class _Run:
             turn |= np.diff(t[width]) != 0
         self.of = of = np.concatenate([[0], np.cumsum(turn)])  # the run of each row
         wide = int(t[3].max() / least if least else t[3].max()) + 2
-        self.t = t = t[:, np.argsort(of * wide + t[3])]
+        code = of * wide + t[3]
+        self.t = t = t if (code[1:] >= code[:-1]).all() else t[:, np.argsort(code)]
         self.check, self.last, self.size, self.node = t[1].view(np.uint64), t[2].view(np.uint64), t[3], t[4]
         self.b, self.n, self.runs = b, t.shape[1], int(of[-1]) + 1
         # each row meets those behind it in its run whose sizes are in reach
@@ -181,6 +283,28 @@ class _Run:
         reach = np.searchsorted(of * wide + self.size, of * wide + np.floor(self.size / least + 1e-6).astype(np.int64), side="right") if least else end
         self.meets = np.maximum(reach - np.arange(self.n) - 1, 0)
 
+    def _near(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of pairs that meet, the first in rows, without those whose 64 bits behind the block differ too much."""
+        k, most = self.meets[rows], _budget(self.b)
+        if len(rows) < k.max(initial=0):
+            i = np.repeat(rows, k)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+            near = np.flatnonzero(np.bitwise_count(self.check[i] ^ self.check[j]) <= most)
+            return i[near], j[near]
+        # all rows with the next of each, then all that have a second with that, and so on: those of most come first
+        order = np.argsort(-k, kind="stable")
+        rows, k = rows[order], k[order]
+        left = np.searchsorted(-k, -np.arange(k[0] + 1 if len(k) else 0), side="right").tolist()
+        own, found = self.check[rows], [(rows[:0], rows[:0])]
+        for d in range(1, len(left)):
+            n = left[d]
+            near = (np.bitwise_count(self.check[d:].take(rows[:n]) ^ own[:n]) <= most).nonzero()[0]
+            if len(near):
+                i = rows[near]
+                found.append((i, i + d))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+        return i, j
+
     def pairs(self, wanted: Callable[[np.ndarray], np.ndarray]):
         """(u, v, differing bits): positions of pairs u < v that pass, of about a million that meet, or all of one row. wanted
         tells which of some rows are still looked at."""
@@ -191,9 +315,7 @@ class _Run:
             rows = np.arange(at, to)
             rows = rows[self.meets[rows] > 0]
             rows = rows[wanted(rows)]
-            k = self.meets[rows]
-            i = np.repeat(rows, k)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+            i, j = self._near(rows)
             x = self.check[i] ^ self.check[j]
             ok = np.flatnonzero(_chain(x, self.b))
             i, j = i[ok], j[ok]
@@ -288,7 +410,7 @@ def meeting(nodes: DataFrame, b: Blocks, least: float, max_run: int = 20_000, sa
             if len(u):
                 yield _named(r, np.concatenate([u, mark]), np.concatenate([v, mark]))
 
-    return _cells(nodes, b, max_run, sampled).mapInArrow(lambda batches: by_key(batches, 5, found), "u long, v long").distinct()
+    return _by_block(nodes, b, found, max_run, sampled)
 
 
 def untried(nodes: DataFrame, b: Blocks, least: float, most: int, max_run: int = 20_000, sampled: int = 64) -> DataFrame:
@@ -313,7 +435,7 @@ def untried(nodes: DataFrame, b: Blocks, least: float, most: int, max_run: int =
         if len(mark):
             yield _named(r, mark, mark)
 
-    return _cells(nodes, b, max_run, sampled, True).mapInArrow(lambda batches: by_key(batches, 6, found), "u long, v long").distinct()
+    return _by_block(nodes, b, found, max_run, sampled, True)
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:

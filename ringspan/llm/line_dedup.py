@@ -427,7 +427,7 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return src.mapInArrow(run, "u long, v long, ok boolean")
 
 
-#: Lines that the filter of candidate lines may hold: 16 bits each, 32 MB at most. Beyond, there is no filter.
+#: Lines that the filter of candidate lines and their documents may hold: 16 bits a line, 32 MB at most. Beyond, there is no filter.
 FILTER_LINES = 1 << 24
 
 
@@ -454,9 +454,10 @@ def _passes(have: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def norms_of(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(node, norm): the normalised text of each of the ends (node, d1, d2, first), more than once perhaps.
-    Documents are read again in place; a line leaves the scan where the filter lets its digest and the id
-    of its first document through, and a join drops those that passed by chance."""
-    have = bloom(ends.select(F.col("d1").bitwiseXOR(F.xxhash64("first")).alias("key")), ends.count())
+    Documents are read again in place, those that the filter lets through by their ids; a line leaves the scan where it lets its
+    digest and the id of its first document through, and a join drops those that passed by chance."""
+    first = F.xxhash64("first")
+    have = bloom(ends.select(F.explode(F.array(F.col("d1").bitwiseXOR(first), first)).alias("key")), ends.count())
     sent = docs.sparkSession.sparkContext.broadcast(have)
     src = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -466,6 +467,8 @@ def norms_of(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str, min_w
         have, seen = sent.value, set()
 
         for b in batches:
+            if have is not None:
+                b = b.take(pa.array(np.flatnonzero(_passes(have, b.column(0).to_numpy()))))
             ids = b.column(0).to_numpy()
             for low, texts in _together(b.column(1)):
                 lines = _Lines(texts)
@@ -491,9 +494,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     spark = docs.sparkSession
     ship(spark)
     b = blocks_for(8 * docs.count(), 0.1, recall, 0.2)
-    lines = cut(lines_of(docs, id_col, text_col, min_words, b.words), "lines")
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("d1", "d2", *print_columns(b.words))}  # hardly a value comes twice
+    lines = cut(lines_of(docs, id_col, text_col, min_words, b.words), "lines", plain)
     same = lines.where("not again").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in print_columns(b.words)])
-    nodes = cut(same.withColumn("node", F.monotonically_increasing_id()), "line_nodes")
+    nodes = cut(same.withColumn("node", F.monotonically_increasing_id()), "line_nodes", plain)
 
     ends = norms = None
 
@@ -517,9 +521,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     shared = fuzzy.join(group, "root").select("d1", "d2", "root", "keep").union(alone)
     with few_tasks(spark):
         held = cut(shared, "line_groups")
-    here = cut(lines.join(held, ["d1", "d2"]).select("id", "thash", "line", "again", "root", F.col("id").eqNullSafe(F.col("keep")).alias("home")), "line_places")
+    # one row of `held` for each key: its side is held, and lines need no sorting
+    placed = lines.join(held.hint("shuffle_hash"), ["d1", "d2"], "left").where("again or root is not null")
+    here = cut(placed.select("id", "thash", "line", "root", "again", (F.col("root").isNotNull() & F.col("id").eqNullSafe(F.col("keep"))).alias("home")), "line_places")
     first = here.where("home").groupBy("root").agg(F.min("line").alias("first_line"))
-    gone = here.where("not home").select("id", "thash", "line").union(here.where("home").join(first, "root").where("line <> first_line").select("id", "thash", "line")).union(lines.where("again").select("id", "thash", "line"))
+    gone = here.where("again or not home").select("id", "thash", "line").union(here.where("home and not again").join(first, "root").where("line <> first_line").select("id", "thash", "line"))
     own, own_hash = fresh(docs, "id", "thash")
     gone = cut(gone.groupBy("id", "thash").agg(F.sort_array(F.collect_set("line")).alias("dropped_lines")).withColumnsRenamed({"id": own, "thash": own_hash}), "lines_gone")
     kept = [f for f in docs.schema.fields if f.name.lower() != "dropped_lines"]

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -156,3 +157,37 @@ def test_expected_difference():
 
 def test_near_texts_of_an_empty_table(spark):
     assert S.near_texts(spark.createDataFrame([], "row long, text string"), "row").count() == 0
+
+
+def test_a_path_is_contracted_before_the_rounds(spark, monkeypatch):
+    """Edges are joined where they lie first: a long path takes a round or two, not one for each doubling."""
+    from ringspan.llm import components as C
+
+    names = []
+    monkeypatch.setattr(C, "cut", lambda df, name, f=C.cut: names.append(name) or f(df, name))
+    e = spark.range(1, 3000).selectExpr("id as u", "id - 1 as v")
+    got = components(e)
+    assert got.count() == 3000 and got.where("root <> 0").isEmpty() and names.count("edges") <= 4
+
+
+@pytest.mark.parametrize("together", [3, 50, 10**6])
+def test_contracted_edges_join_the_same_nodes(monkeypatch, together):
+    import pyarrow as pa
+
+    from ringspan.llm import components as C
+
+    monkeypatch.setattr(C, "TOGETHER", together)
+    rng = np.random.default_rng(together)
+    for _ in range(40):
+        u, v = rng.integers(-40, 40, (2, rng.integers(1, 60)))
+        u, v = np.maximum(u, v)[u != v], np.minimum(u, v)[u != v]
+        made = [x for b in C._stars([pa.RecordBatch.from_arrays([pa.array(u[k : k + 4]), pa.array(v[k : k + 4])], names=["u", "v"]) for k in range(0, len(u), 4)]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+        def least(edges):
+            root = {x: x for e in edges for x in e}
+            for _ in root:
+                for x, y in edges:
+                    root[x] = root[y] = min(root[x], root[y])
+            return root
+
+        assert all(x > y for x, y in made) and least(made) == least(list(zip(u.tolist(), v.tolist(), strict=True)))
